@@ -74,9 +74,9 @@ def rank_people(view: DataFrame) -> DataFrame:
 
 def tag_labels(families: tuple[str, str, str] = CARD_FAMILIES, limit: int | None = CARD_LABELS) -> Column:
     """People, scene and object tags with the name of their family in front."""
-    parts = [
-        F.transform(c, lambda x, p=p: F.concat(F.lit(p), x))
-        for p, c in zip(families, ("people", "scene_tags", "object_tags"))
-    ]
-    labels = F.concat(*parts)
+
+    def marked(family: str, tags: str) -> Column:
+        return F.transform(tags, lambda x: F.concat(F.lit(family), x))
+
+    labels = F.concat(*map(marked, families, ("people", "scene_tags", "object_tags")))
     return labels if limit is None else F.slice(labels, 1, limit)

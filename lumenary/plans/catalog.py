@@ -24,9 +24,10 @@ def piped(items: Column) -> Column:
     return F.array_join(items, "|")
 
 
-def flat_vector(v: Column) -> Column:
-    """A vector as text, 5 decimals, for comparing results."""
-    return F.array_join(F.transform(v.cast("array<double>"), lambda x: F.format_string("%.4f", F.round(x, 4) + 0.0)), ",")
+def flat_vector(v: Column, digits: int = 4) -> Column:
+    """A vector as text, for comparing results; vectors stored with 6 decimals are compared with 6."""
+    spell = lambda x: F.format_string(f"%.{digits}f", F.round(x, digits) + 0.0)
+    return F.array_join(F.transform(v.cast("array<double>"), spell), ",")
 
 
 def after_epoch(n: Column, unit: str) -> Column:

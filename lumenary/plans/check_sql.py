@@ -234,8 +234,8 @@ def with_views(names: str, body: str, extra: dict[str, tuple[str, str]] | None =
     return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({known[n][1]})" for n in done) + "\n" + body
 
 
-def flat(v: str) -> str:
-    return f"array_to_string(list_transform({v}, lambda x: printf('%.4f', round(x,4)+0.0)),',')"
+def flat(v: str, digits: int = 4) -> str:
+    return f"array_to_string(list_transform({v}, lambda x: printf('%.{digits}f', round(x,{digits})+0.0)),',')"
 
 
 def piped(v: str) -> str:

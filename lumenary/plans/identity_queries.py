@@ -1 +1,347 @@
+"""Cluster and person queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lumenary.functions.blockmatch import Side
+from lumenary.operators import corrections as C
+from lumenary.operators import identity as I
+from lumenary.operators import listing as L
+from lumenary.plans.catalog import DIM, THR, Catalog, flat_vector, piped
+from lumenary.plans.check_sql import flat
+from lumenary.plans.check_sql import piped as sql_piped
+from lumenary.plans.listing_queries import VIEW_SQL
+from lumenary.plans.registry import query
+
+MARGIN = 0.02
+
+
+def assigned(c: Catalog) -> DataFrame:
+    return I.assign_clusters(c.faces, c.clusters, THR, DIM)
+
+
+def matches(c: Catalog) -> DataFrame:
+    return I.match_persons(Side(c.faces, "face_id", "embedding"), c.persons, c.samples, THR, MARGIN, DIM)
+
+
+@query("c1_assign_clusters", "face_cluster", "SELECT face_id, label, score FROM face_cluster")
+def assign(c: Catalog) -> DataFrame:
+    return assigned(c)
+
+
+# connected components by recursion are cheap only on the few hundred vectors of the check data
+_LINKS = {
+    "lonely": ("faces face_cluster", "SELECT face_id, embedding FROM faces WHERE face_id NOT IN (SELECT face_id FROM face_cluster)"),
+    "linked": ("lonely", "SELECT a.face_id AS a, b.face_id AS b FROM lonely a, lonely b WHERE a.face_id<>b.face_id AND round(list_cosine_similarity(a.embedding,b.embedding),6)>=0.30"),
+}
+
+
+@query("c2_form_clusters")
+def form(c: Catalog) -> DataFrame:
+    lonely = c.faces.join(assigned(c).select("face_id"), "face_id", "left_anti")
+    return I.form_clusters(lonely, THR, DIM)
+
+
+_FOLD = """SELECT label, {0} AS centroid, folded FROM (SELECT c.label, len(f.es) AS folded, list_reduce(f.es, lambda acc, e:
+ list_transform(range(1,65), lambda i: round((0.7::DOUBLE*acc[i]+0.3::DOUBLE*e[i])/sqrt(0.49::DOUBLE*list_dot_product(acc,acc)+0.42::DOUBLE*list_dot_product(acc,e)+0.09::DOUBLE*list_dot_product(e,e)),6)), c.centroid) AS centroid
+ FROM clusters c JOIN (SELECT a.label, list(f.embedding ORDER BY f.seq) AS es FROM face_cluster a JOIN faces f ON f.face_id=a.face_id GROUP BY a.label) f ON f.label=c.label)"""
+
+
+@query("c3_update_centroids", "face_cluster clusters faces", _FOLD.format(flat("centroid", 6)))
+def fold(c: Catalog) -> DataFrame:
+    rows = assigned(c).join(c.faces.select("face_id", "media_id", "seq", "embedding"), "face_id")
+    out = I.update_centroids(c.clusters, rows).filter("folded > 0")
+    return out.select("label", flat_vector(F.col("centroid"), 6).alias("centroid"), "folded")
+
+
+@query("c4_rank_persons", "face_rank", "SELECT face_id, person_id, score, r AS rank FROM face_rank WHERE r<=5")
+def rank(c: Catalog) -> DataFrame:
+    return I.rank_persons(Side(c.faces, "face_id", "embedding"), c.persons, c.samples, 5, DIM)
+
+
+@query(
+    "c5_match_persons", "face_match",
+    "SELECT face_id, person_id, score FROM face_match WHERE score>=0.30 AND (second<=0 OR round(score-second,6)>=0.02)",
+)
+def match(c: Catalog) -> DataFrame:
+    return matches(c)
+
+
+_SUMMARY = {
+    "frow": (
+        "faces face_cluster face_match clusters",
+        """SELECT f.face_id, f.media_id, f.seq, a.label, m.person_id, m.name AS match_name,
+ CASE WHEN m.name IS NOT NULL AND lower(coalesce(c.display_name,''))<>lower(m.name) THEN m.name ELSE c.display_name END AS shown
+ FROM faces f LEFT JOIN face_cluster a ON a.face_id=f.face_id LEFT JOIN clusters c ON c.label=a.label
+ LEFT JOIN (SELECT * FROM face_match WHERE score>=0.30 AND (second<=0 OR round(score-second,6)>=0.02)) m ON m.face_id=f.face_id""",
+    ),
+    "fnames": (
+        "frow",
+        """SELECT media_id, string_agg(name,'|' ORDER BY p) AS names FROM (SELECT media_id, name, min(p) AS p FROM (SELECT media_id, shown AS name, seq*2 AS p FROM frow
+ UNION ALL SELECT media_id, match_name, seq*2+1 FROM frow) WHERE name IS NOT NULL GROUP BY ALL) GROUP BY media_id""",
+    ),
+    "flabels": (
+        "frow",
+        "SELECT media_id, string_agg(label,'|' ORDER BY p) AS labels FROM (SELECT media_id, label, min(seq) AS p FROM frow WHERE label IS NOT NULL GROUP BY ALL) GROUP BY media_id",
+    ),
+    "fcount": ("frow", "SELECT media_id, count(*) AS face_count FROM frow GROUP BY media_id"),
+}
+
+
+@query(
+    "c6_summarise_faces", "fcount fnames flabels",
+    """SELECT c.media_id, coalesce(l.labels,'') AS labels, coalesce(n.names,'') AS names, c.face_count FROM fcount c
+ LEFT JOIN fnames n ON n.media_id=c.media_id LEFT JOIN flabels l ON l.media_id=c.media_id""", _SUMMARY,
+)
+def summarise(c: Catalog) -> DataFrame:
+    media, _ = I.summarise_faces(c.faces, assigned(c), matches(c), c.clusters, c.persons)
+    return media.select("media_id", piped(F.col("labels")).alias("labels"), piped(F.col("names")).alias("names"), "face_count")
+
+
+@query(
+    "c6_cluster_changes", "frow",
+    "SELECT label, arg_max(person_id, seq) AS person_profile_id, arg_max(shown, seq) AS display_name FROM frow WHERE label IS NOT NULL AND person_id IS NOT NULL GROUP BY label",
+    _SUMMARY,
+)
+def changes(c: Catalog) -> DataFrame:
+    return I.summarise_faces(c.faces, assigned(c), matches(c), c.clusters, c.persons)[1]
+
+
+@query(
+    "c7_resolve_labels", "rich_photos",
+    f"SELECT id, {sql_piped('face_clusters')} AS labels, {sql_piped('face_names')} AS names, len(face_clusters) AS face_count FROM rich_photos",
+)
+def resolve(c: Catalog) -> DataFrame:
+    rows = I.resolve_labels(c.photos, c.clusters, c.persons)
+    return rows.select("id", piped(F.col("labels")).alias("labels"), piped(F.col("names")).alias("names"), "face_count")
+
+
+_ASSOCIATE_THR = 0.45
+_ASSOCIATE = {
+    "assoc": (
+        "clusters clus_person clus_rank persons",
+        """SELECT c.label, c.person_profile_id AS old, c.display_name AS old_name, own.score AS own, own.name AS own_name, best.person_id AS best_id, best.name AS best_name, best.score AS best
+ FROM clusters c LEFT JOIN clus_person own ON own.label=c.label AND own.person_id=c.person_profile_id LEFT JOIN clus_rank best ON best.label=c.label AND best.r=1""",
+    ),
+}
+
+
+@query(
+    "c8_associate", "assoc",
+    f"""SELECT label, CASE WHEN own>={_ASSOCIATE_THR} THEN old WHEN best>={_ASSOCIATE_THR} THEN best_id END AS person_profile_id,
+ CASE WHEN own>={_ASSOCIATE_THR} THEN own_name WHEN best>={_ASSOCIATE_THR} THEN best_name WHEN lower(old_name)=lower(own_name) THEN NULL ELSE old_name END AS display_name FROM assoc""",
+    _ASSOCIATE,
+)
+def associate(c: Catalog) -> DataFrame:
+    rows = C.associate(c.persons, c.samples, c.clusters, _ASSOCIATE_THR, DIM)
+    return rows.select("label", "person_profile_id", "display_name")
+
+
+@query(
+    "c9_remove_persons", "clusters",
+    """SELECT label, CASE WHEN person_profile_id%3=0 THEN NULL ELSE person_profile_id END AS person_profile_id,
+ CASE WHEN person_profile_id%3=0 AND display_name='Person '||(person_profile_id-1) THEN NULL ELSE display_name END AS display_name FROM clusters""",
+)
+def remove(c: Catalog) -> DataFrame:
+    ids = c.persons.filter("id % 3 = 0").select(F.col("id").alias("person_id"))
+    change = C.remove_persons(ids, c.persons, c.samples, c.clusters)[2]
+    return change.clusters.select("label", "person_profile_id", "display_name")
+
+
+@query(
+    "c10_rename_clusters", "clusters",
+    "SELECT label, CASE id%4 WHEN 0 THEN 'New '||id WHEN 1 THEN NULL ELSE display_name END AS display_name FROM clusters",
+)
+def rename(c: Catalog) -> DataFrame:
+    kind = F.col("id") % 4
+    commands = c.clusters.filter(kind < 2).select(
+        "label", F.when(kind == 0, F.concat(F.lit(" New "), "id", F.lit(" "))).otherwise(" ").alias("new_name")
+    )
+    return C.rename_clusters(c.clusters, commands).select("label", "display_name")
+
+
+@query(
+    "c11_upsert_persons", "persons",
+    """SELECT arg_min(name, seq) AS name, k AS normalized_name FROM (SELECT doc_id AS seq, trim(name) AS name, lower(trim(name)) AS k FROM (
+ SELECT doc_id, CASE WHEN doc_id%2=0 THEN 'Person '||(doc_id%40) ELSE ' PERSON '||(doc_id%30)||' ' END AS name FROM documents))
+ WHERE k NOT IN (SELECT normalized_name FROM persons) GROUP BY k""",
+)
+def upsert(c: Catalog) -> DataFrame:
+    doc = F.col("doc_id")
+    name = F.when(doc % 2 == 0, F.concat(F.lit("Person "), doc % 40)).otherwise(F.concat(F.lit(" PERSON "), doc % 30, F.lit(" ")))
+    names = c.table("documents").select(doc.alias("seq"), name.alias("name"))
+    return C.upsert_persons(c.persons, names).select("name", "normalized_name")
+
+
+_RENAME = {
+    "newname": ("persons", "SELECT id, CASE id%3 WHEN 0 THEN 'Renamed '||id WHEN 1 THEN 'Person '||(id%2) ELSE NULL END AS new_name FROM persons"),
+    "ok": ("newname persons", "SELECT n.* FROM newname n WHERE new_name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM persons p WHERE p.normalized_name=lower(n.new_name) AND p.id<>n.id)"),
+}
+
+
+def _rename(c: Catalog):
+    pid = F.col("id")
+    name = F.when(pid % 3 == 0, F.concat(F.lit("Renamed "), pid)).when(pid % 3 == 1, F.concat(F.lit("Person "), pid % 2))
+    commands = c.persons.select(pid.alias("seq"), pid.alias("person_id"), name.alias("new_name")).filter("new_name is not null")
+    return C.rename_persons(c.persons, c.clusters, commands)
+
+
+@query("c11_rename_persons", "persons ok", "SELECT p.id, coalesce(o.new_name, p.name) AS name FROM persons p LEFT JOIN ok o ON o.id=p.id", _RENAME)
+def rename_persons(c: Catalog) -> DataFrame:
+    return _rename(c)[0].select("id", "name")
+
+
+@query(
+    "c11_sync_cluster_names", "clusters ok",
+    """SELECT c.label, CASE WHEN o.id IS NOT NULL AND (coalesce(c.display_name,'')='' OR c.display_name='Person '||(o.id-1)) THEN o.new_name ELSE c.display_name END AS display_name
+ FROM clusters c LEFT JOIN ok o ON o.id=c.person_profile_id""", _RENAME,
+)
+def sync_names(c: Catalog) -> DataFrame:
+    return _rename(c)[2].clusters.select("label", "display_name")
+
+
+_SELECTED = 3
+_CANDIDATES = {
+    **VIEW_SQL,
+    "cands": (
+        "clusters clus_person clus_rank stats persons",
+        f"""SELECT c.label, c.display_name, coalesce(s.photo_count,0) AS photo_count, coalesce(own.score,0) AS score, coalesce(o.score,0) AS competitor_score,
+ round(coalesce(own.score,0)-coalesce(o.score,0),6) AS margin, p.id AS current_person_id, p.name AS current_person_name, coalesce(c.person_profile_id={_SELECTED},false) AS linked,
+ coalesce(own.score,0)>=0.30 AND round(coalesce(own.score,0)-coalesce(o.score,0),6)>=0.02 AS recommended, c.updated_at, c.id
+ FROM clusters c LEFT JOIN clus_person own ON own.label=c.label AND own.person_id={_SELECTED} LEFT JOIN stats s ON s.label=c.label LEFT JOIN persons p ON p.id=c.person_profile_id
+ LEFT JOIN (SELECT label, max(score) AS score FROM clus_rank WHERE person_id<>{_SELECTED} AND r<=2 GROUP BY 1) o ON o.label=c.label""",
+    ),
+}
+
+
+def candidates(c: Catalog) -> DataFrame:
+    return C.correction_candidates(
+        _SELECTED, c.persons, c.samples, c.clusters, I.cluster_stats(c.photos), 40, THR, MARGIN, DIM
+    )
+
+
+@query(
+    "c12_correction_candidates", "cands",
+    """SELECT label, display_name, photo_count, score, competitor_score, margin, current_person_id, current_person_name, linked, recommended FROM cands
+ ORDER BY linked DESC, recommended DESC, score DESC, photo_count DESC, updated_at DESC, id DESC LIMIT 40""", _CANDIDATES,
+)
+def correction_candidates(c: Catalog) -> DataFrame:
+    return candidates(c).drop("example_photo_id").withColumnRenamed("linked_to_selected_person", "linked")
+
+
+@query(
+    "p10_filter_candidates", "cands",
+    f"""SELECT label, score FROM (SELECT * FROM cands ORDER BY linked DESC, recommended DESC, score DESC, photo_count DESC, updated_at DESC, id DESC LIMIT 40)
+ WHERE score>=0.02 AND current_person_id IS NOT NULL AND current_person_id<>{_SELECTED} AND (contains(lower(label),'person') OR contains(lower(coalesce(display_name,'')),'person') OR contains(lower(coalesce(current_person_name,'')),'person'))""",
+    _CANDIDATES,
+)
+def filter_candidates(c: Catalog) -> DataFrame:
+    return L.filter_candidates(candidates(c), _SELECTED, "reassign", 0.02, "Person").select("label", "score")
+
+
+_CORRECT = """SELECT label, CASE WHEN act='bind' THEN who WHEN act='unbind' AND person_profile_id=who THEN NULL ELSE person_profile_id END AS person_profile_id,
+ CASE WHEN act='bind' THEN 'Person '||(who-1) WHEN act='unbind' AND person_profile_id=who AND lower(display_name)='person '||(who-1) THEN NULL ELSE display_name END AS display_name
+ FROM (SELECT *, CASE WHEN id%3=0 THEN 'bind' WHEN id%3=1 THEN 'unbind' END AS act, CASE WHEN id%3=0 THEN 2 ELSE (id-1)//5+1 END AS who FROM clusters)"""
+
+
+@query("c13_apply_corrections", "clusters", _CORRECT)
+def correct(c: Catalog) -> DataFrame:
+    ident = F.col("id")
+    commands = c.clusters.filter("id % 3 < 2").select(
+        ident.alias("seq"),
+        F.when(ident % 3 == 0, F.lit(2)).otherwise(F.floor((ident - 1) / 5) + 1).cast("long").alias("person_id"),
+        F.when(ident % 3 == 0, "bind").otherwise("unbind").alias("action"),
+        F.array(F.concat(F.lit(" "), "label"), F.col("label")).alias("labels"),
+    )
+    change = C.apply_corrections(c.clusters, c.persons, commands)
+    return change.clusters.select("label", "person_profile_id", "display_name")
+
+
+@query("c14_refresh_media")
+def refresh(c: Catalog) -> DataFrame:
+    labels = c.clusters.filter("person_profile_id = 3").select("label")
+    strip_names = c.persons.filter("id in (3, 5)").select("name")
+    rows = C.refresh_media(c.photos_with_text_vector, c.clusters, c.persons, labels, strip_names)
+    return rows.select(
+        "id", piped(F.col("people")).alias("people"), piped(F.col("merged_people")).alias("merged_people"),
+        flat_vector(F.col("vector")).alias("vector"),
+    )
+
+
+@query(
+    "c14_refreshed_people", "photos photo_names clusters",
+    """SELECT p.id, array_to_string(list_filter(p.people, lambda x: lower(x) NOT IN ('person 2','person 4')),'|') AS people,
+ array_to_string(list_concat(list_filter(p.people, lambda x: lower(x) NOT IN ('person 2','person 4')), list_filter(coalesce(n.face_names,[]), lambda x: NOT list_contains(list_filter(p.people, lambda y: lower(y) NOT IN ('person 2','person 4')), x))),'|') AS merged_people
+ FROM photos p LEFT JOIN photo_names n ON n.id=p.id WHERE list_has_any(p.face_clusters, (SELECT list(label) FROM clusters WHERE person_profile_id=3))
+ OR len(list_filter(p.people, lambda x: lower(x) IN ('person 2','person 4')))>0""",
+)
+def refreshed_people(c: Catalog) -> DataFrame:
+    labels = c.clusters.filter("person_profile_id = 3").select("label")
+    strip_names = c.persons.filter("id in (3, 5)").select("name")
+    rows = C.refresh_media(c.photos, c.clusters, c.persons, labels, strip_names, with_vector=False)
+    return rows.select("id", piped(F.col("people")).alias("people"), piped(F.col("merged_people")).alias("merged_people"))
+
+
+@query(
+    "c15_refresh_profiles", "persons",
+    f"SELECT id, sample_count, example_sample_id, {flat('centroid', 6)} AS centroid FROM persons",
+)
+def profiles(c: Catalog) -> DataFrame:
+    return c.persons.select("id", "sample_count", "example_sample_id", flat_vector(F.col("centroid"), 6).alias("centroid"))
+
+
+@query(
+    "c18_legacy_vectors", "persons samples clusters",
+    """SELECT * FROM (SELECT 'person' AS kind, CAST(id AS VARCHAR) AS key, 64 AS length FROM persons WHERE centroid IS NOT NULL UNION ALL SELECT 'sample', CAST(id AS VARCHAR), 64 FROM samples
+ UNION ALL SELECT 'cluster', label, 64 FROM clusters) WHERE kind<>'sample' OR CAST(key AS BIGINT)%4<>0""",
+)
+def legacy(c: Catalog) -> DataFrame:
+    current = F.when(F.col("id") % 4 == 0, F.concat("embedding", F.array_repeat(F.lit(0.0), 448))).otherwise(F.col("embedding"))
+    return I.legacy_vectors(c.persons, c.samples.withColumn("embedding", current), c.clusters, 512)
+
+
+@query("c19_rebuild_index")
+def rebuild(c: Catalog) -> DataFrame:
+    _, _, photos = C.rebuild_index(c.faces, c.photos, c.persons, c.samples, THR, THR, DIM)
+    return photos.select("id", piped(F.col("merged_people")).alias("people"), piped(F.col("face_clusters")).alias("labels"), "face_count")
+
+
+@query(
+    "c20_cleanup_clusters", "clusters photos videos",
+    """SELECT c.label, p.newest AS example_photo_id FROM clusters c LEFT JOIN (SELECT label, max_by(id, struct_pack(a:=created_at,b:=id)) AS newest FROM (
+ SELECT unnest(face_clusters) AS label, created_at, id FROM photos WHERE id%50=0) GROUP BY label) p ON p.label=c.label
+ WHERE p.label IS NOT NULL OR c.label IN (SELECT unnest(face_clusters) FROM videos WHERE id%50=7)""",
+)
+def cleanup(c: Catalog) -> DataFrame:
+    rows = C.cleanup_clusters(c.clusters, c.photos.filter("id % 50 = 0"), c.videos.filter("id % 50 = 7"))
+    return rows.select("label", "example_photo_id")
+
+
+@query(
+    "c21_delete_media", "photos sources",
+    """SELECT p.id, p.storage_path, coalesce(p.id%2=0 AND (s.root_path='/src' OR starts_with(p.original_path, s.root_path||'/')) AND p.original_path<>p.storage_path, false) AS remove_original
+ FROM photos p LEFT JOIN sources s ON s.id=p.source_id WHERE p.id%9=0""",
+)
+def delete(c: Catalog) -> DataFrame:
+    ids = c.photos.filter("id % 9 = 0").select("id", (F.col("id") % 2 == 0).alias("delete_source_file"))
+    return C.delete_media(c.photos, ids, c.sources)[1].select("id", "storage_path", "remove_original")
+
+
+@query("c22_apply_sample_changes")
+def sample_changes(c: Catalog) -> DataFrame:
+    v = F.col("vec_id")
+    record = F.struct(
+        v.alias("id"), (F.col("label") + 1).cast("long").alias("person_id"), F.lit("new.jpg").alias("original_filename"),
+        F.lit("/people/new.jpg").alias("storage_path"), F.col("embedding"), F.expr("timestamp'2024-03-01'").alias("created_at"),
+    )
+    commands = c.vectors.filter(v % 10 < 4).select(
+        v.alias("seq"), F.when(v % 10 == 3, "add").otherwise("delete").alias("action"),
+        (F.col("label") + 1).cast("long").alias("person_id"), record.alias("sample"),
+    ).filter("action = 'add' or seq % 20 = 0")
+    _, persons, _, change = C.apply_sample_changes(commands, c.persons, c.samples, c.clusters, THR, DIM)
+    return persons.select(
+        F.col("name"), F.col("sample_count").cast("long").alias("sample_count"), "example_sample_id",
+        flat_vector(F.col("centroid"), 6).alias("centroid"),
+    )

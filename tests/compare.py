@@ -32,7 +32,7 @@ def _plain(value):
     if isinstance(value, bool):
         return value
     if isinstance(value, float) or type(value).__name__ == "Decimal":
-        return round(float(value), 6) + 0.0
+        return round(float(value), 9) + 0.0
     return value
 
 
