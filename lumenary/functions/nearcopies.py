@@ -1,0 +1,189 @@
+"""Best qualifying partner inside blocks of possible copies, one matrix product per block pair."""
+
+from __future__ import annotations
+
+from collections import Counter
+from collections.abc import Iterable
+from difflib import SequenceMatcher
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+
+from lumenary.functions.vector import dense, unit_rows
+
+# Gates of a near copy.
+NAME_ALIKE, CAPTION_ALIKE = 0.94, 0.88
+
+
+def _hash_words(hashes: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes as numbers, and which of them are readable."""
+    words, ok = [], []
+    for text in hashes:
+        try:
+            words.append(int(text, 16))
+            ok.append(True)
+        except (TypeError, ValueError):
+            words.append(0)
+            ok.append(False)
+    return np.array(words, dtype=np.uint64), np.array(ok, dtype=bool)
+
+
+def _hash_similarity(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+    aw, ao = _hash_words(a["phash"])
+    bw, bo = _hash_words(b["phash"])
+    width = np.maximum.outer(*(np.array([len(x or "") for x in side["phash"]]) * 4 for side in (a, b)))
+    apart = np.bitwise_count(aw[:, None] ^ bw[None, :])
+    score = 1.0 - np.divide(apart, width, out=np.ones(apart.shape), where=width > 0)
+    return np.where(ao[:, None] & bo[None, :], np.maximum(score, 0.0), 0.0)
+
+
+def _length_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    top = np.maximum.outer(a, b)
+    score = 1.0 - np.divide(np.abs(np.subtract.outer(a, b)), top, out=np.ones(top.shape), where=top > 0)
+    return np.where((a > 0)[:, None] & (b > 0)[None, :], np.maximum(score, 0.0), 0.0)
+
+
+def _vectors(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows of the block's most common length, and the lengths."""
+    values = pa.array(column, type=pa.list_(pa.float64()))
+    lengths = np.array([0 if v is None else len(v) for v in column])
+    return values, lengths
+
+
+def _cosines(a: pd.Series, b: pd.Series) -> np.ndarray:
+    av, al = _vectors(a)
+    bv, bl = _vectors(b)
+    out = np.zeros((len(a), len(b)))
+    for dim in set(al[al > 0]) & set(bl[bl > 0]):
+        out += unit_rows(dense(av, int(dim))[0]) @ unit_rows(dense(bv, int(dim))[0]).T
+    return out
+
+
+def photo_gates(a: pd.DataFrame, b: pd.DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs that qualify outright, pairs that qualify if their other key is alike)."""
+    vec, hashed = _cosines(a["vector"], b["vector"]), _hash_similarity(a, b)
+    semantic = (vec >= 0.96) | ((vec >= 0.92) & (hashed >= 0.84))
+    if kind == "name":
+        return semantic | (vec >= 0.86) | (hashed >= 0.9), np.ones(vec.shape, dtype=bool)
+    return semantic | (vec >= 0.9), np.ones(vec.shape, dtype=bool)
+
+
+def video_gates(a: pd.DataFrame, b: pd.DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    vec = _cosines(a["vector"], b["vector"])
+    length = _length_similarity(a["duration"].to_numpy(float), b["duration"].to_numpy(float))
+    semantic = (vec >= 0.95) & (length >= 0.97)
+    named = (length >= 0.98) | ((vec >= 0.88) & (length >= 0.94))
+    if kind == "name":
+        return semantic | named, np.zeros(vec.shape, dtype=bool)
+    return semantic | ((vec >= 0.9) & (length >= 0.94)), named
+
+
+GATES = {"photo": photo_gates, "video": video_gates}
+
+
+class _Alike:
+    """Exact text-ratio test with two cheap bounds in front, remembered per pair of texts.
+
+    A ratio r of two texts with T characters in all leaves at most (1-r)T unmatched characters. So
+    the shared characters reach rT/2, and since an unmatched character breaks at most two letter
+    pairs, the shared letter pairs reach max(len)-1-2(1-r)T.
+    """
+
+    def __init__(self, floor: float) -> None:
+        self.floor = floor
+        self.known: dict[tuple[str, str], bool] = {}
+        self.letters: dict[str, tuple[Counter, Counter]] = {}
+
+    def _counts(self, text: str) -> tuple[Counter, Counter]:
+        if text not in self.letters:
+            self.letters[text] = Counter(text), Counter(a + b for a, b in zip(text, text[1:]))
+        return self.letters[text]
+
+    def __call__(self, a: str, b: str) -> bool:
+        if not a or not b:
+            return False
+        if a == b:
+            return True
+        if (a, b) not in self.known:
+            self.known[a, b] = self._test(a, b)
+        return self.known[a, b]
+
+    def _test(self, a: str, b: str) -> bool:
+        total = len(a) + len(b)
+        if 2 * min(len(a), len(b)) < self.floor * total:
+            return False
+        (la, pa_), (lb, pb) = self._counts(a), self._counts(b)
+        if 2 * (la & lb).total() < self.floor * total:
+            return False
+        if (pa_ & pb).total() < max(len(a), len(b)) - 1 - 2 * (1 - self.floor) * total:
+            return False
+        return SequenceMatcher(a=a, b=b).ratio() >= self.floor
+
+
+def _letter_counts(texts: list[str]) -> np.ndarray:
+    alphabet = {ch: i for i, ch in enumerate(sorted(set("".join(texts))))}
+    out = np.zeros((len(texts), max(1, len(alphabet))), dtype=np.int16)
+    for row, text in enumerate(texts):
+        for ch, n in Counter(text).items():
+            out[row, alphabet[ch]] = n
+    return out
+
+
+def _may_be_alike(a: list[str], b: list[str], floor: float) -> np.ndarray:
+    """Pairs of texts whose lengths and letters leave the ratio open."""
+    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    counts = _letter_counts([*a, *b])
+    ca, cb = counts[: len(a)], counts[len(a) :]
+    total = np.add.outer(la, lb)
+    open_ = (2 * np.minimum.outer(la, lb) >= floor * total) & (la > 0)[:, None] & (lb > 0)[None, :]
+    shared = np.zeros(total.shape, dtype=np.int32)
+    for letter in range(counts.shape[1]):
+        if ca[:, letter].any() and cb[:, letter].any():
+            shared += np.minimum.outer(ca[:, letter], cb[:, letter])
+    return open_ & (2 * shared >= floor * total)
+
+
+def _best_in(a: pd.DataFrame, b: pd.DataFrame, media: str, kind: str, alike: _Alike) -> np.ndarray:
+    """For each row of a the position in b (sorted best first) of its first qualifying row, or -1."""
+    outright, conditional = GATES[media](a, b, kind)
+    if kind == "caption":
+        same = a["name_key"].to_numpy()[:, None] == b["name_key"].to_numpy()[None, :]
+        same &= (a["name_key"] != "").to_numpy()[:, None]
+        outright = outright | (same & conditional)
+    place = np.where(outright.any(axis=1), outright.argmax(axis=1), len(b))
+    if conditional.any():
+        column = "caption_key" if kind == "name" else "name_key"
+        left, left_at = np.unique(a[column].to_numpy(dtype=object), return_inverse=True)
+        right, right_at = np.unique(b[column].to_numpy(dtype=object), return_inverse=True)
+        maybe = _may_be_alike(list(left), list(right), alike.floor)[np.ix_(left_at, right_at)] & conditional
+        maybe &= np.arange(len(b))[None, :] < place[:, None]
+        rows, cols = np.nonzero(maybe)
+        for row, col in zip(rows, cols):  # best first within a row
+            if col < place[row] and alike(left[left_at[row]], right[right_at[col]]):
+                place[row] = col
+    return np.where(place < len(b), place, -1)
+
+
+def best_partners(pdf: pd.DataFrame, media: str) -> pd.DataFrame:
+    """(block, profile, better): best representative each profile qualifies with, itself included.
+
+    pdf holds one or many blocks: block, kind, profile, rank columns q1..q5, id and the features.
+    """
+    found = []
+    quality = ["q1", "q2", "q3", "q4", "id"]
+    alike = {"name": _Alike(CAPTION_ALIKE), "caption": _Alike(NAME_ALIKE)}
+    for (block, kind), rows in pdf.groupby(["block", "kind"], sort=False):
+        rows = rows.sort_values(quality, ascending=False, kind="stable").reset_index(drop=True)
+        for start in range(0, len(rows), 256):
+            part = rows.iloc[start : start + 256].reset_index(drop=True)
+            at = _best_in(part, rows, media, kind, alike[kind])
+            hit = at >= 0
+            found.append(
+                pd.DataFrame(
+                    {"block": block, "profile": part["profile"][hit].to_numpy(), "better": rows["id"].to_numpy()[at[hit]]}
+                )
+            )
+    if not found:
+        return pd.DataFrame({"block": [], "profile": [], "better": []})
+    return pd.concat(found)

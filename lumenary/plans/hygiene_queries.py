@@ -1 +1,166 @@
+"""Clean-up queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lumenary.operators import hygiene as H
+from lumenary.plans.catalog import Catalog
+from lumenary.plans.registry import query
+from lumenary.plans.text_queries import CAPTION_KEY_SQL, NAME_KEY_SQL
+
+LIMIT = 80
+
+
+def _first_hint(hints) -> str:
+    whens = " ".join(f"WHEN contains(paths,'{h}') THEN '{h}'" for h in hints)
+    return f"CASE {whens} END"
+
+
+def _paths(media: str) -> str:
+    return f"(SELECT *, lower(original_path||' '||storage_path) AS paths, width*height AS px, width||'x'||height AS size FROM {media})"
+
+
+def _tail(limit: int) -> str:
+    return f" ORDER BY created_at DESC, id DESC LIMIT {limit}"
+
+
+_THUMB = f"""SELECT id, round(least(score,0.99),6) AS score, reason FROM (SELECT id, created_at,
+ CASE WHEN hint IS NOT NULL THEN 0.62::DOUBLE ELSE 0 END + CASE WHEN width<=480 OR height<=480 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN px<=200000 THEN 0.16::DOUBLE ELSE 0 END
+ + CASE WHEN source_kind IN ('wechat_folder','qq_folder') THEN 0.04::DOUBLE ELSE 0 END AS score,
+ concat_ws('；', CASE WHEN hint IS NOT NULL THEN '路径或文件名包含 '||hint||' 缩略图特征' END, CASE WHEN width<=480 OR height<=480 THEN '分辨率仅 '||size END,
+ CASE WHEN px<=200000 THEN '总像素明显偏小' END, CASE WHEN source_kind IN ('wechat_folder','qq_folder') THEN '来自聊天同步目录' END) AS reason
+ FROM (SELECT *, {_first_hint(H.THUMB_HINTS)} AS hint FROM {_paths('photos')})) WHERE score>=0.66::DOUBLE"""
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select("id", F.round("score", 6).alias("score"), "reason")
+
+
+@query("k1_thumbnail_candidates", "photos", _THUMB + _tail(LIMIT))
+def thumbnails(c: Catalog) -> DataFrame:
+    return _shown(H.thumbnail_candidates(c.photos, LIMIT))
+
+
+@query("k1_thumbnail_candidates_all", "photos", _THUMB)
+def all_thumbnails(c: Catalog) -> DataFrame:
+    return _shown(H.thumbnail_candidates(c.photos, None))
+
+
+_LOW = """SELECT id, CASE WHEN width<=640 OR height<=640 OR px<=300000 THEN 0.96::DOUBLE ELSE 0.76::DOUBLE END AS score,
+ CASE WHEN width<=640 OR height<=640 OR px<=300000 THEN '分辨率过低，仅 ' ELSE '分辨率偏低，为 ' END||size AS reason FROM {0}
+ WHERE width<=640 OR height<=640 OR px<=300000 OR width<1280 OR height<720"""
+
+
+@query("k2_low_res_images", "photos", _LOW.format(_paths("photos")) + _tail(LIMIT))
+def low_images(c: Catalog) -> DataFrame:
+    return _shown(H.low_res_images(c.photos, LIMIT))
+
+
+_JUNK = f"""SELECT id, round(least(score,0.99),6) AS score, reason FROM (SELECT id, created_at, 0.2::DOUBLE + 0.0::DOUBLE + CASE WHEN hint IS NOT NULL THEN 0.34::DOUBLE ELSE 0 END
+ + CASE WHEN width<=720 OR height<=720 THEN 0.16::DOUBLE ELSE 0 END + CASE WHEN px<=250000 THEN 0.12::DOUBLE ELSE 0 END + CASE WHEN face_count=0 THEN 0.08::DOUBLE ELSE 0 END
+ + CASE WHEN blank THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN len(people)+len(scene_tags)+len(object_tags)=0 THEN 0.1::DOUBLE ELSE 0 END AS score,
+ concat_ws('；', '来自微信 / QQ 同步目录', CASE WHEN hint IS NOT NULL THEN '路径或文件名包含 '||hint||' 缓存 / 缩略图特征' END, CASE WHEN width<=720 OR height<=720 THEN '分辨率较小，仅 '||size END,
+ CASE WHEN px<=250000 THEN '总像素较小' END, CASE WHEN face_count=0 THEN '未检测到人物' END, CASE WHEN blank THEN '没有可保留的 OCR 文本' END,
+ CASE WHEN len(people)+len(scene_tags)+len(object_tags)=0 THEN 'AI 内容信号较弱' END) AS reason
+ FROM (SELECT *, coalesce(trim(ocr_text),'')='' AS blank, {_first_hint(H.JUNK_HINTS)} AS hint FROM {_paths('photos')} WHERE source_kind IN ('wechat_folder','qq_folder'))) WHERE score>=0.7::DOUBLE"""
+
+
+@query("k3_junk_images", "photos", _JUNK + _tail(LIMIT))
+def junk(c: Catalog) -> DataFrame:
+    return _shown(H.junk_images(c.photos, LIMIT))
+
+
+_SIZED_VIDEOS = "(SELECT *, frame_width AS width, frame_height AS height, frame_width*frame_height AS px, frame_width||'x'||frame_height AS size FROM videos)"
+
+
+@query(
+    "k4_low_res_videos", "videos",
+    f"""SELECT id, CASE WHEN width<=640 OR height<=360 THEN 0.96::DOUBLE ELSE 0.8::DOUBLE END AS score,
+ CASE WHEN width<=640 OR height<=360 THEN '视频分辨率过低，仅 ' ELSE '视频分辨率偏低，为 ' END||size AS reason FROM {_SIZED_VIDEOS}
+ WHERE width<=640 OR height<=360 OR width<960 OR height<540""" + _tail(LIMIT),
+)
+def low_videos(c: Catalog) -> DataFrame:
+    return _shown(H.low_res_videos(c.videos, LIMIT))
+
+
+_Q = {
+    "photo": "struct_pack(a:=px, b:=face_count, c:=CASE WHEN coalesce(trim(ocr_text),'')='' THEN 0 ELSE 1 END, d:=coalesce(taken_at,created_at), e:=id)",
+    "video": "struct_pack(a:=px, b:=duration_seconds, c:=sampled_frame_count, d:=coalesce(taken_at,created_at), e:=id)",
+}
+_ROWS = {"photo": _paths("photos"), "video": _SIZED_VIDEOS}
+
+
+def _exact_sql(kind: str) -> str:
+    return f"""SELECT id, keeper, 0.99::DOUBLE AS score, '与保留项二进制完全一致（SHA256 相同）；建议保留更优版本 '||best AS reason FROM (
+ SELECT id, first_value(id) OVER w AS keeper, first_value(size) OVER w AS best, row_number() OVER w AS r FROM {_ROWS[kind]} WINDOW w AS (PARTITION BY sha256 ORDER BY {_Q[kind]} DESC)) WHERE r>1"""
+
+
+def _media(c: Catalog, kind: str) -> DataFrame:
+    return c.photos_with_vector if kind == "photo" else c.videos_with_vector
+
+
+def _blocks_sql(kind: str) -> str:
+    caption = "caption_key" if kind == "photo" else "caption_key||':'||CAST(round_even(duration_seconds*10,0) AS BIGINT)"
+    return f"""SELECT kind, block, id FROM (SELECT *, count(*) OVER (PARTITION BY kind, block) AS n, row_number() OVER (PARTITION BY kind, block ORDER BY q DESC) AS r FROM (
+ SELECT 'name' AS kind, k.name_key AS block, id, {_Q[kind]} AS q FROM {_ROWS[kind]} m JOIN nk k USING (id) WHERE k.name_key<>''
+ UNION ALL SELECT 'caption', {caption}, id, {_Q[kind]} FROM {_ROWS[kind]} m JOIN ck k USING (id) WHERE k.caption_key<>'')) WHERE n>1 AND (kind='name' OR r<=40)"""
+
+
+def _register(kind: str) -> None:
+    media = f"{kind}s"
+    keys = {
+        "nk": (media, NAME_KEY_SQL + f"{media})))"),
+        "ck": (media, CAPTION_KEY_SQL.format(media)),
+    }
+
+    def prepared(c: Catalog) -> DataFrame:
+        return H.prepare(_media(c, kind), kind)
+
+    @query(f"k6_exact_duplicates_{media}", media, _exact_sql(kind))
+    def exact(c: Catalog) -> DataFrame:
+        return H.exact_duplicates(prepared(c))
+
+    @query(f"k7_duplicate_blocks_{media}", f"{media} nk ck", _blocks_sql(kind), keys)
+    def blocks(c: Catalog) -> DataFrame:
+        return H.duplicate_blocks(prepared(c), kind).select("kind", "block", "id")
+
+    number = 8 if kind == "photo" else 9
+
+    @query(f"k{number}_score_{kind}_pairs")
+    def pairs(c: Catalog) -> DataFrame:
+        rows = prepared(c)
+        found = H.first_better(H.duplicate_blocks(rows, kind), kind)
+        scorer = H.score_photo_pairs if kind == "photo" else H.score_video_pairs
+        return scorer(H.with_features(found, rows)).select("kind", "a_id", "b_id", "score", "reason")
+
+    @query(f"k10_duplicate_candidates_{media}")
+    def candidates(c: Catalog) -> DataFrame:
+        return H.duplicate_candidates(_media(c, kind), kind, None).select("id", "score", "reason")
+
+
+for _kind in ("photo", "video"):
+    _register(_kind)
+
+
+@query("k11_cleanup_report")
+def report(c: Catalog) -> DataFrame:
+    return H.cleanup_report(c.photos_with_vector, c.videos_with_vector)
+
+
+_SIMPLE = [
+    ("thumbnail_images", "photos", _THUMB), ("low_resolution_images", "photos", _LOW.format(_paths("photos"))),
+    ("junk_transfer_images", "photos", _JUNK),
+]
+
+
+@query(
+    "k11_cleanup_report_simple", "photos",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS category, row_number() OVER (ORDER BY p.created_at DESC, id DESC) AS rank, id, k.score, k.reason, count(*) OVER () AS total FROM ({sql}{_tail(30)}) k JOIN photos p USING (id)"
+        for name, _, sql in _SIMPLE
+    ),
+)
+def simple_report(c: Catalog) -> DataFrame:
+    return H.cleanup_report(c.photos, c.videos, [n for n, _, _ in _SIMPLE], 30)

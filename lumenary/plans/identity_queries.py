@@ -31,14 +31,17 @@ def assign(c: Catalog) -> DataFrame:
     return assigned(c)
 
 
-# connected components by recursion are cheap only on the few hundred vectors of the check data
 _LINKS = {
     "lonely": ("faces face_cluster", "SELECT face_id, embedding FROM faces WHERE face_id NOT IN (SELECT face_id FROM face_cluster)"),
     "linked": ("lonely", "SELECT a.face_id AS a, b.face_id AS b FROM lonely a, lonely b WHERE a.face_id<>b.face_id AND round(list_cosine_similarity(a.embedding,b.embedding),6)>=0.30"),
 }
 
 
-@query("c2_form_clusters")
+_FORMED = """SELECT l.face_id, least(l.face_id, coalesce(r.root, l.face_id)) AS root, 'face-'||substr(sha1(CAST(least(l.face_id, coalesce(r.root, l.face_id)) AS VARCHAR)),1,8) AS label
+ FROM lonely l LEFT JOIN (WITH RECURSIVE reach AS (SELECT a, b FROM linked UNION SELECT r.a, k.b FROM reach r JOIN linked k ON k.a=r.b) SELECT a, min(b) AS root FROM reach GROUP BY a) r ON r.a=l.face_id"""
+
+
+@query("c2_form_clusters", "lonely linked", _FORMED, _LINKS)
 def form(c: Catalog) -> DataFrame:
     lonely = c.faces.join(assigned(c).select("face_id"), "face_id", "left_anti")
     return I.form_clusters(lonely, THR, DIM)

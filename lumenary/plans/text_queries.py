@@ -41,27 +41,29 @@ def normalize(c: Catalog) -> DataFrame:
     return c.table("conversations").select("conv_id", "turn", X.normalize_name(raw).alias("name_key"))
 
 
-_NAME_KEY = f"""SELECT id, array_to_string((CASE WHEN len(named)>0 THEN named ELSE uncopied END)[1:6],' ') AS name_key FROM (
+NAME_KEY_SQL = f"""SELECT id, array_to_string((CASE WHEN len(named)>0 THEN named ELSE uncopied END)[1:6],' ') AS name_key FROM (
  SELECT id, uncopied, list_filter(uncopied, lambda t: NOT list_contains({_GENERIC.replace('(', '[').replace(')', ']')}, t)) AS named FROM (
  SELECT id, list_filter(toks[1:greatest(1, list_max(list_concat([1], list_transform(range(1,len(toks)+1), lambda i: CASE WHEN regexp_matches(toks[i],'^[0-9]+$') OR regexp_matches(toks[i],'{_COPY}') THEN 1 ELSE i END))))],
  lambda t: NOT regexp_matches(t,'{_COPY}')) AS uncopied FROM (
  SELECT id, regexp_extract_all(regexp_replace(lower(regexp_replace(regexp_replace(original_path,'^.*/',''),'^(.+)\\.[^.]+$','\\1')),'[_\\-\\(\\)\\[\\]{{}}]+',' ','g'),'[a-zA-Z0-9_]+') AS toks FROM """
 
 
-@query("t4_media_name_key_photos", "photos", _NAME_KEY + "photos)))")
+@query("t4_media_name_key_photos", "photos", NAME_KEY_SQL + "photos)))")
 def photo_name_key(c: Catalog) -> DataFrame:
     return c.photos.select("id", X.media_name_key(F.col("original_path")).alias("name_key"))
 
 
-@query("t4_media_name_key_videos", "videos", _NAME_KEY + "videos)))")
+@query("t4_media_name_key_videos", "videos", NAME_KEY_SQL + "videos)))")
 def video_name_key(c: Catalog) -> DataFrame:
     return c.videos.select("id", X.media_name_key(F.col("original_path")).alias("name_key"))
 
 
-@query(
-    "t5_caption_key", "photos",
-    f"SELECT id, array_to_string(list_filter({TOKENS.format('caption')}, lambda t: NOT regexp_matches(t,'^[0-9]+$') AND t NOT IN {_GENERIC} AND length(t)>1)[1:6],' ') AS caption_key FROM photos",
+CAPTION_KEY_SQL = (
+    f"SELECT id, array_to_string(list_filter({TOKENS.format('caption')}, lambda t: NOT regexp_matches(t,'^[0-9]+$') AND t NOT IN {_GENERIC} AND length(t)>1)[1:6],' ') AS caption_key FROM {{0}}"
 )
+
+
+@query("t5_caption_key", "photos", CAPTION_KEY_SQL.format("photos"))
 def caption_key(c: Catalog) -> DataFrame:
     return c.photos.select("id", X.caption_key(F.col("caption")).alias("caption_key"))
 
