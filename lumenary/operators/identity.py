@@ -376,12 +376,14 @@ def _ordered_distinct(df: DataFrame, key: str, value: str, place: str, out: str)
 
 
 def summarise_faces(
-    faces: DataFrame, assigned: DataFrame, matches: DataFrame, clusters: DataFrame, persons: DataFrame
+    faces: DataFrame, assigned: DataFrame, matches: DataFrame, clusters: DataFrame, persons: DataFrame,
+    voted: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Per media: labels, names and face count; and the owner/name change of each matched cluster.
 
-    faces: face_id, media_id, seq; assigned: face_id, label; matches: face_id, person_id. All faces
-    see the same snapshot of the clusters; the last matched face of a cluster decides its owner.
+    faces: face_id, media_id, seq; assigned: face_id, label; matches: face_id, person_id; voted (a
+    further name said after the others of a face): media_id, seq, name. All faces see the same
+    snapshot of the clusters; the last matched face of a cluster decides its owner.
     """
     found = persons.select(F.col("id").alias("person_id"), F.col("name").alias("match_name"), "normalized_name")
     rows = (
@@ -402,11 +404,13 @@ def summarise_faces(
         "media_id",
         F.explode(
             F.array(
-                F.struct((F.col("seq") * 2).alias("place"), F.col("shown").alias("name")),
-                F.struct((F.col("seq") * 2 + 1).alias("place"), F.col("match_name").alias("name")),
+                F.struct((F.col("seq") * 3).alias("place"), F.col("shown").alias("name")),
+                F.struct((F.col("seq") * 3 + 1).alias("place"), F.col("match_name").alias("name")),
             )
         ).alias("e"),
     ).select("media_id", "e.place", "e.name")
+    if voted is not None:
+        spoken = spoken.unionByName(voted.select("media_id", (F.col("seq") * 3 + 2).alias("place"), "name"))
     names = _ordered_distinct(spoken, "media_id", "name", "place", "names")
     media = (
         counts.join(labels, "media_id", "left")
