@@ -108,7 +108,7 @@ def upsert_persons(persons: DataFrame, names: DataFrame) -> DataFrame:
     asked = names.select("seq", strip(F.col("name")).alias("name"), normalize_name(F.col("name")).alias("normalized_name"))
     fresh = asked.join(persons.select("normalized_name"), "normalized_name", "left_anti")
     return fresh.groupBy("normalized_name").agg(F.min_by("name", "seq").alias("name")).select(
-        F.abs(F.shiftright(F.xxhash64("normalized_name"), 1)).alias("id"), "name", "normalized_name"
+        F.shiftrightunsigned(F.xxhash64("normalized_name"), 1).alias("id"), "name", "normalized_name"
     )
 
 

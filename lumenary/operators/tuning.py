@@ -53,8 +53,7 @@ def person_scores(
     top = I.top_two(ranked, "label")
     score, second = F.coalesce("score", F.lit(0.0)), F.coalesce("second", F.lit(0.0))
     rows = clusters.select("label").join(top, "label", "left")
-    if_any = F.col("n") > 0
-    return rows.crossJoin(F.broadcast(persons.agg(F.count(F.lit(1)).alias("n")))).filter(if_any).select(
+    return rows.filter(persons.agg(F.count(F.lit(1)).alias("n")).scalar() > 0).select(
         "label", F.col("person_id").alias("best_person_id"), score.alias("score"), second.alias("second_score"),
         F.round(score - second, 6).alias("margin"),
     )
