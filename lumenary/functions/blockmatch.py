@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenary.functions.vector import dense, unit_rows
+from lumenary.session import spread_groups
 
 BROADCAST_ROWS = 20_000
 BLOCK_ROWS = 8_192
@@ -64,6 +65,7 @@ def pair_blocks(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     b = right.withColumn("rb", F.pmod(F.xxhash64(right_key), right_blocks)).withColumn("lb", every(left_blocks))
     b = b.withColumn("lb", F.col("lb").cast("long"))
     a = a.withColumn("rb", F.col("rb").cast("long"))
+    a, b = spread_groups(a, "lb", "rb"), spread_groups(b, "lb", "rb")
     return a.groupBy("lb", "rb").cogroup(b.groupBy("lb", "rb"))
 
 
@@ -225,7 +227,7 @@ def forest_edges(side: Side, *, dim: int, floor: float, block_rows: int = BLOCK_
         moved = root_of != keys
         return pd.DataFrame({"a": keys[moved], "b": root_of[moved]})
 
-    return spread.groupBy("lo", "hi").applyInPandas(stars, f"a {ktype}, b {ktype}")
+    return spread_groups(spread, "lo", "hi").groupBy("lo", "hi").applyInPandas(stars, f"a {ktype}, b {ktype}")
 
 
 def _forest(rows: np.ndarray, cols: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -168,22 +168,33 @@ def _best_in(a: pd.DataFrame, b: pd.DataFrame, media: str, kind: str, alike: _Al
 def best_partners(pdf: pd.DataFrame, media: str) -> pd.DataFrame:
     """(block, profile, better): best representative each profile qualifies with, itself included.
 
-    pdf holds one or many blocks: block, kind, profile, rank columns q1..q5, id and the features.
+    pdf holds one or many blocks: block, kind, profile, home (chunk), quality columns and the
+    features. Of a pair of chunks only the cross comparisons are made; each chunk meets itself in a
+    task of its own.
     """
     found = []
     quality = ["q1", "q2", "q3", "q4", "id"]
     alike = {"name": _Alike(CAPTION_ALIKE), "caption": _Alike(NAME_ALIKE)}
     for (block, kind), rows in pdf.groupby(["block", "kind"], sort=False):
-        rows = rows.sort_values(quality, ascending=False, kind="stable").reset_index(drop=True)
-        for start in range(0, len(rows), 256):
-            part = rows.iloc[start : start + 256].reset_index(drop=True)
-            at = _best_in(part, rows, media, kind, alike[kind])
-            hit = at >= 0
-            found.append(
-                pd.DataFrame(
-                    {"block": block, "profile": part["profile"][hit].to_numpy(), "better": rows["id"].to_numpy()[at[hit]]}
+        rows = rows.sort_values(quality, ascending=False, kind="stable")
+        chunks = [part.reset_index(drop=True) for _, part in rows.groupby("home", sort=False)]
+        if len(chunks) == 2:
+            sides = [(chunks[0], chunks[1]), (chunks[1], chunks[0])]
+        else:
+            sides = [(chunks[0], chunks[0])]
+        for left, right in sides:
+            for start in range(0, len(left), 256):
+                part = left.iloc[start : start + 256].reset_index(drop=True)
+                at = _best_in(part, right, media, kind, alike[kind])
+                hit = at >= 0
+                found.append(
+                    pd.DataFrame(
+                        {
+                            "block": block, "profile": part["profile"][hit].to_numpy(),
+                            "better": right["id"].to_numpy()[at[hit]],
+                        }
+                    )
                 )
-            )
     if not found:
         return pd.DataFrame({"block": [], "profile": [], "better": []})
     return pd.concat(found)

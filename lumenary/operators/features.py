@@ -37,14 +37,17 @@ def media_text_vector(path: str = "storage_path", people: str = "people") -> Col
 
 
 def photo_vectors(photos: DataFrame, image_features: DataFrame | None = None, people: str = "people") -> DataFrame:
-    """Adds `vector`: hashed text and image features, as one unit vector. image_features: id, features."""
-    rows = photos.drop("vector")
+    """(id, vector): hashed text and image features as one unit vector. image_features: id, features.
+
+    Text is reduced to its vector where it is read, so the join moves vectors only.
+    """
+    rows = photos.select("id", media_text_vector(people=people).alias("_text"))
     if image_features is None:
         image = zeros(IMAGE_DIM)
     else:
         rows = rows.join(image_features.select("id", "features"), "id", "left")
         image = F.coalesce(as_doubles(F.col("features")), zeros(IMAGE_DIM))
-    return rows.withColumn("vector", l2_normalize(F.concat(media_text_vector(people=people), image))).drop("features")
+    return rows.select("id", l2_normalize(F.concat("_text", image)).alias("vector"))
 
 
 def refreshed_vector(people: str, path: str = "storage_path", stored: str = "vector", text_dim: int = X.TEXT_DIM) -> Column:
@@ -73,14 +76,14 @@ def _joined(rows: DataFrame, other: DataFrame, column: str, dim: int) -> DataFra
 
 
 def video_vectors(videos: DataFrame, pooled: DataFrame, text_vectors: DataFrame, dim: int = DEEP_DIM) -> DataFrame:
-    """Adds `vector`: hashed text next to the mix of pooled frames and encoded text.
+    """(id, vector): hashed text next to the mix of pooled frames and encoded text.
 
     pooled: id, pooled; text_vectors: id, encoded.
     """
-    rows = _joined(_joined(videos.drop("vector"), pooled, "pooled", dim), text_vectors, "encoded", dim)
+    rows = videos.select("id", media_text_vector().alias("_text"))
+    rows = _joined(_joined(rows, pooled, "pooled", dim), text_vectors, "encoded", dim)
     mixed = F.zip_with("pooled", "encoded", lambda f, t: FRAME_WEIGHT * f + CAPTION_WEIGHT * t)
-    vector = l2_normalize(F.concat(media_text_vector(), l2_normalize(mixed)))
-    return rows.withColumn("vector", vector).drop("pooled", "encoded")
+    return rows.select("id", l2_normalize(F.concat("_text", l2_normalize(mixed))).alias("vector"))
 
 
 def video_query_vectors(queries: DataFrame, encoded: DataFrame, dim: int = DEEP_DIM) -> DataFrame:

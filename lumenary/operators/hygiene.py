@@ -13,6 +13,7 @@ from lumenary.functions import text as X
 from lumenary.functions.nearcopies import best_partners
 from lumenary.functions.similarity import text_similarity
 from lumenary.functions.vector import cosine, duration_similarity, no_vector, phash_similarity
+from lumenary.session import materialize, spread_groups
 
 # Path hints in reporting order, chat sources, category names, block size, pair caps.
 THUMB_HINTS = ("thumb", "thumbnail", "thumbnails", "thumbs", "preview", "cover", "small")
@@ -245,11 +246,14 @@ def first_better(blocks: DataFrame, media: str, chunk_rows: int = CHUNK_ROWS) ->
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = []
+        if pdf["chunks"].iloc[0] > 1 and pdf["lo"].iloc[0] != pdf["hi"].iloc[0] and pdf["home"].nunique() < 2:
+            return pd.DataFrame({"kind": [], "block": [], "profile": [], "better": []})
         for kind, rows in pdf.groupby("kind"):
             parts.append(best_partners(rows, media).assign(kind=kind))
         return pd.concat(parts)[["kind", "block", "profile", "better"]]
 
-    found = spread.drop("home", "other", "chunks").groupBy("pack", "lo", "hi").applyInPandas(
+    # a chunk pair that lacks one side has nothing to compare
+    found = spread_groups(spread.drop("other"), "pack", "lo", "hi").groupBy("pack", "lo", "hi").applyInPandas(
         run, f"kind string, block string, profile string, better {id_type}"
     )
     leader = led.select("kind", "block", F.col("id").alias("better"), quality_order().alias("bq"))
@@ -354,7 +358,7 @@ def duplicate_candidates(
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """(id, score, reason, width, height, created_at): copies with the best score any block gives them."""
-    prepared = prepare(media, kind)
+    prepared = materialize(prepare(media, kind), "prepared")
     pairs = first_better(duplicate_blocks(prepared, kind, caption_block), kind, chunk_rows)
     scorer = score_photo_pairs if kind == "photo" else score_video_pairs
     near = scorer(with_features(pairs, prepared)).filter("score > 0")

@@ -16,7 +16,8 @@ from lumenary.functions import text as X
 from lumenary.functions.blockmatch import Side
 from lumenary.functions.vector import IMAGE_DIM, cosines_to
 from lumenary.operators import identity as I
-from lumenary.operators.views import enrich_photos, enrich_videos
+from lumenary.operators.views import enrich_photos
+from lumenary.session import materialize
 
 # Score weights, the vector floor and the person count of a face search.
 KEYWORD_WEIGHT, VECTOR_WEIGHT = 0.55, 0.45
@@ -107,18 +108,24 @@ def facet_filter(request: SearchRequest, clusters: bool = True) -> Column:
     return keep
 
 
-def searchable_text(clusters: bool = True) -> Column:
-    parts = ["caption", "ocr_text", "people", "scene_tags", "object_tags"] + (["face_clusters"] if clusters else [])
-    cols = [F.concat_ws(" ", p) for p in [*parts, "original_path"]]
-    return F.lower(F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in cols]))
+_TEXTS = ("caption", "ocr_text", "scene_tags", "object_tags", "original_path")
 
 
-def keyword_score(text: Column, terms: Sequence[str]) -> Column:
-    """Share of the terms, counted with repeats, found anywhere in the text; 1 without terms."""
+def _mentions(columns: Sequence[str], terms: Sequence[str]) -> Column:
+    """For each term whether a column holds it; a term has no blanks, so it never spans columns."""
+    texts = [F.lower(F.concat_ws(" ", c)) for c in columns]
+    found = [reduce(lambda a, b: a | b, [F.contains(t, F.lit(term)) for t in texts]) for term in terms]
+    return F.array(*found).cast("array<boolean>")
+
+
+def keyword_score(found: Column, known: Sequence[str], terms: Sequence[str]) -> Column:
+    """Share of the terms, counted with repeats, that were found; 1 without terms.
+
+    found: booleans in the order of `known`.
+    """
     if not terms:
         return F.lit(1.0)
-    times = {t: terms.count(t) for t in dict.fromkeys(terms)}
-    hits = [F.when(F.contains(text, F.lit(t)), n).otherwise(0) for t, n in times.items()]
+    hits = [F.when(found[known.index(t)], terms.count(t)).otherwise(0) for t in dict.fromkeys(terms)]
     return reduce(lambda a, b: a + b, hits) / F.lit(float(len(terms)))
 
 
@@ -133,21 +140,38 @@ def merge_scores(mode: str, keyword: Column, vector: Column, has_query: bool) ->
     return F.when(silent, 0.0).otherwise(keyword * KEYWORD_WEIGHT + vector * VECTOR_WEIGHT)
 
 
-def _score_all(rows: DataFrame, requests: Sequence[SearchRequest], targets: np.ndarray, clusters: bool) -> DataFrame:
-    """(query_no, id, created_at, score) of every hit: one scan answers all requests."""
-    text = F.col("_text")
-    ready = rows.withColumns({"_text": searchable_text(clusters), "_cos": cosines_to(F.col("vector"), targets)})
+def _score_all(
+    media: DataFrame, clusters: DataFrame, persons: DataFrame, requests: Sequence[SearchRequest], targets: np.ndarray,
+    by_cluster: bool,
+) -> DataFrame:
+    """(query_no, id, created_at, score) of every hit: one scan answers all requests.
+
+    Texts and vectors are reduced to term flags and cosines where they are read; only those, the
+    tags and the names are shuffled to meet the names of the faces.
+    """
+    terms = list(dict.fromkeys(t for r in requests for t in r.terms))
+    texts = [*_TEXTS, "face_clusters"] if by_cluster else list(_TEXTS)
+    narrow = media.select(
+        "id", "created_at", "source_kind", "people", "scene_tags", "object_tags", "face_clusters",
+        _mentions(texts, terms).alias("_said"), cosines_to(F.col("vector"), targets).alias("_cos"),
+    )
+    rows = enrich_photos(narrow, clusters, persons)
+    named = F.zip_with("_said", _mentions(["people"], terms), lambda a, b: a | b)
+    rows = rows.withColumn("_found", named)
     scored = []
     for i, r in enumerate(requests):
         vector = F.coalesce(F.col("_cos")[i], F.lit(0.0)) if r.wants_vector else F.lit(0.0)
-        score = merge_scores(r.mode, keyword_score(text, r.terms), vector, bool(r.terms or r.wants_vector))
-        score = F.round(F.when(facet_filter(r, clusters), score), 6)
+        keyword = keyword_score(F.col("_found"), terms, r.terms)
+        score = merge_scores(r.mode, keyword, vector, bool(r.terms or r.wants_vector))
+        score = F.round(F.when(facet_filter(r, by_cluster), score), 6)
         scored.append(F.struct(F.lit(i).alias("query_no"), score.alias("score")))
-    hits = ready.select("id", "created_at", F.explode(F.array(*scored)).alias("h"))
+    hits = rows.select("id", "created_at", F.explode(F.array(*scored)).alias("h"))
     return hits.select("h.query_no", "id", "created_at", "h.score").filter("score > 0")
 
 
 def _page(hits: DataFrame, requests: Sequence[SearchRequest]) -> DataFrame:
+    # totals and pages both read the hits; texts and vectors behind them are read once
+    hits = materialize(hits, "hits")
     order = W.partitionBy("query_no").orderBy(F.desc("score"), F.desc("created_at"), F.desc("id"))
     most = max(r.limit for r in requests)
     limits = F.array(*[F.lit(r.limit) for r in requests])
@@ -163,7 +187,7 @@ def search_photos(photos: DataFrame, clusters: DataFrame, persons: DataFrame, re
     requests = _with_people(requests, persons)
     hashed = X.hash_texts([r.chunks() for r in requests])
     targets = np.hstack([hashed, np.zeros((len(requests), IMAGE_DIM))])
-    return _page(_score_all(enrich_photos(photos, clusters, persons), requests, targets, True), requests)
+    return _page(_score_all(photos, clusters, persons, requests, targets, True), requests)
 
 
 def search_videos(
@@ -173,8 +197,14 @@ def search_videos(
     requests = _with_people(requests, persons)
     hashed = X.hash_texts([r.chunks() for r in requests])
     deep = np.array([list(r.deep) or [0.0] * deep_dim for r in requests])
-    rows = enrich_videos(videos, clusters, persons)
-    return _page(_score_all(rows, requests, np.hstack([hashed, deep]), False), requests)
+    targets = np.hstack([hashed, deep])
+    return _page(_score_all(videos, clusters, persons, requests, targets, False), requests)
+
+
+def term_flags(terms: Sequence[str], by_cluster: bool = True) -> Column:
+    """Which of the terms a row mentions anywhere, people included."""
+    extra = ["people", "face_clusters"] if by_cluster else ["people"]
+    return _mentions([*_TEXTS, *extra], terms)
 
 
 def vector_search(df: DataFrame, vector: Sequence[float], k: int = 20) -> DataFrame:

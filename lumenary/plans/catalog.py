@@ -41,6 +41,17 @@ class Catalog:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def texts(self, name: str) -> DataFrame:
+        """A text table, spread over the cores when it has fewer splits than that.
+
+        Text work is heavy per row, and a small file is one split. A large table has many splits and
+        is read as it is, without the exchange.
+        """
+        df = self.table(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+        return df if splits >= cores else df.repartition(cores)
+
     @property
     def vectors(self) -> DataFrame:
         return self.table("embeddings")
@@ -67,7 +78,7 @@ class Catalog:
 
     @cached_property
     def photos(self) -> DataFrame:
-        d = self.table("documents")
+        d = self.texts("documents")
         tags = self.table("labels")
         doc = F.col("doc_id")
         kind = F.element_at(F.array(*map(F.lit, ("local_folder", "wechat_folder", "qq_folder"))), (doc % 3 + 1).cast("int"))
@@ -113,7 +124,7 @@ class Catalog:
 
     @cached_property
     def videos(self) -> DataFrame:
-        p = self.table("pages")
+        p = self.texts("pages")
         page = F.col("page_id")
         made = after_epoch(page, "MINUTE")
         base = p.select(

@@ -109,7 +109,8 @@ def facets(c: Catalog) -> DataFrame:
  SELECT id, lower(caption||' '||coalesce(ocr_text,'')||' '||array_to_string(people,' ')||' '||array_to_string(scene_tags,' ')||' '||array_to_string(object_tags,' ')||' '||array_to_string(face_clusters,' ')||' '||original_path) AS x FROM photos)""",
 )
 def keyword(c: Catalog) -> DataFrame:
-    score = S.keyword_score(S.searchable_text(), ["the", "que", "ouou", "the"])
+    known = ["the", "que", "ouou"]
+    score = S.keyword_score(S.term_flags(known), known, ["the", "que", "ouou", "the"])
     return c.photos.select("id", F.round(score, 6).alias("score"))
 
 

@@ -20,7 +20,7 @@ _COPY = "^(copy|副本)[0-9]*$"
 
 @query("t1_tokenize_text", sql=f"SELECT doc_id, {sql_piped(TOKENS.format('text'))} AS tokens FROM documents")
 def tokenize(c: Catalog) -> DataFrame:
-    return c.table("documents").select("doc_id", piped(X.tokenize(F.col("text"))).alias("tokens"))
+    return c.texts("documents").select("doc_id", piped(X.tokenize(F.col("text"))).alias("tokens"))
 
 
 @query(
@@ -28,8 +28,8 @@ def tokenize(c: Catalog) -> DataFrame:
     f"SELECT doc_id, {sql_flat('v')} AS vector FROM tv", {"tv": ("", text_vectors("documents", "doc_id", "text"))},
 )
 def text_hash(c: Catalog) -> DataFrame:
-    d = c.table("documents").withColumn("v", X.text_hash_vector(F.col("text")))
-    return d.filter(F.exists("v", lambda x: x != 0)).select("doc_id", flat_vector(F.col("v")).alias("vector"))
+    worded = c.texts("documents").filter(F.col("text").rlike("[a-zA-Z0-9_]"))
+    return worded.select("doc_id", flat_vector(X.text_hash_vector(F.col("text"))).alias("vector"))
 
 
 @query(
@@ -38,7 +38,7 @@ def text_hash(c: Catalog) -> DataFrame:
 )
 def normalize(c: Catalog) -> DataFrame:
     raw = F.concat("role", F.lit("  "), F.substring("text", 1, 30))
-    return c.table("conversations").select("conv_id", "turn", X.normalize_name(raw).alias("name_key"))
+    return c.texts("conversations").select("conv_id", "turn", X.normalize_name(raw).alias("name_key"))
 
 
 NAME_KEY_SQL = f"""SELECT id, array_to_string((CASE WHEN len(named)>0 THEN named ELSE uncopied END)[1:6],' ') AS name_key FROM (
@@ -85,7 +85,7 @@ def rule_annotations(c: Catalog) -> DataFrame:
     doc = F.col("doc_id")
     kinds = F.array(*map(F.lit, ("local_folder", "wechat_folder", "qq_folder")))
     words = F.array(*map(F.lit, ("beach", "cat", "office_dog", "Car-Sunset", "notes", "book book")))
-    files = c.table("documents").select(
+    files = c.texts("documents").select(
         doc.alias("id"),
         F.element_at(kinds, (doc % 3 + 1).cast("int")).alias("source_kind"),
         F.concat(F.lit("/in/"), F.element_at(words, (doc % 6 + 1).cast("int")), F.lit("_"), "lang", F.lit("-"), doc, F.lit(".jpg")).alias("storage_path"),
@@ -105,7 +105,7 @@ def parse_annotations(c: Catalog) -> DataFrame:
 
 def annotation_responses(c: Catalog) -> DataFrame:
     """Chat-completion payloads made of conversation turns: plain, fenced or cut short."""
-    t = c.table("conversations").withColumn("media_id", F.col("conv_id") * 100 + F.col("turn"))
+    t = c.texts("conversations").withColumn("media_id", F.col("conv_id") * 100 + F.col("turn"))
     body = F.to_json(
         F.struct(
             F.substring("text", 1, 60).alias("caption"),
@@ -131,7 +131,7 @@ def annotation_responses(c: Catalog) -> DataFrame:
 )
 def dedupe(c: Catalog) -> DataFrame:
     words = F.slice(F.split("text", " "), 1, 40)
-    out = c.table("documents").select("doc_id", X.dedupe_ci(words).alias("w"))
+    out = c.texts("documents").select("doc_id", X.dedupe_ci(words).alias("w"))
     return out.filter(F.size("w") > 0).select("doc_id", piped(F.col("w")).alias("items"))
 
 
@@ -155,7 +155,7 @@ def merge_annotations(c: Catalog) -> DataFrame:
 
 @query("t10_assemble_ocr")
 def assemble_ocr(c: Catalog) -> DataFrame:
-    lines = c.table("documents").select(
+    lines = c.texts("documents").select(
         F.col("doc_id").alias("media_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "text")
     ).withColumn("frame_idx", F.col("line_no") % 8)
     return A.assemble_frame_ocr(lines).select("media_id", F.sha2("ocr_text", 256).alias("ocr_sha256"))
@@ -169,7 +169,7 @@ def assemble_ocr(c: Catalog) -> DataFrame:
  JOIN persons p ON contains(c.q, p.normalized_name) GROUP BY ALL""",
 )
 def detect_people(c: Catalog) -> DataFrame:
-    asked = c.table("conversations").select(
+    asked = c.texts("conversations").select(
         F.struct("conv_id", "turn").alias("query_id"),
         F.concat(
             F.lit("look for person "), F.col("conv_id") % 13, F.lit(" and Person "), F.col("turn") % 10, F.lit(" "),
@@ -186,7 +186,7 @@ def detect_people(c: Catalog) -> DataFrame:
  SELECT doc_id, i, trim(ws[i], ' '||chr(9)||chr(13)) AS w FROM (SELECT doc_id, regexp_split_to_array(text,'[,\\n，]') AS ws FROM documents), range(1, (SELECT max(len(regexp_split_to_array(text,'[,\\n，]')))+1 FROM documents)) r(i) WHERE i<=len(ws)) WHERE w<>'' GROUP BY doc_id, w) GROUP BY doc_id""",
 )
 def parse_tags(c: Catalog) -> DataFrame:
-    out = c.table("documents").select("doc_id", X.parse_tags(F.col("text")).alias("t"))
+    out = c.texts("documents").select("doc_id", X.parse_tags(F.col("text")).alias("t"))
     return out.filter(F.size("t") > 0).select("doc_id", piped(F.col("t")).alias("tags"))
 
 

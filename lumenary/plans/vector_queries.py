@@ -62,7 +62,7 @@ def page_images(c: Catalog) -> DataFrame:
         F.when(readable, 16).otherwise(-1).alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"),
         data.alias("data"),
     )
-    return c.table("pages").select(F.col("page_id").alias("id"), image.alias("image"))
+    return c.texts("pages").select(F.col("page_id").alias("id"), image.alias("image"))
 
 
 @query("v4_phash_images")

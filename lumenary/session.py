@@ -52,3 +52,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write once to the shared folder and read back column by column.
+
+    For results that several branches of a plan read, so that wide text behind them is read once.
+    """
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def spread_groups(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by the group keys with the configured number of partitions.
+
+    Groups that are small in bytes but heavy in arithmetic must not be merged into few tasks, which
+    is what the size-driven coalescing would do.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *keys)
