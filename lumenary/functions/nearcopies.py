@@ -12,8 +12,14 @@ import pyarrow as pa
 
 from lumenary.functions.vector import dense, unit_rows
 
-# Gates of a near copy.
+# Text gates of a near copy, and what an equal or a similar name adds to its score.
 NAME_ALIKE, CAPTION_ALIKE = 0.94, 0.88
+SAME_NAME_BONUS = {"photo": 0.16, "video": 0.18}
+LIKE_NAME_BONUS = 0.12
+
+
+LETTER_SLOTS = 64
+STRIP_ROWS = 256
 
 
 def _hash_words(hashes: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -29,13 +35,42 @@ def _hash_words(hashes: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(words, dtype=np.uint64), np.array(ok, dtype=bool)
 
 
-def _hash_similarity(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-    aw, ao = _hash_words(a["phash"])
-    bw, bo = _hash_words(b["phash"])
-    width = np.maximum.outer(*(np.array([len(x or "") for x in side["phash"]]) * 4 for side in (a, b)))
-    apart = np.bitwise_count(aw[:, None] ^ bw[None, :])
+class _Chunk:
+    """The features of some representatives as arrays, made once and compared in strips."""
+
+    def __init__(self, rows: pd.DataFrame, kind: str) -> None:
+        self.ids, self.profiles = rows["id"].to_numpy(), rows["profile"].to_numpy()
+        lengths = np.array([0 if v is None else len(v) for v in rows["vector"]])
+        values = pa.array(rows["vector"], type=pa.list_(pa.float64()))
+        self.vectors = {int(d): unit_rows(dense(values, int(d))[0]) for d in np.unique(lengths[lengths > 0])}
+        self.words, self.readable = _hash_words(rows["phash"])
+        self.bits = np.array([len(x or "") * 4 for x in rows["phash"]])
+        self.duration = rows["duration"].to_numpy(float)
+        self.names = rows["name_key"].to_numpy(dtype=object)
+        texts = rows["caption_key" if kind == "name" else "name_key"].to_numpy(dtype=object)
+        self.texts, self.text_at = np.unique(texts, return_inverse=True)
+        self.lengths = np.array([len(t) for t in self.texts])
+        # characters share slots, so the shared count can only come out higher than it is
+        self.letters = np.zeros((len(self.texts), LETTER_SLOTS), dtype=np.int16)
+        for row, text in enumerate(self.texts):
+            np.add.at(self.letters[row], [ord(ch) % LETTER_SLOTS for ch in text], 1)
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+
+def _cosines(a: _Chunk, b: _Chunk, strip: slice) -> np.ndarray:
+    out = np.zeros((len(a.ids[strip]), len(b)))
+    for dim in a.vectors.keys() & b.vectors.keys():
+        out += a.vectors[dim][strip] @ b.vectors[dim].T
+    return out
+
+
+def _hash_similarity(a: _Chunk, b: _Chunk, strip: slice) -> np.ndarray:
+    width = np.maximum.outer(a.bits[strip], b.bits)
+    apart = np.bitwise_count(a.words[strip][:, None] ^ b.words[None, :])
     score = 1.0 - np.divide(apart, width, out=np.ones(apart.shape), where=width > 0)
-    return np.where(ao[:, None] & bo[None, :], np.maximum(score, 0.0), 0.0)
+    return np.where(a.readable[strip][:, None] & b.readable[None, :], np.maximum(score, 0.0), 0.0)
 
 
 def _length_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -44,39 +79,23 @@ def _length_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where((a > 0)[:, None] & (b > 0)[None, :], np.maximum(score, 0.0), 0.0)
 
 
-def _vectors(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Unit rows of the block's most common length, and the lengths."""
-    values = pa.array(column, type=pa.list_(pa.float64()))
-    lengths = np.array([0 if v is None else len(v) for v in column])
-    return values, lengths
-
-
-def _cosines(a: pd.Series, b: pd.Series) -> np.ndarray:
-    av, al = _vectors(a)
-    bv, bl = _vectors(b)
-    out = np.zeros((len(a), len(b)))
-    for dim in set(al[al > 0]) & set(bl[bl > 0]):
-        out += unit_rows(dense(av, int(dim))[0]) @ unit_rows(dense(bv, int(dim))[0]).T
-    return out
-
-
-def photo_gates(a: pd.DataFrame, b: pd.DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs that qualify outright, pairs that qualify if their other key is alike)."""
-    vec, hashed = _cosines(a["vector"], b["vector"]), _hash_similarity(a, b)
+def photo_gates(a: _Chunk, b: _Chunk, strip: slice, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs that qualify outright, pairs that qualify if their other key is alike, score without bonus)."""
+    vec, hashed = _cosines(a, b, strip), _hash_similarity(a, b, strip)
     semantic = (vec >= 0.96) | ((vec >= 0.92) & (hashed >= 0.84))
-    if kind == "name":
-        return semantic | (vec >= 0.86) | (hashed >= 0.9), np.ones(vec.shape, dtype=bool)
-    return semantic | (vec >= 0.9), np.ones(vec.shape, dtype=bool)
+    outright = semantic | (vec >= 0.86) | (hashed >= 0.9) if kind == "name" else semantic | (vec >= 0.9)
+    return outright, np.ones(vec.shape, dtype=bool), np.minimum(vec, 1.0) * 0.48 + hashed * 0.28
 
 
-def video_gates(a: pd.DataFrame, b: pd.DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    vec = _cosines(a["vector"], b["vector"])
-    length = _length_similarity(a["duration"].to_numpy(float), b["duration"].to_numpy(float))
+def video_gates(a: _Chunk, b: _Chunk, strip: slice, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    vec = _cosines(a, b, strip)
+    length = _length_similarity(a.duration[strip], b.duration)
     semantic = (vec >= 0.95) & (length >= 0.97)
     named = (length >= 0.98) | ((vec >= 0.88) & (length >= 0.94))
+    score = np.minimum(vec, 1.0) * 0.42 + length * 0.28
     if kind == "name":
-        return semantic | named, np.zeros(vec.shape, dtype=bool)
-    return semantic | ((vec >= 0.9) & (length >= 0.94)), named
+        return semantic | named, np.zeros(vec.shape, dtype=bool), score
+    return semantic | ((vec >= 0.9) & (length >= 0.94)), named, score
 
 
 GATES = {"photo": photo_gates, "video": video_gates}
@@ -121,46 +140,36 @@ class _Alike:
         return SequenceMatcher(a=a, b=b).ratio() >= self.floor
 
 
-def _letter_counts(texts: list[str]) -> np.ndarray:
-    alphabet = {ch: i for i, ch in enumerate(sorted(set("".join(texts))))}
-    out = np.zeros((len(texts), max(1, len(alphabet))), dtype=np.int16)
-    for row, text in enumerate(texts):
-        for ch, n in Counter(text).items():
-            out[row, alphabet[ch]] = n
-    return out
-
-
-def _may_be_alike(a: list[str], b: list[str], floor: float) -> np.ndarray:
-    """Pairs of texts whose lengths and letters leave the ratio open."""
-    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    counts = _letter_counts([*a, *b])
-    ca, cb = counts[: len(a)], counts[len(a) :]
+def _may_be_alike(a: _Chunk, b: _Chunk, strip: slice, floor: float) -> np.ndarray:
+    """Pairs whose texts could reach the ratio, judged by lengths and letters."""
+    codes, at = np.unique(a.text_at[strip], return_inverse=True)
+    la, lb, ca = a.lengths[codes], b.lengths, a.letters[codes]
     total = np.add.outer(la, lb)
     open_ = (2 * np.minimum.outer(la, lb) >= floor * total) & (la > 0)[:, None] & (lb > 0)[None, :]
-    shared = np.zeros(total.shape, dtype=np.int32)
-    for letter in range(counts.shape[1]):
-        if ca[:, letter].any() and cb[:, letter].any():
-            shared += np.minimum.outer(ca[:, letter], cb[:, letter])
-    return open_ & (2 * shared >= floor * total)
-
-
-def _best_in(a: pd.DataFrame, b: pd.DataFrame, media: str, kind: str, alike: _Alike) -> np.ndarray:
-    """For each row of a the position in b (sorted best first) of its first qualifying row, or -1."""
-    outright, conditional = GATES[media](a, b, kind)
-    if kind == "caption":
-        same = a["name_key"].to_numpy()[:, None] == b["name_key"].to_numpy()[None, :]
-        same &= (a["name_key"] != "").to_numpy()[:, None]
-        outright = outright | (same & conditional)
+    shared = np.zeros(total.shape, dtype=np.int16)
+    for slot in np.nonzero(ca.any(axis=0) & b.letters.any(axis=0))[0]:
+        shared += np.minimum.outer(ca[:, slot], b.letters[:, slot])
+    return (open_ & (2 * shared >= floor * total))[np.ix_(at, b.text_at)]
+
+
+def _best_in(a: _Chunk, b: _Chunk, strip: slice, media: str, kind: str, alike: _Alike) -> np.ndarray:
+    """For each row of the strip the position in b (best first) of its first qualifying row, or -1."""
+    outright, conditional, score = GATES[media](a, b, strip, kind)
+    # unlike vectors can push an open gate's score to zero or below, which counts as no match
+    with_name = score + SAME_NAME_BONUS[media] > 0
+    if kind == "name":
+        outright, conditional = outright & with_name, conditional & with_name
+    else:
+        same = (a.names[strip][:, None] == b.names[None, :]) & (a.names[strip] != "")[:, None]
+        outright = outright | (same & conditional & with_name)
+        conditional = conditional & (score + LIKE_NAME_BONUS > 0)
     place = np.where(outright.any(axis=1), outright.argmax(axis=1), len(b))
     if conditional.any():
-        column = "caption_key" if kind == "name" else "name_key"
-        left, left_at = np.unique(a[column].to_numpy(dtype=object), return_inverse=True)
-        right, right_at = np.unique(b[column].to_numpy(dtype=object), return_inverse=True)
-        maybe = _may_be_alike(list(left), list(right), alike.floor)[np.ix_(left_at, right_at)] & conditional
+        maybe = _may_be_alike(a, b, strip, alike.floor) & conditional
         maybe &= np.arange(len(b))[None, :] < place[:, None]
-        rows, cols = np.nonzero(maybe)
-        for row, col in zip(rows, cols):  # best first within a row
-            if col < place[row] and alike(left[left_at[row]], right[right_at[col]]):
+        left, right = a.texts[a.text_at[strip]], b.texts[b.text_at]
+        for row, col in zip(*np.nonzero(maybe)):  # best first within a row
+            if col < place[row] and alike(left[row], right[col]):
                 place[row] = col
     return np.where(place < len(b), place, -1)
 
@@ -175,26 +184,20 @@ def best_partners(pdf: pd.DataFrame, media: str) -> pd.DataFrame:
     found = []
     quality = ["q1", "q2", "q3", "q4", "id"]
     alike = {"name": _Alike(CAPTION_ALIKE), "caption": _Alike(NAME_ALIKE)}
+    pdf = pdf.sort_values(quality, ascending=False, kind="stable")
     for (block, kind), rows in pdf.groupby(["block", "kind"], sort=False):
-        rows = rows.sort_values(quality, ascending=False, kind="stable")
-        chunks = [part.reset_index(drop=True) for _, part in rows.groupby("home", sort=False)]
-        if len(chunks) == 2:
-            sides = [(chunks[0], chunks[1]), (chunks[1], chunks[0])]
-        else:
-            sides = [(chunks[0], chunks[0])]
+        chunks = [_Chunk(part, kind) for _, part in rows.groupby("home", sort=False)]
+        sides = [(chunks[0], chunks[1]), (chunks[1], chunks[0])] if len(chunks) == 2 else [(chunks[0], chunks[0])]
         for left, right in sides:
-            for start in range(0, len(left), 256):
-                part = left.iloc[start : start + 256].reset_index(drop=True)
-                at = _best_in(part, right, media, kind, alike[kind])
+            for start in range(0, len(left), STRIP_ROWS):
+                strip = slice(start, start + STRIP_ROWS)
+                at = _best_in(left, right, strip, media, kind, alike[kind])
                 hit = at >= 0
-                found.append(
-                    pd.DataFrame(
-                        {
-                            "block": block, "profile": part["profile"][hit].to_numpy(),
-                            "better": right["id"].to_numpy()[at[hit]],
-                        }
-                    )
-                )
-    if not found:
-        return pd.DataFrame({"block": [], "profile": [], "better": []})
-    return pd.concat(found)
+                found.append((block, left.profiles[strip][hit], right.ids[at[hit]]))
+    return pd.DataFrame(
+        {
+            "block": np.repeat([f[0] for f in found], [len(f[1]) for f in found]),
+            "profile": np.concatenate([f[1] for f in found]) if found else [],
+            "better": np.concatenate([f[2] for f in found]) if found else [],
+        }
+    )
