@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumenary.functions.vector import dense, unit_rows
 from lumenary.session import spread_groups
@@ -47,9 +48,17 @@ class Side:
 
 
 def fetch_if_small(df: DataFrame, limit: int) -> pa.Table | None:
-    """All rows when there are at most `limit`, else None; never pulls more than limit + 1."""
-    table = df.limit(limit + 1).toArrow()
-    return table if table.num_rows <= limit else None
+    """All rows when there are at most `limit`, else None.
+
+    `take` reads partition after partition and stops at limit + 1 rows, so a large table costs no
+    more than that.
+    """
+    rows = df.take(limit + 1)
+    if len(rows) > limit:
+        return None
+    columns = zip(*rows) if rows else [()] * len(df.columns)
+    schema = to_arrow_schema(df.schema)
+    return pa.table([pa.array(values, f.type) for values, f in zip(columns, schema)], schema=schema)
 
 
 def block_count(df: DataFrame, rows: int = BLOCK_ROWS) -> Column:

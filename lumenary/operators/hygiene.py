@@ -229,7 +229,10 @@ def first_better(blocks: DataFrame, media: str, chunk_rows: int = CHUNK_ROWS) ->
     led = keyed.groupBy("kind", "block", "profile").agg(
         F.max(quality_order()).alias("q"), *[F.any_value(c).alias(c) for c in _FEATURES]
     ).select("kind", "block", "profile", "q.*", *_FEATURES)
-    sizes = led.groupBy("kind", "block").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).alias("chunks"))
+    # chunks grow with the block, up to eightfold: fewer copies of a row where there are many chunks
+    held = F.count(F.lit(1))
+    rows_each = F.greatest(F.lit(chunk_rows), F.least(F.lit(8 * chunk_rows), F.floor(held / 64)))
+    sizes = led.groupBy("kind", "block").agg(F.ceil(held / rows_each).alias("chunks"))
     packs = led.agg(F.greatest(F.lit(1).cast("long"), F.ceil(F.count(F.lit(1)) / (2 * chunk_rows)))).scalar()
     spread = (
         led.join(sizes, ["kind", "block"])

@@ -153,7 +153,13 @@ def merge_annotations(c: Catalog) -> DataFrame:
     )
 
 
-@query("t10_assemble_ocr")
+@query(
+    "t10_assemble_ocr", "",
+    """SELECT media_id, sha256(string_agg(t, chr(10) ORDER BY f)) AS ocr_sha256 FROM (SELECT media_id, arg_min(t, f) AS t, min(f) AS f FROM (
+ SELECT media_id, f, string_agg(line, chr(10) ORDER BY i) AS t FROM (SELECT doc_id AS media_id, (i-1)%8 AS f, i, regexp_replace(ls[i], '^\\s+|\\s+$', '', 'g') AS line
+ FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), range(1, (SELECT max(len(string_split(text, chr(10))))+1 FROM documents)) r(i) WHERE i<=len(ls))
+ WHERE line<>'' AND f<6 GROUP BY ALL) GROUP BY media_id, lower(t)) GROUP BY media_id""",
+)
 def assemble_ocr(c: Catalog) -> DataFrame:
     lines = c.texts("documents").select(
         F.col("doc_id").alias("media_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "text")
