@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenary.session import shared_folder, work_path
+from lumenary.session import work_path
 
 #: The six ASCII white-space characters [\x20\x09-\x0D].
 WHITE_SPACE = " \t\n\x0b\x0c\r"
@@ -60,4 +60,19 @@ def remove(spark: SparkSession, path: str) -> None:
     there.getFileSystem(conf).delete(there, True)
 
 
-__all__ = ["Scratch", "WHITE_SPACE", "lower_ascii", "remove", "shared_folder", "shuffle_partitions", "table", "whole"]
+def document(id_col: Column, text: Column) -> Column:
+    """What tells documents apart: the id, and a hash of the text for rows that repeat an id."""
+    return F.struct(id_col.alias("id"), F.xxhash64(text).alias("tag"))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of `docs` whose `document` is a `doc` of `kept`, all columns as they are.
+
+    `kept` has a row per document and `n_tied`, the number of rows that repeat its id and text; of those
+    rows one stays.
+    """
+    packed = docs.select(F.struct("*").alias("full"))
+    packed = packed.withColumn("doc", document(F.col(f"full.{id_col}"), F.col(f"full.{text_col}")))
+    once = packed.join(kept.filter("n_tied = 1"), "doc", "left_semi")
+    repeated = packed.join(kept.filter("n_tied > 1"), "doc", "left_semi").dropDuplicates(["doc"])
+    return once.unionByName(repeated).select("full.*")

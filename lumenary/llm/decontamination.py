@@ -14,7 +14,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenary.llm.common import Scratch, whole
+from lumenary.llm.common import Scratch, document, whole
 from lumenary.session import cut_lineage
 
 WINDOW_WORDS = 10
@@ -31,11 +31,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
-def document(id_col: Column, text: Column) -> Column:
-    """What tells documents apart: the id, and a hash of the text for rows that repeat an id."""
-    return F.struct(id_col.alias("id"), F.hash(text).alias("tag"))
-
-
 def if_small(df: DataFrame) -> DataFrame:
     """`df`, marked for broadcast if its rows, at 64 bytes each besides their text, are within the bound."""
     texts = [F.sum(F.octet_length(c)) for c, kind in df.dtypes if kind == "string"]

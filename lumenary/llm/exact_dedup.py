@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenary.llm.common import WHITE_SPACE, whole
+from lumenary.llm.common import WHITE_SPACE, keep_rows, whole
 from lumenary.session import cut_lineage
 
 PREFIX_CHARS = 64
@@ -21,7 +21,7 @@ def normalized(text: Column) -> Column:
 def exact_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, digest_all: bool = False
 ) -> DataFrame:
-    """(id, n_points, text_sha256, keep_id, group_size, n_tied, kept): one row per input row.
+    """(id, tag, text_sha256, keep_id, group_size, n_tied, kept): one row per input row.
 
     Of equal texts the row with the most code points in the original text stays, then the smallest id, a
     null id last. Rows that also share the id are told apart by their place, so one of them stays; `n_tied`
@@ -36,6 +36,7 @@ def exact_duplicates(
     body = normalized(F.col("text"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select(
         "id",
+        F.xxhash64("text").alias("tag"),
         F.length(whole("text")).alias("n_points"),
         F.octet_length(body).alias("len"),
         F.xxhash64(F.substring(body, 1, prefix_chars)).alias("prefix"),
@@ -44,7 +45,7 @@ def exact_duplicates(
     digest = F.sha2("body", 256)
     if digest_all:
         hashed = cut_lineage(
-            rows.select("id", "n_points", "len", "prefix", digest.alias("sha")).withColumn("row", F.monotonically_increasing_id())
+            rows.select("id", "tag", "n_points", "len", "prefix", digest.alias("sha")).withColumn("row", F.monotonically_increasing_id())
         )
         survivors = hashed.join(shared_keys(hashed), ["len", "prefix"], "left_semi")
     else:
@@ -52,12 +53,12 @@ def exact_duplicates(
         keys = shared_keys(rows).withColumn("shared", F.lit(True))
         hashed = cut_lineage(
             rows.join(keys, ["len", "prefix"], "left")
-            .select("id", "n_points", "len", F.when(F.col("shared"), digest).alias("sha"))
+            .select("id", "tag", "n_points", "len", F.when(F.col("shared"), digest).alias("sha"))
             .withColumn("row", F.monotonically_increasing_id())
         )
         survivors = hashed.filter(F.col("sha").isNotNull())
     groups = (
-        survivors.groupBy("len", "sha", "n_points", "id")
+        survivors.groupBy("len", "sha", "n_points", "id", "tag")
         .agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"))
         .groupBy("len", "sha")
         .agg(
@@ -68,7 +69,7 @@ def exact_duplicates(
     )
     return hashed.join(groups, ["len", "sha"], "left").select(
         "id",
-        "n_points",
+        "tag",
         F.col("sha").alias("text_sha256"),
         F.when(F.col("best").isNull(), F.col("id")).otherwise(F.col("best.id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
@@ -90,14 +91,5 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows that repeat id and text give one row.
     """
     found = exact_duplicates(docs, id_col, text_col, digest_all=True).filter("kept")
-    keys = cut_lineage(found.select(F.struct("id", "n_points", "text_sha256").alias("key"), "n_tied"))
-    text = F.col(f"full.{text_col}")
-    packed = docs.select(F.struct("*").alias("full")).withColumn(
-        "key",
-        F.struct(
-            F.col(f"full.{id_col}").alias("id"), F.length(whole(text)).alias("n_points"), F.sha2(normalized(text), 256).alias("text_sha256")
-        ),
-    )
-    once = packed.join(keys.filter("n_tied = 1"), "key", "left_semi")
-    repeated = packed.join(keys.filter("n_tied > 1"), "key", "left_semi").dropDuplicates(["key"])
-    return once.unionByName(repeated).select("full.*")
+    kept = cut_lineage(found.select(F.struct("id", "tag").alias("doc"), "n_tied"))
+    return keep_rows(docs, kept, id_col, text_col)
