@@ -67,7 +67,8 @@ def exact_duplicates(
         )
         .filter("group_size > 1")
     )
-    return hashed.join(groups, ["len", "sha"], "left").select(
+    # a table of its own, so that the adaptive join can split a group with very many rows
+    return hashed.join(cut_lineage(groups), ["len", "sha"], "left").select(
         "id",
         "tag",
         F.col("sha").alias("text_sha256"),
