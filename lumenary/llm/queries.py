@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenary.llm import dart_minhash, decontamination, exact_dedup, language_id, packing
+from lumenary.llm import dart_minhash, decontamination, exact_dedup, language_id, packing, secret_ledger
 from lumenary.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,18 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query("op2_secret_scans")
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secret_ledger.scan_documents(table(spark, sf_dir, "documents"))
+    base = [r.kind for r in secret_ledger.BASE_RULES]
+
+    def listed(spans):
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+    def only(*kinds):
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    counts = [F.size(only(k)).cast("long").alias(f"n_{k}") for k in base]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(listed(only(*base)), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
