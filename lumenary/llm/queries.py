@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenary.llm import dart_minhash, decontamination, exact_dedup, language_id, packing, secret_ledger
+from lumenary.llm import dart_minhash, decontamination, exact_dedup, language_id, packing, secret_ledger, warc_bundles
 from lumenary.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,13 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = [F.size(only(k)).cast("long").alias(f"n_{k}") for k in base]
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(listed(only(*base)), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+@query("op8_warc_bundles")
+def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    return warc_bundles.round_trip(pages).select(
+        F.expr("nullif(record, '')").cast(kind).alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type",
+        F.expr("nullif(refers_to, '')").cast(kind).alias("refers_to"),
+    )
