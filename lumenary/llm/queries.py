@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenary.llm import dart_minhash, decontamination, exact_dedup, language_id, packing, secret_ledger, warc_bundles
+from lumenary.llm import dart_minhash, decontamination, exact_dedup, language_id, lm_scoring, packing, secret_ledger, warc_bundles
 from lumenary.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,9 @@ def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("nullif(record, '')").cast(kind).alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type",
         F.expr("nullif(refers_to, '')").cast(kind).alias("refers_to"),
     )
+
+
+@query("op4_lm_scoring")
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scoring.score_documents(table(spark, sf_dir, "documents"), lm_scoring.held_out())
+    return scored.withColumnRenamed("id", "doc_id")
