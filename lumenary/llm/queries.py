@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenary.llm import dart_minhash, decontamination, exact_dedup, language_id, lm_scoring, packing, secret_ledger, warc_bundles
+from lumenary.llm import dart_minhash, decontamination, exact_dedup, language_id, lm_scoring, packing, secret_ledger, url_lists, warc_bundles
 from lumenary.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,60 @@ def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm_scoring.score_documents(table(spark, sf_dir, "documents"), lm_scoring.held_out())
     return scored.withColumnRenamed("id", "doc_id")
+
+
+@query(
+    "op3_url_filters",
+    r"""
+    WITH cap AS (
+        SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 120 AS INTEGER) AS day,
+               nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)), '\.$', ''), '') AS host
+        FROM pages
+    ), raw AS (
+        SELECT 'adult' AS list, 'domain:' || host AS key, day + 10 AS day, 'add' AS action FROM cap WHERE host IS NOT NULL AND page_id % 3 = 0
+        UNION ALL SELECT 'adult', 'domain:' || host, day + 25, 'remove' FROM cap WHERE host IS NOT NULL AND page_id % 6 = 0
+        UNION ALL SELECT 'spam', 'domain:' || substr(host, strpos(host, '.') + 1), day, CASE WHEN page_id % 10 = 4 THEN 'add' ELSE 'remove' END
+                  FROM cap WHERE host IS NOT NULL AND page_id % 5 = 4
+        UNION ALL SELECT 'takedown', 'url:' || url, day - 1, 'add' FROM cap WHERE url IS NOT NULL AND page_id % 7 = 1
+    ), daily AS (
+        SELECT list, key, day, max(action = 'remove') AS removed FROM raw GROUP BY ALL
+    ), changes AS (
+        SELECT * FROM (SELECT *, lag(removed) OVER (PARTITION BY list, key ORDER BY day) AS before FROM daily)
+        WHERE removed IS DISTINCT FROM before
+    ), spans AS (
+        SELECT * FROM (SELECT list, key, removed, day AS valid_from,
+                              coalesce(lead(day) OVER (PARTITION BY list, key ORDER BY day), DATE '9999-12-31') AS valid_to FROM changes)
+        WHERE NOT removed
+    ), keys AS (
+        SELECT page_id, day, 'url:' || url AS key FROM cap WHERE url IS NOT NULL
+        UNION ALL
+        SELECT page_id, day, 'domain:' || array_to_string(l[i:], '.')
+        FROM (SELECT page_id, day, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, day, string_split(host, '.') AS l FROM cap WHERE host IS NOT NULL))
+    ), hits AS (
+        SELECT page_id, count(*) AS n, string_agg(DISTINCT list, ',' ORDER BY list) AS lists
+        FROM keys JOIN spans ON keys.key = spans.key AND keys.day >= valid_from AND keys.day < valid_to GROUP BY 1
+    )
+    SELECT cap.page_id, host, CAST(coalesce(n, 0) AS BIGINT) AS n_entries, coalesce(lists, '') AS lists, n IS NOT NULL AS blocked
+    FROM cap LEFT JOIN hits ON cap.page_id = hits.page_id
+    """,
+)
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as captures of dated fetches, against three lists whose entries the pages' own hosts give."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 120).cast("int"))
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", day.alias("day")).withColumn("host", url_lists.host_of(F.col("url")))
+    hosts = captures.filter("host is not null")
+    domain = F.concat(F.lit("domain:"), F.col("host"))
+    parent = F.concat(F.lit("domain:"), F.expr("substr(host, instr(host, '.') + 1)"))
+
+    def entries(rows, name, key, day, action):
+        return rows.select(F.lit(name).alias("list"), key.alias("key"), day.alias("day"), action.alias("action"))
+
+    add, remove = F.lit(url_lists.ADD), F.lit(url_lists.REMOVE)
+    listed = (
+        entries(hosts.filter("page_id % 3 = 0"), "adult", domain, F.date_add("day", 10), add)
+        .union(entries(hosts.filter("page_id % 6 = 0"), "adult", domain, F.date_add("day", 25), remove))
+        .union(entries(hosts.filter("page_id % 5 = 4"), "spam", parent, F.col("day"), F.when(F.col("page_id") % 10 == 4, add).otherwise(remove)))
+        .union(entries(captures.filter("url is not null AND page_id % 7 = 1"), "takedown", F.concat(F.lit("url:"), F.col("url")), F.date_add("day", -1), add))
+    )
+    judged = url_lists.judge_captures(captures, listed)
+    return judged.select(F.col("id").alias("page_id"), "host", "n_entries", F.concat_ws(",", "lists").alias("lists"), "blocked")
