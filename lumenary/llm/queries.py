@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenary.llm import dart_minhash, decontamination, exact_dedup, language_id, lm_scoring, packing, secret_ledger, url_lists, warc_bundles
+from lumenary.llm import chat_windows, dart_minhash, decontamination, exact_dedup, language_id, lm_scoring, packing, secret_ledger, url_lists, warc_bundles
 from lumenary.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,3 +192,18 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     judged = url_lists.judge_captures(captures, listed)
     return judged.select(F.col("id").alias("page_id"), "host", "n_entries", F.concat_ws(",", "lists").alias("lists"), "blocked")
+
+
+@query("op10_chat_windows")
+def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(said).alias("text"))
+    back = chat_windows.read_windows(chat_windows.format_windows(talks.unionByName(more)))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = F.array_join("targets", "")
+    return back.select(
+        F.col("id").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.col("n_chars").alias("formatted_chars"),
+    )
