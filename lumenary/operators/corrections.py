@@ -93,8 +93,8 @@ def remove_persons(
 
 
 def rename_clusters(clusters: DataFrame, commands: DataFrame) -> DataFrame:
-    """commands: label, new_name; a blank name clears, an unknown label is ignored."""
-    new = commands.select("label", strip(F.coalesce("new_name", F.lit(""))).alias("_new"))
+    """commands: seq, label, new_name; the last one of a label counts, a blank name clears, an unknown label is ignored."""
+    new = commands.groupBy("label").agg(F.max_by(strip(F.coalesce("new_name", F.lit(""))), "seq").alias("_new"))
     rows = clusters.join(new, "label", "left")
     shown = F.when(F.col("_new").isNull(), F.col("display_name")).otherwise(F.nullif("_new", F.lit("")))
     return _replace(rows, clusters.columns, F.col("person_profile_id"), shown)
@@ -146,7 +146,7 @@ def rename_persons(persons: DataFrame, clusters: DataFrame, commands: DataFrame)
 
 
 def correction_candidates(
-    person_id: int, persons: DataFrame, samples: DataFrame, clusters: DataFrame, stats: DataFrame, limit: int = 80,
+    person_id: int, persons: DataFrame, samples: DataFrame, clusters: DataFrame, stats: DataFrame, limit: int | None = None,
     thr: float = I.PERSON_THRESHOLD, margin: float = I.PERSON_MARGIN, dim: int = I.FACE_DIM,
 ) -> DataFrame:
     """Clusters with the selected person's score, the best competitor and whether to bind them."""
@@ -175,11 +175,18 @@ def correction_candidates(
         )
     )
     best = ["linked_to_selected_person", "recommended", "score", "photo_count", "updated_at", "id"]
-    return rows.orderBy(*[F.desc(c) for c in best]).limit(limit).drop("updated_at", "id")
+    if limit is not None:
+        rows = rows.orderBy(*[F.desc(c) for c in best]).limit(limit)
+    return rows.drop("updated_at", "id")
 
 
 def apply_corrections(clusters: DataFrame, persons: DataFrame, commands: DataFrame) -> Change:
-    """commands: seq, person_id, action (bind | unbind), labels. The last command on a label counts."""
+    """commands: seq, person_id, action (bind | unbind), labels.
+
+    Commands of unknown persons do nothing. The last bind of a label sets its owner, and only an unbind by
+    that person after it frees the label; without a bind, an unbind by the present owner does. Both are
+    combinable maxima, so a label with very many commands is reduced before the shuffle.
+    """
     odd = F.when(
         F.col("action").isin("bind", "unbind"), F.col("action")
     ).otherwise(F.raise_error(F.concat(F.lit("Unsupported correction action: "), "action")))
@@ -187,19 +194,19 @@ def apply_corrections(clusters: DataFrame, persons: DataFrame, commands: DataFra
         "label", strip(F.col("label"))
     )
     known = persons.select(F.col("id").alias("person_id"), F.col("name").alias("new_name"), F.col("normalized_name").alias("new_key"))
-    last = single.groupBy("label").agg(F.max_by(F.struct("person_id", "action"), "seq").alias("c")).select("label", "c.*")
-    rows = clusters.join(last.join(known, "person_id"), "label", "left")
-    bind = F.coalesce(F.col("action") == "bind", F.lit(False))
-    mine = F.coalesce(F.col("person_profile_id") == F.col("person_id"), F.lit(False))
-    free = F.coalesce(F.col("action") == "unbind", F.lit(False)) & mine
-    owner = F.when(bind, F.col("person_id")).when(~free, F.col("person_profile_id"))
-    shown = (
-        F.when(bind, F.col("new_name"))
-        .when(free & _same_name(F.col("display_name"), F.col("new_key")), None)
-        .otherwise(F.col("display_name"))
-    )
-    new = _replace(rows, clusters.columns, owner, shown)
-    touched = rows.filter("action is not null").select(F.explode(F.array("person_id", "person_profile_id")).alias("id"))
+    single = single.join(known, "person_id")
+    person = F.struct("person_id", "new_name", "new_key")
+    bound = single.filter("action = 'bind'").groupBy("label").agg(F.max_by(person, "seq").alias("bound"), F.max("seq").alias("bound_at"))
+    freed = single.filter("action = 'unbind'").groupBy("label", "person_id").agg(F.max("seq").alias("freed_at"), F.any_value("new_key").alias("freed_key"))
+    rows = clusters.join(bound, "label", "left").withColumn("holder", F.coalesce("bound.person_id", "person_profile_id"))
+    freed = freed.withColumnsRenamed({"label": "freed_label", "person_id": "freed_by"})
+    rows = rows.join(freed, (F.col("label") == F.col("freed_label")) & (F.col("holder") == F.col("freed_by")), "left")
+    bind = F.col("bound").isNotNull()
+    free = F.coalesce(F.col("freed_at") > F.coalesce("bound_at", F.lit(-(1 << 62))), F.lit(False))
+    name = F.when(bind, F.col("bound.new_name")).otherwise(F.col("display_name"))
+    shown = F.when(~(free & F.coalesce(_same_name(name, F.col("freed_key")), F.lit(False))), name)
+    new = _replace(rows, clusters.columns, F.when(~free, F.col("holder")), shown)
+    touched = rows.filter(bind | free).select(F.explode(F.array("holder", "person_profile_id")).alias("id"))
     return Change(new, new.filter("changed").select("label"), _strip_of(persons.join(touched, "id", "left_semi")))
 
 

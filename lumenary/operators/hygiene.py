@@ -15,7 +15,7 @@ from lumenary.functions.similarity import text_similarity
 from lumenary.functions.vector import cosine, duration_similarity, no_vector, phash_similarity
 from lumenary.session import materialize, spread_groups
 
-# Path hints in reporting order, chat sources, category names, block size, pair caps.
+# Path hints in reporting order, chat sources, category names, pair caps.
 THUMB_HINTS = ("thumb", "thumbnail", "thumbnails", "thumbs", "preview", "cover", "small")
 JUNK_HINTS = (
     "thumb", "thumbnail", "cache", "temp", "tmp", "avatar", "emoji", "emotion", "sticker", "appbrand", "miniapp",
@@ -25,9 +25,7 @@ CATEGORIES = (
     "thumbnail_images", "low_resolution_images", "junk_transfer_images", "duplicate_images",
     "low_resolution_videos", "duplicate_videos",
 )
-CAPTION_BLOCK = 40
 EXACT_SCORE, TOP_SCORE, NEAR_SCORE = 0.99, 0.99, 0.985
-PAGE = 80
 SEPARATOR = "；"
 
 CHUNK_ROWS = 2_048
@@ -63,7 +61,7 @@ def _measured(photos: DataFrame) -> DataFrame:
     )
 
 
-def thumbnail_candidates(photos: DataFrame, limit: int | None = PAGE) -> DataFrame:
+def thumbnail_candidates(photos: DataFrame, limit: int | None = None) -> DataFrame:
     hint = _hint(THUMB_HINTS)
     rules = [
         (hint.isNotNull(), 0.62, F.concat(F.lit("路径或文件名包含 "), hint, F.lit(" 缩略图特征"))),
@@ -85,14 +83,14 @@ def _small(df: DataFrame, tiny: Column, small: Column, small_score: float, words
     return rows.filter("score is not null")
 
 
-def low_res_images(photos: DataFrame, limit: int | None = PAGE) -> DataFrame:
+def low_res_images(photos: DataFrame, limit: int | None = None) -> DataFrame:
     w, h = F.col("width"), F.col("height")
     tiny = (w <= 640) | (h <= 640) | (F.col("pixels") <= 300_000)
     words = ("分辨率过低，仅 ", "分辨率偏低，为 ")
     return _newest(_small(_measured(photos), tiny, (w < 1280) | (h < 720), 0.76, words), limit)
 
 
-def low_res_videos(videos: DataFrame, limit: int | None = PAGE) -> DataFrame:
+def low_res_videos(videos: DataFrame, limit: int | None = None) -> DataFrame:
     rows = _sized_videos(videos)
     w, h = F.col("width"), F.col("height")
     words = ("视频分辨率过低，仅 ", "视频分辨率偏低，为 ")
@@ -103,7 +101,7 @@ def _sized_videos(videos: DataFrame) -> DataFrame:
     return _measured(videos.withColumnsRenamed({"frame_width": "width", "frame_height": "height"}))
 
 
-def junk_images(photos: DataFrame, limit: int | None = PAGE) -> DataFrame:
+def junk_images(photos: DataFrame, limit: int | None = None) -> DataFrame:
     hint = _hint(JUNK_HINTS)
     untagged = (F.size("people") + F.size("scene_tags") + F.size("object_tags")) == 0
     rules = [
@@ -185,11 +183,11 @@ def exact_duplicates(prepared: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_blocks(prepared: DataFrame, kind: str, caption_block: int | None = CAPTION_BLOCK) -> DataFrame:
+def duplicate_blocks(prepared: DataFrame, kind: str, caption_block: int | None = None) -> DataFrame:
     """(kind, block, id, …): items sharing a name key or a caption key, in blocks of two or more.
 
-    A caption block is by definition its best `caption_block` items; name blocks are whole. Taking
-    the best of a block is a per-group top-k, which Spark cuts down before the shuffle.
+    Blocks are whole; with `caption_block` a caption block is its best items, a per-group top-k that
+    Spark cuts down before the shuffle.
     """
     caption = F.col("caption_key")
     if kind == "video":
@@ -357,7 +355,7 @@ def score_video_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def duplicate_candidates(
-    media: DataFrame, kind: str, limit: int | None = PAGE, caption_block: int | None = CAPTION_BLOCK,
+    media: DataFrame, kind: str, limit: int | None = None, caption_block: int | None = None,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """(id, score, reason, width, height, created_at): copies with the best score any block gives them."""
@@ -380,16 +378,20 @@ def duplicate_candidates(
 
 
 def cleanup_report(
-    photos: DataFrame, videos: DataFrame, categories: Sequence[str] = CATEGORIES, limit: int = PAGE
+    photos: DataFrame, videos: DataFrame, categories: Sequence[str] = CATEGORIES, limit: int | None = None
 ) -> DataFrame:
-    """(category, rank, id, score, reason, total) for the wanted categories; total = rows returned."""
+    """(category, rank, id, score, reason, total) for the wanted categories.
+
+    `total` counts all hits of a category. With `limit` its best rows are given with their rank; without
+    it all rows are, and rank is null, because numbering them all would pass them through one task.
+    """
     makers = {
-        "thumbnail_images": lambda: thumbnail_candidates(photos, limit),
-        "low_resolution_images": lambda: low_res_images(photos, limit),
-        "junk_transfer_images": lambda: junk_images(photos, limit),
-        "duplicate_images": lambda: duplicate_candidates(photos, "photo", limit),
-        "low_resolution_videos": lambda: low_res_videos(videos, limit),
-        "duplicate_videos": lambda: duplicate_candidates(videos, "video", limit),
+        "thumbnail_images": lambda: thumbnail_candidates(photos),
+        "low_resolution_images": lambda: low_res_images(photos),
+        "junk_transfer_images": lambda: junk_images(photos),
+        "duplicate_images": lambda: duplicate_candidates(photos, "photo"),
+        "low_resolution_videos": lambda: low_res_videos(videos),
+        "duplicate_videos": lambda: duplicate_candidates(videos, "video"),
     }
     wanted = [c.strip().lower() for c in categories]
     unknown = [c for c in wanted if c not in makers]
@@ -400,8 +402,13 @@ def cleanup_report(
         copies = category.startswith("duplicate")
         first = ["score", "width", "height"] if copies else []
         order = W.partitionBy("category").orderBy(*[F.desc(c) for c in (*first, "created_at", "id")])
-        rows = makers[category]().withColumn("category", F.lit(category)).withColumn("rank", F.row_number().over(order))
-        rows = rows.withColumn("total", F.count(F.lit(1)).over(W.partitionBy("category")))
+        rows = makers[category]().withColumn("category", F.lit(category))
+        if copies:
+            rows = materialize(rows, "copies")
+        total = rows.groupBy("category").agg(F.count(F.lit(1)).alias("total"))
+        place = F.lit(None).cast("int") if limit is None else F.row_number().over(order)
+        rows = rows.withColumn("rank", place)
+        rows = (rows if limit is None else rows.filter(F.col("rank") <= limit)).join(total, "category")
         rows = rows.select("category", "rank", "id", F.round("score", 6).alias("score"), "reason", "total")
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -176,9 +176,18 @@ def build_video_rows(files: DataFrame) -> DataFrame:
     return _build(files, extra)
 
 
-def upsert(base: DataFrame, updates: DataFrame, key: str, stamp: str | None = None) -> DataFrame:
-    """Rows of updates replace or join those of base; `stamp` gets the current time."""
-    new = updates if stamp is None else updates.withColumn(stamp, F.current_timestamp())
+def upsert(base: DataFrame, updates: DataFrame, key: str, stamp: str | None = None, order: str | None = None) -> DataFrame:
+    """Rows of updates replace or join those of base; `stamp` gets the current time.
+
+    Of several updates of a key the one with the highest `order` counts; without `order` that is an error.
+    """
+    row = F.struct(*[c for c in updates.columns if c != order])
+    if order is not None:
+        one = F.max_by(row, order)
+    else:
+        one = F.when(F.count(F.lit(1)) == 1, F.any_value(row)).otherwise(F.raise_error(F.lit(f"several updates of one {key}")))
+    new = updates.groupBy(F.col(key).alias("_key")).agg(one.alias("_row")).select("_row.*")
+    new = new if stamp is None else new.withColumn(stamp, F.current_timestamp())
     return base.join(new.select(key), key, "left_anti").select(*base.columns).unionByName(new.select(*base.columns))
 
 

@@ -330,7 +330,7 @@ def videos_of_person(videos: DataFrame, clusters: DataFrame, person_id: int, k:
 def photos_of_person(
     photos: DataFrame, clusters: DataFrame, persons: DataFrame, person_id: int, k: int = 48, any_label: bool = False
 ) -> DataFrame:
-    """Hybrid search for the person's name among photos that carry all the person's clusters.
+    """Facet search for the person among photos that carry all the person's clusters.
 
     `any_label=True` asks for one of the clusters instead.
     """
@@ -345,7 +345,7 @@ def photos_of_person(
     )
     need = F.least(total, F.lit(1)) if any_label else total
     kept = photos.join(held, "id", "left").filter(F.coalesce("held", F.lit(0)) >= need).drop("held")
-    return search_photos(kept, clusters, persons, [SearchRequest(text=person["name"], limit=k)])
+    return search_photos(kept, clusters, persons, [SearchRequest(people=[person["name"]], limit=k)])
 
 
 # --- evaluation -----------------------------------------------------------------------------------

@@ -98,7 +98,7 @@ class Catalog:
             F.concat(F.lit("/archive/"), name).alias("storage_path"),
             F.sha2("text", 256).alias("sha256"),
             F.substring(F.sha1(F.substring(F.lower("text"), 1, 40).cast("binary")), 1, 16).alias("phash"),
-            F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("caption"),
+            F.col("text").alias("caption"),
             F.when(doc % 5 != 0, F.col("text")).alias("ocr_text"),
             F.array("lang").alias("scene_tags"),
             (doc % 4).cast("int").alias("face_count"),

@@ -12,7 +12,7 @@ VIEWS: dict[str, tuple[str, str]] = {
  CASE d.doc_id%3 WHEN 0 THEN 'local_folder' WHEN 1 THEN 'wechat_folder' ELSE 'qq_folder' END AS source_kind,
  d.source AS source_name, '/src/'||d.source||'/'||f.fname AS original_path, '/archive/'||f.fname AS storage_path,
  sha256(d.text) AS sha256, substr(sha1(substr(lower(d.text),1,40)),1,16) AS phash,
- array_to_string(string_split(d.text,' ')[1:8],' ') AS caption,
+ d.text AS caption,
  CASE WHEN d.doc_id%5<>0 THEN d.text END AS ocr_text,
  CASE WHEN d.doc_id%4=0 THEN ['person '||a.vlabel] ELSE []::VARCHAR[] END AS people,
  [d.lang] AS scene_tags,

@@ -10,9 +10,6 @@ from lumenary.plans.catalog import Catalog
 from lumenary.plans.registry import query
 from lumenary.plans.text_queries import CAPTION_KEY_SQL, NAME_KEY_SQL
 
-LIMIT = 80
-
-
 def _first_hint(hints) -> str:
     whens = " ".join(f"WHEN contains(paths,'{h}') THEN '{h}'" for h in hints)
     return f"CASE {whens} END"
@@ -38,9 +35,9 @@ def _shown(df: DataFrame) -> DataFrame:
     return df.select("id", F.round("score", 6).alias("score"), "reason")
 
 
-@query("k1_thumbnail_candidates", "photos", _THUMB + _tail(LIMIT))
+@query("k1_thumbnail_candidates", "photos", _THUMB)
 def thumbnails(c: Catalog) -> DataFrame:
-    return _shown(H.thumbnail_candidates(c.photos, LIMIT))
+    return _shown(H.thumbnail_candidates(c.photos))
 
 
 @query("k1_thumbnail_candidates_all", "photos", _THUMB)
@@ -53,9 +50,9 @@ _LOW = """SELECT id, CASE WHEN width<=640 OR height<=640 OR px<=300000 THEN 0.96
  WHERE width<=640 OR height<=640 OR px<=300000 OR width<1280 OR height<720"""
 
 
-@query("k2_low_res_images", "photos", _LOW.format(_paths("photos")) + _tail(LIMIT))
+@query("k2_low_res_images", "photos", _LOW.format(_paths("photos")))
 def low_images(c: Catalog) -> DataFrame:
-    return _shown(H.low_res_images(c.photos, LIMIT))
+    return _shown(H.low_res_images(c.photos))
 
 
 _JUNK = f"""SELECT id, round(least(score,0.99),6) AS score, reason FROM (SELECT id, created_at, 0.2::DOUBLE + 0.0::DOUBLE + CASE WHEN hint IS NOT NULL THEN 0.34::DOUBLE ELSE 0 END
@@ -67,9 +64,9 @@ _JUNK = f"""SELECT id, round(least(score,0.99),6) AS score, reason FROM (SELECT
  FROM (SELECT *, coalesce(trim(ocr_text),'')='' AS blank, {_first_hint(H.JUNK_HINTS)} AS hint FROM {_paths('photos')} WHERE source_kind IN ('wechat_folder','qq_folder'))) WHERE score>=0.7::DOUBLE"""
 
 
-@query("k3_junk_images", "photos", _JUNK + _tail(LIMIT))
+@query("k3_junk_images", "photos", _JUNK)
 def junk(c: Catalog) -> DataFrame:
-    return _shown(H.junk_images(c.photos, LIMIT))
+    return _shown(H.junk_images(c.photos))
 
 
 _SIZED_VIDEOS = "(SELECT *, frame_width AS width, frame_height AS height, frame_width*frame_height AS px, frame_width||'x'||frame_height AS size FROM videos)"
@@ -79,10 +76,10 @@ _SIZED_VIDEOS = "(SELECT *, frame_width AS width, frame_height AS height, frame_
     "k4_low_res_videos", "videos",
     f"""SELECT id, CASE WHEN width<=640 OR height<=360 THEN 0.96::DOUBLE ELSE 0.8::DOUBLE END AS score,
  CASE WHEN width<=640 OR height<=360 THEN '视频分辨率过低，仅 ' ELSE '视频分辨率偏低，为 ' END||size AS reason FROM {_SIZED_VIDEOS}
- WHERE width<=640 OR height<=360 OR width<960 OR height<540""" + _tail(LIMIT),
+ WHERE width<=640 OR height<=360 OR width<960 OR height<540""",
 )
 def low_videos(c: Catalog) -> DataFrame:
-    return _shown(H.low_res_videos(c.videos, LIMIT))
+    return _shown(H.low_res_videos(c.videos))
 
 
 _Q = {
@@ -103,9 +100,9 @@ def _media(c: Catalog, kind: str) -> DataFrame:
 
 def _blocks_sql(kind: str) -> str:
     caption = "caption_key" if kind == "photo" else "caption_key||':'||CAST(round_even(duration_seconds*10,0) AS BIGINT)"
-    return f"""SELECT kind, block, id FROM (SELECT *, count(*) OVER (PARTITION BY kind, block) AS n, row_number() OVER (PARTITION BY kind, block ORDER BY q DESC) AS r FROM (
+    return f"""SELECT kind, block, id FROM (SELECT *, count(*) OVER (PARTITION BY kind, block) AS n FROM (
  SELECT 'name' AS kind, k.name_key AS block, id, {_Q[kind]} AS q FROM {_ROWS[kind]} m JOIN nk k USING (id) WHERE k.name_key<>''
- UNION ALL SELECT 'caption', {caption}, id, {_Q[kind]} FROM {_ROWS[kind]} m JOIN ck k USING (id) WHERE k.caption_key<>'')) WHERE n>1 AND (kind='name' OR r<=40)"""
+ UNION ALL SELECT 'caption', {caption}, id, {_Q[kind]} FROM {_ROWS[kind]} m JOIN ck k USING (id) WHERE k.caption_key<>'')) WHERE n>1"""
 
 
 def _register(kind: str) -> None:
@@ -158,7 +155,7 @@ _SIMPLE = [
 @query(
     "k11_cleanup_report_simple", "photos",
     " UNION ALL ".join(
-        f"SELECT '{name}' AS category, row_number() OVER (ORDER BY p.created_at DESC, id DESC) AS rank, id, k.score, k.reason, count(*) OVER () AS total FROM ({sql}{_tail(30)}) k JOIN photos p USING (id)"
+        f"SELECT '{name}' AS category, row_number() OVER (ORDER BY p.created_at DESC, id DESC) AS rank, id, k.score, k.reason, k.total FROM (SELECT id, score, reason, total FROM (SELECT h.*, count(*) OVER () AS total FROM ({sql}) h) JOIN photos USING (id){_tail(30)}) k JOIN photos p USING (id)"
         for name, _, sql in _SIMPLE
     ),
 )

@@ -159,10 +159,11 @@ def remove(c: Catalog) -> DataFrame:
 )
 def rename(c: Catalog) -> DataFrame:
     kind = F.col("id") % 4
+    named = F.when(kind == 0, F.concat(F.lit(" New "), "id", F.lit(" "))).otherwise(" ")
     commands = c.clusters.filter(kind < 2).select(
-        "label", F.when(kind == 0, F.concat(F.lit(" New "), "id", F.lit(" "))).otherwise(" ").alias("new_name")
+        "label", F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.lit("Old").alias("new_name")), F.struct(F.lit(2).alias("seq"), named.alias("new_name")))).alias("c")
     )
-    return C.rename_clusters(c.clusters, commands).select("label", "display_name")
+    return C.rename_clusters(c.clusters, commands.select("label", "c.*")).select("label", "display_name")
 
 
 @query(
@@ -221,14 +222,13 @@ _CANDIDATES = {
 
 def candidates(c: Catalog) -> DataFrame:
     return C.correction_candidates(
-        _SELECTED, c.persons, c.samples, c.clusters, I.cluster_stats(c.photos), 40, THR, MARGIN, DIM
+        _SELECTED, c.persons, c.samples, c.clusters, I.cluster_stats(c.photos), None, THR, MARGIN, DIM
     )
 
 
 @query(
     "c12_correction_candidates", "cands",
-    """SELECT label, display_name, photo_count, score, competitor_score, margin, current_person_id, current_person_name, linked, recommended FROM cands
- ORDER BY linked DESC, recommended DESC, score DESC, photo_count DESC, updated_at DESC, id DESC LIMIT 40""", _CANDIDATES,
+    """SELECT label, display_name, photo_count, score, competitor_score, margin, current_person_id, current_person_name, linked, recommended FROM cands""", _CANDIDATES,
 )
 def correction_candidates(c: Catalog) -> DataFrame:
     return candidates(c).drop("example_photo_id").withColumnRenamed("linked_to_selected_person", "linked")
@@ -236,7 +236,7 @@ def correction_candidates(c: Catalog) -> DataFrame:
 
 @query(
     "p10_filter_candidates", "cands",
-    f"""SELECT label, score FROM (SELECT * FROM cands ORDER BY linked DESC, recommended DESC, score DESC, photo_count DESC, updated_at DESC, id DESC LIMIT 40)
+    f"""SELECT label, score FROM cands
  WHERE score>=0.02 AND current_person_id IS NOT NULL AND current_person_id<>{_SELECTED} AND (contains(lower(label),'person') OR contains(lower(coalesce(display_name,'')),'person') OR contains(lower(coalesce(current_person_name,'')),'person'))""",
     _CANDIDATES,
 )
@@ -314,11 +314,11 @@ def rebuild(c: Catalog) -> DataFrame:
 @query(
     "c20_cleanup_clusters", "clusters photos videos",
     """SELECT c.label, p.newest AS example_photo_id FROM clusters c LEFT JOIN (SELECT label, max_by(id, struct_pack(a:=created_at,b:=id)) AS newest FROM (
- SELECT unnest(face_clusters) AS label, created_at, id FROM photos WHERE id%50=0) GROUP BY label) p ON p.label=c.label
- WHERE p.label IS NOT NULL OR c.label IN (SELECT unnest(face_clusters) FROM videos WHERE id%50=7)""",
+ SELECT unnest(face_clusters) AS label, created_at, id FROM photos) GROUP BY label) p ON p.label=c.label
+ WHERE p.label IS NOT NULL OR c.label IN (SELECT unnest(face_clusters) FROM videos)""",
 )
 def cleanup(c: Catalog) -> DataFrame:
-    rows = C.cleanup_clusters(c.clusters, c.photos.filter("id % 50 = 0"), c.videos.filter("id % 50 = 7"))
+    rows = C.cleanup_clusters(c.clusters, c.photos, c.videos)
     return rows.select("label", "example_photo_id")
 
 

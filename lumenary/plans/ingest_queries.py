@@ -104,7 +104,7 @@ def digests(c: Catalog) -> DataFrame:
 
 
 def batch_files(c: Catalog) -> DataFrame:
-    """Documents as files of a batch, newest last by id; even documents below 200 are already known."""
+    """Documents as files of a batch, newest last by id; of eight documents two are already known."""
     return c.photos.select(
         F.col("original_path").alias("path"), "source_id", F.col("created_at").alias("modificationTime"), "sha256",
         F.when(F.col("id") % 13 == 12, "unsupported").otherwise("image").alias("media_kind"),
@@ -112,14 +112,14 @@ def batch_files(c: Catalog) -> DataFrame:
 
 
 def known(c: Catalog) -> tuple[DataFrame, DataFrame]:
-    return c.photos.filter("id < 200 and id % 4 = 0"), c.photos.filter("id < 200 and id % 4 = 2")
+    return c.photos.filter("id % 8 = 0"), c.photos.filter("id % 8 = 2")
 
 
 INGEST = {
     "outcomes": (
         "photos",
         """SELECT p.original_path, p.source_id, CASE WHEN p.id%13=12 THEN 'unsupported' WHEN k.sha256 IS NULL AND p.id=f.first THEN 'imported' ELSE 'duplicate' END AS outcome FROM photos p
- LEFT JOIN (SELECT DISTINCT sha256 FROM photos WHERE id<200 AND id%2=0) k ON k.sha256=p.sha256
+ LEFT JOIN (SELECT DISTINCT sha256 FROM photos WHERE id%8 IN (0,2)) k ON k.sha256=p.sha256
  LEFT JOIN (SELECT sha256, arg_max(id, created_at) AS first FROM photos WHERE id%13<>12 GROUP BY 1) f ON f.sha256=p.sha256""",
     ),
 }
@@ -154,10 +154,10 @@ def archive(c: Catalog) -> DataFrame:
 
 @query(
     "s9_build_photo_rows", "photos",
-    """SELECT id%1000000 AS n, original_path, original_path AS external_id, '/archive/x.jpg' AS storage_path, 'person 1' AS people, strftime(created_at,'%Y-%m-%d %H:%M:%S') AS taken_at, 0 AS face_count FROM photos WHERE id%2=0""",
+    """SELECT id%1000000 AS n, original_path, original_path AS external_id, '/archive/x.jpg' AS storage_path, 'person 1' AS people, strftime(created_at,'%Y-%m-%d %H:%M:%S') AS taken_at, 0 AS face_count FROM photos""",
 )
 def photo_rows(c: Catalog) -> DataFrame:
-    files = c.photos.filter("id % 2 = 0").select(
+    files = c.photos.select(
         F.col("original_path").alias("path"), "source_id", "source_kind", "source_name", "sha256",
         F.lit("/archive/x.jpg").alias("archive_path"), F.col("created_at").alias("modificationTime"),
         F.array(F.lit("person 1")).alias("people"), F.array(F.lit("person 1")).alias("face_names"), "caption",
@@ -193,7 +193,9 @@ def upsert(c: Catalog) -> DataFrame:
     updates = base.filter("id % 5 = 0").select("id", fresh.alias("caption")).unionByName(
         base.filter("id % 50 = 0").select((F.col("id") + 1_000_000).alias("id"), fresh.alias("caption"))
     )
-    return IN.upsert(base, updates, "id")
+    # every key comes twice: an older caption, then the one that counts
+    twice = updates.withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("caption", F.when(F.col("seq") == 2, F.col("caption")).otherwise("old"))
+    return IN.upsert(base, twice, "id", order="seq")
 
 
 @query(

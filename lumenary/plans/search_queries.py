@@ -219,7 +219,7 @@ def of_cluster(c: Catalog) -> DataFrame:
 
 
 _p_views, _p_sql, _p_extra = _search_sql(
-    "owner_photos", "photo_vec", True, [SearchRequest(text="Person 1", limit=48)]
+    "owner_photos", "photo_vec", True, [SearchRequest(people=["Person 1"], limit=48)]
 )
 _p_extra["owner_photos"] = (
     "rich_photos clusters",

@@ -28,16 +28,15 @@ def tokenize(c: Catalog) -> DataFrame:
     f"SELECT doc_id, {sql_flat('v')} AS vector FROM tv", {"tv": ("", text_vectors("documents", "doc_id", "text"))},
 )
 def text_hash(c: Catalog) -> DataFrame:
-    worded = c.texts("documents").filter(F.col("text").rlike("[a-zA-Z0-9_]"))
-    return worded.select("doc_id", flat_vector(X.text_hash_vector(F.col("text"))).alias("vector"))
+    return c.texts("documents").select("doc_id", flat_vector(X.text_hash_vector(F.col("text"))).alias("vector"))
 
 
 @query(
     "t3_normalize_name",
-    sql=r"SELECT conv_id, turn, lower(trim(regexp_replace(role||'  '||substr(text,1,30), '\s+', ' ', 'g'))) AS name_key FROM conversations",
+    sql=r"SELECT conv_id, turn, lower(trim(regexp_replace(role||'  '||text, '\s+', ' ', 'g'))) AS name_key FROM conversations",
 )
 def normalize(c: Catalog) -> DataFrame:
-    raw = F.concat("role", F.lit("  "), F.substring("text", 1, 30))
+    raw = F.concat("role", F.lit("  "), "text")
     return c.texts("conversations").select("conv_id", "turn", X.normalize_name(raw).alias("name_key"))
 
 
@@ -108,9 +107,9 @@ def annotation_responses(c: Catalog) -> DataFrame:
     t = c.texts("conversations").withColumn("media_id", F.col("conv_id") * 100 + F.col("turn"))
     body = F.to_json(
         F.struct(
-            F.substring("text", 1, 60).alias("caption"),
-            F.concat_ws(", ", F.col("role"), F.upper("role"), F.substring("text", 1, 5)).alias("people"),
-            F.slice(F.split("text", " "), 1, 4).alias("scene_tags"),
+            F.col("text").alias("caption"),
+            F.concat_ws(", ", F.col("role"), F.upper("role"), F.col("text")).alias("people"),
+            F.split("text", " ").alias("scene_tags"),
             F.col("role").alias("object_tags"),
         )
     )
@@ -127,11 +126,10 @@ def annotation_responses(c: Catalog) -> DataFrame:
 @query(
     "t8_dedupe_ci", "",
     """SELECT doc_id, string_agg(w, '|' ORDER BY pos) AS items FROM (SELECT doc_id, arg_min(w,pos) AS w, min(pos) AS pos FROM (
- SELECT doc_id, trim(ws[i]) AS w, i AS pos FROM (SELECT doc_id, string_split(text,' ') AS ws FROM documents), range(1,41) r(i) WHERE i<=len(ws)) WHERE w<>'' GROUP BY doc_id, lower(w)) GROUP BY doc_id""",
+ SELECT doc_id, trim(ws[i]) AS w, i AS pos FROM (SELECT doc_id, string_split(text,' ') AS ws FROM documents), range(1, (SELECT max(len(string_split(text,' ')))+1 FROM documents)) r(i) WHERE i<=len(ws)) WHERE w<>'' GROUP BY doc_id, lower(w)) GROUP BY doc_id""",
 )
 def dedupe(c: Catalog) -> DataFrame:
-    words = F.slice(F.split("text", " "), 1, 40)
-    out = c.texts("documents").select("doc_id", X.dedupe_ci(words).alias("w"))
+    out = c.texts("documents").select("doc_id", X.dedupe_ci(F.split("text", " ")).alias("w"))
     return out.filter(F.size("w") > 0).select("doc_id", piped(F.col("w")).alias("items"))
 
 
@@ -171,7 +169,7 @@ def assemble_ocr(c: Catalog) -> DataFrame:
 @query(
     "t11_detect_people", "persons",
     """SELECT c.conv_id, c.turn, coalesce(string_agg(p.name,'|' ORDER BY p.updated_at DESC, p.id DESC),'') AS names
- FROM (SELECT conv_id, turn, lower(trim('look for person '||(conv_id%13)||' and Person '||(turn%10)||' '||substr(text,1,20))) AS q FROM conversations) c
+ FROM (SELECT conv_id, turn, lower(trim('look for person '||(conv_id%13)||' and Person '||(turn%10)||' '||text)) AS q FROM conversations) c
  JOIN persons p ON contains(c.q, p.normalized_name) GROUP BY ALL""",
 )
 def detect_people(c: Catalog) -> DataFrame:
@@ -179,7 +177,7 @@ def detect_people(c: Catalog) -> DataFrame:
         F.struct("conv_id", "turn").alias("query_id"),
         F.concat(
             F.lit("look for person "), F.col("conv_id") % 13, F.lit(" and Person "), F.col("turn") % 10, F.lit(" "),
-            F.substring("text", 1, 20),
+            F.col("text"),
         ).alias("text"),
     )
     found = S.detect_people(asked, c.persons)

@@ -220,11 +220,11 @@ def reanalyze_photos(c: Catalog) -> DataFrame:
 @query(
     "m10_moments_by_person", "moments",
     """SELECT video_id, person_name, row_number() OVER (PARTITION BY video_id ORDER BY f) AS place, times FROM (SELECT video_id, person_name, min(struct_pack(a:=timestamp_seconds, b:=seq)) AS f,
- string_agg(printf('%.3f', timestamp_seconds), '|' ORDER BY timestamp_seconds, seq) AS times FROM moments WHERE seq%20=0 GROUP BY ALL)""",
+ string_agg(printf('%.3f', timestamp_seconds), '|' ORDER BY timestamp_seconds, seq) AS times FROM moments GROUP BY ALL)""",
 )
 def grouped(c: Catalog) -> DataFrame:
     record = F.struct("person_name", "timestamp_seconds", "score")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", record.alias("m")))), lambda e: e["m"])
-    videos = c.moments.filter("seq % 20 = 0").groupBy(F.col("video_id").alias("id")).agg(ordered.alias("person_moments"))
+    videos = c.moments.groupBy(F.col("video_id").alias("id")).agg(ordered.alias("person_moments"))
     times = F.transform("moments", lambda m: F.format_string("%.3f", m["timestamp_seconds"]))
     return TL.moments_by_person(videos).select("video_id", "person_name", "place", piped(times).alias("times"))

@@ -35,11 +35,23 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "12g
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: `spark.checkpoint.dir`, else a local one for tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    return folder
+    """Folder every executor can reach: `spark.checkpoint.dir`.
+
+    Only a session whose executors are this process may leave it unset, as tests do: it gets a folder of its
+    own. On a cluster a missing folder is an error, since files of one machine are not seen by the others.
+    """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder:
+        return folder
+    if not is_single_process(sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def is_single_process(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
 
 
 def work_path(spark: SparkSession, name: str) -> str:

@@ -257,3 +257,67 @@ def test_stream_ingest_resumes(spark, tmp_path):
     assert go() == [("a.jpg", "imported"), ("b.jpg", "duplicate"), ("c.mp4", "imported")]
     jobs = {r["batch"]: (r["scanned_count"], r["imported_count"], r["duplicate_count"]) for r in spark.read.parquet(out + "/jobs").collect()}
     assert jobs == {0: (1, 1, 0), 1: (2, 1, 1)}
+
+
+# --- commands that meet on one key -------------------------------------------------------------------
+
+
+def _people(spark):
+    persons = spark.createDataFrame([(1, "Ann", "ann"), (2, "Ann Lee", "ann lee")], "id long, name string, normalized_name string")
+    clusters = spark.createDataFrame(
+        [(1, "a", None, None), (2, "b", "Ann Lee", 2), (3, "c", "Ann", 1)], "id long, label string, display_name string, person_profile_id long"
+    )
+    return persons, clusters
+
+
+@pytest.mark.parametrize(
+    "commands, owner, shown",
+    [
+        ([(1, 1, "bind", "b"), (2, 2, "unbind", "b")], 1, "Ann"),  # the former owner no longer holds it
+        ([(1, 1, "bind", "b"), (2, 9, "bind", "b")], 1, "Ann"),  # nobody knows person 9
+        ([(1, 1, "bind", "b"), (2, 1, "unbind", "b")], None, None),
+        ([(1, 1, "unbind", "b"), (2, 1, "bind", "b")], 1, "Ann"),
+        ([(1, 2, "unbind", "b")], None, None),
+        ([(1, 1, "unbind", "b")], 2, "Ann Lee"),
+        ([(1, 2, "unbind", "b"), (2, 1, "bind", "b"), (3, 2, "bind", "b")], 2, "Ann Lee"),
+    ],
+)
+def test_corrections_in_order(spark, commands, owner, shown):
+    persons, clusters = _people(spark)
+    df = spark.createDataFrame([(s, p, a, [x]) for s, p, a, x in commands], "seq long, person_id long, action string, labels array<string>")
+    rows = {r["label"]: r for r in C.apply_corrections(clusters, persons, df).clusters.collect()}
+    assert len(rows) == 3
+    assert (rows["b"]["person_profile_id"], rows["b"]["display_name"]) == (owner, shown)
+
+
+def test_photos_of_a_person_whose_name_holds_another(spark, catalog):
+    from lumenary.operators import search as S
+
+    persons, clusters = _people(spark)
+    at = F.timestamp_seconds(F.lit(0))
+    persons = persons.withColumns({"updated_at": at, "created_at": at})
+    clusters = clusters.withColumns({"updated_at": at, "created_at": at})
+    photos = catalog.photos_with_text_vector.filter("id < 6").withColumn("face_clusters", F.array(F.lit("b")))
+    assert S.photos_of_person(photos, clusters, persons, 2).count() == 6
+
+
+def test_last_rename_of_a_label_counts(spark):
+    _, clusters = _people(spark)
+    commands = spark.createDataFrame([(2, "a", " New "), (1, "a", "Old"), (1, "b", "x"), (2, "b", " "), (1, "zz", "y")], "seq long, label string, new_name string")
+    rows = [(r["label"], r["display_name"]) for r in C.rename_clusters(clusters, commands).collect()]
+    assert sorted(rows) == [("a", "New"), ("b", None), ("c", "Ann")]
+
+
+def test_upsert_takes_one_row_of_a_key(spark):
+    base = spark.createDataFrame([(1, "x"), (2, "y")], "id long, caption string")
+    twice = spark.createDataFrame([(2, "old", 1), (2, "new", 2), (3, "first", 1)], "id long, caption string, seq long")
+    assert sorted(map(tuple, IN.upsert(base, twice, "id", order="seq").collect())) == [(1, "x"), (2, "new"), (3, "first")]
+    with pytest.raises(Exception, match="several updates of one id"):
+        IN.upsert(base, twice, "id").collect()
+
+
+def test_a_shared_folder_is_needed_on_a_cluster():
+    from lumenary.session import is_single_process
+
+    assert is_single_process("local[8]") and is_single_process("local")
+    assert not is_single_process("local-cluster[3,2,1024]") and not is_single_process("yarn")
