@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenary.functions.blockmatch import components
@@ -24,8 +24,10 @@ from lumenary.session import cut_lineage
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-#: A pair of similarity 0.8 shares none of 26 bands of 5 rows with probability 3e-5.
-BANDS, ROWS = 26, 5
+#: A pair of similarity 0.8 shares none of 30 bands of 7 rows with probability 0.0009, one of 0.85 with 3e-5.
+BANDS, ROWS = 30, 7
+#: Buckets of up to so many members are gone through as pairs; members in a block of larger ones.
+PAIRED, BLOCK_MEMBERS = 8, 1000
 #: Bits of a rank below the unit.
 RANK_BITS = 44
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -170,65 +172,87 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int,
 
 
 def find_links(sketched: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
-    """(a, b) pairs of nodes of that similarity, at least one path for any two nodes that links connect.
+    """(node, root): components of the links of that similarity between nodes that share a bucket.
 
-    No bucket is expanded into its pairs. A few members of a bucket are its centres and are compared with
-    all members; members that agree with none pass on to the next round, which has four times as many
-    centres, until none is left. What this can miss is a link between members of two centres; members that
-    have not been centres are compared across components where a bucket still has several.
+    A bucket is not expanded into its pairs. First all members are compared with one, its centre, which joins
+    the near copies of a large group over the different centres of the bands. Only buckets whose members are
+    then still of several components are gone through: small ones as pairs, large ones in blocks inside
+    tasks, where members outside the bucket's main component meet all others and only links leave the task.
     """
     members = sketched.filter("node is not null").select(F.explode("bands").alias("bucket"), "node").distinct()
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     members = cut_lineage(members.join(shared, "bucket", "left_semi"))
-    nodes = cut_lineage(members.select("node").distinct())
-    reps = sketched.select("node", "row").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")).select("row")
-    sets = scratch.keep(sketched.select("row", "node", "shingles").join(reps, "row", "left_semi").select("node", "shingles"))
+    nodes = members.select("node").distinct()
+    reps = cut_lineage(sketched.select("node", "row").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")))
+    sets = scratch.keep(sketched.select("row", "node", "shingles").join(reps.select("row"), "row", "left_semi").select("node", "shingles"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-        right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+        left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.size("shingles").alias("na"))
+        right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.size("shingles").alias("nb"))
         # the sizes alone rule many pairs out before the sets are compared
-        n_a, n_b = F.size("sa"), F.size("sb")
-        both = pairs.join(left, "a").join(right, "b").filter(F.least(n_a, n_b) >= similarity * F.greatest(n_a, n_b))
+        both = pairs.join(left, "a").join(right, "b").filter(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
         common = F.size(F.array_intersect("sa", "sb"))
-        return both.select("a", "b", common.alias("c"), (n_a + n_b).alias("n")).filter(F.col("c") >= similarity * (F.col("n") - F.col("c"))).select("a", "b")
+        return both.filter(common >= similarity * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
     def ordered(x: str, y: str) -> list:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-    open_, links, tested, leaders, width, turn = members, None, None, None, 1, 0
-    while True:
-        chance = F.xxhash64(F.lit(turn), "bucket", "node")
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy(chance, "node"))
-        centres = cut_lineage(open_.withColumn("place", place).filter(F.col("place") <= width).select("bucket", F.col("node").alias("centre")))
-        met = centres.join(members, "bucket").filter("node <> centre")
-        pairs = met.select(*ordered("centre", "node")).distinct()
-        pairs = cut_lineage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        fresh = cut_lineage(verified(pairs))
-        links = fresh if links is None else links.unionByName(fresh)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        leaders = centres if leaders is None else leaders.unionByName(centres)
-        joined = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        agreed = centres.join(joined, centres.centre == joined.a).select("bucket", F.col("b").alias("node"))
-        gone = agreed.unionByName(centres.select("bucket", F.col("centre").alias("node"))).distinct()
-        open_ = cut_lineage(open_.join(gone, ["bucket", "node"], "left_anti"))
-        turn, width = turn + 1, 4 * width
-        if open_.isEmpty():
-            break
-    links = cut_lineage(links)
+    centres = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "node"), "node"))["node"].alias("centre"))
+    tested = cut_lineage(members.join(cut_lineage(centres), "bucket").filter("node <> centre").select(*ordered("centre", "node")).distinct())
+    links = cut_lineage(verified(tested))
     roots = components(links, "long", cut_lineage)
-    rest = members.join(leaders.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti")
-    rest = rest.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    split = rest.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("bucket")
-    rest = cut_lineage(rest.join(split, "bucket", "left_semi"))
-    if rest.isEmpty():
-        return roots
-    other = rest.select("bucket", F.col("node").alias("other"), F.col("root").alias("other_root"))
-    cross = rest.join(other, "bucket").filter("root < other_root").select(*ordered("node", "other")).distinct()
-    bridges = cut_lineage(verified(cross.join(tested, ["a", "b"], "left_anti")))
-    if bridges.isEmpty():
-        return roots
-    return components(links.unionByName(bridges), "long", cut_lineage)
+
+    labelled = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    parts = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    split = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_roots"), F.max(F.struct("n", "root")).alias("top"))
+    split = split.select("bucket", "n", "n_roots", F.col("top.n").alias("n_main"), F.col("top.root").alias("main"))
+    rest = cut_lineage(labelled.join(cut_lineage(split.filter("n_roots > 1").drop("n_roots")), "bucket"))
+    small = rest.filter(F.col("n") <= PAIRED)
+    other = small.select("bucket", F.col("node").alias("other"), F.col("root").alias("other_root"))
+    pairs = small.join(other, "bucket").filter("root < other_root").select(*ordered("node", "other")).distinct()
+    more = verified(pairs.join(tested, ["a", "b"], "left_anti")).unionByName(block_links(rest.filter(F.col("n") > PAIRED), sets, similarity))
+    more = cut_lineage(more.distinct())
+    return roots if more.isEmpty() else components(links.unionByName(more), "long", cut_lineage)
+
+
+def block_links(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) links across components in large buckets, from (bucket, node, root, n, n_main, main).
+
+    A bucket is cut into blocks of members, and its members outside the main component into chunks; every
+    chunk meets every block. The links are exact, and a task holds the sets of a block and a chunk.
+    """
+    blocks, chunks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int"), F.ceil((F.col("n") - F.col("n_main")) / BLOCK_MEMBERS).cast("int")
+    place = F.xxhash64("node")
+    met = rest.select("bucket", "node", "root", F.lit(False).alias("aside"), F.pmod(place, blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+    aside = rest.filter("root <> main").select(
+        "bucket", "node", "root", F.lit(True).alias("aside"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(place, chunks).cast("int").alias("chunk")
+    )
+    dealt = met.unionByName(aside).join(sets, "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
+        aside = table.column("aside").to_numpy(zero_copy_only=False)
+        shingles = table.column("shingles").combine_chunks()
+        size = pa.compute.list_value_length(shingles).to_numpy().astype(np.int64)
+        owner = np.repeat(np.arange(len(node)), size)
+        _, code = np.unique(shingles.flatten().to_numpy(), return_inverse=True)
+        listed = owner[np.argsort(code, kind="stable")]
+        edges = np.concatenate([[0], np.cumsum(np.bincount(code))])
+        starts = np.cumsum(size) - size
+        a, b = [], []
+        for i in np.flatnonzero(aside):
+            mine = code[starts[i] : starts[i] + size[i]]
+            length = edges[mine + 1] - edges[mine]
+            common = np.bincount(listed[np.repeat(edges[mine], length) + ranges(length)], minlength=len(node))
+            found = np.flatnonzero(~aside & (root != root[i]) & (common >= similarity * (size + size[i] - common)))
+            # one link to a component joins it
+            found = found[np.unique(root[found], return_index=True)[1]]
+            a.append(np.minimum(node[i], node[found]))
+            b.append(np.maximum(node[i], node[found]))
+        empty = np.zeros(0, dtype=np.int64)
+        return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
+
+    return dealt.groupBy("bucket", "block", "chunk").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(
@@ -240,15 +264,15 @@ def near_duplicates(
     A class holds all rows that links of at least `similarity` (Jaccard, of sets of `size`-word shingles)
     connect; its id is its smallest document id, a null id last, and that row stays. Of rows that repeat
     that id and text one stays, and `n_tied` counts them. Equal sets are one node however many rows have
-    them. A text without words, null ones among them, is a class of its own. Only the named columns are
-    read, so others may have any name.
+    them. A text without words, null ones among them, is in a class with rows that repeat it and its id
+    only. Only the named columns are read, so others may have any name.
     """
     with Scratch(docs.sparkSession, "sketches") as scratch:
         sketched = sketches(docs, id_col, text_col, size, bands, rows, weigh)
         sketched = scratch.keep(sketched.withColumn("row", F.monotonically_increasing_id()))
         roots = find_links(sketched, scratch, similarity)
         plain = sketched.select("id", "tag", "row", "node")
-        own = F.concat(F.lit("row "), F.col("row").cast("string"))
+        own = F.concat_ws(" ", F.lit("id"), F.col("id").isNull(), F.coalesce(F.col("id").cast("string"), F.lit("")), "tag")
         label = F.coalesce(F.coalesce("root", "node").cast("string"), own)
         labelled = cut_lineage(plain.join(roots, "node", "left").select("id", "tag", "row", label.alias("label")))
     groups = (
