@@ -15,7 +15,6 @@ from lumenary.functions.vector import IMAGE_DIM, as_doubles, l2_normalize, mean_
 FRAME_WEIGHT, CAPTION_WEIGHT = 0.65, 0.35
 DEEP_DIM = 768
 TAGS_PER_VIDEO = 5
-PROMPT = "a video frame about "
 SCENE_PROMPTS = {
     "beach": "海边", "travel": "旅行", "office": "办公室", "home": "家里", "classroom": "教室", "night view": "夜景",
     "sunset": "日落", "indoor": "室内", "street": "街道", "food": "食物", "sport": "运动", "concert": "演出",

@@ -23,11 +23,13 @@ def ingest_batch(files: DataFrame, photos: DataFrame, videos: DataFrame) -> Data
     """Adds `outcome` to files (path, modificationTime, media_kind, sha256): imported, duplicate, unsupported.
 
     The first copy of a digest in a batch is a combinable minimum, so copies are reduced before the
-    shuffle. Files of no supported kind neither count nor claim a digest.
+    shuffle. Files of no supported kind neither count nor claim a digest. Of the catalog only digests of the
+    batch go further than the scan, by a semi-join that broadcasts the batch while it is small.
     """
     usable = files.filter("media_kind <> 'unsupported'")
     first = usable.groupBy("sha256").agg(F.min(F.struct(*[c.alias(n) for c, n in zip(_age(), ("age", "path"))]))["path"].alias("first"))
-    known = photos.select("sha256").unionByName(videos.select("sha256")).distinct().withColumn("known", F.lit(True))
+    catalog = photos.select("sha256").unionByName(videos.select("sha256"))
+    known = catalog.join(first.select("sha256"), "sha256", "left_semi").distinct().withColumn("known", F.lit(True))
     rows = files.join(first.join(known, "sha256", "left"), "sha256", "left")
     new = F.col("known").isNull() & (F.col("path") == F.col("first"))
     outcome = F.when(F.col("media_kind") == "unsupported", "unsupported").when(new, "imported").otherwise("duplicate")

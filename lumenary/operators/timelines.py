@@ -11,6 +11,7 @@ from lumenary.functions.text import distinct_concat, empty_strings
 from lumenary.functions.vector import normalize_bbox
 from lumenary.operators import identity as I
 from lumenary.operators.listing import lookup
+from lumenary.session import cut_lineage
 
 # Defaults of sampling, voting and moment selection.
 FRAMES, INTERVAL = 24, 1.0
@@ -132,6 +133,7 @@ def select_moments(
     base = moments.groupBy(*key, "timestamp_seconds").agg(F.max(value).alias("m")).select(
         *key, "m", F.pmod(F.xxhash64("timestamp_seconds"), F.lit(salts)).alias("salt")
     )
+    base = cut_lineage(base)  # every round reads it
     chosen = base.groupBy(*key, "salt").agg(F.max("m").alias("m")).groupBy(*key).agg(F.array(F.max("m")).alias("chosen"))
     salted = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
     for _ in range(n - 1):

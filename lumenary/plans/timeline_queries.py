@@ -119,6 +119,33 @@ def merge_passes(c: Catalog) -> DataFrame:
     return rows.select("video_id", piped(F.col("labels")).alias("labels"), piped(F.col("names")).alias("names"), "face_count")
 
 
+_MERGED = {
+    **VOTES,
+    "merged": (
+        "votes",
+        """SELECT * REPLACE (CASE WHEN seq%2=0 THEN seq ELSE seq+1+(SELECT coalesce(max(seq),0) FROM votes WHERE seq%2=0) END AS seq) FROM votes""",
+    ),
+}
+
+
+def merged_votes(c: Catalog) -> DataFrame:
+    return TL.merge_votes(votes(c, c.faces.filter("seq % 2 = 0")), votes(c, c.faces.filter("seq % 2 = 1")))
+
+
+@query("m5_merge_votes", "merged", "SELECT * FROM merged", _MERGED)
+def merge_votes(c: Catalog) -> DataFrame:
+    return merged_votes(c).drop("bbox")
+
+
+@query(
+    "m6_video_people_of_two_passes", "merged",
+    """SELECT video_id, person_id, person_name, min(seq) AS first_seq FROM merged GROUP BY ALL
+ HAVING max(score)>=0.30 OR (count(*)>=2 AND list_avg(list(score ORDER BY score DESC)[1:4])>=0.4)""", _MERGED,
+)
+def people_of_two_passes(c: Catalog) -> DataFrame:
+    return TL.video_people(merged_votes(c), THR)
+
+
 _PEOPLE = {
     **_VIDEO_SUMMARY,
     "vpeople": (
@@ -152,10 +179,11 @@ def moments(c: Catalog) -> DataFrame:
 
 
 @query(
-    "m8_assemble_videos", "vsum vpeople tagged videos",
+    "m8_assemble_videos", "vsum vpeople tagged things videos",
     """SELECT v.id, array_to_string(list_concat(v.people, list_filter(coalesce(s.names,[]), lambda x: NOT list_contains(v.people,x))),'|') AS people,
- array_to_string(list_concat(coalesce(t.tags,[]), v.scene_tags),'|') AS scene_tags, array_to_string(coalesce(s.labels,[]),'|') AS face_clusters,
- coalesce(s.face_count,0) AS face_count, v.sampled_frame_count+v.id%3 AS sampled_frame_count FROM videos v LEFT JOIN vsum s ON s.video_id=v.id LEFT JOIN tagged t ON t.video_id=v.id""",
+ array_to_string(list_concat(coalesce(t.tags,[]), v.scene_tags),'|') AS scene_tags,
+ array_to_string(list_concat(coalesce(o.tags,[]), list_filter(v.object_tags, lambda x: NOT list_contains(coalesce(o.tags,[]),x))),'|') AS object_tags, array_to_string(coalesce(s.labels,[]),'|') AS face_clusters,
+ coalesce(s.face_count,0) AS face_count, v.sampled_frame_count+v.id%3 AS sampled_frame_count FROM videos v LEFT JOIN vsum s ON s.video_id=v.id LEFT JOIN tagged t ON t.video_id=v.id LEFT JOIN things o ON o.video_id=v.id""",
     {**_PEOPLE, **TAG_VIEWS},
 )
 def assemble(c: Catalog) -> DataFrame:
@@ -165,11 +193,11 @@ def assemble(c: Catalog) -> DataFrame:
     )
     rows = TL.assemble_videos(
         analysed, _summary(c, c.faces), TL.video_people(found, THR), FE.zero_shot_tags(c.faces, prompts(c), dim=DIM),
-        TL.select_moments(found.drop("person_id")),
+        TL.select_moments(found.drop("person_id")), FE.zero_shot_tags(c.faces, prompts(c, FE.OBJECT_PROMPTS), dim=DIM),
     )
     return rows.select(
         "id", piped(F.col("people")).alias("people"), piped(F.col("scene_tags")).alias("scene_tags"),
-        piped(F.col("face_clusters")).alias("face_clusters"), "face_count", "sampled_frame_count",
+        piped(F.col("object_tags")).alias("object_tags"), piped(F.col("face_clusters")).alias("face_clusters"), "face_count", "sampled_frame_count",
     )
 
 

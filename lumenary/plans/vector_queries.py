@@ -178,25 +178,30 @@ def video_examples(c: Catalog) -> DataFrame:
     return rows.select("video_id", flat_vector(F.col("vector")).alias("vector"))
 
 
-def prompts(c: Catalog) -> DataFrame:
-    """The scene vocabulary with vectors of the embeddings table."""
-    tags = list(FE.SCENE_PROMPTS.values())
+def prompts(c: Catalog, vocabulary: dict[str, str] = FE.SCENE_PROMPTS) -> DataFrame:
+    """A vocabulary with vectors of the embeddings table: the first for scenes, those after them for objects."""
+    tags, first = list(vocabulary.values()), _FIRST[id(vocabulary)]
     words = F.array(*map(F.lit, tags))
-    return c.vectors.filter(F.col("vec_id") < len(tags)).select(
-        F.col("vec_id").alias("no"), F.element_at(words, (F.col("vec_id") + 1).cast("int")).alias("tag"), "embedding"
+    no = F.col("vec_id") - first
+    return c.vectors.filter((no >= 0) & (no < len(tags))).select(
+        F.col("vec_id").alias("no"), F.element_at(words, (no + 1).cast("int")).alias("tag"), "embedding"
     )
 
 
-_TAG_LIST = "[" + ",".join(f"'{t}'" for t in FE.SCENE_PROMPTS.values()) + "]"
-TAG_VIEWS = {
-    **_POOL,
-    "tagged": (
+_FIRST = {id(FE.SCENE_PROMPTS): 0, id(FE.OBJECT_PROMPTS): len(FE.SCENE_PROMPTS)}
+
+
+def _tagged_sql(vocabulary: dict[str, str]) -> tuple[str, str]:
+    tags, first = "[" + ",".join(f"'{t}'" for t in vocabulary.values()) + "]", _FIRST[id(vocabulary)]
+    return (
         "frame_mean vec",
-        f"""SELECT video_id, list(tag ORDER BY rank) AS tags FROM (SELECT m.video_id, {_TAG_LIST}[p.vec_id+1] AS tag, round(list_dot_product(m.m,p.e),6) AS s,
- row_number() OVER (PARTITION BY m.video_id ORDER BY round(list_dot_product(m.m,p.e),6) DESC, p.vec_id DESC) AS rank FROM frame_mean m, vec p WHERE p.vec_id<{len(FE.SCENE_PROMPTS)})
- WHERE rank<=5 AND s>=0.000001 GROUP BY video_id""",
-    ),
-}
+        f"""SELECT video_id, list(tag ORDER BY rank) AS tags FROM (SELECT m.video_id, {tags}[p.vec_id-{first}+1] AS tag, round(list_dot_product(m.m,p.e),6) AS s,
+ row_number() OVER (PARTITION BY m.video_id ORDER BY round(list_dot_product(m.m,p.e),6) DESC, p.vec_id DESC) AS rank FROM frame_mean m, vec p
+ WHERE p.vec_id>={first} AND p.vec_id<{first + len(vocabulary)}) WHERE rank<=5 AND s>=0.000001 GROUP BY video_id""",
+    )
+
+
+TAG_VIEWS = {**_POOL, "tagged": _tagged_sql(FE.SCENE_PROMPTS), "things": _tagged_sql(FE.OBJECT_PROMPTS)}
 
 
 @query("v12_zero_shot_tags", "tagged", "SELECT video_id, array_to_string(tags,'|') AS tags FROM tagged", TAG_VIEWS)
@@ -204,6 +209,11 @@ def tags(c: Catalog) -> DataFrame:
     return FE.zero_shot_tags(c.faces, prompts(c), dim=DIM).select("video_id", piped(F.col("tags")).alias("tags"))
 
 
+@query("v12_object_tags", "things", "SELECT video_id, array_to_string(tags,'|') AS tags FROM things", TAG_VIEWS)
+def object_tags(c: Catalog) -> DataFrame:
+    return FE.zero_shot_tags(c.faces, prompts(c, FE.OBJECT_PROMPTS), dim=DIM).select("video_id", piped(F.col("tags")).alias("tags"))
+
+
 @query("v13_centroids", "persons", f"SELECT id AS person_id, {flat('centroid', 6)} AS centroid FROM persons WHERE centroid IS NOT NULL")
 def centroids(c: Catalog) -> DataFrame:
     return I.centroids(c.samples, dim=DIM).select("person_id", flat_vector(F.col("centroid"), 6).alias("centroid"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -34,6 +35,14 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "12g
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to executors that don't share the driver's folders; `--py-files` does the same."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    held = tempfile.mkdtemp(prefix="spark-")
+    archive = shutil.make_archive(os.path.join(held, "lumenary"), "zip", os.path.dirname(root), os.path.basename(root))
+    spark.sparkContext.addPyFile(archive)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: `spark.checkpoint.dir`.
 
