@@ -182,6 +182,16 @@ def _page(hits: DataFrame, requests: Sequence[SearchRequest]) -> DataFrame:
     return page.join(F.broadcast(totals), "query_no")
 
 
+def photo_results(hits: DataFrame, photos: DataFrame, clusters: DataFrame, persons: DataFrame) -> DataFrame:
+    """The enriched photos of a search, with query_no, score, rank and total of their hits.
+
+    `hits` is one page per request, so it is broadcast to the photos; only its photos meet their names.
+    """
+    page = hits.select("id", "query_no", "score", "rank", "total")
+    wanted = photos.join(F.broadcast(page.select("id").distinct()), "id", "left_semi")
+    return page.join(enrich_photos(wanted, clusters, persons), "id")
+
+
 def search_photos(photos: DataFrame, clusters: DataFrame, persons: DataFrame, requests: Sequence[SearchRequest]) -> DataFrame:
     """(query_no, id, created_at, score, rank, total) for each request."""
     requests = _with_people(requests, persons)

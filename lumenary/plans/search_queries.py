@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenary.operators import search as S
 from lumenary.operators.search import SearchRequest
-from lumenary.plans.catalog import DIM, THR, Catalog, stamp
+from lumenary.plans.catalog import DIM, THR, Catalog, piped, stamp
 from lumenary.plans.check_sql import TOKENS, text_vectors
 from lumenary.plans.check_sql import stamp as sql_stamp
 from lumenary.plans.registry import query
@@ -77,6 +77,17 @@ def search_photos(c: Catalog) -> DataFrame:
     return hits.select("query_no", "id", "score", "rank", "total")
 
 
+@query(
+    "q4_photo_results", f"{_views} rich_photos",
+    f"""SELECT h.query_no, h.rank, h.total, h.score, h.id, m.storage_path, m.source_name, array_to_string(m.people,'|') AS people
+ FROM ({_sql}) h JOIN rich_photos m ON m.id=h.id""", _extra,
+)
+def photo_results(c: Catalog) -> DataFrame:
+    hits = S.search_photos(c.photos_with_text_vector, c.clusters, c.persons, REQUESTS)
+    rows = S.photo_results(hits, c.photos, c.clusters, c.persons)
+    return rows.select("query_no", "rank", "total", "score", "id", "storage_path", "source_name", piped(F.col("people")).alias("people"))
+
+
 _VIDEO_VEC = {"video_hash": ("videos", text_vectors("videos", "id", "coalesce(caption,'')||chr(10)||coalesce(ocr_text,'')"))}
 _v_views, _v_sql, _v_extra = _search_sql("rich_videos", "video_hash", False, REQUESTS)
 
