@@ -58,7 +58,7 @@ def build_index(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id",
     """
     rows = docs.select(document(F.col(id_col), F.col(text_col)).alias("doc"), words(F.col(text_col)).alias("all"))
     placed = rows.select("doc", F.size("all").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), "all")).alias("pos", "term"))
-    vocabulary = vocabulary.select("term").union(vocabulary.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    vocabulary = vocabulary.select("term").union(vocabulary.sparkSession.range(1).select(F.lit(""))).distinct()
     return placed.join(if_small(cut_lineage(vocabulary)), "term").select("doc", "n_words", "pos", "term")
 
 

@@ -23,7 +23,9 @@ UNKNOWN = "und"
 CROPS, CROP_CHARS = 400, 96
 #: Units of each direction, bytes of a segment of a text, and segments that are read at once.
 UNITS, SEGMENT, BLOCK = 8, 128, 4096
-EPOCHS, BATCH, RATE = 12, 160, 0.015
+STEPS, BATCH, RATE = 130, 160, 0.015
+#: Crops of one text at most, where a language has few texts.
+CROPS_EACH = 8
 
 
 @dataclass
@@ -98,7 +100,7 @@ def gradients(table, recurrent, codes, out, kept, d_out) -> tuple[np.ndarray, np
     return flat @ which, d_rec
 
 
-def train(texts: list[bytes], labels: list[str], units: int = UNITS, epochs: int = EPOCHS, seed: int = 7) -> Network:
+def train(texts: list[bytes], labels: list[str], units: int = UNITS, steps: int = STEPS, seed: int = 7) -> Network:
     """Fit by Adam on the cross entropy of every position; the order of the rows doesn't matter beforehand."""
     languages = sorted(set(labels))
     order = sorted(range(len(texts)), key=lambda i: (texts[i], labels[i]))
@@ -112,6 +114,7 @@ def train(texts: list[bytes], labels: list[str], units: int = UNITS, epochs: int
     w = {k: (rng.standard_normal(s) * (0.5 if k[-1] == "x" else 0.3)).astype(np.float32) for k, s in shapes.items()}
     w["out"][:] = 0
     first, second, step = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0
+    epochs = -(-steps // max(1, -(-n // BATCH)))
     total = max(1, epochs * -(-n // BATCH))
     for _ in range(epochs):
         shuffled = rng.permutation(n)
@@ -163,10 +166,12 @@ def training_crops(docs: DataFrame, held_out: Column, id_col: str, text_col: str
     if not share:
         return []
     limits = F.create_map(*[F.lit(x) for k, v in sorted(share.items()) for x in (k, v)])
-    place = (F.xxhash64(F.col(id_col).cast("string"), F.length(text)) % 1_000_003 + 1_000_003) % 1_000_003 / 1_000_003
+    each = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(CROPS_EACH, -(-crops // n)))])
+    rows = rows.withColumn("crop_no", F.explode(F.sequence(F.lit(1), each[lang.cast("string")])))
+    place = (F.xxhash64(F.col(id_col).cast("string"), F.length(text), "crop_no") % 1_000_003 + 1_000_003) % 1_000_003 / 1_000_003
     start = F.lit(1) + (place * F.greatest(F.length(text) - CROP_CHARS + 1, F.lit(1))).cast("int")
     chosen = (
-        rows.select(F.xxhash64(F.lit("crop"), F.col(id_col).cast("string"), F.crc32(text)).alias("h"), lang.cast("string").alias("lang"),
+        rows.select(F.xxhash64(F.lit("crop"), F.col(id_col).cast("string"), F.crc32(text), "crop_no").alias("h"), lang.cast("string").alias("lang"),
                     F.substring(text, start, F.lit(CROP_CHARS)).alias("crop"))
         .filter((F.col("h") % 1_000_003 + 1_000_003) % 1_000_003 / 1_000_003 < limits[F.col("lang")])
         .select("h", "lang", "crop")
@@ -180,6 +185,8 @@ def training_crops(docs: DataFrame, held_out: Column, id_col: str, text_col: str
 def predict_texts(texts: pa.Array, network: Network) -> tuple[list[str], np.ndarray]:
     """Language and pooled probability of each text, over all of its bytes."""
     n, many = len(texts), len(network.languages)
+    if not many:
+        return [UNKNOWN] * n, np.zeros(n)
     readable = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
     held = pc.if_else(pa.array(readable), texts, "").cast(pa.large_binary())
     lengths = pc.binary_length(held).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -204,8 +211,7 @@ def predict_texts(texts: pa.Array, network: Network) -> tuple[list[str], np.ndar
         for k in range(many):
             sums[:, k] += np.bincount(owner[rows], pooled[:, k], n)
     mean = sums / np.maximum(lengths, 1)[:, None]
-    best = mean.argmax(axis=1) if many else np.zeros(n, dtype=int)
-    known = readable & (many > 0)
+    best, known = mean.argmax(axis=1), readable
     names = [network.languages[b] if ok else UNKNOWN for b, ok in zip(best, known)]
     return names, np.where(known, np.clip(mean.max(axis=1, initial=0), 0, 1), 0.0)
 
