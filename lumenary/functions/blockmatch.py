@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumenary.functions.vector import dense, unit_rows
-from lumenary.session import spread_groups
+from lumenary.session import cut_lineage, spread_groups
 
 BROADCAST_ROWS = 20_000
+BROADCAST_BYTES = 128 << 20
 BLOCK_ROWS = 8_192
 CELLS = 4_000_000  # similarity cells held at once inside a task
 
@@ -47,15 +48,17 @@ class Side:
         )
 
 
-def fetch_if_small(df: DataFrame, limit: int) -> pa.Table | None:
-    """All rows when there are at most `limit`, else None.
+def fetch_if_small(df: DataFrame, limit: int, dim: int | None = None) -> pa.Table | None:
+    """All rows when there are at most `limit`, and their vectors are within BROADCAST_BYTES, else None.
 
-    `take` reads partition after partition and stops at limit + 1 rows, so a large table costs no
-    more than that.
+    Rows are counted first, without their vectors and no further than the limit, so a large table costs
+    little and sends nothing.
     """
-    rows = df.take(limit + 1)
-    if len(rows) > limit:
+    if dim:
+        limit = min(limit, BROADCAST_BYTES // (8 * dim))
+    if df.select(F.lit(1)).limit(limit + 1).count() > limit:
         return None
+    rows = df.collect()
     columns = zip(*rows) if rows else [()] * len(df.columns)
     schema = to_arrow_schema(df.schema)
     return pa.table([pa.array(values, f.type) for values, f in zip(columns, schema)], schema=schema)
@@ -154,8 +157,8 @@ def nearest(
     def empty() -> pd.DataFrame:
         return pd.DataFrame({"lkey": [], "rkey": [], "score": [], "rtie": []})
 
-    small_right = fetch_if_small(rpack, broadcast_rows)
-    small_left = None if small_right is not None else fetch_if_small(lpack, broadcast_rows)
+    small_right = fetch_if_small(rpack, broadcast_rows, dim)
+    small_left = None if small_right is not None else fetch_if_small(lpack, broadcast_rows, dim)
 
     def run(lk, lv, rk, rv, rt) -> Iterator[pd.DataFrame]:
         lm, lok = matrix_of(lv, dim)
@@ -202,41 +205,55 @@ def nearest(
 def forest_edges(side: Side, *, dim: int, floor: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Edges (a, b) that connect exactly the rows linked by chains of cosine >= floor.
 
-    Each pair of blocks reports a star per component it sees, so at most one edge per row and block
-    pair leaves a task, however dense the graph is.
+    First every block links its own rows to the root of their component in the block. A pair of blocks then
+    reports at most one edge per such component, however dense the graph is: one dense component over all
+    rows gives the rows plus the block pairs.
     """
     packed = side.packed("l").select("lkey", "lvec")
     n = block_count(packed, block_rows)
     ktype = dict(side.df.dtypes)[side.key]
     homed = packed.withColumn("home", F.pmod(F.xxhash64("lkey"), n))
-    # a row goes to every unordered block pair that holds its home block
-    spread = homed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))).withColumn(
-        "lo", F.least("home", "other")
-    ).withColumn("hi", F.greatest("home", "other"))
 
-    def stars(pdf: pd.DataFrame) -> pd.DataFrame:
+    def near(one: np.ndarray, two: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        step = max(1, CELLS // max(1, len(two)))
+        for start in range(0, len(one), step):
+            rows, cols = np.nonzero(np.round(one[start : start + step] @ two.T, 6) >= floor)
+            yield rows + start, cols
+
+    def own_roots(pdf: pd.DataFrame) -> pd.DataFrame:
         matrix, ok = matrix_of(pdf["lvec"], dim)
-        keys = pdf["lkey"].to_numpy()[ok]
-        unit = unit_rows(matrix[ok])
+        pdf, unit = pdf[ok], unit_rows(matrix[ok])
+        keys = pdf["lkey"].to_numpy()
+        links = [_forest(rows, cols, len(keys)) for rows, cols in near(unit, unit)]
         label = np.argsort(np.argsort(keys))
-        step = max(1, CELLS // max(1, len(keys)))
-        links = []
-        for start in range(0, len(keys), step):
-            rows, cols = np.nonzero(np.round(unit[start : start + step] @ unit.T, 6) >= floor)
-            rows = rows + start
-            # the lowest neighbour of a row is enough for a first pass; the rest is folded below
-            links.append(_forest(rows, cols, len(keys)))
         if links:
-            rows = np.concatenate([x[0] for x in links])
-            cols = np.concatenate([x[1] for x in links])
-            label = _components(rows, cols, label)
-        root_of = np.empty(len(keys), dtype=keys.dtype)
-        order = np.sort(keys)
-        root_of[:] = order[label] if len(keys) else []
-        moved = root_of != keys
-        return pd.DataFrame({"a": keys[moved], "b": root_of[moved]})
-
-    return spread_groups(spread, "lo", "hi").groupBy("lo", "hi").applyInPandas(stars, f"a {ktype}, b {ktype}")
+            label = _components(np.concatenate([x[0] for x in links]), np.concatenate([x[1] for x in links]), label)
+        return pdf.assign(root=np.sort(keys)[label] if len(keys) else keys)
+
+    local = cut_lineage(
+        spread_groups(homed, "home").groupBy("home").applyInPandas(own_roots, f"lkey {ktype}, lvec array<double>, home long, root {ktype}")
+    )
+    # a row goes to every pair of its own block with another
+    spread = local.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))).filter("other <> home").withColumns(
+        {"lo": F.least("home", "other"), "hi": F.greatest("home", "other")}
+    )
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = (pdf["home"] == pdf["lo"]).to_numpy()
+        matrix, _ = matrix_of(pdf["lvec"], dim)
+        unit = unit_rows(matrix)
+        roots, code = np.unique(pdf["root"].to_numpy(), return_inverse=True)
+        one, two = code[first], code[~first]
+        pairs = [np.unique(np.stack([one[rows], two[cols]]), axis=1) for rows, cols in near(unit[first], unit[~first])]
+        if not pairs:
+            return pd.DataFrame({"a": [], "b": []})
+        rows, cols = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        label = _components(rows, cols, np.arange(len(roots)))
+        moved = label != np.arange(len(roots))
+        return pd.DataFrame({"a": roots[moved], "b": roots[label[moved]]})
+
+    crossed = spread_groups(spread, "lo", "hi").groupBy("lo", "hi").applyInPandas(across, f"a {ktype}, b {ktype}")
+    return local.filter("lkey <> root").select(F.col("lkey").alias("a"), F.col("root").alias("b")).unionByName(crossed)
 
 
 def _forest(rows: np.ndarray, cols: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

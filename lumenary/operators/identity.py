@@ -161,7 +161,7 @@ def rank_persons(
                 keys[part], np.where(scores > 0, scores, -np.inf), gallery.keys, gallery.ties, k
             ).assign(watched=False)
 
-    small = bm.fetch_if_small(right, broadcast_rows)
+    small = bm.fetch_if_small(right, broadcast_rows, dim)
     if small is not None:
         shared = left.sparkSession.sparkContext.broadcast(small)
 
@@ -224,7 +224,7 @@ def _rank_in_blocks(left, right, score, schema: str, ltype: str, rtype: str, dim
                         )
                     )
         cols = ["lkey", "rkey", "rtie", "central", "tops", "want"]
-        return pd.concat(out)[cols] if out else pd.DataFrame({c: [] for c in cols})
+        return pd.concat(out)[cols] if out else pd.DataFrame({c: pd.Series(dtype=object) for c in cols})
 
     # pieces of one person differ, so spread them by vector rather than by person
     pieces = split.withColumn("piece", F.xxhash64("rkey", "rvec"))

@@ -38,10 +38,10 @@ def preview_clusters(clusters: DataFrame, dim: int = I.FACE_DIM, limit: int | No
     return rows if limit is None else rows.orderBy(F.desc("updated_at"), F.desc("id")).limit(limit)
 
 
-def merge_scores(clusters: DataFrame, dim: int = I.FACE_DIM) -> DataFrame:
+def merge_scores(clusters: DataFrame, dim: int = I.FACE_DIM, **sizes) -> DataFrame:
     """(label, neighbor_label, score): the best other cluster by plain dot product."""
     side = Side(clusters, "label", "centroid", "updated_at")
-    hits = bm.nearest(side, side, dim=dim, k=1, floor=float("-inf"), metric="dot", skip_self=True)
+    hits = bm.nearest(side, side, dim=dim, k=1, floor=float("-inf"), metric="dot", skip_self=True, **sizes)
     return hits.select("label", F.col("match_label").alias("neighbor_label"), "score")
 
 

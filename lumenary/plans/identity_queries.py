@@ -31,6 +31,15 @@ def assign(c: Catalog) -> DataFrame:
     return assigned(c)
 
 
+# what large tables take: no side is fetched, blocks meet in pairs
+BLOCKS = {"broadcast_rows": 0, "block_rows": 256}
+
+
+@query("c1_assign_clusters_in_blocks", "face_cluster", "SELECT face_id, label, score FROM face_cluster")
+def assign_in_blocks(c: Catalog) -> DataFrame:
+    return I.assign_clusters(c.faces, c.clusters, THR, DIM, **BLOCKS)
+
+
 _LINKS = {
     "lonely": ("faces face_cluster", "SELECT face_id, embedding FROM faces WHERE face_id NOT IN (SELECT face_id FROM face_cluster)"),
     "linked": ("lonely", "SELECT a.face_id AS a, b.face_id AS b FROM lonely a, lonely b WHERE a.face_id<>b.face_id AND round(list_cosine_similarity(a.embedding,b.embedding),6)>=0.30"),
@@ -47,6 +56,12 @@ def form(c: Catalog) -> DataFrame:
     return I.form_clusters(lonely, THR, DIM)
 
 
+@query("c2_form_clusters_in_blocks", "lonely linked", _FORMED, _LINKS)
+def form_in_blocks(c: Catalog) -> DataFrame:
+    lonely = c.faces.join(assigned(c).select("face_id"), "face_id", "left_anti")
+    return I.form_clusters(lonely, THR, DIM, block_rows=64)
+
+
 _FOLD = """SELECT label, {0} AS centroid, folded FROM (SELECT c.label, len(f.es) AS folded, list_reduce(f.es, lambda acc, e:
  list_transform(range(1,65), lambda i: round((0.7::DOUBLE*acc[i]+0.3::DOUBLE*e[i])/sqrt(0.49::DOUBLE*list_dot_product(acc,acc)+0.42::DOUBLE*list_dot_product(acc,e)+0.09::DOUBLE*list_dot_product(e,e)),6)), c.centroid) AS centroid
  FROM clusters c JOIN (SELECT a.label, list(f.embedding ORDER BY f.seq) AS es FROM face_cluster a JOIN faces f ON f.face_id=a.face_id GROUP BY a.label) f ON f.label=c.label)"""
@@ -64,6 +79,11 @@ def rank(c: Catalog) -> DataFrame:
     return I.rank_persons(Side(c.faces, "face_id", "embedding"), c.persons, c.samples, 5, DIM)
 
 
+@query("c4_rank_persons_in_blocks", "face_rank", "SELECT face_id, person_id, score, r AS rank FROM face_rank WHERE r<=5")
+def rank_in_blocks(c: Catalog) -> DataFrame:
+    return I.rank_persons(Side(c.faces, "face_id", "embedding"), c.persons, c.samples, 5, DIM, **BLOCKS)
+
+
 @query(
     "c5_match_persons", "face_match",
     "SELECT face_id, person_id, score FROM face_match WHERE score>=0.30 AND (second<=0 OR round(score-second,6)>=0.02)",

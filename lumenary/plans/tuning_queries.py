@@ -42,6 +42,11 @@ def merge_scores(c: Catalog) -> DataFrame:
     return merges(c)
 
 
+@query("a1_merge_scores_in_blocks", "merges", "SELECT label, neighbor_label, score FROM merges", _VIEWS)
+def merge_scores_in_blocks(c: Catalog) -> DataFrame:
+    return TU.merge_scores(TU.preview_clusters(c.clusters, DIM), DIM, broadcast_rows=0, block_rows=8)
+
+
 @query("a1_merge_preview", "merges", f"SELECT {_M.format(0.2, '')}, round(avg(score),6) AS mean_score FROM merges", _VIEWS)
 def merge_preview(c: Catalog) -> DataFrame:
     return TU.merge_preview(merges(c), 0.2)

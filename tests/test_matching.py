@@ -75,10 +75,13 @@ def test_clusters_are_connected_components(spark, block, floor):
     assert {r["face_id"]: r["root"] for r in got.collect()} == components(rows, floor)
 
 
-def test_forest_is_no_larger_than_rows_per_block_pair(spark):
-    df, _ = vectors(spark, 1, 5, "face_id", copies=200)
-    edges = bm.forest_edges(Side(df, "face_id", "vec"), dim=DIM, floor=0.9, block_rows=1000)
-    assert edges.count() == 200
+@pytest.mark.parametrize("blocks", [1, 20])
+def test_forest_of_one_dense_component(spark, blocks):
+    df, _ = vectors(spark, 1, 5, "face_id", copies=400)
+    n = df.count()
+    edges = bm.forest_edges(Side(df, "face_id", "vec"), dim=DIM, floor=0.9, block_rows=-(-n // blocks))
+    assert n - blocks <= edges.count() <= n + blocks * (blocks - 1) // 2
+    assert {r["root"] for r in bm.components(edges, "long", cut_lineage).collect()} == {df.agg(F.min("face_id")).first()[0]}
 
 
 def test_long_chain_components(spark):
