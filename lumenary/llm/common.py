@@ -48,6 +48,20 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep_parts(self, df: DataFrame, column: str, values: tuple) -> list[tuple[DataFrame, str]]:
+        """(table, folder) per value of a column, from one pass over `df`; `drop` takes a folder."""
+        self.paths.append(path := work_path(self.spark, self.name))
+        df.write.partitionBy(column).parquet(path)
+        schema = df.drop(column).schema
+        parts = [f"{path}/{column}={str(value).lower()}" for value in values]
+        for part in parts:  # a value without rows has no folder yet
+            self.spark.createDataFrame([], schema).write.mode("append").parquet(part)
+        return [(self.spark.read.schema(schema).parquet(part), part) for part in parts]
+
+    def drop(self, folder: str) -> None:
+        """Delete a part that is no longer read, before the block ends."""
+        remove(self.spark, folder)
+
     def __exit__(self, *_: object) -> None:
         for path in self.paths:
             remove(self.spark, path)

@@ -1,7 +1,7 @@
 """Language-model scores by deleted interpolation of unigram and bigram estimates.
 
-Counting and scoring share one exchange. A task turns about 16 MB of text into a batch: its tokens as codes,
-and its different unigrams and bigrams as sorted 64-bit keys with their training counts, cut into key ranges.
+Counting and scoring share one exchange. A task turns a few MB of text into a batch: its tokens as codes,
+and its different unigrams and bigrams as sorted keys with their training counts, cut into key ranges.
 One group per key range adds up the counts of all batches and answers each batch with the corpus counts of
 its own keys, in the order asked. So a frequent n-gram costs one entry per batch, no table of the corpus is
 held or broadcast anywhere, and tokens never travel with their documents.
@@ -22,11 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenary.llm.common import Scratch, shuffle_partitions, whole
-from lumenary.llm.tokens import MIX_A, STEP, mix, slices, word_codes, word_hashes
+from lumenary.llm.tokens import MIX_A, STEP, mix, release, slices, word_codes, word_hashes
 from lumenary.session import cut_lineage
 
 #: Text of a batch, and text for which there is one key range.
-BATCH_BYTES, RANGE_BYTES = 16 << 20, 128 << 20
+BATCH_BYTES, RANGE_BYTES = 4 << 20, 128 << 20
+#: Bits of a word's and of a bigram's key. Of 10^10 words about 700 pairs share a key; of 10^9 bigrams 1800 do.
+WORD_BITS, PAIR_BITS = 56, 48
 #: One training document in so many is in the deleted fold.
 FOLD = 16
 #: Buckets of context frequency: none, then by powers of two.
@@ -34,7 +36,7 @@ BUCKETS = 16
 #: Steps of an octave to which held-out probabilities are rounded for EM, and its iterations.
 OCTAVE, ROUNDS = 8, 40
 #: Keys of the end of a text and of the place before its first word; no word has them but by chance.
-END, START = np.uint64(0x5BD1E995A7C3F02B), np.uint64(0x27D4EB2F165667C5)
+END, START = np.uint64(0x5BD1E995A7C3F0), np.uint64(0x27D4EB2F165667)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -57,30 +59,35 @@ def unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data, "uint64"), dtype=np.uint64)
 
 
-def token_sequence(codes: np.ndarray, lengths: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def token_sequence(codes: np.ndarray, lengths: np.ndarray, end: int, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, token, document) codes of all tokens: each text's words and then its end."""
     ends = np.cumsum(lengths + 1) - 1
-    token = np.empty(len(codes) + len(lengths), dtype=np.int64)
-    is_end = np.zeros(len(token), dtype=bool)
-    is_end[ends] = True
-    token[is_end], token[~is_end] = n_words, codes
+    token = np.full(len(codes) + len(lengths), end, dtype=np.int32)
+    is_word = np.ones(len(token), dtype=bool)
+    is_word[ends] = False
+    token[is_word] = codes
     context = np.roll(token, 1)
-    context[ends - lengths] = n_words + 1
-    return context, token, np.repeat(np.arange(len(lengths)), lengths + 1)
+    context[ends - lengths] = start
+    return context, token, np.repeat(np.arange(len(lengths), dtype=np.int32), lengths + 1)
 
 
-def bigram_keys(hashes: np.ndarray, context: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return mix(mix(hashes[context] * STEP) + hashes[token] * MIX_A)
+def shortened(values: np.ndarray, bits: int) -> np.ndarray:
+    return values >> np.uint64(64 - bits)
 
 
-def key_ranges(keys: np.ndarray, parts: int) -> np.ndarray:
+def bigram_keys(words: np.ndarray, context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Keys of all places; `words` are the keys by code, the last one that of the start."""
+    return shortened(mix(mix(words * STEP)[context] + (words * MIX_A)[token]), PAIR_BITS)
+
+
+def key_ranges(keys: np.ndarray, bits: int, parts: int) -> np.ndarray:
     """Edges of the key ranges in sorted keys."""
-    which = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    which = ((keys >> np.uint64(bits - 32)) * np.uint64(parts)) >> np.uint64(32)
     return np.searchsorted(which, np.arange(parts + 1, dtype=np.uint64))
 
 
 ASKED = "batch string, fold boolean, part int, unigrams binary, unigram_counts binary, bigrams binary, bigram_counts binary"
-STATE = "codes binary, lengths binary, hashes binary, held binary"
+STATE = "codes binary, lengths binary, words binary, held binary"
 
 
 def ask(docs: DataFrame, parts: int) -> DataFrame:
@@ -92,22 +99,22 @@ def ask(docs: DataFrame, parts: int) -> DataFrame:
         table = pa.Table.from_batches(held).combine_chunks()
         codes, starts, names = word_codes(table.column("text").combine_chunks())
         lengths = np.diff(starts)
-        words, codes = np.unique(codes, return_inverse=True)
-        hashes = np.concatenate([word_hashes(names)[words], [END, START]]).astype(np.uint64)
+        used, codes = np.unique(codes, return_inverse=True)
+        words, spot = np.unique(np.append(shortened(mix(word_hashes(names)[used]), WORD_BITS), END), return_inverse=True)
+        codes = spot[codes].astype(np.int32)
         out = table.column("held_out").to_numpy()
-        context, token, doc = token_sequence(codes, lengths, len(words))
+        context, token, doc = token_sequence(codes, lengths, spot[-1], len(words))
         learned = ~out[doc]
         batch = uuid.uuid4().hex
-        unigram, spot = np.unique(mix(hashes[:-1]), return_inverse=True)
-        unigram_n = np.bincount(spot[token], learned, len(unigram)).astype(np.uint32)
-        bigram, spot = np.unique(bigram_keys(hashes, context, token), return_inverse=True)
-        bigram_n = np.bincount(spot, learned, len(bigram)).astype(np.uint32)
-        u, b = key_ranges(unigram, parts), key_ranges(bigram, parts)
+        word_n = np.bincount(token[learned], minlength=len(words)).astype(np.uint32)
+        bigram, spot = np.unique(bigram_keys(np.append(words, START), context, token), return_inverse=True)
+        bigram_n = np.bincount(spot[learned], minlength=len(bigram)).astype(np.uint32)
+        u, b = key_ranges(words, WORD_BITS, parts), key_ranges(bigram, PAIR_BITS, parts)
         spans = [(slice(u[p], u[p + 1]), slice(b[p], b[p + 1])) for p in range(parts)]
-        asked = [(p, pack_keys(unigram[i]), pack(unigram_n[i]), pack_keys(bigram[j]), pack(bigram_n[j])) for p, (i, j) in enumerate(spans)]
+        asked = [(p, pack_keys(words[i]), pack(word_n[i]), pack_keys(bigram[j]), pack(bigram_n[j])) for p, (i, j) in enumerate(spans)]
         columns = list(zip(*asked, (-1, None, None, None, None)))
         n, empty = len(columns[0]), [None] * parts
-        state = [pack(codes.astype(np.uint32)), pack(lengths.astype(np.uint32)), pack(hashes), pack(out.astype(np.uint8))]
+        state = [pack(codes.astype(np.uint32)), pack(lengths.astype(np.uint32)), pack_keys(words), pack(out.astype(np.uint8))]
         ids = table.column("id").combine_chunks()
         lists = pa.ListArray.from_arrays(pa.array([0] * (parts + 1) + [len(ids)], pa.int32()), ids)
         arrays = [pa.array([batch] * n), pa.array([fold] * n), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])]
@@ -127,6 +134,7 @@ def ask(docs: DataFrame, parts: int) -> DataFrame:
                     if size[fold] >= BATCH_BYTES:
                         yield from rows_of(held[fold], fold)
                         held[fold], size[fold] = [], 0
+                        release()
         for fold in (False, True):
             if held[fold]:
                 yield from rows_of(held[fold], fold)
@@ -182,17 +190,17 @@ class Batch:
         rows = table.sort_by("part").to_pylist()
         state, answers = rows[0], rows[1:]
         suffix = "_left" if deleted else ""
-        codes, lengths = unpack(state["codes"], "uint32").astype(np.int64), unpack(state["lengths"], "uint32").astype(np.int64)
-        hashes = unpack(state["hashes"], "uint64")
+        codes, lengths = unpack(state["codes"], "uint32"), unpack(state["lengths"], "uint32").astype(np.int64)
+        words = unpack_keys(state["words"])
         self.ids, self.held = state["ids"], unpack(state["held"], "uint8").astype(bool)
-        context, token, self.doc = token_sequence(codes, lengths, len(hashes) - 2)
-        _, spot = np.unique(mix(hashes[:-1]), return_inverse=True)
-        counts = np.concatenate([unpack(a[f"unigrams{suffix}"], "uint32") for a in answers])[spot].astype(float)
+        end = np.searchsorted(words, END)
+        context, token, self.doc = token_sequence(codes, lengths, end, len(words))
+        counts = np.concatenate([unpack(a[f"unigrams{suffix}"], "uint32") for a in answers])
         self.count = counts[token]
         # a place before a first word is as frequent as the end of a text
-        self.context_count = np.append(counts, counts[-1])[context]
-        _, spot = np.unique(bigram_keys(hashes, context, token), return_inverse=True)
-        self.pair_count = np.concatenate([unpack(a[f"bigrams{suffix}"], "uint32") for a in answers])[spot].astype(float)
+        self.context_count = np.append(counts, counts[end])[context]
+        _, spot = np.unique(bigram_keys(np.append(words, START), context, token), return_inverse=True)
+        self.pair_count = np.concatenate([unpack(a[f"bigrams{suffix}"], "uint32") for a in answers])[spot]
 
     def estimates(self, tokens: int) -> tuple[np.ndarray, np.ndarray]:
         """Maximum-likelihood estimates of the bigram and the unigram model."""
@@ -237,7 +245,7 @@ def expectation_maximisation(bucket: np.ndarray, estimates: np.ndarray, n: np.nd
 def joined(states: DataFrame, answers: DataFrame) -> DataFrame:
     """All rows of a batch under one schema: its codes at part -1, and the answers by part."""
     wanted = states.select("batch").distinct()
-    return states.select("batch", "part", "codes", "lengths", "hashes", "held", "ids").unionByName(
+    return states.select("batch", "part", "codes", "lengths", "words", "held", "ids").unionByName(
         answers.join(wanted, "batch", "left_semi").select("batch", "part", "unigrams", "unigrams_left", "bigrams", "bigrams_left"), allowMissingColumns=True
     )
 
@@ -263,12 +271,15 @@ def score_documents(docs: DataFrame, held: Column, id_col: str = "doc_id", text_
     parts = max(shuffle_partitions(spark), -(-size // RANGE_BYTES))
     out = "id {}, held_out boolean, n_tokens long, n_known long, base_score double, score double".format(kind)
     with Scratch(spark, "lm") as scratch:
-        asked = scratch.keep(ask(rows, parts))
-        answers = cut_lineage(answer(asked.filter("part >= 0").select(*[x.split()[0] for x in ASKED.split(", ")])))
+        (asked, asked_folder), (states, _) = scratch.keep_parts(ask(rows, parts).withColumn("is_state", F.col("part") < 0), "is_state", (False, True))
+        answers = cut_lineage(answer(asked.select(*[x.split()[0] for x in ASKED.split(", ")])))
+        scratch.drop(asked_folder)
         total = answers.filter("batch is null").agg(*[F.sum(c) for c in ("tokens", "words", "tokens_left", "words_left")]).first()
         tokens, words, tokens_left, words_left = (x or 0 for x in total)
-        answers, states = answers.filter("batch is not null"), asked.filter("part = -1")
+        answers = answers.filter("batch is not null")
         weights = learn_weights(states, answers, tokens_left, words_left)
+        if not tokens:
+            weights[:] = 0, 0, 1
 
         def score(table: pa.Table) -> pa.Table:
             batch = Batch(table, False)
