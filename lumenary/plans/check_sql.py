@@ -188,7 +188,10 @@ for _kind in ("photo", "video"):
  FROM {_kind}s m LEFT JOIN {_kind}_names n ON n.id=m.id""",
     )
 
-TOKENS = "regexp_extract_all(lower({0}), '[a-zA-Z0-9_]+')"
+TOKENS = (
+    "flatten(list_transform(regexp_extract_all(lower({0}), '[a-zA-Z0-9_]+|[一-鿿]+'), lambda r: CASE WHEN regexp_matches(r, '[一-鿿]')"
+    " THEN list_concat([r], list_transform(range(1, length(r)), lambda i: substr(r, i, 2))) ELSE [r] END))"
+)
 
 
 def text_vectors(source: str, key: str, text: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenary.functions import text as X
@@ -40,6 +40,28 @@ def normalize(c: Catalog) -> DataFrame:
     return c.texts("conversations").select("conv_id", "turn", X.normalize_name(raw).alias("name_key"))
 
 
+# the given texts hold no CJK, so some is added on both sides
+_MIXED_SQL = "text||CASE doc_id%3 WHEN 0 THEN ' 海边日落photo图 2024年' WHEN 1 THEN '，去旅行 一' ELSE '' END"
+
+
+def _mixed() -> Column:
+    kind = F.col("doc_id") % 3
+    return F.concat("text", F.when(kind == 0, " 海边日落photo图 2024年").when(kind == 1, "，去旅行 一").otherwise(""))
+
+
+@query("t1_tokenize_cjk", sql=f"SELECT doc_id, {sql_piped(TOKENS.format(_MIXED_SQL))} AS tokens FROM documents")
+def tokenize_cjk(c: Catalog) -> DataFrame:
+    return c.texts("documents").select("doc_id", piped(X.tokenize(_mixed())).alias("tokens"))
+
+
+@query(
+    "t2_text_hash_vector_cjk", "tv",
+    f"SELECT doc_id, {sql_flat('v')} AS vector FROM tv", {"tv": ("", text_vectors("documents", "doc_id", _MIXED_SQL))},
+)
+def text_hash_cjk(c: Catalog) -> DataFrame:
+    return c.texts("documents").select("doc_id", flat_vector(X.text_hash_vector(_mixed())).alias("vector"))
+
+
 NAME_KEY_SQL = f"""SELECT id, array_to_string((CASE WHEN len(named)>0 THEN named ELSE uncopied END)[1:6],' ') AS name_key FROM (
  SELECT id, uncopied, list_filter(uncopied, lambda t: NOT list_contains({_GENERIC.replace('(', '[').replace(')', ']')}, t)) AS named FROM (
  SELECT id, list_filter(toks[1:greatest(1, list_max(list_concat([1], list_transform(range(1,len(toks)+1), lambda i: CASE WHEN regexp_matches(toks[i],'^[0-9]+$') OR regexp_matches(toks[i],'{_COPY}') THEN 1 ELSE i END))))],
