@@ -116,7 +116,20 @@ def rule_annotations(c: Catalog) -> DataFrame:
     )
 
 
-@query("t7_parse_annotations")
+def _distinct_sql(items: str) -> str:
+    stripped = f"list_transform({items}, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g'))"
+    low = f"list_transform({stripped}, lambda x: lower(x))"
+    return f"array_to_string(list_filter({stripped}, lambda w, i: w<>'' AND list_position({low}, lower(w))=i),'|')"
+
+
+_ANSWERS = "role||', '||upper(role)||', '||text"
+
+
+@query(
+    "t7_parse_annotations", "",
+    f"""SELECT media_id, nullif(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '') AS caption, {_distinct_sql(f"regexp_split_to_array({_ANSWERS}, '[,\\n，、/]+')")} AS people,
+ {_distinct_sql("string_split(text, ' ')")} AS scene_tags, role AS object_tags FROM (SELECT conv_id*100+turn AS media_id, role, text FROM conversations) WHERE media_id%7<>0""",
+)
 def parse_annotations(c: Catalog) -> DataFrame:
     parsed = A.parse_annotations(annotation_responses(c))
     return parsed.select(

@@ -170,7 +170,12 @@ def video_people_votes(c: Catalog) -> DataFrame:
     return TL.video_people(rows, 0.97).select("video_id", "person_name", "first_seq")
 
 
-@query("m7_select_moments")
+@query(
+    "m7_select_moments", "moments",
+    """SELECT video_id, person_name, m.t AS timestamp_seconds, m.s AS score, m.seq AS seq FROM (SELECT video_id, person_name, unnest(chosen) AS m FROM (SELECT video_id, person_name, list_reduce(
+ list([struct_pack(t:=timestamp_seconds, s:=score, seq:=seq)] ORDER BY score DESC, seq),
+ lambda acc, e: CASE WHEN len(acc)<5 AND len(list_filter(acc, lambda a: abs(a.t-e[1].t)<24))=0 THEN list_concat(acc,e) ELSE acc END) AS chosen FROM moments GROUP BY video_id, person_name))""",
+)
 def moments(c: Catalog) -> DataFrame:
     rows = TL.select_moments(c.moments, 24.0)
     return rows.select("video_id", "person_name", F.explode("moments").alias("m")).select(
