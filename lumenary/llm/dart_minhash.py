@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lumenary.functions.blockmatch import components
 from lumenary.llm.common import Scratch, keep_rows
-from lumenary.llm.tokens import MIX_A, MIX_B, STEP, mix, slices, word_codes, word_hashes
+from lumenary.llm.tokens import MIX_A, MIX_B, STEP, mix, release, slices, word_codes, word_hashes
 from lumenary.session import cut_lineage
 
 SHINGLE_WORDS = 5
@@ -31,7 +31,7 @@ PAIRED, BLOCK_MEMBERS = 8, 1000
 #: Bits of a rank below the unit.
 RANK_BITS = 44
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-CELLS_AT_ONCE = 1 << 21
+CELLS_AT_ONCE = 1 << 19
 #: Chance of at most 0, 1, 2, ... darts in a unit cell, as a 32-bit threshold.
 POISSON = np.array([min(2**32 - 1, round(2**32 * sum(math.exp(-1) / math.factorial(j) for j in range(i + 1)))) for i in range(12)], dtype=np.uint64)
 
@@ -167,6 +167,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int,
                     ],
                     names=["id", "tag", "node", "shingles", "bands"],
                 )
+                release()
 
     return chosen.mapInArrow(sketch, f"id {kind}, tag long, node long, shingles array<int>, bands array<long>")
 

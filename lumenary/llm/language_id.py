@@ -16,13 +16,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenary.llm.tokens import slices
+from lumenary.llm.tokens import release, slices
 
 UNKNOWN = "und"
 #: Bound of the training sample: crops per language and characters per crop.
 CROPS, CROP_CHARS = 400, 96
 #: Units of each direction, bytes of a segment of a text, and segments that are read at once.
-UNITS, SEGMENT, BLOCK = 8, 128, 4096
+UNITS, SEGMENT, BLOCK = 8, 128, 2048
 STEPS, BATCH, RATE = 130, 160, 0.015
 #: Crops of one text at most, where a language has few texts.
 CROPS_EACH = 8
@@ -221,15 +221,17 @@ def identify(docs: DataFrame, network: Network, text_col: str = "text") -> DataF
 
     A null text, one without a letter, or a network without languages gives "und" and score 0.
     """
-    packed = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
-    schema = packed.select("row").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    packed = docs.select(F.struct("*").alias("row"))
+    schema = packed.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
     shared = packed.sparkSession.sparkContext.broadcast(network)  # of a fixed size
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            texts = pc.struct_field(batch.column("row"), text_col).cast(pa.string())
+            for part in slices(pa.RecordBatch.from_arrays([batch.column("row"), texts], names=["row", "text"]), "text"):
                 names, score = predict_texts(part.column("text"), shared.value)
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(names, pa.string()), pa.array(score)], names=["row", "lang_pred", "score"])
+                release()
 
     return packed.mapInArrow(predict, schema)
 
