@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenary.llm.common import shuffle_partitions, whole
-from lumenary.llm.tokens import slices
+from lumenary.llm.tokens import release, slices
 from lumenary.session import cut_lineage
 
 CAPACITY = 2048
@@ -31,7 +31,8 @@ MERGE_ROWS, FAN_IN = 200_000, 8
 #: Rounds stop when they save less than this share of the bins left, and the tasks can't become one.
 LEAST_GAIN = 0.001
 
-PARTS_AT_ONCE = 20_000
+#: Text that is encoded at once, parts of it that are one string, and parts whose ids a worker keeps.
+ENCODED_BYTES, PARTS_AT_ONCE, REMEMBERED = 4 << 20, 20_000, 100_000
 
 _encoders: dict = {}
 
@@ -69,7 +70,7 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     first[np.cumsum(lengths) - lengths] = True
     used, heads = np.unique(codes[first], return_inverse=True)
     # a code for each part behind a space, one for each first part, one for each odd text
-    known = encode_parts([" " + x for x in names], tokenizer)
+    known = remembered([" " + x for x in names], tokenizer)
     single = [names[c] for c in used] + [texts[int(i)].as_py() for i in np.flatnonzero(odd)]
     known += [np.asarray(e.ids, dtype=np.uint32) for e in tokenizer.encode_batch_fast(single, add_special_tokens=False)]
     codes[first] = len(names) + heads
@@ -83,6 +84,17 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.concatenate([[0], np.cumsum(per_text)]).astype(np.int64)
 
 
+def remembered(parts: list[str], tokenizer) -> list[np.ndarray]:
+    """Ids of the parts, of which a worker keeps as many as the bound allows; most words come again."""
+    memory = _encoders.setdefault(("parts", id(tokenizer)), {})
+    new = [x for x in parts if x not in memory]
+    fresh = dict(zip(new, encode_parts(new, tokenizer)))
+    out = [memory[x] if x in memory else fresh[x] for x in parts]
+    for x in new[: max(0, REMEMBERED - len(memory))]:
+        memory[x] = fresh[x].copy()  # not a view of all ids
+    return out
+
+
 def encode_parts(parts: list[str], tokenizer) -> list[np.ndarray]:
     """Ids of different parts that all begin with a space.
 
@@ -125,7 +137,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", ENCODED_BYTES):
                 ids, starts = encode(part.column("text"), tokenizer)
                 rows: list[tuple] = []
                 for d in range(part.num_rows):
@@ -138,6 +150,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
                 if with_ids:
                     out, names = [*out, pa.array([x.astype(np.int32) for x in kept], pa.list_(pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(out, names=names)
+                release()
 
     return chosen.mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
