@@ -31,8 +31,8 @@ BATCH_BYTES, RANGE_BYTES = 4 << 20, 128 << 20
 WORD_BITS, PAIR_BITS = 56, 48
 #: One training document in so many is in the deleted fold.
 FOLD = 16
-#: Buckets of context frequency: none, then by powers of two.
-BUCKETS = 16
+#: Buckets of context frequency: none, then one for each power of two that a 64-bit count reaches.
+BUCKETS = 65
 #: Steps of an octave to which held-out probabilities are rounded for EM, and its iterations.
 OCTAVE, ROUNDS = 8, 40
 #: Keys of the end of a text and of the place before its first word; no word has them but by chance.
@@ -180,7 +180,8 @@ def answer(asked: DataFrame) -> DataFrame:
 
 
 def bucket_of(count: np.ndarray) -> np.ndarray:
-    return np.where(count > 0, np.minimum(np.floor(np.log2(np.maximum(count, 1))) + 1, BUCKETS - 1), 0).astype(np.int64)
+    """0 for no occurrence, k + 1 for 2^k up to 2^(k + 1) - 1 of them."""
+    return np.minimum(np.frexp(count.astype(np.float64))[1], BUCKETS - 1).astype(np.int64)
 
 
 class Batch:
@@ -229,13 +230,20 @@ def learn_weights(states: DataFrame, answers: DataFrame, tokens: int, words: int
 
 
 def expectation_maximisation(bucket: np.ndarray, estimates: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Weights per bucket; a token more of each component keeps all of them above nothing."""
+    """Weights per bucket; a token more of each component keeps all of them above nothing.
+
+    A bucket without a token has the weights of the next lower one that has some, or of the lowest: without the
+    deleted fold a context may have just too few occurrences for the bucket in which all training puts it.
+    """
     weights = np.full((BUCKETS, 3), 1 / 3)
     for _ in range(ROUNDS):
         share = weights[bucket] * estimates
         share *= (n / np.maximum(share.sum(axis=1), 1e-300))[:, None]
         sums = np.stack([np.bincount(bucket, share[:, k], BUCKETS) for k in range(3)], axis=1) + 1
         weights = sums / sums.sum(axis=1, keepdims=True)
+    used = np.unique(bucket[bucket > 0])
+    if len(used):
+        weights[1:] = weights[used[np.maximum(np.searchsorted(used, np.arange(1, BUCKETS), "right") - 1, 0)]]
     # an unseen context has no bigram estimate, whose weight would be lost
     weights[0, 1:] /= weights[0, 1:].sum()
     weights[0, 0] = 0

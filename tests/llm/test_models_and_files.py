@@ -82,6 +82,19 @@ def test_model_without_rows_or_training(spark):
     assert M.score_documents(df.limit(0), M.held_out()).count() == 0
 
 
+def test_buckets_cover_all_counts():
+    counts = np.array([0, 1, 2, 3, 4, 2**14 - 1, 2**14, 2**15, 2**31, 2**32, 2**50, 2**62], dtype=np.uint64)
+    assert M.bucket_of(counts).tolist() == [0, 1, 2, 2, 3, 14, 15, 16, 32, 33, 51, 63]
+    assert M.bucket_of(np.array([2**64 - 1], dtype=np.uint64))[0] < M.BUCKETS
+    # frequent contexts follow the bigrams, those of 2^20 the unigrams: each keeps its own weights
+    bucket = M.bucket_of(np.array([2**15, 2**20]))
+    weights = M.expectation_maximisation(bucket, np.array([[0.5, 1e-4, 1e-6], [1e-4, 0.5, 1e-6]]), np.array([10_000, 10_000]))
+    assert weights[bucket[0], 0] > 0.9 and weights[bucket[1], 1] > 0.9
+    # buckets that the deleted fold doesn't reach have the nearest weights, not equal thirds
+    assert (weights[bucket[1] + 1 :] == weights[bucket[1]]).all() and (weights[1 : bucket[0]] == weights[bucket[0]]).all()
+    assert (weights[bucket[0] + 1 : bucket[1]] == weights[bucket[0]]).all() and weights[0, 0] == 0
+
+
 # --- language ID ---------------------------------------------------------------------------------------
 
 
