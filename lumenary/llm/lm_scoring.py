@@ -148,6 +148,7 @@ ANSWER = "batch string, part int, unigrams binary, unigrams_left binary, bigrams
 def answer(asked: DataFrame) -> DataFrame:
     """Corpus counts for each request in its own order: of all training, and of what the deletion leaves.
 
+    A batch counts in 32 bits and the corpus in 64, whose upper byte planes compress to nearly nothing.
     A row without a batch has the range's number of training tokens and of different ones.
     """
 
@@ -160,8 +161,9 @@ def answer(asked: DataFrame) -> DataFrame:
             counts = [unpack(x.as_py(), "uint32").astype(np.int64) for x in table.column(counted)]
             sizes = [len(k) for k in keys]
             different, spot = np.unique(np.concatenate(keys), return_inverse=True)
-            every = np.bincount(spot, np.concatenate(counts), len(different)).astype(np.uint32)
-            left = np.bincount(spot, np.concatenate([c * (not f) for c, f in zip(counts, folds)]), len(different)).astype(np.uint32)
+            # exact up to 2^53
+            every = np.bincount(spot, np.concatenate(counts), len(different)).astype(np.uint64)
+            left = np.bincount(spot, np.concatenate([c * (not f) for c, f in zip(counts, folds)]), len(different)).astype(np.uint64)
             for own, fold in zip(np.split(spot, np.cumsum(sizes)[:-1]), folds):
                 columns[name].append(pack(every[own]))
                 columns[f"{name}_left"].append(pack(left[own]) if fold else None)
@@ -196,12 +198,12 @@ class Batch:
         self.ids, self.held = state["ids"], unpack(state["held"], "uint8").astype(bool)
         end = np.searchsorted(words, END)
         context, token, self.doc = token_sequence(codes, lengths, end, len(words))
-        counts = np.concatenate([unpack(a[f"unigrams{suffix}"], "uint32") for a in answers])
+        counts = np.concatenate([unpack(a[f"unigrams{suffix}"], "uint64") for a in answers])
         self.count = counts[token]
         # a place before a first word is as frequent as the end of a text
         self.context_count = np.append(counts, counts[end])[context]
         _, spot = np.unique(bigram_keys(np.append(words, START), context, token), return_inverse=True)
-        self.pair_count = np.concatenate([unpack(a[f"bigrams{suffix}"], "uint32") for a in answers])[spot]
+        self.pair_count = np.concatenate([unpack(a[f"bigrams{suffix}"], "uint64") for a in answers])[spot]
 
     def estimates(self, tokens: int) -> tuple[np.ndarray, np.ndarray]:
         """Maximum-likelihood estimates of the bigram and the unigram model."""

@@ -95,6 +95,26 @@ def test_buckets_cover_all_counts():
     assert (weights[bucket[0] + 1 : bucket[1]] == weights[bucket[0]]).all() and weights[0, 0] == 0
 
 
+def test_counts_beyond_32_bits(spark):
+    rows = spark.createDataFrame([(1, "a b", False, False)], "id long, text string, held_out boolean, fold boolean").coalesce(1)
+    each, fields = 3_000_000_000, [x.split()[0] for x in M.ASKED.split(", ")]
+    found = [r.asDict() for r in M.ask(rows, 2).collect()]
+    asked = [r | {"batch": b, "fold": b == "z"} for r in found if r["part"] >= 0 for b in "xyz"]
+    for r in asked:
+        for k in ("unigram_counts", "bigram_counts"):
+            r[k] = M.pack(M.unpack(r[k], "uint32") * np.uint32(each))
+    answers = M.answer(spark.createDataFrame([[r[k] for k in fields] for r in asked], M.ASKED)).collect()
+    total = [r for r in answers if r.batch is None]
+    assert (sum(r.tokens for r in total), sum(r.tokens_left for r in total), sum(r.words for r in total)) == (3 * 3 * each, 3 * 2 * each, 3)
+    told = [r.asDict() for r in answers if r.batch == "z"]
+    state = [dict.fromkeys(told[0]) | r for r in found if r["part"] < 0]
+    for deleted, times in ((False, 3), (True, 2)):
+        batch = M.Batch(pa.Table.from_pylist([*state, *(state[0] | r for r in told)]), deleted)
+        assert set(batch.count.tolist()) == set(batch.context_count.tolist()) == set(batch.pair_count.tolist()) == {times * each}
+        two, one = batch.estimates(3 * times * each)
+        assert two.tolist() == [1.0] * 3 and one == pytest.approx([1 / 3] * 3)
+
+
 # --- language ID ---------------------------------------------------------------------------------------
 
 
