@@ -249,8 +249,11 @@ def held_out(id_col: str = "doc_id") -> Column:
 def recognised_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.3) -> DataFrame:
     """The rows with a language of a score of `least` or more, all columns as they are.
 
-    A text of one language scores about 0.95; below 0.3 no language has even a third of the positions.
+    A text of one language scores about 0.95; below 0.3 no language has even a third of the positions. Where no
+    row with a letter is labelled there is nothing to learn or to judge by: all rows with a letter stay.
     """
     network = fit(docs, None, id_col, text_col, lang_col)
+    if not network.languages:
+        return docs.filter(F.col(text_col).cast("string").rlike(r"\p{L}"))
     found = identify(docs, network, text_col)
     return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")

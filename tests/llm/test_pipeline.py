@@ -33,3 +33,12 @@ def test_stages(spark):
     hits = {i: n for i, _, n, *_ in brute_hits(sorted(had["benchmark_decontamination"].items()), items)}
     assert kept["benchmark_decontamination"] == {i for i, n in hits.items() if not n} and any(hits.values())
     assert kept["best_fit_packing"] == set(had["best_fit_packing"])
+
+
+def test_language_stage_keeps_unlabelled_documents(spark):
+    texts = ["some words", None, "", "12 !?", "é", "日本", "some words"]
+    rows = [(i, x, "en" if x == "12 !?" else None, "s", len(x or "")) for i, x in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = P.language(spark, docs, SF)
+    assert out.columns == P.COLUMNS and sorted(tuple(r) for r in out.collect()) == [rows[i] for i in (0, 4, 5, 6)]
+    assert P.language(spark, docs.limit(0), SF).count() == 0
