@@ -13,6 +13,8 @@ from lumenary.session import cut_lineage
 
 ADD, REMOVE = "add", "remove"
 FOREVER = "9999-12-31"
+#: Types of a time of the day; every other one is read as a date.
+INSTANTS = ("timestamp", "timestamp_ntz")
 
 
 def host_of(url: Column) -> Column:
@@ -31,28 +33,37 @@ def keys_of(url: Column, host: Column) -> Column:
 def validity_intervals(entries: DataFrame) -> DataFrame:
     """(list, key, valid_from, valid_to) from (list, key, day, action), end exclusive.
 
-    An entry holds from the day it is added to the day it is removed; of both on one day the removal counts.
-    Repeated entries change nothing; a null in list, key, day or action voids the entry. Entries of one list
-    and key are first reduced to one a day, so a key's history is no longer than the calendar however often
-    it is listed.
+    `day` is a date or a timestamp. An entry holds from the time it is added to the time it is removed; of both
+    at one time the removal counts. Repeated entries change nothing; a null in list, key, day or action voids
+    the entry. Entries of one list and key are first reduced to one a time, so with dates a key's history is no
+    longer than the calendar however often it is listed.
     """
     whole_rows = entries.select("list", "key", "day", "action").dropna().filter(F.col("action").isin(ADD, REMOVE))
     daily = whole_rows.groupBy("list", "key", "day").agg(F.max(F.col("action") == REMOVE).alias("removed"))
     history = Window.partitionBy("list", "key").orderBy("day")
     changes = daily.withColumn("before", F.lag("removed").over(history)).filter(~F.col("removed").eqNullSafe(F.col("before")))
-    spans = changes.withColumn("valid_to", F.coalesce(F.lead("day").over(history), F.lit(FOREVER).cast("date")))
+    spans = changes.withColumn("valid_to", F.coalesce(F.lead("day").over(history), F.lit(FOREVER).cast(entries.schema["day"].dataType)))
     return spans.filter(~F.col("removed")).select("list", "key", F.col("day").alias("valid_from"), "valid_to")
 
 
+def time_type(*columns: tuple[DataFrame, str]) -> str:
+    """The type at which times are compared: an instant where one of the columns is one, else a date."""
+    kinds = [df.schema[name].dataType.simpleString() for df, name in columns]
+    return next((k for k in INSTANTS if k in kinds), "date")
+
+
 def judge_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", day_col: str = "day") -> DataFrame:
     """(id, url, day, host, n_entries, lists, blocked): one row per row of `captures`.
 
-    `n_entries` counts the entries active on the day of the fetch and `lists` names their lists in order. A
+    `n_entries` counts the entries active at the time of the fetch and `lists` names their lists in order. Times
+    are timestamps if those of the captures or of the entries are, where a date is its midnight, else dates. A
     capture without URL, host or day meets no domain entry; without URL or day it meets none at all. Each
-    (URL, day) is judged once and each key of a day once, so a busy host costs a row per day, not per
-    capture; the answer is then joined back to all captures. Only the named columns are read.
+    (URL, time) is judged once and each key of a time once, so with dates a busy host costs a row per day, not
+    per capture; the answer is then joined back to all captures. Only the named columns are read.
     """
-    rows = captures.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(day_col).cast("date").alias("day"))
+    kind = time_type((captures, day_col), (entries, "day"))
+    entries = entries.withColumn("day", F.col("day").cast(kind))
+    rows = captures.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(day_col).cast(kind).alias("day"))
     rows = rows.withColumn("host", host_of(F.col("url")))
     asked = rows.filter("url is not null AND day is not null").groupBy("url", "host", "day").count().drop("count")
     asked = cut_lineage(asked.select("url", "day", F.explode(keys_of(F.col("url"), F.col("host"))).alias("key")))

@@ -108,6 +108,20 @@ def test_url_lists(spark):
     assert U.judge_captures(df, listed).count() == len(captures) and U.judge_captures(df, listed.limit(0)).filter("blocked").count() == 0
 
 
+def test_url_lists_by_the_hour(spark):
+    at = lambda n, h=0: datetime.datetime(2024, 1, n, h)
+    entries = [(at(2, 9), "add"), (at(4, 9), "remove"), (at(4, 9), "add"), (at(6, 9), "add"), (at(6, 12), "remove"), (at(6, 15), "add")]
+    times = {at(2, 8): 0, at(2, 9): 1, at(2, 18): 1, at(4, 8): 1, at(4, 9): 0, at(6): 0, at(6, 10): 1, at(6, 13): 0, at(6, 18): 1}
+    captures = spark.createDataFrame([("http://b.c/", t) for t in times], "url string, day timestamp").withColumn("page_id", F.col("day").cast("string"))
+    listed = spark.createDataFrame([("l", "domain:b.c", t, a) for t, a in entries], "list string, key string, day timestamp, action string")
+    assert {r.day: r.n_entries for r in U.judge_captures(captures, listed).collect()} == times
+    # dates beside timestamps are midnights
+    dates = U.judge_captures(captures.withColumn("day", F.col("day").cast("date")), listed).select("day", "n_entries").distinct().collect()
+    assert {r.day: r.n_entries for r in dates} == {at(2): 0, at(4): 1, at(6): 0}
+    found = U.judge_captures(captures, listed.filter("action = 'add'").withColumn("day", F.col("day").cast("date"))).collect()
+    assert all(r.n_entries == 1 for r in found) and len(found) == len(times)
+
+
 ASSIGN = re.compile("(" + "|".join("".join(f"[{c}{c.upper()}]" for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY])" + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
