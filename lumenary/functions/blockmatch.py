@@ -4,8 +4,9 @@ Three ways to meet the same contract, picked by a row check of the smaller side:
 
 * small right side - its rows travel once to every executor, the left side is never shuffled;
 * small left side  - the mirror image: per-batch winners first, then one small shuffle;
-* neither          - both sides are cut into blocks of bounded size and every pair of blocks is one
-  task-sized matrix product. Only winners (or a spanning forest) leave a block, never all pairs.
+* neither          - the right side is cut into blocks around pivots (`pivots.py`). A row meets the block of its
+  nearest pivot first and then only blocks that can still hold a better match; each meeting is a task-sized
+  matrix product. Only winners (or a spanning forest) leave a block, never all pairs.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
+from lumenary.functions import pivots
 from lumenary.functions.vector import dense, unit_rows
 from lumenary.session import cut_lineage, spread_groups
 
@@ -52,16 +53,13 @@ def fetch_if_small(df: DataFrame, limit: int, dim: int | None = None) -> pa.Tabl
     """All rows when there are at most `limit`, and their vectors are within BROADCAST_BYTES, else None.
 
     Rows are counted first, without their vectors and no further than the limit, so a large table costs
-    little and sends nothing.
+    little and sends nothing; the rows themselves come as Arrow batches.
     """
     if dim:
         limit = min(limit, BROADCAST_BYTES // (8 * dim))
-    if df.select(F.lit(1)).limit(limit + 1).count() > limit:
+    if len(df.select(F.lit(1)).take(limit + 1)) > limit:
         return None
-    rows = df.collect()
-    columns = zip(*rows) if rows else [()] * len(df.columns)
-    schema = to_arrow_schema(df.schema)
-    return pa.table([pa.array(values, f.type) for values, f in zip(columns, schema)], schema=schema)
+    return df.toArrow()
 
 
 def block_count(df: DataFrame, rows: int = BLOCK_ROWS) -> Column:
@@ -185,12 +183,11 @@ def nearest(
         hits = rpack.mapInPandas(scan_right, schema)
     else:
 
-        def one_pair(_, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        def one_pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             parts = list(run(a["lkey"], a["lvec"], b["rkey"], b["rvec"], b["rtie"])) if len(a) and len(b) else []
             return pd.concat(parts) if parts else empty()
 
-        blocks = pair_blocks(lpack.drop("ltie"), rpack, "lkey", "rkey", block_rows)
-        hits = blocks.applyInPandas(lambda _, a, b: one_pair(_, a, b), schema)
+        hits = pivots.meet(lpack.drop("ltie"), rpack, one_pair, schema, dim=dim, k=k, floor=floor, metric=metric, rows=block_rows)
 
     if k is None:
         return hits.select(F.col("lkey").alias(lkey), F.col("rkey").alias("match_" + rkey), "score")
@@ -209,10 +206,8 @@ def forest_edges(side: Side, *, dim: int, floor: float, block_rows: int = BLOCK_
     reports at most one edge per such component, however dense the graph is: one dense component over all
     rows gives the rows plus the block pairs.
     """
-    packed = side.packed("l").select("lkey", "lvec")
-    n = block_count(packed, block_rows)
     ktype = dict(side.df.dtypes)[side.key]
-    homed = packed.withColumn("home", F.pmod(F.xxhash64("lkey"), n))
+    homed, reach = pivots.homes(side.packed("l").select("lkey", "lvec"), dim=dim, floor=floor, rows=block_rows)
 
     def near(one: np.ndarray, two: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         step = max(1, CELLS // max(1, len(two)))
@@ -233,13 +228,15 @@ def forest_edges(side: Side, *, dim: int, floor: float, block_rows: int = BLOCK_
     local = cut_lineage(
         spread_groups(homed, "home").groupBy("home").applyInPandas(own_roots, f"lkey {ktype}, lvec array<double>, home long, root {ktype}")
     )
-    # a row goes to every pair of its own block with another
-    spread = local.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))).filter("other <> home").withColumns(
+    # a row goes to the pairs of its own block with those that can hold a row near enough
+    spread = reach(local).withColumns(
         {"lo": F.least("home", "other"), "hi": F.greatest("home", "other")}
     )
 
     def across(pdf: pd.DataFrame) -> pd.DataFrame:
         first = (pdf["home"] == pdf["lo"]).to_numpy()
+        if first.all() or not first.any():
+            return pd.DataFrame({"a": [], "b": []})
         matrix, _ = matrix_of(pdf["lvec"], dim)
         unit = unit_rows(matrix)
         roots, code = np.unique(pdf["root"].to_numpy(), return_inverse=True)

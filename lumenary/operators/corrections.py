@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenary.functions.blockmatch import Side
@@ -112,37 +113,79 @@ def upsert_persons(persons: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
-def rename_persons(persons: DataFrame, clusters: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame, Change]:
-    """(persons, rejected commands, cluster change). commands: seq, person_id, new_name.
+_START = -(1 << 62)
+
 
-    A name somebody else holds is rejected; of two commands for one new name the first wins.
+def settle_renames(persons: DataFrame, commands: DataFrame) -> DataFrame:
+    """Commands (seq, person_id, new_name) of known persons, with new_key and whether each is accepted, as if one by one.
+
+    A name is held from the command that claims it until its holder's next accepted command, and at first by
+    whoever has it in `persons`. A command is refused while somebody else holds its name. What a command
+    meets depends on earlier ones only, so verdicts are taken from name timelines and revised until none
+    changes: after each round one more link of every chain of dependent commands is settled.
     """
     asked = commands.select(
-        "seq", "person_id", strip(F.col("new_name")).alias("new_name"), normalize_name(F.col("new_name")).alias("new_key")
+        F.col("seq").cast("long").alias("seq"), "person_id", strip(F.col("new_name")).alias("new_name"), normalize_name(F.col("new_name")).alias("new_key")
     ).join(persons.select(F.col("id").alias("person_id")), "person_id", "left_semi")
-    holders = persons.select(F.col("normalized_name").alias("new_key"), F.col("id").alias("holder"))
-    taken = asked.join(holders, "new_key").filter("holder <> person_id").select("seq").distinct()
-    first = asked.join(taken, "seq", "left_anti").groupBy("new_key").agg(F.min("seq").alias("seq"))
-    good = asked.join(first.select("seq"), "seq", "left_semi")
-    rejected = asked.join(good.select("seq"), "seq", "left_anti").select("seq", "person_id", "new_name")
-    new = good.select(F.col("person_id").alias("id"), "new_name", "new_key")
-    renamed = persons.join(new, "id", "left").select(
-        *[
-            F.coalesce({"name": F.col("new_name"), "normalized_name": F.col("new_key")}.get(c, F.col(c)), F.col(c)).alias(c)
-            for c in persons.columns
-        ]
+    asked = I.cut_lineage(asked.withColumn("accepted", F.lit(True)))
+    first = persons.select(
+        F.lit(_START).alias("seq"), F.col("id").alias("person_id"), F.lit(None).cast("string").alias("new_name"),
+        F.col("normalized_name").alias("new_key"), F.lit(True).alias("accepted"),
     )
-    old = persons.join(new, "id").select(
-        F.col("id").alias("person_profile_id"), F.col("normalized_name").alias("old_key"), F.col("new_name")
+    place = F.struct("seq", "person_id")
+    # the next accepted command of the person ends a claim
+    later = W.partitionBy("person_id").orderBy(F.desc("seq")).rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy("new_key").orderBy("seq", "person_id").rowsBetween(W.unboundedPreceding, -1)
+    while True:
+        rows = first.unionByName(asked).withColumn("until", F.last(F.when(F.col("accepted"), place), True).over(later))
+        rows = rows.withColumn("held", F.last(F.when(F.col("accepted"), F.struct("person_id", "until")), True).over(earlier))
+        free = F.col("held").isNull() | (F.col("held.person_id") == F.col("person_id")) | F.coalesce(F.col("held.until") < place, F.lit(False))
+        judged = rows.filter(F.col("seq") > _START).select("seq", "person_id", "new_name", "new_key", free.alias("accepted"), F.col("accepted").alias("before"))
+        judged = I.cut_lineage(judged)
+        asked = judged.drop("before")
+        if judged.filter("accepted <> before").isEmpty():
+            return asked
+
+
+def rename_persons(
+    persons: DataFrame, clusters: DataFrame, commands: DataFrame, samples: DataFrame | None = None,
+    thr: float = I.PERSON_THRESHOLD, dim: int = I.FACE_DIM,
+) -> tuple[DataFrame, DataFrame, Change]:
+    """(persons, rejected commands, cluster change). commands: seq, person_id, new_name.
+
+    Commands count in the order of `seq` (then person): a name somebody else holds at that time is refused, a
+    name given up by an earlier command is free, and the last accepted command of a person gives its name.
+    With `samples` the renamed persons are associated with the clusters again. Clusters they then own take the
+    new name where they have none or any name the person had before.
+    """
+    asked = settle_renames(persons, commands)
+    good = asked.filter("accepted")
+    new = good.groupBy(F.col("person_id").alias("id")).agg(
+        F.max_by(F.struct("new_name", "new_key"), "seq").alias("last"), F.min_by("new_key", "seq").alias("first_key"), F.max("seq").alias("last_seq")
     )
-    rows = clusters.join(old, "person_profile_id", "left")
-    empty = F.coalesce("display_name", F.lit("")) == ""
-    shown = F.when(
-        F.col("new_name").isNotNull() & (empty | _same_name(F.col("display_name"), F.col("old_key"))), F.col("new_name")
-    ).otherwise(F.col("display_name"))
-    synced = _replace(rows, clusters.columns, F.col("person_profile_id"), shown)
-    touched = clusters.join(old.select("person_profile_id"), "person_profile_id", "left_semi").select("label")
-    return renamed, rejected, Change(synced, touched, _strip_of(persons.join(new.select("id"), "id", "left_semi")))
+    changed = {"name": F.col("last.new_name"), "normalized_name": F.col("last.new_key")}
+    renamed = persons.join(new, "id", "left").select(*[F.coalesce(changed.get(c, F.col(c)), F.col(c)).alias(c) for c in persons.columns])
+    # names given up: the first one, and all accepted ones but the last
+    was = persons.join(new, "id").select("id", "name", F.col("normalized_name").alias("key"))
+    between = good.join(new.select(F.col("id").alias("person_id"), "last_seq"), "person_id").filter(F.col("seq") < F.col("last_seq"))
+    was = was.unionByName(between.select(F.col("person_id").alias("id"), F.col("new_name").alias("name"), F.col("new_key").alias("key")))
+    bound = clusters
+    if samples is not None:
+        # a cluster that falls away is judged when the first new name is given
+        movers = renamed.join(new.select("id", "first_key"), "id").withColumn("normalized_name", F.col("first_key")).select(*persons.columns)
+        bound = associate(movers, samples, clusters, thr, dim).drop("changed")
+    given = new.select(F.col("id").alias("person_profile_id"), F.col("last.new_name").alias("new_name"))
+    had = was.select(F.col("id").alias("person_profile_id"), F.col("key").alias("shown_key"), F.lit(True).alias("had")).distinct()
+    rows = bound.withColumn("shown_key", normalize_name(F.col("display_name"))).join(given, "person_profile_id", "left").join(had, ["person_profile_id", "shown_key"], "left")
+    old = F.col("had") | (F.coalesce("display_name", F.lit("")) == "")
+    shown = F.when(F.col("new_name").isNotNull() & F.coalesce(old, F.lit(False)), F.col("new_name")).otherwise(F.col("display_name"))
+    before = clusters.select("label", F.col("person_profile_id").alias("_owner0"), F.col("display_name").alias("_shown0"))
+    synced = rows.withColumn("display_name", shown).join(before, "label").withColumn(
+        "changed", ~(F.col("person_profile_id").eqNullSafe(F.col("_owner0")) & F.col("display_name").eqNullSafe(F.col("_shown0")))
+    ).select(*clusters.columns, "changed")
+    touched = synced.join(given.select("person_profile_id"), "person_profile_id", "left_semi").select("label")
+    rejected = asked.filter("not accepted").select("seq", "person_id", "new_name")
+    return renamed, rejected, Change(synced, touched.unionByName(synced.filter("changed").select("label")).distinct(), _strip_of(was))
 
 
 def correction_candidates(

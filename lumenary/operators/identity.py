@@ -23,6 +23,10 @@ PERSON_THRESHOLD = 0.52
 PERSON_MARGIN = 0.04
 BEST_WEIGHT, MEAN_WEIGHT, CENTROID_WEIGHT = 0.45, 0.35, 0.2
 TOP_SAMPLES = 3
+#: Hex digits of a new label.
+LABEL_DIGITS = 32
+#: Last faces of a cluster that settle its centroid, as a rule.
+FOLD_WINDOW = 128
 
 
 def has_dim(vector: str, dim: int) -> Column:
@@ -203,6 +207,8 @@ def _rank_in_blocks(left, right, score, schema: str, ltype: str, rtype: str, dim
         lambda _, a, b: rank_pair(_, a, b), schema
     )
 
+    tops_of = [f"top{i}" for i in range(TOP_SAMPLES)]
+
     def partial_pair(_, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(a) and len(b):
@@ -214,24 +220,24 @@ def _rank_in_blocks(left, right, score, schema: str, ltype: str, rtype: str, dim
                 part = slice(start, start + step)
                 central, best = gallery.tops(unit[part])
                 for p in range(len(gallery)):
-                    tops = [[x for x in row if np.isfinite(x)] for row in best[:, :, p].T]
+                    tops = {f"top{i}": best[i, :, p] for i in range(TOP_SAMPLES)}
                     out.append(
                         pd.DataFrame(
                             {
                                 "lkey": keys[part], "rkey": gallery.keys[p], "rtie": gallery.ties[p],
-                                "central": central[:, p], "tops": tops, "want": want[part],
+                                "central": central[:, p], "want": want[part], **tops,
                             }
                         )
                     )
-        cols = ["lkey", "rkey", "rtie", "central", "tops", "want"]
+        cols = ["lkey", "rkey", "rtie", "central", "want", *tops_of]
         return pd.concat(out)[cols] if out else pd.DataFrame({c: pd.Series(dtype=object) for c in cols})
 
     # pieces of one person differ, so spread them by vector rather than by person
     pieces = split.withColumn("piece", F.xxhash64("rkey", "rvec"))
     partial = bm.pair_blocks(left, pieces, "lkey", "piece", block_rows).applyInPandas(
         lambda _, a, b: partial_pair(_, a, b),
-        f"lkey {ltype}, rkey {rtype}, rtie double, central double, tops array<double>, want double",
-    )
+        f"lkey {ltype}, rkey {rtype}, rtie double, central double, want double, " + ", ".join(f"{c} double" for c in tops_of),
+    ).withColumn("tops", F.filter(F.array(*tops_of), lambda x: x > float("-inf")))
     merged = partial.groupBy("lkey", "rkey").agg(
         F.max("rtie").alias("rtie"),
         F.max("want").alias("want"),
@@ -275,7 +281,10 @@ def top_two(ranked: DataFrame, key: str) -> DataFrame:
 
 
 def form_clusters(unmatched: DataFrame, thr: float = CLUSTER_THRESHOLD, dim: int = FACE_DIM, **sizes) -> DataFrame:
-    """(face_id, root, label): faces linked by chains of cosine >= thr share a new cluster."""
+    """(face_id, root, label): faces linked by chains of cosine >= thr share a new cluster.
+
+    The label holds 128 bits of a digest of the root, so two roots don't meet in one label.
+    """
     key_type = dict(unmatched.dtypes)["face_id"]
     edges = bm.forest_edges(Side(unmatched, "face_id", "embedding"), dim=dim, floor=thr, **sizes)
     roots = bm.components(edges, key_type, cut_lineage)
@@ -283,54 +292,67 @@ def form_clusters(unmatched: DataFrame, thr: float = CLUSTER_THRESHOLD, dim: int
         roots.withColumnRenamed("node", "face_id"), "face_id", "left"
     )
     root = F.coalesce("root", "face_id")
-    label = F.concat(F.lit("face-"), F.substring(F.sha1(root.cast("string").cast("binary")), 1, 8))
+    label = F.concat(F.lit("face-"), F.substring(F.sha1(root.cast("string").cast("binary")), 1, LABEL_DIGITS))
     return joined.select("face_id", root.alias("root"), label.alias("label"))
 
 
-def update_centroids(clusters: DataFrame, assigned: DataFrame, keep: float = 0.7) -> DataFrame:
-    """Fold assigned faces into their centroid in `seq` order: c = unit(keep*c + (1-keep)*e).
+def update_centroids(clusters: DataFrame, assigned: DataFrame, keep: float = 0.7, window: int = FOLD_WINDOW) -> DataFrame:
+    """Fold assigned faces into their centroid in `seq` order: c = unit(keep*c + (1-keep)*e), to six digits.
 
-    The fold is inherently ordered, so each label is streamed in order through one task with one
-    vector of state; nothing is collected. `assigned`: label, seq, face_id, media_id, embedding.
+    A step shrinks what came before to `keep`, so the last faces settle the digits whatever stood before them.
+    Only a label's last `window` faces are gathered (a group limit cuts them down before the shuffle) and
+    folded from two different starts, the old centroid and its opposite. Where both end in the same digits, so
+    does the full fold; labels that haven't settled are taken again with a window four times as long, up
+    to their whole history. Faces of another length than the centroid's are left out of the fold.
+    `assigned`: label, seq, face_id, media_id, embedding.
     """
-    state = clusters.select(
-        "label", F.lit(0).alias("part"), F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("face_id"),
-        F.col("example_photo_id").alias("media_id"), F.col("centroid").cast("array<double>").alias("vec"),
+    state = clusters.select("label", F.col("centroid").cast("array<double>").alias("start"), F.col("example_photo_id").cast("long").alias("example"))
+    faces = assigned.select(
+        "label", F.col("seq").cast("long"), F.col("face_id").cast("long"), F.col("media_id").cast("long"),
+        F.col("embedding").cast("array<double>").alias("vec"),
     )
-    faces = assigned.join(clusters.select("label"), "label", "left_semi").select(
-        "label", F.lit(1).alias("part"), F.col("seq").cast("long"), F.col("face_id").cast("long"),
-        F.col("media_id").cast("long"), F.col("embedding").cast("array<double>").alias("vec"),
+    faces = faces.join(state.select("label", F.size("start").alias("dim")), "label")
+    fits = F.size("vec") == F.col("dim")
+    counts = faces.groupBy("label").agg(
+        F.count_if(fits).alias("folded"), F.min_by("media_id", F.when(F.col("media_id").isNotNull(), F.struct("seq", "face_id"))).alias("first_photo")
     )
-    ordered = (
-        state.unionByName(faces).repartition("label").sortWithinPartitions("label", "part", "seq", "face_id")
+    known = state.join(counts, "label", "left").select(
+        "label", "start", F.coalesce("example", "first_photo").alias("example_photo_id"), F.coalesce("folded", F.lit(0)).alias("folded")
     )
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        label, centroid, example, folded = None, None, None, 0
-
-        def row():
-            return label, centroid.tolist(), example, folded
-
-        for batch in batches:
-            done = []
-            photos = batch["media_id"].astype("object").where(batch["media_id"].notna(), None)
-            for name, part, photo, vec in zip(batch["label"], batch["part"], photos, batch["vec"]):
-                if part == 0:
-                    if label is not None:
-                        done.append(row())
-                    label, centroid, example, folded = name, np.asarray(vec, dtype=float), photo, 0
-                    continue
-                if len(vec) == len(centroid):
-                    merged = keep * centroid + (1 - keep) * np.asarray(vec, dtype=float)
-                    size = np.linalg.norm(merged)
-                    centroid = np.round(merged / size if size else merged, 6)
-                    folded += 1
-                example = photo if example is None else example
-            yield pd.DataFrame(done, columns=["label", "centroid", "example_photo_id", "folded"])
-        if label is not None:
-            yield pd.DataFrame([row()], columns=["label", "centroid", "example_photo_id", "folded"])
-
-    return ordered.mapInPandas(fold, "label string, centroid array<double>, example_photo_id long, folded long")
+    known = cut_lineage(known)
+    usable, todo, done = faces.filter(fits), known.filter("folded > 0"), known.filter("folded = 0").withColumn("centroid", F.col("start"))
+    turn = 0
+    while True:
+        recent = W.partitionBy("label").orderBy(F.desc("seq"), F.desc("face_id"))
+        last = usable.select("label", "seq", "face_id", "vec")
+        if turn:
+            last = last.join(todo.select("label"), "label", "left_semi")
+        last = last.withColumn("back", F.row_number().over(recent)).filter(F.col("back") <= window)
+        rows = last.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("seq", "face_id", "vec"))).alias("faces")).join(todo, "label")
+        folded = cut_lineage(rows.select("label", "start", "example_photo_id", "folded", F.transform("faces", lambda f: f["vec"]).alias("vecs")).mapInPandas(
+            lambda batches: _fold(batches, keep), "label string, start array<double>, example_photo_id long, folded long, centroid array<double>, settled boolean"
+        ))
+        done = done.unionByName(folded.filter("settled").drop("settled"))
+        todo = folded.filter("not settled").drop("settled", "centroid")
+        if todo.isEmpty():
+            return done.select("label", "centroid", "example_photo_id", "folded")
+        window, turn = 4 * window, turn + 1
+
+
+def _fold(batches: Iterator[pd.DataFrame], keep: float) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        centroids, settled = [], []
+        for start, vecs, total in zip(batch["start"], batch["vecs"], batch["folded"]):
+            whole = len(vecs) == total
+            ends = [np.asarray(start, dtype=float)]
+            if not whole:
+                ends.append(-ends[0])
+            for vec in vecs:
+                merged = [keep * c + (1 - keep) * np.asarray(vec, dtype=float) for c in ends]
+                ends = [np.round(m / size if (size := np.linalg.norm(m)) else m, 6) for m in merged]
+            centroids.append(ends[0].tolist())
+            settled.append(whole or bool(np.array_equal(*ends)))
+        yield batch.drop(columns="vecs").assign(centroid=centroids, settled=settled)
 
 
 def label_names(clusters: DataFrame, persons: DataFrame) -> DataFrame:

@@ -19,19 +19,26 @@ def _age() -> list[Column]:
     return [-F.unix_micros("modificationTime"), F.col("path")]
 
 
+def _place(files: DataFrame) -> Column:
+    """Where a listing row stands in its batch: newest first, then by path, then by source."""
+    source = [F.col("source_id")] if "source_id" in files.columns else []
+    return F.struct(*[c.alias(n) for c, n in zip([*_age(), *source], ("age", "path", "source_id"))])
+
+
 def ingest_batch(files: DataFrame, photos: DataFrame, videos: DataFrame) -> DataFrame:
-    """Adds `outcome` to files (path, modificationTime, media_kind, sha256): imported, duplicate, unsupported.
+    """Adds `outcome` to files (path, modificationTime, media_kind, sha256[, source_id]): imported, duplicate, unsupported.
 
-    The first copy of a digest in a batch is a combinable minimum, so copies are reduced before the
+    A file that two sources list is imported for the smaller source and a duplicate for the other. The first copy of a digest in a batch is a combinable minimum, so copies are reduced before the
     shuffle. Files of no supported kind neither count nor claim a digest. Of the catalog only digests of the
     batch go further than the scan, by a semi-join that broadcasts the batch while it is small.
     """
     usable = files.filter("media_kind <> 'unsupported'")
-    first = usable.groupBy("sha256").agg(F.min(F.struct(*[c.alias(n) for c, n in zip(_age(), ("age", "path"))]))["path"].alias("first"))
+    place = _place(files)
+    first = usable.groupBy("sha256").agg(F.min(place).alias("first"))
     catalog = photos.select("sha256").unionByName(videos.select("sha256"))
     known = catalog.join(first.select("sha256"), "sha256", "left_semi").distinct().withColumn("known", F.lit(True))
     rows = files.join(first.join(known, "sha256", "left"), "sha256", "left")
-    new = F.col("known").isNull() & (F.col("path") == F.col("first"))
+    new = F.col("known").isNull() & (place == F.col("first"))
     outcome = F.when(F.col("media_kind") == "unsupported", "unsupported").when(new, "imported").otherwise("duplicate")
     return rows.withColumn("outcome", outcome).drop("first", "known")
 
@@ -53,20 +60,25 @@ def import_job_summary(classified: DataFrame, errors: DataFrame | None = None) -
 # --- archive names ----------------------------------------------------------------------------------
 
 
-def spread_rank(df: DataFrame, key: list[str], order: list[str], out: str) -> DataFrame:
-    """0-based rank of each row in its key without gathering a key in one task.
+def spread_sum(df: DataFrame, key: list[str], order: list[str], value: Column, out: str) -> DataFrame:
+    """Running sum of `value` in each key, in order, without gathering a key in one task.
 
-    Rows are range-partitioned by key and order, ranked inside their partition, and shifted by the
-    sizes of the partitions before. The range partitioning is checkpointed so that counts and ranks
-    see the same split even after a lost executor.
+    Rows are range-partitioned by key and order, summed inside their partition, and shifted by the
+    sums of the partitions before. The range partitioning is checkpointed so that both see the same
+    split even after a lost executor.
     """
-    ranged = cut_lineage(df.repartitionByRange(*key, *order).withColumn("_part", F.spark_partition_id()))
-    sizes = ranged.groupBy(*key, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = cut_lineage(df.withColumn("_value", value).repartitionByRange(*key, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy(*key, "_part").agg(F.sum("_value").alias("_n"))
     before = W.partitionBy(*key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     shifts = sizes.select(*key, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    inside = W.partitionBy(*key, "_part").orderBy(*order)
-    rows = ranged.withColumn("_rn", F.row_number().over(inside)).join(shifts, [*key, "_part"])
-    return rows.withColumn(out, F.col("_shift") + F.col("_rn") - 1).drop("_part", "_rn", "_shift")
+    inside = W.partitionBy(*key, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = ranged.withColumn("_run", F.sum("_value").over(inside)).join(shifts, [*key, "_part"])
+    return rows.withColumn(out, F.col("_shift") + F.col("_run")).drop("_value", "_part", "_run", "_shift")
+
+
+def spread_rank(df: DataFrame, key: list[str], order: list[str], out: str) -> DataFrame:
+    """0-based rank of each row in its key; rows of a key differ in the order."""
+    return spread_sum(df, key, order, F.lit(1).cast("long"), out).withColumn(out, F.col(out) - 1)
 
 
 def _slot(name: Column, counter: Column) -> Column:
@@ -105,16 +117,15 @@ def assign_archive_paths(files: DataFrame, existing: DataFrame, folder: str) ->
     )
     blocked = cut_lineage(_claims(taken.distinct()).join(ranked.select("name").distinct(), "name", "left_semi"))
     while True:
-        # the i-th blocked number b pushes every rank above b - i by one; runs of numbers share a step
+        # the i-th blocked number b pushes every rank from b - i on by one; runs of numbers share a step
         steps = spread_rank(blocked, ["name"], ["counter"], "i").groupBy("name", (F.col("counter") - F.col("i")).alias("at")).agg(
             F.count(F.lit(1)).alias("n")
         )
-        gaps = steps.groupBy("name").agg(F.collect_list(F.struct("at", "n")).alias("gaps"))
-        pushed = F.aggregate(
-            F.coalesce("gaps", F.array().cast("array<struct<at:bigint,n:bigint>>")), F.lit(0).cast("long"),
-            lambda acc, g: acc + F.when(g["at"] <= F.col("rank"), g["n"]).otherwise(F.lit(0).cast("long")),
-        )
-        placed = ranked.join(gaps, "name", "left").withColumn("counter", F.col("rank") + pushed).drop("gaps")
+        # steps and ranks in one order: what stands before a rank is summed as it goes
+        line = ranked.select("name", F.col("rank").alias("at"), F.lit(1).alias("turn"), F.lit(0).cast("long").alias("n"), F.struct(*ranked.columns).alias("row"))
+        line = line.unionByName(steps.select("name", "at", F.lit(0).alias("turn"), "n"), allowMissingColumns=True)
+        pushed = spread_sum(line, ["name"], ["at", "turn"], F.col("n"), "pushed").filter("turn = 1")
+        placed = pushed.select("row.*", (F.col("at") + F.col("pushed")).alias("counter"))
         placed = cut_lineage(placed.withColumn("file", _slot(F.col("name"), F.col("counter"))))
         first = placed.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_age", "path")).alias("w")).filter("n > 1")
         lost = placed.join(first, "file").filter(F.struct("_age", "path") != F.col("w")).select("name", "counter")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,13 +18,15 @@ from lumenary.functions import text as X
 from lumenary.functions.blockmatch import Side
 from lumenary.functions.vector import IMAGE_DIM, cosines_to
 from lumenary.operators import identity as I
-from lumenary.operators.views import enrich_photos
-from lumenary.session import materialize
+from lumenary.operators.views import enrich_photos, enrich_videos
+from lumenary.session import cut_lineage
 
 # Score weights, the vector floor and the person count of a face search.
 KEYWORD_WEIGHT, VECTOR_WEIGHT = 0.55, 0.45
 VECTOR_FLOOR = 0.01
 FACE_SEARCH_PERSONS = 3
+#: Labels that are looked up for the terms of a search at most.
+NAMED_LABELS = 5_000
 MODES = ("hybrid", "keyword", "vector")
 
 
@@ -54,27 +58,37 @@ class SearchRequest:
         return "\n".join([self.text, " ".join(self.people), " ".join(self.scene_tags), " ".join(self.object_tags)])
 
 
+GRAM = 3
+
+
+def _grams(text: Column, size: Column) -> Column:
+    """The different stretches of `size` letters of a text; none if it is shorter."""
+
+    def cut(letters: Column) -> Column:
+        starts = F.when(F.size(letters) >= size, F.sequence(F.lit(1), F.size(letters) - size + 1)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(letters, i, size), "")))
+
+    return X.let(F.split(text, ""), cut)
+
+
 def detect_people(queries: DataFrame, persons: DataFrame) -> DataFrame:
     """(query_id, names): persons whose normalised name occurs in the query text.
 
-    A name in the text equals one of its substrings, so every substring as long as some name is
-    looked up by equality; no query meets a person it does not name.
+    Each name is indexed by one anchor, the three letters of it that fewest names share (a shorter name by
+    all of it). A text that holds a name holds its anchor, so texts meet names by equal anchors, and only
+    those pairs are tested for containment.
     """
     named = persons.filter(F.trim("normalized_name") != "").select(
         F.lower(F.trim("normalized_name")).alias("piece"), "name", "updated_at", "id"
     )
-    lengths = named.agg(F.collect_set(F.length("piece")).alias("l")).scalar()
-    text = F.lower(F.trim("text"))
-    cuts = queries.select("query_id", text.alias("t"), F.explode(lengths).alias("len")).filter(
-        F.length("t") >= F.col("len")
-    )
-    pieces = cuts.select(
-        "query_id",
-        F.explode(
-            F.transform(F.sequence(F.lit(1), F.length("t") - F.col("len") + 1), lambda i: F.substring("t", i, F.col("len")))
-        ).alias("piece"),
-    ).distinct()
-    found = pieces.join(named, "piece").select(
+    pieces = named.select("piece").distinct().select("piece", F.explode(_grams(F.col("piece"), F.least(F.length("piece"), F.lit(GRAM)))).alias("anchor"))
+    shared = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    anchors = pieces.join(shared, "anchor").groupBy("piece").agg(F.min_by("anchor", F.struct("n", "anchor")).alias("anchor"))
+    texts = queries.select("query_id", F.lower(F.trim("text")).alias("t")).filter("t <> ''")
+    grams = texts.select("query_id", F.explode(F.concat(*[_grams(F.col("t"), F.lit(n)) for n in range(1, GRAM + 1)])).alias("anchor"))
+    maybe = grams.distinct().join(anchors, "anchor").select("query_id", "piece")
+    said = maybe.join(texts, "query_id").filter(F.contains("t", "piece")).select("query_id", "piece").distinct()
+    found = said.join(named, "piece").select(
         "query_id", F.struct((-F.unix_micros("updated_at")).alias("u"), (-F.col("id")).alias("i"), "name").alias("e")
     )
     return found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["name"]).alias("names"))
@@ -89,8 +103,11 @@ def _with_people(requests: Sequence[SearchRequest], persons: DataFrame) -> list[
     ]
 
 
-def facet_filter(request: SearchRequest, clusters: bool = True) -> Column:
-    """Every wanted person, tag and cluster is on the row, and the source kind is listed."""
+def facet_filter(request: SearchRequest, clusters: bool = True, named: Callable[[str], Column] | None = None) -> Column:
+    """Every wanted person, tag and cluster is on the row, and the source kind is listed.
+
+    `named` says of a lower-case name whether a face of the row has it; without it `people` holds all names.
+    """
     wanted = [
         ("people", [p.lower() for p in request.people], True),
         ("scene_tags", [p.lower() for p in request.scene_tags], True),
@@ -102,7 +119,8 @@ def facet_filter(request: SearchRequest, clusters: bool = True) -> Column:
     for column, values, fold in wanted:
         have = F.transform(column, F.lower) if fold else F.col(column)
         for value in dict.fromkeys(values):
-            keep = keep & F.coalesce(F.array_contains(have, value), F.lit(False))
+            there = F.coalesce(F.array_contains(have, value), F.lit(False))
+            keep = keep & (there | named(value) if named is not None and column == "people" else there)
     if request.source_kinds:
         keep = keep & F.col("source_kind").isin(*request.source_kinds)
     return keep
@@ -140,46 +158,104 @@ def merge_scores(mode: str, keyword: Column, vector: Column, has_query: bool) ->
     return F.when(silent, 0.0).otherwise(keyword * KEYWORD_WEIGHT + vector * VECTOR_WEIGHT)
 
 
+def _labels_saying(clusters: DataFrame, persons: DataFrame, terms: Sequence[str], people: Sequence[str]) -> list[list[str]] | None:
+    """Per term the labels with a name that holds it, then per lower-case person those with that very name.
+
+    None if more than NAMED_LABELS labels say any of them.
+    """
+    names = [F.lower("display_name"), F.lower("person_name")]
+    tests = [lambda n, t=t: F.contains(n, F.lit(t)) for t in terms] + [lambda n, p=p: n == p for p in people]
+    if not tests:
+        return []
+    flags = [reduce(lambda x, y: x | y, [F.coalesce(test(n), F.lit(False)) for n in names]) for test in tests]
+    said = I.label_names(clusters, persons).select("label", F.array(*flags).alias("flags")).filter(F.exists("flags", lambda x: x))
+    rows = said.take(NAMED_LABELS + 1)
+    if len(rows) > NAMED_LABELS:
+        return None
+    return [[r["label"] for r in rows if r["flags"][i]] for i in range(len(tests))]
+
+
+def _on_faces(labels: Sequence[str]) -> Column:
+    """Whether a face of the row has one of the labels."""
+    if not labels:
+        return F.lit(False)
+    quoted = ",".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for x in labels)
+    return F.coalesce(F.expr(f"exists(face_clusters, x -> x in ({quoted}))"), F.lit(False))
+
+
 def _score_all(
     media: DataFrame, clusters: DataFrame, persons: DataFrame, requests: Sequence[SearchRequest], targets: np.ndarray,
     by_cluster: bool,
 ) -> DataFrame:
-    """(query_no, id, created_at, score) of every hit: one scan answers all requests.
+    """(id, created_at, scores) of all media, a score per request (null or 0: no hit): one scan answers all requests.
 
-    Texts and vectors are reduced to term flags and cosines where they are read; only those, the
-    tags and the names are shuffled to meet the names of the faces.
+    The names of faces are resolved the other way round: labels whose names hold a wanted term or person are
+    looked up first, and the rows are tested for them, so media meet no table. Only if very many labels
+    say a term, the media are joined with the names of their faces.
     """
     terms = list(dict.fromkeys(t for r in requests for t in r.terms))
+    people = list(dict.fromkeys(p.lower() for r in requests for p in r.people))
     texts = [*_TEXTS, "face_clusters"] if by_cluster else list(_TEXTS)
-    narrow = media.select(
+    labels = _labels_saying(clusters, persons, terms, people)
+    rows = media.select(
         "id", "created_at", "source_kind", "people", "scene_tags", "object_tags", "face_clusters",
         _mentions(texts, terms).alias("_said"), cosines_to(F.col("vector"), targets).alias("_cos"),
     )
-    rows = enrich_photos(narrow, clusters, persons)
-    named = F.zip_with("_said", _mentions(["people"], terms), lambda a, b: a | b)
-    rows = rows.withColumn("_found", named)
-    scored = []
+    named = None
+    found = F.zip_with("_said", _mentions(["people"], terms), lambda a, b: a | b)
+    if labels is None:
+        rows = enrich_photos(rows, clusters, persons)
+    else:
+        found = F.zip_with(found, F.array(*[_on_faces(labels[i]) for i in range(len(terms))]).cast("array<boolean>"), lambda a, b: a | b)
+        rows = rows.withColumns({f"_person{i}": _on_faces(labels[len(terms) + i]) for i in range(len(people))})
+        named = lambda name: F.col(f"_person{people.index(name)}")
+    rows = rows.withColumn("_found", found)
+    scores = []
     for i, r in enumerate(requests):
         vector = F.coalesce(F.col("_cos")[i], F.lit(0.0)) if r.wants_vector else F.lit(0.0)
         keyword = keyword_score(F.col("_found"), terms, r.terms)
         score = merge_scores(r.mode, keyword, vector, bool(r.terms or r.wants_vector))
-        score = F.round(F.when(facet_filter(r, by_cluster), score), 6)
-        scored.append(F.struct(F.lit(i).alias("query_no"), score.alias("score")))
-    hits = rows.select("id", "created_at", F.explode(F.array(*scored)).alias("h"))
-    return hits.select("h.query_no", "id", "created_at", "h.score").filter("score > 0")
+        scores.append(F.round(F.when(facet_filter(r, by_cluster, named), score), 6).cast("double"))
+    return rows.select("id", "created_at", F.array(*scores).alias("scores"))
 
 
-def _page(hits: DataFrame, requests: Sequence[SearchRequest]) -> DataFrame:
-    # totals and pages both read the hits; texts and vectors behind them are read once
-    hits = materialize(hits, "hits")
-    order = W.partitionBy("query_no").orderBy(F.desc("score"), F.desc("created_at"), F.desc("id"))
-    most = max(r.limit for r in requests)
-    limits = F.array(*[F.lit(r.limit) for r in requests])
-    top = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
-    totals = hits.groupBy("query_no").agg(F.count(F.lit(1)).alias("total"))
-    page = top.filter(F.col("rank") <= limits[F.col("query_no")])
-    # one row per request
-    return page.join(F.broadcast(totals), "query_no")
+def _page(scored: DataFrame, requests: Sequence[SearchRequest]) -> DataFrame:
+    """(query_no, id, created_at, score, rank, total): one page per request, from one pass.
+
+    A task keeps the best `limit` hits of each request and counts all; only those rows leave it.
+    """
+    limits = [r.limit for r in requests]
+    best_first = [("score", "descending"), ("created_at", "descending"), ("id", "descending")]
+
+    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, pa.Table] = {}
+        counts = np.zeros(len(limits), dtype=np.int64)
+        rest = None
+        for batch in batches:
+            rest = batch.slice(0, 0).select(["id", "created_at"])
+            scores = pc.fill_null(batch.column("scores").flatten(), 0.0).to_numpy(zero_copy_only=False).reshape(-1, len(limits))
+            for q, limit in enumerate(limits):
+                hit = np.flatnonzero(scores[:, q] > 0)
+                counts[q] += len(hit)
+                rows = pa.table({"id": batch.column("id").take(pa.array(hit)), "created_at": batch.column("created_at").take(pa.array(hit)), "score": scores[hit, q]})
+                rows = pa.concat_tables([held[q], rows]) if q in held else rows
+                held[q] = rows.take(pc.select_k_unstable(rows, limit, best_first)) if rows.num_rows > limit else rows
+        if rest is None:
+            return
+        for q, rows in held.items():
+            total = pa.table({"id": pa.nulls(1, rest.schema.field("id").type), "created_at": pa.nulls(1, rest.schema.field("created_at").type), "score": pa.nulls(1, pa.float64())})
+            out = pa.concat_tables([rows, total])
+            n = pa.array([None] * rows.num_rows + [int(counts[q])], pa.int64())
+            out = pa.table({"query_no": pa.array([q] * out.num_rows, pa.int32()), **{c: out.column(c) for c in ("id", "created_at", "score")}, "n": n})
+            yield from out.combine_chunks().to_batches()
+
+    kinds = dict(scored.dtypes)
+    parts = scored.mapInArrow(tops, f"query_no int, id {kinds['id']}, created_at {kinds['created_at']}, score double, n long")
+    whole = W.partitionBy("query_no")
+    order = whole.orderBy(F.col("n").isNotNull(), F.desc("score"), F.desc("created_at"), F.desc("id"))
+    ranked = parts.withColumns({"rank": F.row_number().over(order), "total": F.sum("n").over(whole)})
+    page = F.array(*map(F.lit, limits))[F.col("query_no")]
+    return ranked.filter(F.col("n").isNull() & (F.col("rank") <= page)).select("query_no", "id", "created_at", "score", "rank", "total")
 
 
 def photo_results(hits: DataFrame, photos: DataFrame, clusters: DataFrame, persons: DataFrame) -> DataFrame:
@@ -192,6 +268,13 @@ def photo_results(hits: DataFrame, photos: DataFrame, clusters: DataFrame, perso
     return page.join(enrich_photos(wanted, clusters, persons), "id")
 
 
+def video_results(hits: DataFrame, videos: DataFrame, clusters: DataFrame, persons: DataFrame) -> DataFrame:
+    """As photo_results, for videos."""
+    page = hits.select("id", "query_no", "score", "rank", "total")
+    wanted = videos.join(F.broadcast(page.select("id").distinct()), "id", "left_semi")
+    return page.join(enrich_videos(wanted, clusters, persons), "id")
+
+
 def search_photos(photos: DataFrame, clusters: DataFrame, persons: DataFrame, requests: Sequence[SearchRequest]) -> DataFrame:
     """(query_no, id, created_at, score, rank, total) for each request."""
     requests = _with_people(requests, persons)
@@ -244,11 +327,11 @@ def search_by_examples(examples: DataFrame, df: DataFrame, k: int = 24, dim: int
 # --- person search --------------------------------------------------------------------------------
 
 
-def _query_keys(queries: DataFrame, persons, samples, clusters, thr: float, dim: int) -> DataFrame:
-    """(query_id, kind, ref, score): persons and clusters a query face matches."""
+def _query_keys(queries: DataFrame, persons, samples, clusters, thr: float, dim: int, most: int | None = None) -> DataFrame:
+    """(query_id, kind, ref, score): persons and (all, or the `most` best) clusters a query face matches."""
     side = Side(queries, "query_id", "embedding")
     people = I.rank_persons(side, persons, samples, FACE_SEARCH_PERSONS, dim).filter(F.col("score") >= thr)
-    direct = bm.nearest(side, Side(clusters, "label", "centroid", "updated_at"), dim=dim, k=None, floor=thr)
+    direct = bm.nearest(side, Side(clusters, "label", "centroid", "updated_at"), dim=dim, k=most, floor=thr)
     return people.select(
         "query_id", F.lit("person").alias("kind"), F.col("person_id").cast("string").alias("ref"), "score"
     ).unionByName(
@@ -287,11 +370,19 @@ def search_by_person(
     """(query_id, id, score, rank) per query face; a medium scores as its best matching cluster.
 
     A result of rank <= k is among the k newest media of its best key: k newer ones there would all
-    score at least as much. So k media per key suffice, however many carry a hot label.
+    score at least as much. So k media per key suffice, however many carry a hot label. A query's keys are
+    taken from the best one down, and only until those before hold k different media.
     """
-    keys = _query_keys(queries, persons, samples, clusters, thr, dim)
     newest = W.partitionBy("kind", "ref").orderBy(F.desc("created_at"), F.desc("id"))
     short = _media_keys(media, clusters).withColumn("r", F.row_number().over(newest)).filter(F.col("r") <= k)
+    short = cut_lineage(short)
+    sizes = short.groupBy("kind", "ref").agg(F.max("r").cast("long").alias("size"))
+    # a medium is on as many lists as it has labels and owners, so lists of k * most rows hold k media
+    most = short.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    seen = clusters.join(sizes.filter("kind = 'cluster'").select(F.col("ref").alias("label")), "label", "left_semi")
+    keys = _query_keys(queries, persons, samples, seen, thr, dim, k * most).join(sizes, ["kind", "ref"])
+    better = W.partitionBy("query_id").orderBy(-F.round(F.col("score") * 1_000_000).cast("long")).rangeBetween(W.unboundedPreceding, -1)
+    keys = keys.filter("score > 0").withColumn("above", F.coalesce(F.sum("size").over(better), F.lit(0))).filter(F.col("above") < k * most)
     hits = keys.join(short, ["kind", "ref"]).groupBy("query_id", "id").agg(
         F.max("score").alias("score"), F.max("created_at").alias("created_at")
     )

@@ -46,7 +46,7 @@ _LINKS = {
 }
 
 
-_FORMED = """SELECT l.face_id, least(l.face_id, coalesce(r.root, l.face_id)) AS root, 'face-'||substr(sha1(CAST(least(l.face_id, coalesce(r.root, l.face_id)) AS VARCHAR)),1,8) AS label
+_FORMED = """SELECT l.face_id, least(l.face_id, coalesce(r.root, l.face_id)) AS root, 'face-'||substr(sha1(CAST(least(l.face_id, coalesce(r.root, l.face_id)) AS VARCHAR)),1,32) AS label
  FROM lonely l LEFT JOIN (WITH RECURSIVE reach AS (SELECT a, b FROM linked UNION SELECT r.a, k.b FROM reach r JOIN linked k ON k.a=r.b) SELECT a, min(b) AS root FROM reach GROUP BY a) r ON r.a=l.face_id"""
 
 
@@ -199,31 +199,71 @@ def upsert(c: Catalog) -> DataFrame:
     return C.upsert_persons(c.persons, names).select("name", "normalized_name")
 
 
+# up to two commands a person: names in use, names given up by earlier commands, names asked for twice
 _RENAME = {
-    "newname": ("persons", "SELECT id, CASE id%3 WHEN 0 THEN 'Renamed '||id WHEN 1 THEN 'Person '||(id%2) ELSE NULL END AS new_name FROM persons"),
-    "ok": ("newname persons", "SELECT n.* FROM newname n WHERE new_name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM persons p WHERE p.normalized_name=lower(n.new_name) AND p.id<>n.id)"),
+    "command": (
+        "persons",
+        """SELECT id*10 AS seq, id AS p, CASE id%3 WHEN 0 THEN 'Renamed '||id WHEN 1 THEN 'Person '||(id%2) END AS new_name FROM persons WHERE id%3<2
+ UNION ALL SELECT id*10+1, id, 'Person '||(id-2) FROM persons WHERE id%4=0 UNION ALL SELECT id*10+2, id, 'Renamed '||(id-2) FROM persons WHERE id%5=0
+ UNION ALL SELECT id*10+3, id, ' SOLO  '||id FROM persons WHERE id%6=0""",
+    ),
+    "line": ("command", "SELECT *, row_number() OVER (ORDER BY seq) AS i FROM command"),
+    # one by one: the names of all persons by id after each command, and who has been refused
+    "walk": (
+        "line persons",
+        """SELECT * FROM (WITH RECURSIVE w AS (SELECT 0 AS i, (SELECT list(name ORDER BY id) FROM persons) AS names, (SELECT list([lower(name)] ORDER BY id) FROM persons) AS had, CAST(NULL AS VARCHAR) AS taken
+ UNION ALL SELECT l.i, CASE WHEN t.no THEN w.names ELSE list_transform(w.names, lambda x, k: CASE WHEN k=l.p THEN trim(l.new_name) ELSE x END) END,
+ CASE WHEN t.no THEN w.had ELSE list_transform(w.had, lambda x, k: CASE WHEN k=l.p THEN list_append(x, lower(trim(regexp_replace(l.new_name,' +',' ','g')))) ELSE x END) END, CASE WHEN t.no THEN 'no' END
+ FROM w JOIN line l ON l.i=w.i+1, LATERAL (SELECT len(list_filter(w.names, lambda x, k: k<>l.p AND lower(regexp_replace(x,' +',' ','g'))=lower(trim(regexp_replace(l.new_name,' +',' ','g')))))>0 AS no) t) SELECT * FROM w)""",
+    ),
+    "final": ("walk", "SELECT names, had FROM walk WHERE i=(SELECT max(i) FROM walk)"),
+    "renamed": ("final persons", "SELECT p.id, f.names[p.id] AS name, len(f.had[p.id])>1 AS moved, f.had[p.id][2] AS first_key, f.had[p.id][1:len(f.had[p.id])-1] AS was FROM persons p, final f"),
+    "moved_rank": (
+        "renamed clus_person",
+        "SELECT c.*, row_number() OVER (PARTITION BY label ORDER BY score DESC, updated_at DESC, person_id DESC) AS r FROM clus_person c JOIN renamed n ON n.id=c.person_id WHERE n.moved AND score>0",
+    ),
+    "rebound": (
+        "clusters clus_person moved_rank renamed",
+        f"""SELECT c.label, CASE WHEN own.moved AND o.score>={_ASSOCIATE_THR} THEN c.person_profile_id WHEN own.moved OR c.person_profile_id IS NULL THEN CASE WHEN b.score>={_ASSOCIATE_THR} THEN b.person_id END ELSE c.person_profile_id END AS owner,
+ CASE WHEN own.moved AND o.score>={_ASSOCIATE_THR} THEN own.name WHEN (own.moved OR c.person_profile_id IS NULL) AND b.score>={_ASSOCIATE_THR} THEN bn.name WHEN own.moved AND lower(c.display_name)=own.first_key THEN NULL ELSE c.display_name END AS shown
+ FROM clusters c LEFT JOIN renamed own ON own.id=c.person_profile_id LEFT JOIN clus_person o ON o.label=c.label AND o.person_id=c.person_profile_id
+ LEFT JOIN moved_rank b ON b.label=c.label AND b.r=1 LEFT JOIN renamed bn ON bn.id=b.person_id""",
+    ),
 }
 
 
 def _rename(c: Catalog):
     pid = F.col("id")
-    name = F.when(pid % 3 == 0, F.concat(F.lit("Renamed "), pid)).when(pid % 3 == 1, F.concat(F.lit("Person "), pid % 2))
-    commands = c.persons.select(pid.alias("seq"), pid.alias("person_id"), name.alias("new_name")).filter("new_name is not null")
-    return C.rename_persons(c.persons, c.clusters, commands)
 
+    def said(k: int, when: str, name):
+        return c.persons.filter(when).select((pid * 10 + k).alias("seq"), pid.alias("person_id"), name.alias("new_name"))
 
-@query("c11_rename_persons", "persons ok", "SELECT p.id, coalesce(o.new_name, p.name) AS name FROM persons p LEFT JOIN ok o ON o.id=p.id", _RENAME)
+    commands = (
+        said(0, "id % 3 < 2", F.when(pid % 3 == 0, F.concat(F.lit("Renamed "), pid)).otherwise(F.concat(F.lit("Person "), pid % 2)))
+        .unionByName(said(1, "id % 4 = 0", F.concat(F.lit("Person "), pid - 2)))
+        .unionByName(said(2, "id % 5 = 0", F.concat(F.lit("Renamed "), pid - 2)))
+        .unionByName(said(3, "id % 6 = 0", F.concat(F.lit(" SOLO  "), pid)))
+    )
+    return C.rename_persons(c.persons, c.clusters, commands, c.samples, _ASSOCIATE_THR, DIM)
+
+
+@query("c11_rename_persons", "renamed", "SELECT id, name FROM renamed", _RENAME)
 def rename_persons(c: Catalog) -> DataFrame:
     return _rename(c)[0].select("id", "name")
 
 
+@query("c11_refused_renames", "line walk", "SELECT l.seq, l.p AS person_id, trim(l.new_name) AS new_name FROM line l JOIN walk w ON w.i=l.i WHERE w.taken='no'", _RENAME)
+def refused_renames(c: Catalog) -> DataFrame:
+    return _rename(c)[1]
+
+
 @query(
-    "c11_sync_cluster_names", "clusters ok",
-    """SELECT c.label, CASE WHEN o.id IS NOT NULL AND (coalesce(c.display_name,'')='' OR c.display_name='Person '||(o.id-1)) THEN o.new_name ELSE c.display_name END AS display_name
- FROM clusters c LEFT JOIN ok o ON o.id=c.person_profile_id""", _RENAME,
+    "c11_sync_cluster_names", "rebound renamed",
+    """SELECT r.label, r.owner AS person_profile_id, CASE WHEN n.moved AND (coalesce(r.shown,'')='' OR list_contains(n.was, lower(r.shown))) THEN n.name ELSE r.shown END AS display_name
+ FROM rebound r LEFT JOIN renamed n ON n.id=r.owner""", _RENAME,
 )
 def sync_names(c: Catalog) -> DataFrame:
-    return _rename(c)[2].clusters.select("label", "display_name")
+    return _rename(c)[2].clusters.select("label", "person_profile_id", "display_name")
 
 
 _SELECTED = 3

@@ -104,11 +104,16 @@ def digests(c: Catalog) -> DataFrame:
 
 
 def batch_files(c: Catalog) -> DataFrame:
-    """Documents as files of a batch, newest last by id; of eight documents two are already known."""
-    return c.photos.select(
+    """Documents as files of a batch, newest last by id; of eight documents two are already known.
+
+    Every seventh file is listed by a second source too, ten times its number and one.
+    """
+    rows = c.photos.select(
         F.col("original_path").alias("path"), "source_id", F.col("created_at").alias("modificationTime"), "sha256",
-        F.when(F.col("id") % 13 == 12, "unsupported").otherwise("image").alias("media_kind"),
+        F.when(F.col("id") % 13 == 12, "unsupported").otherwise("image").alias("media_kind"), (F.col("id") % 7 == 0).alias("twice"),
     )
+    again = rows.filter("twice").withColumn("source_id", F.col("source_id") * 10 + 1)
+    return rows.unionByName(again).drop("twice")
 
 
 def known(c: Catalog) -> tuple[DataFrame, DataFrame]:
@@ -118,16 +123,18 @@ def known(c: Catalog) -> tuple[DataFrame, DataFrame]:
 INGEST = {
     "outcomes": (
         "photos",
-        """SELECT p.original_path, p.source_id, CASE WHEN p.id%13=12 THEN 'unsupported' WHEN k.sha256 IS NULL AND p.id=f.first THEN 'imported' ELSE 'duplicate' END AS outcome FROM photos p
+        """SELECT p.original_path, p.source_id, CASE WHEN p.id%13=12 THEN 'unsupported' WHEN k.sha256 IS NULL AND p.id=f.first AND p.source_id=f.least THEN 'imported' ELSE 'duplicate' END AS outcome
+ FROM (SELECT id, original_path, sha256, source_id FROM photos UNION ALL SELECT id, original_path, sha256, source_id*10+1 FROM photos WHERE id%7=0) p
  LEFT JOIN (SELECT DISTINCT sha256 FROM photos WHERE id%8 IN (0,2)) k ON k.sha256=p.sha256
- LEFT JOIN (SELECT sha256, arg_max(id, created_at) AS first FROM photos WHERE id%13<>12 GROUP BY 1) f ON f.sha256=p.sha256""",
+ LEFT JOIN (SELECT sha256, arg_max(id, created_at) AS first, arg_max(least(source_id, CASE WHEN id%7=0 THEN source_id*10+1 ELSE source_id END), created_at) AS least
+ FROM photos WHERE id%13<>12 GROUP BY 1) f ON f.sha256=p.sha256""",
     ),
 }
 
 
-@query("s6_ingest_batch", "outcomes", "SELECT original_path, outcome FROM outcomes", INGEST)
+@query("s6_ingest_batch", "outcomes", "SELECT original_path, source_id, outcome FROM outcomes", INGEST)
 def ingest(c: Catalog) -> DataFrame:
-    return IN.ingest_batch(batch_files(c), *known(c)).select(F.col("path").alias("original_path"), "outcome")
+    return IN.ingest_batch(batch_files(c), *known(c)).select(F.col("path").alias("original_path"), "source_id", "outcome")
 
 
 @query(
@@ -140,7 +147,25 @@ def job_summary(c: Catalog) -> DataFrame:
     return IN.import_job_summary(IN.ingest_batch(batch_files(c), *known(c)), errors).drop("error_message")
 
 
-@query("s8_assign_archive_paths")
+_ARCHIVE = {
+    "given": (
+        "photos",
+        """SELECT '/in/'||id||'/'||name AS path, name, row_number() OVER (ORDER BY created_at DESC, '/in/'||id||'/'||name) AS i FROM (
+ SELECT id, created_at, CASE WHEN id%3=0 THEN 'a.jpg' WHEN id%50=1 THEN 'a_1.jpg' ELSE regexp_replace(original_path,'^.*/','') END AS name FROM photos)""",
+    ),
+    "there": ("photos", "SELECT DISTINCT CASE WHEN id%40=0 THEN 'a_'||(id//40+1)||'.jpg' ELSE regexp_replace(original_path,'^.*/','') END AS file FROM photos WHERE id%20=0"),
+    "tries": ("given there", "SELECT g.*, n.most FROM given g JOIN (SELECT name, count(*)+(SELECT count(*) FROM there)+(SELECT count(*) FROM given WHERE name='a_1.jpg') AS most FROM given GROUP BY name) n ON n.name=g.name"),
+    # one by one: each file takes the first of its names that isn't taken yet
+    "placed": (
+        "tries there",
+        r"""SELECT * FROM (WITH RECURSIVE w AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS file, (SELECT list(file) FROM there) AS taken
+ UNION ALL SELECT t.i, t.path, f.file, list_append(w.taken, f.file) FROM w JOIN tries t ON t.i=w.i+1, LATERAL (SELECT list_filter(list_transform(range(0, t.most+1),
+ lambda k: CASE WHEN k=0 THEN t.name ELSE regexp_replace(t.name, '(\.[^.]+)$', '_'||k||'\1') END), lambda x: NOT list_contains(w.taken, x))[1] AS file) f) SELECT path, file FROM w WHERE i>0)""",
+    ),
+}
+
+
+@query("s8_assign_archive_paths", "placed", "SELECT path, '/archive/20240101/'||file AS archive_path FROM placed", _ARCHIVE)
 def archive(c: Catalog) -> DataFrame:
     files = c.photos.select(
         F.concat(F.lit("/in/"), "id", F.lit("/"), F.when(F.col("id") % 3 == 0, "a.jpg").when(F.col("id") % 50 == 1, "a_1.jpg").otherwise(file_name(F.col("original_path")))).alias("path"),

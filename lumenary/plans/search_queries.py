@@ -94,12 +94,25 @@ _v_views, _v_sql, _v_extra = _search_sql("rich_videos", "video_hash", False, REQ
 
 @query("q5_search_videos", _v_views, _v_sql, {**_v_extra, **_VIDEO_VEC})
 def search_videos(c: Catalog) -> DataFrame:
+    return video_hits(c).select("query_no", "id", "score", "rank", "total")
+
+
+def video_hits(c: Catalog) -> DataFrame:
     from lumenary.functions.text import text_hash_vector
     from lumenary.functions.vector import zeros
 
     v = F.concat(text_hash_vector(F.col("caption"), F.col("ocr_text")), zeros(DIM))
-    hits = S.search_videos(c.videos.withColumn("vector", v), c.clusters, c.persons, REQUESTS, DIM)
-    return hits.select("query_no", "id", "score", "rank", "total")
+    return S.search_videos(c.videos.withColumn("vector", v), c.clusters, c.persons, REQUESTS, DIM)
+
+
+@query(
+    "q5_video_results", f"{_v_views} rich_videos",
+    f"""SELECT h.query_no, h.rank, h.total, h.score, h.id, m.storage_path, m.duration_seconds, array_to_string(m.people,'|') AS people
+ FROM ({_v_sql}) h JOIN rich_videos m ON m.id=h.id""", {**_v_extra, **_VIDEO_VEC},
+)
+def video_results(c: Catalog) -> DataFrame:
+    rows = S.video_results(video_hits(c), c.videos, c.clusters, c.persons)
+    return rows.select("query_no", "rank", "total", "score", "id", "storage_path", "duration_seconds", piped(F.col("people")).alias("people"))
 
 
 @query(

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenary.functions.text import file_name
-from lumenary.plans.catalog import THR, Catalog, piped, stamp
+from lumenary.plans.catalog import THR, Catalog, stamp
 from lumenary.plans.ingest_queries import FILES, page_folder
 from lumenary.plans.registry import query
 from lumenary.session import work_path
 from lumenary.sources.files import SOURCE_KINDS, list_files, with_sha256
 from lumenary.streaming import watch as WA
-from lumenary.streaming.online_clusters import STORE, stream_clusters
+from lumenary.streaming.online_clusters import stream_clusters
 
 GAP = 1800
 
@@ -22,6 +25,18 @@ def table_stream(c: Catalog, name: str) -> DataFrame:
     return reader.parquet(c.dir)
 
 
+@contextmanager
+def stored(c: Catalog) -> Iterator[None]:
+    """State in the store that keeps entries one by one, for as long as a stream runs."""
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = c.spark.conf.get(store)
+    c.spark.conf.set(store, WA.STORE)
+    try:
+        yield
+    finally:
+        c.spark.conf.set(store, before)
+
+
 def run_to_end(c: Catalog, stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now into a parquet folder and read it back."""
     out, checkpoint = work_path(c.spark, "sink"), work_path(c.spark, "checkpoint")
@@ -69,15 +84,14 @@ def debounce(c: Catalog) -> DataFrame:
 
 @query(
     "w4_debounce_stream", "bursts",
-    _BURST_SQL.format("array_to_string(paths,'|') AS paths") + " WHERE flushed <= (SELECT max(ts) FROM normal_events) - INTERVAL 10 SECOND", _BURSTS,
+    _BURST_SQL.format("unnest(paths) AS path") + " WHERE flushed <= (SELECT max(ts) FROM normal_events) - INTERVAL 10 SECOND", _BURSTS,
 )
 def debounce_stream(c: Catalog) -> DataFrame:
     """Bursts the watermark has closed; later ones stay open."""
     events = WA.normalise_events(c.watch_events_of(table_stream(c, "events")))
-    rows = run_to_end(c, WA.debounce(events, f"{GAP} seconds"))
-    return rows.select(
-        "source_id", stamp(F.col("opened_at")).alias("opened"), stamp(F.col("flushed_at")).alias("flushed"), piped(F.col("paths")).alias("paths")
-    )
+    with stored(c):
+        rows = run_to_end(c, WA.debounce(events, GAP))
+    return rows.select("source_id", stamp(F.col("opened_at")).alias("opened"), stamp(F.col("flushed_at")).alias("flushed"), "path")
 
 
 @query(
@@ -114,7 +128,7 @@ def dedupe_stream(c: Catalog) -> DataFrame:
         F.sha2("text", 256).alias("sha256"),
         F.timestamp_add("SECOND", F.col("doc_id").cast("int"), F.expr("timestamp'2024-01-01'")).alias("modificationTime"),
     )
-    return run_to_end(c, WA.stream_dedupe(files, "3650 days")).select("sha256")
+    return run_to_end(c, WA.stream_dedupe(files)).select("sha256")
 
 
 _STATUS = {
@@ -152,16 +166,11 @@ def vanished(c: Catalog) -> DataFrame:
 
 @query("w9_stream_clusters")
 def online(c: Catalog) -> DataFrame:
-    store = "spark.sql.streaming.stateStore.providerClass"
-    before = c.spark.conf.get(store)
-    c.spark.conf.set(store, STORE)
-    try:
-        faces = table_stream(c, "embeddings").select(
-            (F.col("vec_id") % 4).alias("shard"), F.col("vec_id").alias("face_id"), F.col("vec_id").alias("seq"), "embedding"
-        )
+    faces = table_stream(c, "embeddings").select(
+        (F.col("vec_id") % 4).alias("shard"), F.col("vec_id").alias("face_id"), F.col("vec_id").alias("seq"), "embedding"
+    )
+    with stored(c):
         return run_to_end(c, stream_clusters(faces, THR))
-    finally:
-        c.spark.conf.set(store, before)
 
 
 @query(

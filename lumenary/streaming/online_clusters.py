@@ -12,7 +12,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 _STATE = "centroid array<double>, members long"
 OUT = "shard long, face_id long, label string, score double, created boolean"
-STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class _Leader(StatefulProcessor):
@@ -42,7 +41,7 @@ class _Leader(StatefulProcessor):
                 out.append((key[0], face_id, labels[best], round(scores[best], 6), False))
             else:
                 best = len(labels)
-                labels.append("face-" + hashlib.sha1(str(face_id).encode()).hexdigest()[:8])
+                labels.append("face-" + hashlib.sha1(str(face_id).encode()).hexdigest()[:32])
                 centroids.append(face)
                 members.append(1)
                 out.append((key[0], face_id, labels[best], 1.0, True))

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from lumenary.operators.ingest import import_job_summary, ingest_batch
+from lumenary.session import materialize
 from lumenary.sources.files import media_kind, supported, with_media_kind
 from lumenary.sources.files import select_paths as _select
 
-DEBOUNCE = "3 seconds"
 LATENESS = "10 seconds"
 _FILE = "path string, modificationTime timestamp, length long, content binary"
 
@@ -47,12 +52,92 @@ def normalise_events(events: DataFrame) -> DataFrame:
     return rows.filter(media_kind(F.col("path")) != "unsupported")
 
 
-def debounce(events: DataFrame, gap: str = DEBOUNCE, lateness: str = LATENESS) -> DataFrame:
-    """Streaming: (source_id, opened_at, flushed_at, paths) once a source was quiet for `gap`."""
-    window = F.session_window("ts", gap)
-    grouped = events.withWatermark("ts", lateness).groupBy("source_id", window.alias("w"))
-    return grouped.agg(F.collect_set("path").alias("paths")).select(
-        "source_id", F.col("w.start").alias("opened_at"), F.col("w.end").alias("flushed_at"), F.array_sort("paths").alias("paths")
+BURST = "source_id long, opened_at timestamp, flushed_at timestamp, path string"
+#: The state store that keeps map entries one by one, outside memory.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Bursts(StatefulProcessor):
+    """Open bursts of a source: their spans as a list, their paths as map entries, a timer for each end.
+
+    Times are microseconds. Spans that may still meet lie within the lateness, so the list is short; paths are
+    read only when their burst ends, or when a late event joins two bursts.
+    """
+
+    def __init__(self, gap: int) -> None:
+        self.gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.spans = handle.getListState("spans", "lo long, hi long")
+        self.paths = handle.getMapState("paths", "lo long, path string", "seen boolean")
+
+    def _due(self, hi: int) -> int:
+        """The first whole millisecond at which nothing can join a burst any more."""
+        return -(-(hi + self.gap) // 1000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        spans = sorted(map(tuple, self.spans.get())) if self.spans.exists() else []
+        before = [self._due(hi) for _, hi in spans]
+        for batch in rows:
+            for us, paths in batch.groupby("us")["path"]:
+                spans, home = self._joined(spans, int(us))
+                for path in paths.unique():
+                    self.paths.updateValue((home, path), (True,))
+        self.spans.put(spans)
+        after = [self._due(hi) for _, hi in spans]
+        for due in set(before) - set(after):
+            self.handle.deleteTimer(due)
+        for due in set(after) - set(before):
+            self.handle.registerTimer(due)
+        yield pd.DataFrame({"source_id": [], "opened_at": [], "flushed_at": [], "path": []})
+
+    def _joined(self, spans: list, us: int) -> tuple[list, int]:
+        """The spans with an event at `us`, and the start of the span that takes it."""
+        near = [s for s in spans if s[0] - self.gap < us < s[1] + self.gap]
+        lo, hi = min([us, *(s[0] for s in near)]), max([us, *(s[1] for s in near)])
+        moved = {s[0] for s in near} - {lo}
+        if moved:
+            for old, path in [k for k in self.paths.keys() if k[0] in moved]:
+                self.paths.removeKey((old, path))
+                self.paths.updateValue((lo, path), (True,))
+        return sorted([*(s for s in spans if s not in near), (lo, hi)]), lo
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        spans = [tuple(s) for s in self.spans.get()] if self.spans.exists() else []
+        ended = {lo: hi for lo, hi in spans if self._due(hi) <= now}
+        left = [s for s in spans if s[0] not in ended]
+        if left:
+            self.spans.put(left)
+        else:
+            self.spans.clear()
+        part: list[tuple] = []
+        gone: list[tuple] = []
+        for lo, path in self.paths.keys():
+            if lo in ended:
+                gone.append((lo, path))
+                part.append((key[0], pd.Timestamp(lo, unit="us"), pd.Timestamp(ended[lo] + self.gap, unit="us"), path))
+                if len(part) == 10_000:
+                    yield pd.DataFrame(part, columns=["source_id", "opened_at", "flushed_at", "path"])
+                    part = []
+        for one in gone:
+            self.paths.removeKey(one)
+        yield pd.DataFrame(part, columns=["source_id", "opened_at", "flushed_at", "path"])
+
+    def close(self) -> None:
+        pass
+
+
+def debounce(events: DataFrame, gap_seconds: float = 3.0, lateness: str = LATENESS) -> DataFrame:
+    """Streaming: (source_id, opened_at, flushed_at, path), a row per path once a source was quiet for the gap.
+
+    The paths of an open burst are entries of the state store (RocksDB: set STORE as the provider), so a burst
+    that never ends fills no row and no list.
+    """
+    timed = events.withWatermark("ts", lateness).withColumn("us", F.unix_micros("ts"))
+    return timed.groupBy("source_id").transformWithStateInPandas(
+        statefulProcessor=_Bursts(int(gap_seconds * 1_000_000)), outputStructType=BURST, outputMode="Append", timeMode="EventTime"
     )
 
 
@@ -102,12 +187,17 @@ def dedupe_batch(files: DataFrame, order: list[str]) -> DataFrame:
     return first.select("sha256", "f.*").select(*files.columns)
 
 
+#: Hex digits by which the digest table is divided.
+PREFIX = 2
+
+
 def ingest_micro_batch(
     files: DataFrame, batch_id: int, photos: DataFrame, videos: DataFrame, out: str, listing: DataFrame | None = None
 ) -> None:
     """One import run. Outcomes go to a folder per batch, so a repeated batch overwrites itself.
 
-    Digests taken by earlier batches are read back from those folders.
+    Digests that earlier batches took lie in a table of their own, divided by their first letters, and a batch
+    reads only the parts its own digests fall in. Rows of the batch itself, from a run that broke off, don't count.
     """
     spark = files.sparkSession
     one = files.dropDuplicates(["source_id", "path"])
@@ -115,24 +205,36 @@ def ingest_micro_batch(
         one = drop_vanished(one, listing)
     if "media_kind" not in one.columns:
         one = with_media_kind(one)
+    one = materialize(one.drop("content"), "batch")
     known = photos.select("sha256").unionByName(videos.select("sha256"))
-    earlier = taken_digests(spark, out, batch_id)
+    earlier = taken_digests(spark, out, batch_id, one)
     if earlier is not None:
         known = known.unionByName(earlier)
     rows = ingest_batch(one, known, videos.select("sha256").limit(0))
     target = f"{out}/files/batch={batch_id}"
-    rows.drop("content").withColumn("started_at", F.current_timestamp()).write.mode("overwrite").parquet(target)
-    import_job_summary(spark.read.parquet(target)).withColumn("completed_at", F.current_timestamp()).write.mode(
-        "overwrite"
-    ).parquet(f"{out}/jobs/batch={batch_id}")
+    rows.withColumn("started_at", F.current_timestamp()).write.mode("overwrite").parquet(target)
+    done = spark.read.parquet(target)
+    taken = done.filter("outcome = 'imported'").select("sha256", F.lit(batch_id).cast("long").alias("batch"), F.substring("sha256", 1, PREFIX).alias("prefix"))
+    taken.repartition("prefix").write.mode("append").partitionBy("prefix").parquet(f"{out}/digests")
+    import_job_summary(done).withColumn("completed_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{out}/jobs/batch={batch_id}")
 
 
-def taken_digests(spark: SparkSession, out: str, before: int) -> DataFrame | None:
-    """Digests imported by batches before the given one."""
+def taken_digests(spark: SparkSession, out: str, before: int, batch: DataFrame) -> DataFrame | None:
+    """Digests that batches before the given one took, of those parts only in which the batch has a digest."""
     if before == 0:
         return None
-    rows = spark.read.parquet(f"{out}/files").filter(F.col("batch") < before)
-    return rows.filter("outcome = 'imported'").select("sha256")
+    # at most 16 ** PREFIX short texts
+    parts = [r[0] for r in batch.filter("sha256 is not null").select(F.substring("sha256", 1, PREFIX)).distinct().collect()]
+    found = None
+    for part in sorted(parts):
+        try:
+            rows = spark.read.schema("sha256 string, batch long").parquet(f"{out}/digests/prefix={part}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        found = rows if found is None else found.unionByName(rows)
+    return None if found is None else found.filter(F.col("batch") < before).select("sha256")
 
 
 def stream_ingest(
