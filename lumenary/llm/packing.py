@@ -11,6 +11,7 @@ import math
 import os
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ MERGE_ROWS, FAN_IN = 200_000, 8
 LEAST_GAIN = 0.001
 
 #: Text that is encoded at once, parts of it that are one string, and parts whose ids a worker keeps.
-ENCODED_BYTES, PARTS_AT_ONCE, REMEMBERED = 4 << 20, 20_000, 100_000
+ENCODED_BYTES, PARTS_AT_ONCE, REMEMBERED = 4 << 20, 20_000, 1_000_000
 
 _encoders: dict = {}
 
@@ -65,18 +66,19 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     parts = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
     lengths = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = parts.flatten().dictionary_encode()
-    codes, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    codes, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
     first = np.zeros(len(codes), dtype=bool)
     first[np.cumsum(lengths) - lengths] = True
     used, heads = np.unique(codes[first], return_inverse=True)
     # a code for each part behind a space, one for each first part, one for each odd text
-    known = remembered([" " + x for x in names], tokenizer)
-    single = [names[c] for c in used] + [texts[int(i)].as_py() for i in np.flatnonzero(odd)]
-    known += [np.asarray(e.ids, dtype=np.uint32) for e in tokenizer.encode_batch_fast(single, add_special_tokens=False)]
+    flat, begins, sizes = known_parts(names, tokenizer)
+    single = names.take(pa.array(used)).to_pylist() + texts.filter(pa.array(odd)).to_pylist()
+    more = [np.asarray(e.ids, dtype=np.uint32) for e in tokenizer.encode_batch_fast(single, add_special_tokens=False)]
+    more_sizes = np.fromiter(map(len, more), dtype=np.int64, count=len(more))
+    begins = np.concatenate([begins, len(flat) + np.cumsum(more_sizes) - more_sizes])
+    sizes, flat = np.concatenate([sizes, more_sizes]), np.concatenate([flat, *more])
     codes[first] = len(names) + heads
     codes[first] = np.where(odd, len(names) + len(used) + np.cumsum(odd) - 1, codes[first])
-    sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known))
-    begins, flat = np.cumsum(sizes) - sizes, np.concatenate([*known, np.zeros(0, dtype=np.uint32)])
     size = sizes[codes]
     ends = np.cumsum(size)
     ids = flat[np.repeat(begins[codes] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
@@ -84,37 +86,76 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.concatenate([[0], np.cumsum(per_text)]).astype(np.int64)
 
 
-def remembered(parts: list[str], tokenizer) -> list[np.ndarray]:
-    """Ids of the parts, of which a worker keeps as many as the bound allows; most words come again."""
-    memory = _encoders.setdefault(("parts", id(tokenizer)), {})
-    new = [x for x in parts if x not in memory]
-    fresh = dict(zip(new, encode_parts(new, tokenizer)))
-    out = [memory[x] if x in memory else fresh[x] for x in parts]
-    for x in new[: max(0, REMEMBERED - len(memory))]:
-        memory[x] = fresh[x].copy()  # not a view of all ids
-    return out
+@dataclass
+class Memory:
+    """Parts a worker has met, as one Arrow array, with their ids one behind the other."""
+
+    names: pa.Array
+    ids: np.ndarray
+    begins: np.ndarray
+    sizes: np.ndarray
 
 
-def encode_parts(parts: list[str], tokenizer) -> list[np.ndarray]:
-    """Ids of different parts that all begin with a space.
+def known_parts(names: pa.Array, tokenizer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, first id and number of ids of each part behind a space).
+
+    Most parts come again, so a worker remembers the first REMEMBERED it meets; only new ones are encoded.
+    """
+    key = ("parts", id(tokenizer))
+    nothing = np.zeros(0, dtype=np.int64)
+    memory = _encoders.setdefault(key, Memory(pa.array([], names.type), np.zeros(0, dtype=np.uint32), nothing, nothing))
+    place = pc.index_in(names, value_set=memory.names)
+    new = names.filter(pc.is_null(place))
+    ids, sizes = encode_parts([" " + x for x in new.to_pylist()], tokenizer)
+    begins = len(memory.ids) + np.cumsum(sizes) - sizes
+    at = pc.fill_null(place, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    fresh = pc.is_null(place).to_numpy(zero_copy_only=False)
+    at[fresh] = len(memory.sizes) + np.arange(len(sizes))
+    every = np.concatenate([memory.ids, ids]), np.concatenate([memory.begins, begins]), np.concatenate([memory.sizes, sizes])
+    room = max(0, min(len(new), REMEMBERED - len(memory.names)))
+    if room:
+        kept = len(memory.ids) + int(sizes[:room].sum())
+        _encoders[key] = Memory(
+            pa.concat_arrays([memory.names, new.slice(0, room)]), every[0][:kept].copy(),
+            *(x[: len(memory.names) + room].copy() for x in every[1:]),
+        )
+    return every[0], every[1][at], every[2][at]
+
+
+def encode_parts(parts: list[str], tokenizer) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, number of ids of each) of different parts that all begin with a space.
 
     A part that doesn't end in white space can stand in front of another, so such parts are encoded as one
     string and told apart by the bytes of their ids: the tokenizer's words are bytes written as characters.
+    Parts that end in white space are encoded one by one.
     """
-    closed = [i for i, x in enumerate(parts) if not x[-1].isspace()]
-    out = [np.asarray(e.ids, dtype=np.uint32) for e in tokenizer.encode_batch_fast([x for x in parts if x[-1].isspace()], add_special_tokens=False)]
-    known = dict(zip((i for i, x in enumerate(parts) if x[-1].isspace()), out))
-    width = token_bytes(tokenizer)
+    loose = np.fromiter((x[-1].isspace() for x in parts), dtype=bool, count=len(parts))
+    alone = [np.asarray(e.ids, dtype=np.uint32) for e in tokenizer.encode_batch_fast([x for x, y in zip(parts, loose) if y], add_special_tokens=False)]
+    closed = [x for x, y in zip(parts, loose) if not y]
+    joined, sizes = [], np.zeros(len(parts), dtype=np.int64)
+    width, counts = token_bytes(tokenizer), []
     for at in range(0, len(closed), PARTS_AT_ONCE):
         some = closed[at : at + PARTS_AT_ONCE]
-        ids = np.asarray(tokenizer.encode_batch_fast(["".join(parts[i] for i in some)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        ids = np.asarray(tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, dtype=np.uint32)
         reach = np.cumsum(width[ids])
-        ends = np.cumsum([len(parts[i].encode()) for i in some])
+        ends = np.cumsum(pc.binary_length(pa.array(some, pa.large_string())).to_numpy())
         cuts = np.searchsorted(reach, ends) + 1
         if not np.array_equal(reach[cuts - 1], ends):
             raise ValueError("the tokenizer joins words across a space")
-        known.update(zip(some, np.split(ids, cuts[:-1])))
-    return [known[i] for i in range(len(parts))]
+        joined.append(ids)
+        counts.append(np.diff(cuts, prepend=0))
+    nothing = np.zeros(0, dtype=np.uint32)
+    if not loose.any():
+        return np.concatenate([nothing, *joined]), np.concatenate([sizes[:0], *counts])
+    sizes[~loose] = np.concatenate([sizes[:0], *counts])
+    sizes[loose] = [len(x) for x in alone]
+    # put both kinds back in the order of the parts
+    begins = np.empty(len(parts), dtype=np.int64)
+    begins[~loose] = np.cumsum(sizes[~loose]) - sizes[~loose]
+    begins[loose] = sizes[~loose].sum() + np.cumsum(sizes[loose]) - sizes[loose]
+    ends = np.cumsum(sizes)
+    flat = np.concatenate([nothing, *joined, *alone])
+    return flat[np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1])], sizes
 
 
 def token_bytes(tokenizer) -> np.ndarray:
