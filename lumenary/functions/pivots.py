@@ -112,7 +112,7 @@ def _numbers(values: np.ndarray):
     return F.array(*[F.lit(int(x)).cast("long") for x in values])
 
 
-def _targets(table: DataFrame, key: str, vector: str, wanted: Callable[[np.ndarray, pd.DataFrame], np.ndarray], pivots: Pivots, dim: int) -> DataFrame:
+def _targets(table: DataFrame, vector: str, wanted: Callable[[np.ndarray, pd.DataFrame], np.ndarray], pivots: Pivots, dim: int) -> DataFrame:
     """(row's columns, block): a row per block whose pivot `wanted` marks for the row."""
     first = np.concatenate([[0], np.cumsum(pivots.pieces)])
 
@@ -131,6 +131,17 @@ def _targets(table: DataFrame, key: str, vector: str, wanted: Callable[[np.ndarr
     return table.mapInPandas(place, f"{kinds}, block long")
 
 
+def blocks_of(table: DataFrame, key: str, vector: str, pivots: Pivots, dim: int) -> DataFrame:
+    """Adds block_no, the one block a row belongs to."""
+    homed = _homed(table, vector, pivots.vectors, dim)
+    return homed.withColumn("block_no", _block(F.col("home"), key, pivots.pieces)).drop("home", "angle", "size")
+
+
+def within(table: DataFrame, vector: str, floor: float, pivots: Pivots, dim: int) -> DataFrame:
+    """Rows with block_no, once per block that can hold a row of cosine >= floor."""
+    return _targets(table, vector, lambda m, _: pivots.bounds(m, "cosine") >= floor - ROOM, pivots, dim).withColumnRenamed("block", "block_no")
+
+
 def _in_blocks(asked: DataFrame, right: DataFrame, pair: Callable, schema: str, rows: int) -> DataFrame:
     """`pair` of each block of the right side with the rows asked of it, `rows` of them at a time."""
     held = {r["block"]: r["n"] for r in asked.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -152,16 +163,15 @@ def meet(left: DataFrame, right: DataFrame, pair: Callable, schema: str, *, dim:
     pivots = choose(right, "rkey", "rvec", dim, rows)
     if not pivots.count.sum():
         return left.sparkSession.createDataFrame([], schema)
-    homed = _homed(right, "rvec", pivots.vectors, dim)
-    homed = homed.withColumn("block", _block(F.col("home"), "rkey", pivots.pieces)).drop("home", "angle", "size")
+    homed = blocks_of(right, "rkey", "rvec", pivots, dim).withColumnRenamed("block_no", "block")
 
     def own(matrix: np.ndarray, _: pd.DataFrame) -> np.ndarray:
         far = np.where(pivots.count > 0, pivots.angles(matrix), np.inf)
         return np.arange(far.shape[1]) == far.argmin(axis=1)[:, None]
 
     if k is None:
-        return _in_blocks(_targets(left, "lkey", "lvec", lambda m, _: pivots.bounds(m, metric) >= floor - ROOM, pivots, dim), homed, pair, schema, rows)
-    first = cut_lineage(_in_blocks(_targets(left, "lkey", "lvec", own, pivots, dim), homed, pair, schema, rows))
+        return _in_blocks(_targets(left, "lvec", lambda m, _: pivots.bounds(m, metric) >= floor - ROOM, pivots, dim), homed, pair, schema, rows)
+    first = cut_lineage(_in_blocks(_targets(left, "lvec", own, pivots, dim), homed, pair, schema, rows))
     best = F.element_at(F.sort_array(F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, k)), 1)
     reached = first.groupBy("lkey").agg(F.count(F.lit(1)).alias("found"), best.alias("least"))
     need = F.when(F.col("found") >= k, F.greatest(F.col("least"), F.lit(floor))).otherwise(F.lit(floor))
@@ -171,18 +181,21 @@ def meet(left: DataFrame, right: DataFrame, pair: Callable, schema: str, *, dim:
         room = ROOM * np.maximum(1.0, np.linalg.norm(matrix, axis=1)[:, None] * pivots.norm) if metric == "dot" else ROOM
         return (pivots.bounds(matrix, metric) + room >= batch["need"].to_numpy()[:, None]) & ~own(matrix, batch)
 
-    further = _targets(asked, "lkey", "lvec", others, pivots, dim).drop("need")
+    further = _targets(asked, "lvec", others, pivots, dim).drop("need")
     return first.unionByName(_in_blocks(further, homed, pair, schema, rows))
 
 
 def homes(table: DataFrame, *, dim: int, floor: float, rows: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """(rows with `home`, their block; a function that adds `other`, each further block with a row of cosine >= floor in reach)."""
+    table = cut_lineage(table.filter(F.size("lvec") == dim))
+    if table.count() <= rows:
+        # one block, which no row leaves
+        one = F.lit(0).cast("long")
+        return table.withColumn("home", one), lambda placed: placed.withColumn("other", one).filter("false")
     pivots = choose(table, "lkey", "lvec", dim, rows)
-    homed = _homed(table, "lvec", pivots.vectors, dim)
-    homed = homed.withColumn("home", _block(F.col("home"), "lkey", pivots.pieces)).drop("angle", "size")
+    homed = blocks_of(table, "lkey", "lvec", pivots, dim).withColumnRenamed("block_no", "home")
 
     def reach(placed: DataFrame) -> DataFrame:
-        near = _targets(placed, "lkey", "lvec", lambda m, _: pivots.bounds(m, "cosine") >= floor - ROOM, pivots, dim)
-        return near.withColumnRenamed("block", "other").filter("other <> home")
+        return within(placed, "lvec", floor, pivots, dim).withColumnRenamed("block_no", "other").filter("other <> home")
 
     return homed, reach

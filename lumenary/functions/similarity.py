@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,3 +26,47 @@ def text_similarity(a: Column, b: Column) -> Column:
     """Matching-blocks ratio; 1 for equal texts, 0 when either is empty. For candidate pairs only."""
     a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(_match_ratio(a, b))
+
+
+#: Slots that letters and pairs of letters are counted in; those that share one only make a count higher.
+LETTERS, PAIRS = 64, 256
+
+
+def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lengths, letters by slot, pairs of neighbouring letters by slot) of texts."""
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    letters = np.bincount(owner * LETTERS + codes % LETTERS, minlength=len(texts) * LETTERS).reshape(-1, LETTERS)
+    inside = owner[1:] == owner[:-1]
+    slots = (codes[:-1] * 31 + codes[1:]) % PAIRS
+    pairs = np.bincount(owner[:-1][inside] * PAIRS + slots[inside], minlength=len(texts) * PAIRS).reshape(-1, PAIRS)
+    return lengths, letters.astype(np.int32), pairs.astype(np.int32)
+
+
+def texts_alike(a: Column, b: Column, floor: Column) -> Column:
+    """(forth, back): whether the ratio of two different texts reaches the floor, and the other way round.
+
+    Two cheap bounds stand in front. A ratio r of two texts with T letters in all leaves at most (1-r)T of them
+    unmatched. So the shared letters reach rT/2, and since an unmatched letter breaks at most two letter pairs, the
+    shared pairs reach max(len)-1-2(1-r)T.
+    """
+
+    @F.arrow_udf("forth boolean, back boolean")
+    def run(left: pa.Array, right: pa.Array, floors: pa.Array) -> pa.Array:
+        least = floors.to_numpy(zero_copy_only=False)
+        kinds = pa.concat_arrays([left.cast(pa.string()), right.cast(pa.string())]).dictionary_encode()
+        texts, at = kinds.dictionary.to_pylist(), kinds.indices.to_numpy()
+        one, two = at[: len(left)], at[len(left) :]
+        lengths, letters, pairs = _counts(texts)
+        total, longer = lengths[one] + lengths[two], np.maximum(lengths[one], lengths[two])
+        open_ = 2 * np.minimum(letters[one], letters[two]).sum(axis=1) >= least * total
+        some = np.flatnonzero(open_)
+        open_[some] = np.minimum(pairs[one[some]], pairs[two[some]]).sum(axis=1) >= longer[some] - 1 - 2 * (1 - least[some]) * total[some]
+        forth, back = np.zeros(len(one), dtype=bool), np.zeros(len(one), dtype=bool)
+        for i in np.flatnonzero(open_):
+            x, y = texts[one[i]], texts[two[i]]
+            forth[i], back[i] = (SequenceMatcher(a=p, b=q).ratio() >= least[i] for p, q in ((x, y), (y, x)))
+        return pa.StructArray.from_arrays([pa.array(forth), pa.array(back)], names=["forth", "back"])
+
+    return run(a, b, floor)

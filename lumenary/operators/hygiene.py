@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenary.functions import gates as G
 from lumenary.functions import text as X
-from lumenary.functions.nearcopies import best_partners
 from lumenary.functions.similarity import text_similarity
 from lumenary.functions.vector import cosine, duration_similarity, no_vector, phash_similarity
-from lumenary.session import materialize, spread_groups
+from lumenary.session import cut_lineage, materialize, spread_groups
 
 # Path hints in reporting order, chat sources, category names, pair caps.
 THUMB_HINTS = ("thumb", "thumbnail", "thumbnails", "thumbs", "preview", "cover", "small")
@@ -28,7 +27,8 @@ CATEGORIES = (
 EXACT_SCORE, TOP_SCORE, NEAR_SCORE = 0.99, 0.99, 0.985
 SEPARATOR = "；"
 
-CHUNK_ROWS = 2_048
+# Text gates of a near copy.
+NAME_ALIKE, CAPTION_ALIKE = 0.94, 0.88
 
 
 def _hint(hints: Sequence[str]) -> Column:
@@ -209,60 +209,70 @@ def duplicate_blocks(prepared: DataFrame, kind: str, caption_block: int | None =
 
 
 _FEATURES = ["vector", "phash", "duration", "name_key", "caption_key"]
-_QUALITY = ["q1", "q2", "q3", "q4", "id"]
 
 
-def first_better(blocks: DataFrame, media: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def _gates(led: DataFrame, media: str, piece_rows: int) -> list[tuple[list[str], DataFrame]]:
+    """(a value's columns, best lead of each value) of the gates that open in name blocks and in caption blocks.
+
+    In a block of one name the names are equal, in a block of one caption the captions; what is left of the
+    conditions of `score_photo_pairs` and `score_video_pairs` are these.
+    """
+    led = led.withColumn("other_key", F.when(F.col("kind") == "name", F.col("caption_key")).otherwise(F.col("name_key")))
+    alike = {"name": CAPTION_ALIKE, "caption": NAME_ALIKE}
+    if media == "photo":
+        return [
+            (["vector"], G.vector_gate(led, {"name": 0.86, "caption": 0.9}, piece_rows=piece_rows)),
+            (["phash"], G.hash_gate(led.filter("kind = 'name'"), 0.9)), (["other_key"], G.text_gate(led, "other_key", alike)),
+        ]
+    return [
+        (["vector", "duration"], G.vector_gate(led, {"name": 0.88, "caption": 0.9}, 0.94, piece_rows)),
+        (["duration"], G.duration_gate(led.filter("kind = 'name'"), 0.98)),
+        (["other_key"], G.text_gate(led.filter("kind = 'caption'"), "other_key", alike)),
+    ]
+
+
+def first_better(blocks: DataFrame, media: str, piece_rows: int = G.PIECE_ROWS) -> DataFrame:
     """(kind, id, better): for each item the best item of its block that it is a near copy of, if better.
 
-    Items with equal features behave alike, so each block is first reduced to one profile per
-    feature set, led by its best item: an item's first qualifying better item is the best leader its
-    profile qualifies with, when that leader beats the item. Large blocks are cut into chunks and
-    compared chunk pair by chunk pair; each task holds two chunks and reports one partner per
-    profile. Small blocks share tasks.
+    Items with equal features behave alike, so each block is first reduced to one profile per feature set, led by its
+    best item. Each gate gives a profile the best lead it opens for; the best of them is scored. Where an open
+    gate isn't enough (unlike vectors can push a score to zero, a like name needs a like length too), the
+    profile is scored with all others of its block.
     """
     keyed = blocks.withColumn("profile", F.xxhash64(*_FEATURES)).withColumn("profile", F.concat_ws(
-        ":", F.col("profile").cast("string"), F.hash(*_FEATURES).cast("string")
+        ":", F.col("profile").cast("string"), F.hash(*_FEATURES).cast("string"), F.xxhash64("kind", "block").cast("string")
     ))
     led = keyed.groupBy("kind", "block", "profile").agg(
         F.max(quality_order()).alias("q"), *[F.any_value(c).alias(c) for c in _FEATURES]
-    ).select("kind", "block", "profile", "q.*", *_FEATURES)
-    # chunks grow with the block, up to eightfold: fewer copies of a row where there are many chunks
-    held = F.count(F.lit(1))
-    rows_each = F.greatest(F.lit(chunk_rows), F.least(F.lit(8 * chunk_rows), F.floor(held / 64)))
-    sizes = led.groupBy("kind", "block").agg(F.ceil(held / rows_each).alias("chunks"))
-    packs = led.agg(F.greatest(F.lit(1).cast("long"), F.ceil(F.count(F.lit(1)) / (2 * chunk_rows)))).scalar()
-    spread = (
-        led.join(sizes, ["kind", "block"])
-        .withColumn("home", F.pmod(F.xxhash64("profile"), F.col("chunks")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        .withColumn("lo", F.least("home", "other"))
-        .withColumn("hi", F.greatest("home", "other"))
-        .withColumn(
-            "pack",
-            F.when(F.col("chunks") > 1, F.xxhash64("kind", "block")).otherwise(F.pmod(F.xxhash64("kind", "block"), packs)),
-        )
-    )
-    id_type = dict(blocks.dtypes)["id"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        if pdf["chunks"].iloc[0] > 1 and pdf["lo"].iloc[0] != pdf["hi"].iloc[0] and pdf["home"].nunique() < 2:
-            return pd.DataFrame({"kind": [], "block": [], "profile": [], "better": []})
-        for kind, rows in pdf.groupby("kind"):
-            parts.append(best_partners(rows, media).assign(kind=kind))
-        return pd.concat(parts)[["kind", "block", "profile", "better"]]
-
-    # a chunk pair that lacks one side has nothing to compare
-    found = spread_groups(spread.drop("other"), "pack", "lo", "hi").groupBy("pack", "lo", "hi").applyInPandas(
-        run, f"kind string, block string, profile string, better {id_type}"
     )
-    leader = led.select("kind", "block", F.col("id").alias("better"), quality_order().alias("bq"))
-    best = found.join(leader, ["kind", "block", "better"]).groupBy("kind", "block", "profile").agg(F.max("bq").alias("bq"))
+    led = materialize(led, "profiles")
+    open_to = None
+    for columns, best in _gates(led, media, piece_rows):
+        key = F.when(F.col("kind") == "name", F.col("caption_key")).otherwise(F.col("name_key"))
+        one = led.withColumn("other_key", key).select("kind", "block", "profile", *columns).join(best, ["kind", "block", *columns]).select("kind", "block", "profile", "lead")
+        open_to = one if open_to is None else open_to.unionByName(one)
+    pairs = open_to.groupBy("kind", "block", "profile").agg(F.max("lead").alias("lead")).select("kind", "block", "profile", F.col("lead.profile").alias("other"))
+    judged = cut_lineage(_judged(spread_groups(pairs, "profile"), led, media))
+    shut = judged.filter("not copies").select("kind", "block", "profile")
+    found = judged.filter("copies")
+    if not shut.isEmpty():
+        every = shut.join(led.select("kind", "block", F.col("profile").alias("other")), ["kind", "block"])
+        found = found.unionByName(_judged(every, led, media).filter("copies"))
+    best = found.groupBy("kind", "block", "profile").agg(F.max("bq").alias("bq"))
     members = keyed.select("kind", "block", "profile", "id", quality_order().alias("q"))
     return members.join(best, ["kind", "block", "profile"]).filter("bq > q").select("kind", "id", F.col("bq.id").alias("better"))
 
 
+def _judged(pairs: DataFrame, led: DataFrame, media: str) -> DataFrame:
+    """Adds the quality of the other profile's lead, and whether the pair's score says they are copies."""
+    sides = pairs
+    for name, prefix in (("profile", "a_"), ("other", "b_")):
+        sides = sides.join(led.select(F.col("profile").alias(name), F.col("q").alias(prefix + "q"), *[F.col(c).alias(prefix + c) for c in _FEATURES]), name)
+    sides = sides.withColumns({"b_width": F.lit(0), "b_height": F.lit(0)})
+    scored = (score_photo_pairs if media == "photo" else score_video_pairs)(sides)
+    return scored.select("kind", "block", "profile", "other", F.col("b_q").alias("bq"), (F.col("score") > 0).alias("copies"))
+
+
 def _pair_columns(prepared: DataFrame, prefix: str, keep: Sequence[str]) -> DataFrame:
     return prepared.select(F.col("id").alias(prefix + "id"), *[F.col(c).alias(prefix + c) for c in keep])
 
@@ -356,11 +366,11 @@ def score_video_pairs(pairs: DataFrame) -> DataFrame:
 
 def duplicate_candidates(
     media: DataFrame, kind: str, limit: int | None = None, caption_block: int | None = None,
-    chunk_rows: int = CHUNK_ROWS,
+    piece_rows: int = G.PIECE_ROWS,
 ) -> DataFrame:
     """(id, score, reason, width, height, created_at): copies with the best score any block gives them."""
     prepared = materialize(prepare(media, kind), "prepared")
-    pairs = first_better(duplicate_blocks(prepared, kind, caption_block), kind, chunk_rows)
+    pairs = first_better(duplicate_blocks(prepared, kind, caption_block), kind, piece_rows)
     scorer = score_photo_pairs if kind == "photo" else score_video_pairs
     near = scorer(with_features(pairs, prepared)).filter("score > 0")
     order = F.when(F.col("kind") == "name", -1).otherwise(-2)

@@ -260,14 +260,22 @@ def _rank_in_blocks(left, right, score, schema: str, ltype: str, rtype: str, dim
 
 def match_persons(
     faces: Side, persons: DataFrame, samples: DataFrame,
-    thr: float = PERSON_THRESHOLD, margin: float = PERSON_MARGIN, dim: int = FACE_DIM,
+    thr: float = PERSON_THRESHOLD, margin: float = PERSON_MARGIN, dim: int = FACE_DIM, top: DataFrame | None = None,
 ) -> DataFrame:
-    """(key, person_id, score): best person when good enough and clear of the runner-up."""
-    top = top_two(rank_persons(faces, persons, samples, 2, dim), faces.key)
+    """(key, person_id, score): best person when good enough and clear of the runner-up.
+
+    `top`: the faces' `best_two`, where they are ranked already.
+    """
+    top = best_two(faces, persons, samples, dim) if top is None else top
     clear = (F.col("second") <= 0) | (F.round(F.col("score") - F.col("second"), 6) >= margin)
     return top.filter((F.col("score") >= thr) & clear).select(faces.key, "person_id", "score")
 
 
+def best_two(faces: Side, persons: DataFrame, samples: DataFrame, dim: int = FACE_DIM) -> DataFrame:
+    """`top_two` of all faces, for matching and voting alike."""
+    return top_two(rank_persons(faces, persons, samples, 2, dim), faces.key)
+
+
 def top_two(ranked: DataFrame, key: str) -> DataFrame:
     """One row per key: best person, its score and the runner-up's score (0 when there is none)."""
     return ranked.groupBy(key).agg(
@@ -316,33 +324,29 @@ def update_centroids(clusters: DataFrame, assigned: DataFrame, keep: float = 0.7
     counts = faces.groupBy("label").agg(
         F.count_if(fits).alias("folded"), F.min_by("media_id", F.when(F.col("media_id").isNotNull(), F.struct("seq", "face_id"))).alias("first_photo")
     )
-    known = state.join(counts, "label", "left").select(
+    todo = state.join(counts, "label", "left").select(
         "label", "start", F.coalesce("example", "first_photo").alias("example_photo_id"), F.coalesce("folded", F.lit(0)).alias("folded")
     )
-    known = cut_lineage(known)
-    usable, todo, done = faces.filter(fits), known.filter("folded > 0"), known.filter("folded = 0").withColumn("centroid", F.col("start"))
-    turn = 0
+    kinds = "label string, start array<double>, example_photo_id long, folded long, centroid array<double>, settled boolean"
+    recent = W.partitionBy("label").orderBy(F.desc("seq"), F.desc("face_id"))
+    usable, done = faces.filter(fits).select("label", "seq", "face_id", "vec"), None
     while True:
-        recent = W.partitionBy("label").orderBy(F.desc("seq"), F.desc("face_id"))
-        last = usable.select("label", "seq", "face_id", "vec")
-        if turn:
-            last = last.join(todo.select("label"), "label", "left_semi")
-        last = last.withColumn("back", F.row_number().over(recent)).filter(F.col("back") <= window)
-        rows = last.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("seq", "face_id", "vec"))).alias("faces")).join(todo, "label")
-        folded = cut_lineage(rows.select("label", "start", "example_photo_id", "folded", F.transform("faces", lambda f: f["vec"]).alias("vecs")).mapInPandas(
-            lambda batches: _fold(batches, keep), "label string, start array<double>, example_photo_id long, folded long, centroid array<double>, settled boolean"
-        ))
-        done = done.unionByName(folded.filter("settled").drop("settled"))
+        last = usable.withColumn("back", F.row_number().over(recent)).filter(F.col("back") <= window)
+        lists = last.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "face_id", "vec"))), lambda f: f["vec"]).alias("vecs"))
+        folded = cut_lineage(todo.join(lists, "label", "left").mapInPandas(lambda batches: _fold(batches, keep), kinds))
+        settled = folded.filter("settled").select("label", "centroid", "example_photo_id", "folded")
+        done = settled if done is None else done.unionByName(settled)
         todo = folded.filter("not settled").drop("settled", "centroid")
         if todo.isEmpty():
-            return done.select("label", "centroid", "example_photo_id", "folded")
-        window, turn = 4 * window, turn + 1
+            return done
+        window, usable = 4 * window, usable.join(todo.select("label"), "label", "left_semi")
 
 
 def _fold(batches: Iterator[pd.DataFrame], keep: float) -> Iterator[pd.DataFrame]:
     for batch in batches:
         centroids, settled = [], []
         for start, vecs, total in zip(batch["start"], batch["vecs"], batch["folded"]):
+            vecs = [] if vecs is None else vecs
             whole = len(vecs) == total
             ends = [np.asarray(start, dtype=float)]
             if not whole:

@@ -95,11 +95,18 @@ def detect_people(queries: DataFrame, persons: DataFrame) -> DataFrame:
 
 
 def _with_people(requests: Sequence[SearchRequest], persons: DataFrame) -> list[SearchRequest]:
-    """Names found in a request's text join its people. At most one name per substring of the text."""
-    asked = persons.sparkSession.createDataFrame([(i, r.text) for i, r in enumerate(requests)], "query_id int, text string")
-    found = {row["query_id"]: row["names"] for row in detect_people(asked, persons).collect()}
+    """Names found in a request's text join its people, newest person first.
+
+    A page of requests is a few short texts, so one pass over the persons tests all of them; a table of
+    texts goes through `detect_people`.
+    """
+    name = F.lower(F.trim("normalized_name"))
+    said = F.array(*[F.contains(F.lit(r.text.strip().lower()), name) for r in requests])
+    rows = persons.filter(name != "").select("name", "updated_at", "id", said.alias("said")).filter(F.exists("said", lambda x: x))
+    found = rows.collect()
+    found.sort(key=lambda p: (p["updated_at"], p["id"]), reverse=True)
     return [
-        replace(r, people=tuple(dict.fromkeys([*r.people, *found.get(i, [])]))) for i, r in enumerate(requests)
+        replace(r, people=tuple(dict.fromkeys([*r.people, *(p["name"] for p in found if p["said"][i])]))) for i, r in enumerate(requests)
     ]
 
 
@@ -327,7 +334,7 @@ def search_by_examples(examples: DataFrame, df: DataFrame, k: int = 24, dim: int
 # --- person search --------------------------------------------------------------------------------
 
 
-def _query_keys(queries: DataFrame, persons, samples, clusters, thr: float, dim: int, most: int | None = None) -> DataFrame:
+def query_keys(queries: DataFrame, persons, samples, clusters, thr: float, dim: int, most: int | None = None) -> DataFrame:
     """(query_id, kind, ref, score): persons and (all, or the `most` best) clusters a query face matches."""
     side = Side(queries, "query_id", "embedding")
     people = I.rank_persons(side, persons, samples, FACE_SEARCH_PERSONS, dim).filter(F.col("score") >= thr)
@@ -341,10 +348,11 @@ def _query_keys(queries: DataFrame, persons, samples, clusters, thr: float, dim:
 
 def cluster_scores(
     queries: DataFrame, persons: DataFrame, samples: DataFrame, clusters: DataFrame,
-    thr: float = I.PERSON_THRESHOLD, dim: int = I.FACE_DIM,
+    thr: float = I.PERSON_THRESHOLD, dim: int = I.FACE_DIM, keys: DataFrame | None = None,
 ) -> DataFrame:
     """(query_id, label, score): best of the owner's score and the centroid cosine."""
-    keys = _query_keys(queries, persons, samples, clusters, thr, dim)
+    if keys is None:
+        keys = query_keys(queries, persons, samples, clusters, thr, dim)
     owned = clusters.select(F.col("person_profile_id").cast("string").alias("ref"), "label")
     by_owner = keys.filter("kind = 'person'").join(owned, "ref").select("query_id", "label", "score")
     direct = keys.filter("kind = 'cluster'").select("query_id", F.col("ref").alias("label"), "score")
@@ -365,10 +373,12 @@ def _media_keys(media: DataFrame, clusters: DataFrame) -> DataFrame:
 
 def search_by_person(
     queries: DataFrame, media: DataFrame, persons: DataFrame, samples: DataFrame, clusters: DataFrame,
-    k: int = 20, thr: float = I.PERSON_THRESHOLD, dim: int = I.FACE_DIM,
+    k: int = 20, thr: float = I.PERSON_THRESHOLD, dim: int = I.FACE_DIM, keys: DataFrame | None = None,
 ) -> DataFrame:
     """(query_id, id, score, rank) per query face; a medium scores as its best matching cluster.
 
+    `keys`: the persons and clusters each query matches, where they are known already (`query_keys`).
+
     A result of rank <= k is among the k newest media of its best key: k newer ones there would all
     score at least as much. So k media per key suffice, however many carry a hot label. A query's keys are
     taken from the best one down, and only until those before hold k different media.
@@ -379,8 +389,10 @@ def search_by_person(
     sizes = short.groupBy("kind", "ref").agg(F.max("r").cast("long").alias("size"))
     # a medium is on as many lists as it has labels and owners, so lists of k * most rows hold k media
     most = short.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-    seen = clusters.join(sizes.filter("kind = 'cluster'").select(F.col("ref").alias("label")), "label", "left_semi")
-    keys = _query_keys(queries, persons, samples, seen, thr, dim, k * most).join(sizes, ["kind", "ref"])
+    if keys is None:
+        seen = clusters.join(sizes.filter("kind = 'cluster'").select(F.col("ref").alias("label")), "label", "left_semi")
+        keys = query_keys(queries, persons, samples, seen, thr, dim, k * most)
+    keys = keys.join(sizes, ["kind", "ref"])
     better = W.partitionBy("query_id").orderBy(-F.round(F.col("score") * 1_000_000).cast("long")).rangeBetween(W.unboundedPreceding, -1)
     keys = keys.filter("score > 0").withColumn("above", F.coalesce(F.sum("size").over(better), F.lit(0))).filter(F.col("above") < k * most)
     hits = keys.join(short, ["kind", "ref"]).groupBy("query_id", "id").agg(
@@ -394,13 +406,13 @@ def search_by_person(
 
 def retrieved_counts(
     queries: DataFrame, media: DataFrame, persons: DataFrame, samples: DataFrame, clusters: DataFrame,
-    thr: float = I.PERSON_THRESHOLD, dim: int = I.FACE_DIM,
+    thr: float = I.PERSON_THRESHOLD, dim: int = I.FACE_DIM, keys: DataFrame | None = None,
 ) -> DataFrame:
-    """(query_id, retrieved): all media a query matches, counted by distinct label set."""
+    """(query_id, retrieved): all media a query matches, counted by distinct label set. `keys`: as in search_by_person."""
     sets = media.select(F.array_sort(F.array_distinct("face_clusters")).alias("labels")).groupBy("labels").agg(
         F.count(F.lit(1)).alias("n")
     )
-    labels = cluster_scores(queries, persons, samples, clusters, thr, dim).filter("score > 0")
+    labels = cluster_scores(queries, persons, samples, clusters, thr, dim, keys).filter("score > 0")
     members = sets.select("labels", "n", F.explode("labels").alias("label"))
     matched = labels.join(members, "label").select("query_id", "labels", "n").distinct()
     return matched.groupBy("query_id").agg(F.sum("n").alias("retrieved"))
@@ -461,17 +473,17 @@ def ground_truth(media: DataFrame, clusters: DataFrame) -> DataFrame:
 
 def rank_samples(
     media: DataFrame, persons: DataFrame, samples: DataFrame, clusters: DataFrame,
-    k: int = 200, thr: float = I.PERSON_THRESHOLD, dim: int = I.FACE_DIM,
+    k: int = 200, thr: float = I.PERSON_THRESHOLD, dim: int = I.FACE_DIM, keys: DataFrame | None = None,
 ) -> DataFrame:
     """(sample_id, person_id, id, score, rank) for every sample of a person with relevant media."""
-    asked = _evaluable(samples, media, clusters)
+    asked = evaluable(samples, media, clusters)
     ranked = search_by_person(
-        asked.withColumnRenamed("sample_id", "query_id"), media, persons, samples, clusters, k, thr, dim
+        asked.withColumnRenamed("sample_id", "query_id"), media, persons, samples, clusters, k, thr, dim, keys
     )
     return ranked.withColumnRenamed("query_id", "sample_id").join(asked.select("sample_id", "person_id"), "sample_id")
 
 
-def _evaluable(samples: DataFrame, media: DataFrame, clusters: DataFrame) -> DataFrame:
+def evaluable(samples: DataFrame, media: DataFrame, clusters: DataFrame) -> DataFrame:
     known = ground_truth(media, clusters).select("person_id").distinct()
     return samples.filter(F.size("embedding") > 0).select(F.col("id").alias("sample_id"), "person_id", "embedding").join(
         known, "person_id", "left_semi"
@@ -514,10 +526,10 @@ def query_report(best: DataFrame, truth: DataFrame, retrieved: DataFrame) -> Dat
 
 def evaluation_inputs(
     media: DataFrame, persons: DataFrame, samples: DataFrame, clusters: DataFrame,
-    k: int = 200, thr: float = I.PERSON_THRESHOLD, dim: int = I.FACE_DIM,
+    k: int = 200, thr: float = I.PERSON_THRESHOLD, dim: int = I.FACE_DIM, keys: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(best ranks, ground truth, asked samples) for the reports above."""
     truth = ground_truth(media, clusters)
-    asked = _evaluable(samples, media, clusters)
-    ranked = rank_samples(media, persons, samples, clusters, k, thr, dim)
+    asked = evaluable(samples, media, clusters)
+    ranked = rank_samples(media, persons, samples, clusters, k, thr, dim, keys)
     return best_ranks(ranked, truth, asked), truth, asked

@@ -55,16 +55,17 @@ def needs_dense_scan() -> Column:
 
 def frame_votes(
     faces: DataFrame, assigned: DataFrame, persons: DataFrame, samples: DataFrame,
-    thr: float = I.PERSON_THRESHOLD, dim: int = I.FACE_DIM,
+    thr: float = I.PERSON_THRESHOLD, dim: int = I.FACE_DIM, top: DataFrame | None = None,
 ) -> DataFrame:
     """One moment per face that clearly votes for a person.
 
-    faces: face_id, video_id, seq, frame_t, box and image size, embedding.
+    faces: face_id, video_id, seq, frame_t, box and image size, embedding; `top`: their `identity.best_two`, where
+    they are ranked already (further faces in it don't matter).
     """
-    ranked = I.rank_persons(Side(faces, "face_id", "embedding"), persons, samples, 2, dim)
+    top = I.best_two(Side(faces, "face_id", "embedding"), persons, samples, dim) if top is None else top
     floor = max(VOTE_FLOOR, thr - VOTE_SLACK)
     clear = (F.col("second") <= 0) | (F.round(F.col("score") - F.col("second"), 6) >= VOTE_MARGIN)
-    votes = I.top_two(ranked, "face_id").filter((F.col("score") >= floor) & clear)
+    votes = top.filter((F.col("score") >= floor) & clear)
     names = persons.select(F.col("id").alias("person_id"), F.col("name").alias("person_name"))
     box = normalize_bbox(*[F.col(c) for c in ("x1", "y1", "x2", "y2", "image_width", "image_height")])
     return (

@@ -135,7 +135,7 @@ class Catalog:
             F.concat(F.lit("/vid/"), F.regexp_replace(F.regexp_replace("url", r"^https?://", ""), r"[?#].*$", ""), F.lit(".mp4")).alias("original_path"),
             F.concat(F.lit("/archive/v"), page, F.lit(".mp4")).alias("storage_path"),
             F.when(page % 4 != 0, F.concat(F.lit("/frames/video-"), page, F.lit("/thumbnail.jpg"))).alias("thumbnail_path"),
-            F.sha2("html", 256).alias("sha256"),
+            F.sha2(F.when(page % 10 == 0, F.regexp_extract("html", 'lang="([a-z]*)"', 1)).otherwise(F.col("html")), 256).alias("sha256"),
             F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("caption"),
             F.when(page % 5 != 0, F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)).alias("ocr_text"),
             F.array(F.regexp_extract("html", 'lang="([a-z]*)"', 1)).alias("scene_tags"),

@@ -35,7 +35,7 @@ VIEWS: dict[str, tuple[str, str]] = {
  '/vid/'||regexp_replace(regexp_replace(url,'^https?://',''),'[?#].*$','')||'.mp4' AS original_path,
  '/archive/v'||page_id||'.mp4' AS storage_path,
  CASE WHEN page_id%4<>0 THEN '/frames/video-'||page_id||'/thumbnail.jpg' END AS thumbnail_path,
- sha256(html) AS sha256, regexp_extract(html,'<title>([^<]*)</title>',1) AS caption,
+ sha256(CASE WHEN page_id%10=0 THEN regexp_extract(html,'lang="([a-z]*)"',1) ELSE html END) AS sha256, regexp_extract(html,'<title>([^<]*)</title>',1) AS caption,
  CASE WHEN page_id%5<>0 THEN regexp_extract(html,'<h1>([^<]*)</h1>',1) END AS ocr_text,
  CASE WHEN page_id%4=0 THEN ['person '||a.vlabel] ELSE []::VARCHAR[] END AS people,
  [regexp_extract(html,'lang="([a-z]*)"',1)] AS scene_tags,

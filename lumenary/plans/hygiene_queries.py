@@ -40,11 +40,6 @@ def thumbnails(c: Catalog) -> DataFrame:
     return _shown(H.thumbnail_candidates(c.photos))
 
 
-@query("k1_thumbnail_candidates_all", "photos", _THUMB)
-def all_thumbnails(c: Catalog) -> DataFrame:
-    return _shown(H.thumbnail_candidates(c.photos, None))
-
-
 _LOW = """SELECT id, CASE WHEN width<=640 OR height<=640 OR px<=300000 THEN 0.96::DOUBLE ELSE 0.76::DOUBLE END AS score,
  CASE WHEN width<=640 OR height<=640 OR px<=300000 THEN '分辨率过低，仅 ' ELSE '分辨率偏低，为 ' END||size AS reason FROM {0}
  WHERE width<=640 OR height<=640 OR px<=300000 OR width<1280 OR height<720"""
@@ -72,12 +67,12 @@ def junk(c: Catalog) -> DataFrame:
 _SIZED_VIDEOS = "(SELECT *, frame_width AS width, frame_height AS height, frame_width*frame_height AS px, frame_width||'x'||frame_height AS size FROM videos)"
 
 
-@query(
-    "k4_low_res_videos", "videos",
-    f"""SELECT id, CASE WHEN width<=640 OR height<=360 THEN 0.96::DOUBLE ELSE 0.8::DOUBLE END AS score,
+_LOW_VIDEOS = f"""SELECT id, CASE WHEN width<=640 OR height<=360 THEN 0.96::DOUBLE ELSE 0.8::DOUBLE END AS score,
  CASE WHEN width<=640 OR height<=360 THEN '视频分辨率过低，仅 ' ELSE '视频分辨率偏低，为 ' END||size AS reason FROM {_SIZED_VIDEOS}
- WHERE width<=640 OR height<=360 OR width<960 OR height<540""",
-)
+ WHERE width<=640 OR height<=360 OR width<960 OR height<540"""
+
+
+@query("k4_low_res_videos", "videos", _LOW_VIDEOS)
 def low_videos(c: Catalog) -> DataFrame:
     return _shown(H.low_res_videos(c.videos))
 
@@ -101,16 +96,115 @@ def _media(c: Catalog, kind: str) -> DataFrame:
 def _blocks_sql(kind: str) -> str:
     caption = "caption_key" if kind == "photo" else "caption_key||':'||CAST(round_even(duration_seconds*10,0) AS BIGINT)"
     return f"""SELECT kind, block, id FROM (SELECT *, count(*) OVER (PARTITION BY kind, block) AS n FROM (
- SELECT 'name' AS kind, k.name_key AS block, id, {_Q[kind]} AS q FROM {_ROWS[kind]} m JOIN nk k USING (id) WHERE k.name_key<>''
- UNION ALL SELECT 'caption', {caption}, id, {_Q[kind]} FROM {_ROWS[kind]} m JOIN ck k USING (id) WHERE k.caption_key<>'')) WHERE n>1"""
+ SELECT 'name' AS kind, k.name_key AS block, id, {_Q[kind]} AS q FROM {_ROWS[kind]} m JOIN {kind}_nk k USING (id) WHERE k.name_key<>''
+ UNION ALL SELECT 'caption', {caption}, id, {_Q[kind]} FROM {_ROWS[kind]} m JOIN {kind}_ck k USING (id) WHERE k.caption_key<>'')) WHERE n>1"""
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789_ "
+
+
+def _letters(text: str) -> str:
+    """How often each letter is in a text, all further ones together."""
+    counts = ", ".join(f"len({text})-len(replace({text},'{x}',''))" for x in _LETTERS)
+    return f"(SELECT list_append(l, len({text})-list_sum(l)) FROM (SELECT [{counts}] AS l))"
+
+
+def _ratio_sql(pairs: str) -> str:
+    """(x, y, ratio) of different texts: twice the letters of matching blocks over all letters.
+
+    The longest common stretch that starts first in x, then in y, is matched; then the texts before and behind it are.
+    """
+    return f"""SELECT x, y, 2.0::DOUBLE*coalesce(sum(got),0)/(len(x)+len(y)) AS ratio FROM (WITH RECURSIVE m AS (SELECT x, y, x AS s, y AS t, 0 AS got, 0 AS step FROM {pairs}
+ UNION ALL SELECT x, y, unnest([substr(s,1,i-1), substr(s,i+l)]), unnest([substr(t,1,j-1), substr(t,j+l)]), unnest([l, 0]), step+1 FROM (
+ SELECT x, y, s, t, step, b.l, -b.i AS i, strpos(t, b.p) AS j FROM (SELECT x, y, s, t, step, list_max(list_filter(flatten(list_transform(range(1,len(s)+1), lambda i: list_transform(range(1,len(s)-i+2),
+ lambda l: struct_pack(l:=l, i:=-i, p:=substr(s,i,l))))), lambda e: contains(t, e.p))) AS b FROM m WHERE len(s)>0 AND len(t)>0) WHERE b IS NOT NULL)) SELECT x, y, got FROM m) GROUP BY x, y"""
+
+
+_OTHER = {
+    "photo": ("CASE WHEN a.h IS NULL OR b.h IS NULL THEN 0::DOUBLE ELSE 1-bit_count(xor(a.h,b.h))/64.0::DOUBLE END", "('0x'||phash)::UBIGINT AS h"),
+    "video": ("CASE WHEN a.h>0 AND b.h>0 THEN greatest(0::DOUBLE, 1-abs(a.h-b.h)/greatest(a.h,b.h)) ELSE 0::DOUBLE END", "duration_seconds AS h"),
+}
+# what opens without regard to the other key, and what the other key must go with, in name and in caption blocks
+_OPEN = {
+    "photo": ("vec>=0.86::DOUBLE OR oth>=0.9::DOUBLE", "vec>=0.9::DOUBLE", "true", "true"),
+    "video": (
+        "oth>=0.98::DOUBLE OR (vec>=0.88::DOUBLE AND oth>=0.94::DOUBLE)", "vec>=0.9::DOUBLE AND oth>=0.94::DOUBLE", "false",
+        "oth>=0.98::DOUBLE OR (vec>=0.88::DOUBLE AND oth>=0.94::DOUBLE)",
+    ),
+}
+_WEIGHT = {"photo": ("0.48::DOUBLE", "0.16::DOUBLE"), "video": ("0.42::DOUBLE", "0.18::DOUBLE")}
+_SAID = {
+    "photo": ("与更高清版本高度重复，建议保留 ", "CASE WHEN vec>=0.8::DOUBLE THEN '语义向量相似度 '||printf('%.2f',vec) END, CASE WHEN oth>=0.8::DOUBLE THEN '感知哈希相似度 '||printf('%.2f',oth) END"),
+    "video": ("与更清晰版本高度重复，建议保留 ", "CASE WHEN oth>=0.9::DOUBLE THEN '时长相近 '||printf('%.2f',oth) END, CASE WHEN vec>=0.8::DOUBLE THEN '视频向量相似度 '||printf('%.2f',vec) END"),
+}
+
+
+def _near_views(kind: str, media: str) -> dict:
+    """Every item with every better one of its blocks; the best better one that qualifies."""
+    weight, same = _WEIGHT[kind]
+    name_open, caption_open, name_with, caption_with = _OPEN[kind]
+    total = f"least(vec,1)*{weight}+oth*0.28::DOUBLE"
+    text = "CASE k.kind WHEN 'name' THEN {0}.caption_key ELSE {0}.name_key END"
+    floor = "CASE kind WHEN 'name' THEN 0.88::DOUBLE ELSE 0.94::DOUBLE END"
+    lead, said = _SAID[kind]
+    return {
+        f"{kind}_e": (f"{media} vec n", f"SELECT m.id, v.e AS v FROM {media} m CROSS JOIN n JOIN vec v ON v.vec_id=m.id%n.n"),
+        f"{kind}_it": (
+            f"{media} {kind}_nk {kind}_ck {kind}_e",
+            f"""SELECT m.id, m.size, {_Q[kind]} AS q, name_key, caption_key, e.v, {_OTHER[kind][1]}, {_letters('name_key')} AS nl, {_letters('caption_key')} AS cl
+ FROM {_ROWS[kind]} m JOIN {kind}_nk USING (id) JOIN {kind}_ck USING (id) JOIN {kind}_e e USING (id)""",
+        ),
+        f"{kind}_blk": (f"{media} {kind}_nk {kind}_ck", _blocks_sql(kind)),
+        f"{kind}_pr": (
+            f"{kind}_it {kind}_blk",
+            f"""SELECT *, len(x) AS lx, len(y) AS ly FROM (SELECT k.kind, k.block, a.id AS a_id, b.id AS b_id, b.q AS bq, list_cosine_similarity(a.v,b.v) AS vec, {_OTHER[kind][0]} AS oth,
+ a.name_key<>'' AND a.name_key=b.name_key AS same, {text.format('a')} AS x, {text.format('b')} AS y, CASE k.kind WHEN 'name' THEN a.cl ELSE a.nl END AS ax, CASE k.kind WHEN 'name' THEN b.cl ELSE b.nl END AS bx
+ FROM {kind}_blk k JOIN {kind}_blk l ON l.kind=k.kind AND l.block=k.block JOIN {kind}_it a ON a.id=k.id JOIN {kind}_it b ON b.id=l.id WHERE b.q>a.q)""",
+        ),
+        f"{kind}_may": (
+            f"{kind}_pr",
+            f"""SELECT *, {floor} AS floor FROM {kind}_pr WHERE NOT CASE kind WHEN 'name' THEN {name_open} ELSE {caption_open} END AND CASE kind WHEN 'name' THEN {name_with} ELSE {caption_with} END
+ AND lx>0 AND ly>0 AND 2*least(lx,ly)>={floor}*(lx+ly) AND 2*list_sum(list_transform(list_zip(ax,bx), lambda z: least(z[1],z[2])))>={floor}*(lx+ly)""",
+        ),
+        f"{kind}_two": (f"{kind}_may", f"SELECT DISTINCT x, y FROM {kind}_may WHERE x<>y"),
+        f"{kind}_rat": (f"{kind}_two", _ratio_sql(f"{kind}_two")),
+        f"{kind}_acc": (
+            f"{kind}_pr {kind}_may {kind}_rat",
+            f"""SELECT kind, block, a_id, b_id, bq FROM {kind}_pr WHERE CASE kind WHEN 'name' THEN ({name_open}) AND {same}+{total}>0 ELSE {caption_open} END
+ UNION ALL SELECT m.kind, block, a_id, b_id, bq FROM {kind}_may m LEFT JOIN {kind}_rat r ON r.x=m.x AND r.y=m.y
+ WHERE (m.x=m.y OR r.ratio>=floor) AND CASE WHEN same THEN {same} ELSE 0.12::DOUBLE END+{total}>0""",
+        ),
+        f"{kind}_first": (f"{kind}_acc", f"SELECT kind, a_id, arg_max(b_id, bq) AS b_id FROM {kind}_acc GROUP BY kind, block, a_id"),
+        f"{kind}_fin": (
+            f"{kind}_first {kind}_it",
+            f"""SELECT f.*, a.name_key AS an, b.name_key AS bn, a.caption_key AS ac, b.caption_key AS bc, b.size, list_cosine_similarity(a.v,b.v) AS vec, {_OTHER[kind][0]} AS oth
+ FROM {kind}_first f JOIN {kind}_it a ON a.id=f.a_id JOIN {kind}_it b ON b.id=f.b_id""",
+        ),
+        f"{kind}_both": (f"{kind}_fin", f"SELECT DISTINCT x, y FROM (SELECT an AS x, bn AS y FROM {kind}_fin UNION ALL SELECT ac, bc FROM {kind}_fin) WHERE x<>y AND x<>'' AND y<>''"),
+        f"{kind}_rat2": (f"{kind}_both", _ratio_sql(f"{kind}_both")),
+        f"{kind}_scored": (
+            f"{kind}_fin {kind}_rat2",
+            f"""SELECT kind, a_id, b_id, round(least(greatest(CASE WHEN same THEN {same} WHEN name>=0.94::DOUBLE THEN 0.12::DOUBLE ELSE 0::DOUBLE END, CASE WHEN cap>=0.9::DOUBLE THEN 0.08::DOUBLE ELSE 0::DOUBLE END)+{total}, 0.985::DOUBLE),6) AS score,
+ concat_ws('；', '{lead}'||size, CASE WHEN same THEN '规范化文件名一致' END, CASE WHEN NOT same AND name>=0.9::DOUBLE THEN '文件名高度相似 '||printf('%.2f',name) END, {said}, CASE WHEN cap>=0.88::DOUBLE THEN 'AI 描述接近' END) AS reason
+ FROM (SELECT f.*, an<>'' AND an=bn AS same, CASE WHEN an='' OR bn='' THEN 0 WHEN an=bn THEN 1 ELSE n.ratio END AS name, CASE WHEN ac='' OR bc='' THEN 0 WHEN ac=bc THEN 1 ELSE c.ratio END AS cap
+ FROM {kind}_fin f LEFT JOIN {kind}_rat2 n ON n.x=f.an AND n.y=f.bn LEFT JOIN {kind}_rat2 c ON c.x=f.ac AND c.y=f.bc)""",
+        ),
+        f"{kind}_dup": (
+            f"{kind}_scored {media}",
+            f"""SELECT id, arg_max(struct_pack(score, reason), struct_pack(score, turn)) AS b FROM (SELECT id, score, 0 AS turn, reason FROM ({_exact_sql(kind)})
+ UNION ALL SELECT a_id, score, CASE kind WHEN 'name' THEN -1 ELSE -2 END, reason FROM {kind}_scored) GROUP BY id""",
+        ),
+    }
+
+
+def _keys(kind: str, media: str) -> dict:
+    return {f"{kind}_nk": (media, NAME_KEY_SQL + f"{media})))"), f"{kind}_ck": (media, CAPTION_KEY_SQL.format(media))}
 
 
 def _register(kind: str) -> None:
     media = f"{kind}s"
-    keys = {
-        "nk": (media, NAME_KEY_SQL + f"{media})))"),
-        "ck": (media, CAPTION_KEY_SQL.format(media)),
-    }
+    keys = _keys(kind, media)
+    near = {**keys, **_near_views(kind, media)}
 
     def prepared(c: Catalog) -> DataFrame:
         return H.prepare(_media(c, kind), kind)
@@ -119,20 +213,20 @@ def _register(kind: str) -> None:
     def exact(c: Catalog) -> DataFrame:
         return H.exact_duplicates(prepared(c))
 
-    @query(f"k7_duplicate_blocks_{media}", f"{media} nk ck", _blocks_sql(kind), keys)
+    @query(f"k7_duplicate_blocks_{media}", f"{media} {kind}_nk {kind}_ck", _blocks_sql(kind), keys)
     def blocks(c: Catalog) -> DataFrame:
         return H.duplicate_blocks(prepared(c), kind).select("kind", "block", "id")
 
     number = 8 if kind == "photo" else 9
 
-    @query(f"k{number}_score_{kind}_pairs")
+    @query(f"k{number}_score_{kind}_pairs", f"{kind}_scored", f"SELECT kind, a_id, b_id, score, reason FROM {kind}_scored", near)
     def pairs(c: Catalog) -> DataFrame:
         rows = prepared(c)
         found = H.first_better(H.duplicate_blocks(rows, kind), kind)
         scorer = H.score_photo_pairs if kind == "photo" else H.score_video_pairs
         return scorer(H.with_features(found, rows)).select("kind", "a_id", "b_id", "score", "reason")
 
-    @query(f"k10_duplicate_candidates_{media}")
+    @query(f"k10_duplicate_candidates_{media}", f"{kind}_dup", f"SELECT id, b.score AS score, b.reason AS reason FROM {kind}_dup", near)
     def candidates(c: Catalog) -> DataFrame:
         return H.duplicate_candidates(_media(c, kind), kind, None).select("id", "score", "reason")
 
@@ -141,7 +235,18 @@ for _kind in ("photo", "video"):
     _register(_kind)
 
 
-@query("k11_cleanup_report")
+_ALL = [
+    ("thumbnail_images", _THUMB), ("low_resolution_images", _LOW.format(_paths("photos"))), ("junk_transfer_images", _JUNK),
+    ("duplicate_images", "SELECT id, b.score AS score, b.reason AS reason FROM photo_dup"), ("low_resolution_videos", _LOW_VIDEOS),
+    ("duplicate_videos", "SELECT id, b.score AS score, b.reason AS reason FROM video_dup"),
+]
+
+
+@query(
+    "k11_cleanup_report", "photos videos photo_dup video_dup",
+    " UNION ALL ".join(f"SELECT '{name}' AS category, CAST(NULL AS INTEGER) AS rank, id, round(score,6) AS score, reason, count(*) OVER () AS total FROM ({sql})" for name, sql in _ALL),
+    {**_keys("photo", "photos"), **_keys("video", "videos"), **_near_views("photo", "photos"), **_near_views("video", "videos")},
+)
 def report(c: Catalog) -> DataFrame:
     return H.cleanup_report(c.photos_with_vector, c.videos_with_vector)
 

@@ -10,7 +10,7 @@ from lumenary.operators import corrections as C
 from lumenary.operators import identity as I
 from lumenary.operators import listing as L
 from lumenary.plans.catalog import DIM, THR, Catalog, flat_vector, piped
-from lumenary.plans.check_sql import flat
+from lumenary.plans.check_sql import PHOTO_TEXT, flat, text_vectors
 from lumenary.plans.check_sql import piped as sql_piped
 from lumenary.plans.listing_queries import VIEW_SQL
 from lumenary.plans.registry import query
@@ -22,8 +22,8 @@ def assigned(c: Catalog) -> DataFrame:
     return I.assign_clusters(c.faces, c.clusters, THR, DIM)
 
 
-def matches(c: Catalog) -> DataFrame:
-    return I.match_persons(Side(c.faces, "face_id", "embedding"), c.persons, c.samples, THR, MARGIN, DIM)
+def matches(c: Catalog, top: DataFrame | None = None) -> DataFrame:
+    return I.match_persons(Side(c.faces, "face_id", "embedding"), c.persons, c.samples, THR, MARGIN, DIM, top)
 
 
 @query("c1_assign_clusters", "face_cluster", "SELECT face_id, label, score FROM face_cluster")
@@ -322,7 +322,23 @@ def correct(c: Catalog) -> DataFrame:
     return change.clusters.select("label", "person_profile_id", "display_name")
 
 
-@query("c14_refresh_media")
+_FRESH = {
+    "fresh": (
+        "photos photo_names clusters",
+        """SELECT p.* EXCLUDE (people), b.base, list_concat(b.base, list_filter(coalesce(n.face_names,[]), lambda x: NOT list_contains(b.base, x))) AS people
+ FROM photos p LEFT JOIN photo_names n ON n.id=p.id JOIN (SELECT id, list_filter(people, lambda x: lower(x) NOT IN ('person 2','person 4')) AS base, people AS said FROM photos) b ON b.id=p.id
+ WHERE list_has_any(p.face_clusters, (SELECT list(label) FROM clusters WHERE person_profile_id=3)) OR len(list_filter(b.said, lambda x: lower(x) IN ('person 2','person 4')))>0""",
+    ),
+    "fresh_vec": ("fresh", text_vectors("fresh", "id", PHOTO_TEXT)),
+}
+
+
+@query(
+    "c14_refresh_media", "fresh fresh_vec",
+    f"""SELECT f.id, array_to_string(f.base,'|') AS people, array_to_string(f.people,'|') AS merged_people,
+ {flat("list_concat(coalesce(v.v, list_transform(range(0,128), lambda x: 0.0::DOUBLE)), list_transform(range(0,112), lambda x: 0.0::DOUBLE))")} AS vector FROM fresh f LEFT JOIN fresh_vec v ON v.id=f.id""",
+    _FRESH,
+)
 def refresh(c: Catalog) -> DataFrame:
     labels = c.clusters.filter("person_profile_id = 3").select("label")
     strip_names = c.persons.filter("id in (3, 5)").select("name")
@@ -365,7 +381,30 @@ def legacy(c: Catalog) -> DataFrame:
     return I.legacy_vectors(c.persons, c.samples.withColumn("embedding", current), c.clusters, 512)
 
 
-@query("c19_rebuild_index")
+_REBUILT = {
+    "close": ("faces", "SELECT a.face_id AS a, b.face_id AS b FROM faces a, faces b WHERE a.face_id<>b.face_id AND round(list_cosine_similarity(a.embedding,b.embedding),6)>=0.30"),
+    # the smallest face of a component, by passing on the smallest known one
+    "rooted": (
+        "close faces",
+        """SELECT face_id, min(root) AS root FROM (WITH RECURSIVE r AS (SELECT face_id, face_id AS root FROM faces UNION SELECT k.b, r.root FROM r JOIN close k ON k.a=r.face_id AND k.b>r.root) SELECT * FROM r) GROUP BY face_id""",
+    ),
+    "rface": (
+        "rooted faces face_match",
+        """SELECT f.media_id, f.seq, 'face-'||substr(sha1(CAST(r.root AS VARCHAR)),1,32) AS label, m.name FROM faces f JOIN rooted r ON r.face_id=f.face_id
+ LEFT JOIN (SELECT * FROM face_match WHERE score>=0.30 AND (second<=0 OR round(score-second,6)>=0.04)) m ON m.face_id=f.face_id""",
+    ),
+    "rlabels": ("rface", "SELECT media_id, string_agg(label,'|' ORDER BY p) AS labels FROM (SELECT media_id, label, min(seq) AS p FROM rface GROUP BY ALL) GROUP BY 1"),
+    "rnames": ("rface", "SELECT media_id, list(name ORDER BY p) AS names FROM (SELECT media_id, name, min(seq) AS p FROM rface WHERE name IS NOT NULL GROUP BY ALL) GROUP BY 1"),
+}
+
+
+@query(
+    "c19_rebuild_index", "photos persons rlabels rnames rface",
+    """SELECT p.id, array_to_string(list_concat(p.base, list_filter(coalesce(n.names,[]), lambda x: NOT list_contains(p.base,x))),'|') AS people, coalesce(l.labels,'') AS labels, coalesce(c.n,0) AS face_count
+ FROM (SELECT id, list_filter(people, lambda x: NOT list_contains(k.keys, lower(x))) AS base FROM photos, (SELECT list(normalized_name) AS keys FROM persons) k) p LEFT JOIN rlabels l ON l.media_id=p.id LEFT JOIN rnames n ON n.media_id=p.id
+ LEFT JOIN (SELECT media_id, count(*) AS n FROM rface GROUP BY 1) c ON c.media_id=p.id""",
+    _REBUILT,
+)
 def rebuild(c: Catalog) -> DataFrame:
     _, _, photos = C.rebuild_index(c.faces, c.photos, c.persons, c.samples, THR, THR, DIM)
     return photos.select("id", piped(F.col("merged_people")).alias("people"), piped(F.col("face_clusters")).alias("labels"), "face_count")
@@ -392,7 +431,22 @@ def delete(c: Catalog) -> DataFrame:
     return C.delete_media(c.photos, ids, c.sources)[1].select("id", "storage_path", "remove_original")
 
 
-@query("c22_apply_sample_changes")
+_CHANGED = {
+    "later": (
+        "samples vec",
+        """SELECT id, person_id, embedding, created_at FROM samples WHERE id%20<>0
+ UNION ALL SELECT vec_id, label+1, e, TIMESTAMP '2024-03-01' FROM vec WHERE vec_id%10=3""",
+    ),
+    "lmean": ("later", "SELECT person_id, list(m ORDER BY pos) AS m FROM (SELECT person_id, pos, avg(embedding[pos]) AS m FROM later, range(1,65) r(pos) GROUP BY ALL) GROUP BY person_id"),
+}
+
+
+@query(
+    "c22_apply_sample_changes", "persons later lmean",
+    f"""SELECT p.name, coalesce(s.n,0) AS sample_count, s.last AS example_sample_id, {flat("list_transform(l.m, lambda x: round(x/sqrt(list_dot_product(l.m,l.m)),6))", 6)} AS centroid FROM persons p
+ LEFT JOIN lmean l ON l.person_id=p.id LEFT JOIN (SELECT person_id, count(*) AS n, max_by(id, struct_pack(a:=created_at, b:=id)) AS last FROM later GROUP BY 1) s ON s.person_id=p.id""",
+    _CHANGED,
+)
 def sample_changes(c: Catalog) -> DataFrame:
     v = F.col("vec_id")
     record = F.struct(

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from lumenary.operators import search as S
 from lumenary.operators.search import SearchRequest
 from lumenary.plans.catalog import DIM, THR, Catalog, piped, stamp
-from lumenary.plans.check_sql import TOKENS, text_vectors
+from lumenary.plans.check_sql import TOKENS, VIEWS, text_vectors
 from lumenary.plans.check_sql import stamp as sql_stamp
 from lumenary.plans.registry import query
+from lumenary.session import cut_lineage
 
 REQUESTS = [
     SearchRequest(text="erblest thou and"),
@@ -249,8 +250,13 @@ _p_extra["owner_photos"] = (
     "rich_photos clusters",
     "SELECT * FROM rich_photos WHERE list_has_all(face_clusters, (SELECT list(label) FROM clusters WHERE person_profile_id=2))",
 )
+# the person owns the two clusters of the first photo that carries two
+_p_extra["clusters"] = (
+    VIEWS["clusters"][0] + " photos",
+    f"SELECT * REPLACE (CASE WHEN list_contains((SELECT face_clusters FROM photos WHERE len(list_distinct(face_clusters))=2 ORDER BY id LIMIT 1), label) THEN 2 WHEN person_profile_id<>2 THEN person_profile_id END AS person_profile_id) FROM ({VIEWS['clusters'][1]})",
+)
 _a_extra = {
-    **_p_extra,
+    **{k: v for k, v in _p_extra.items() if k != "clusters"},
     "owner_photos": (
         "rich_photos clusters",
         "SELECT * FROM rich_photos WHERE list_has_any(face_clusters, (SELECT list(label) FROM clusters WHERE person_profile_id=2))",
@@ -260,7 +266,10 @@ _a_extra = {
 
 @query("q11_photos_of_person", _p_views, _p_sql, _p_extra)
 def of_person(c: Catalog) -> DataFrame:
-    hits = S.photos_of_person(c.photos_with_text_vector, c.clusters, c.persons, 2)
+    both = c.photos.filter("size(array_distinct(face_clusters)) = 2").orderBy("id").select("face_clusters").first()
+    owner = F.when(F.col("label").isin(both[0] if both else []), 2).when(F.col("person_profile_id") != 2, F.col("person_profile_id"))
+    clusters = c.clusters.withColumn("person_profile_id", owner.cast("long"))
+    hits = S.photos_of_person(c.photos_with_text_vector, clusters, c.persons, 2)
     return hits.select("query_no", "id", "score", "rank", "total")
 
 
@@ -346,8 +355,8 @@ def _register_evaluation(kind: str) -> None:
     def rows(c: Catalog) -> DataFrame:
         return c.photos if kind == "photo" else c.videos
 
-    def inputs(c: Catalog):
-        return S.evaluation_inputs(rows(c), c.persons, c.samples, c.clusters, 200, THR, DIM)
+    def inputs(c: Catalog, keys: DataFrame | None = None):
+        return S.evaluation_inputs(rows(c), c.persons, c.samples, c.clusters, 200, THR, DIM, keys)
 
     @query(f"e1_ground_truth_{media}", "truth", "SELECT person_id, id FROM truth", views)
     def truth(c: Catalog) -> DataFrame:
@@ -375,10 +384,11 @@ def _register_evaluation(kind: str) -> None:
  LEFT JOIN (SELECT sample_id, max(total) AS n FROM hits GROUP BY 1) h ON h.sample_id=b.sample_id""", views,
     )
     def per_query(c: Catalog) -> DataFrame:
-        best, truth_rows, asked = inputs(c)
-        retrieved = S.retrieved_counts(
-            asked.withColumnRenamed("sample_id", "query_id"), rows(c), c.persons, c.samples, c.clusters, THR, DIM
-        )
+        asked = S.evaluable(c.samples, rows(c), c.clusters).withColumnRenamed("sample_id", "query_id")
+        # the ranks and the counts read the same matches
+        keys = cut_lineage(S.query_keys(asked, c.persons, c.samples, c.clusters, THR, DIM))
+        best, truth_rows, _ = inputs(c, keys)
+        retrieved = S.retrieved_counts(asked, rows(c), c.persons, c.samples, c.clusters, THR, DIM, keys)
         return S.query_report(best, truth_rows, retrieved)
 
 

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from lumenary.operators import features as FE
 from lumenary.operators import identity as I
 from lumenary.operators import timelines as TL
+from lumenary.functions.blockmatch import Side
 from lumenary.functions.text import empty_strings
 from lumenary.plans.catalog import DIM, THR, Catalog, piped
 from lumenary.plans.check_sql import piped as sql_piped
 from lumenary.plans.identity_queries import _SUMMARY, assigned, matches
 from lumenary.plans.registry import query
+from lumenary.session import cut_lineage
 from lumenary.plans.vector_queries import TAG_VIEWS, prompts
 
 
@@ -55,13 +57,34 @@ VOTES = {
 }
 
 
-def votes(c: Catalog, faces: DataFrame | None = None) -> DataFrame:
-    return TL.frame_votes(faces if faces is not None else c.faces, assigned(c), c.persons, c.samples, THR, DIM)
+class Seen:
+    """The faces of all videos, matched with clusters and ranked by person once."""
+
+    def __init__(self, c: Catalog) -> None:
+        self.c = c
+        self.top = cut_lineage(I.best_two(Side(c.faces, "face_id", "embedding"), c.persons, c.samples, DIM))
+        self.labels = cut_lineage(assigned(c))
+
+    def part(self, which: int | None) -> DataFrame:
+        return self.c.faces if which is None else self.c.faces.filter(F.col("seq") % 2 == which)
+
+    def votes(self, which: int | None = None) -> DataFrame:
+        return TL.frame_votes(self.part(which), self.labels, self.c.persons, self.c.samples, THR, DIM, self.top)
+
+    def summary(self, which: int | None = None) -> DataFrame:
+        return TL.face_summary(self.part(which), self.labels, matches(self.c, self.top), self.votes(which), self.c.clusters, self.c.persons)
+
+    def merged_votes(self) -> DataFrame:
+        """Even faces as the first pass over a video, odd ones as the second."""
+        return TL.merge_votes(self.votes(0), self.votes(1))
+
+    def merged_summary(self) -> DataFrame:
+        return TL.merge_passes(self.summary(0), self.summary(1))
 
 
 @query("m4_frame_votes", "votes", "SELECT * FROM votes", VOTES)
 def frame_votes(c: Catalog) -> DataFrame:
-    return votes(c).drop("bbox")
+    return Seen(c).votes().drop("bbox")
 
 
 _VIDEO_SUMMARY = {
@@ -91,16 +114,12 @@ _VIDEO_SUMMARY = {
 }
 
 
-def _summary(c: Catalog, faces: DataFrame) -> DataFrame:
-    return TL.face_summary(faces, assigned(c), matches(c), votes(c, faces), c.clusters, c.persons)
-
-
 @query(
     "m4_face_summary", "vsum",
     "SELECT video_id, array_to_string(coalesce(labels,[]),'|') AS labels, array_to_string(coalesce(names,[]),'|') AS names, face_count FROM vsum", _VIDEO_SUMMARY,
 )
 def face_summary(c: Catalog) -> DataFrame:
-    rows = _summary(c, c.faces)
+    rows = Seen(c).summary()
     return rows.select("video_id", piped(F.col("labels")).alias("labels"), piped(F.col("names")).alias("names"), "face_count")
 
 
@@ -115,7 +134,7 @@ def _joined(kind: str) -> str:
  JOIN (SELECT video_id, count(*) AS n FROM vrow GROUP BY 1) c ON c.video_id=n.video_id""", _VIDEO_SUMMARY,
 )
 def merge_passes(c: Catalog) -> DataFrame:
-    rows = TL.merge_passes(_summary(c, c.faces.filter("seq % 2 = 0")), _summary(c, c.faces.filter("seq % 2 = 1")))
+    rows = Seen(c).merged_summary()
     return rows.select("video_id", piped(F.col("labels")).alias("labels"), piped(F.col("names")).alias("names"), "face_count")
 
 
@@ -128,13 +147,9 @@ _MERGED = {
 }
 
 
-def merged_votes(c: Catalog) -> DataFrame:
-    return TL.merge_votes(votes(c, c.faces.filter("seq % 2 = 0")), votes(c, c.faces.filter("seq % 2 = 1")))
-
-
 @query("m5_merge_votes", "merged", "SELECT * FROM merged", _MERGED)
 def merge_votes(c: Catalog) -> DataFrame:
-    return merged_votes(c).drop("bbox")
+    return Seen(c).merged_votes().drop("bbox")
 
 
 @query(
@@ -143,7 +158,7 @@ def merge_votes(c: Catalog) -> DataFrame:
  HAVING max(score)>=0.30 OR (count(*)>=2 AND list_avg(list(score ORDER BY score DESC)[1:4])>=0.4)""", _MERGED,
 )
 def people_of_two_passes(c: Catalog) -> DataFrame:
-    return TL.video_people(merged_votes(c), THR)
+    return TL.video_people(Seen(c).merged_votes(), THR)
 
 
 _PEOPLE = {
@@ -158,7 +173,7 @@ _PEOPLE = {
 
 @query("m6_video_people", "vpeople", "SELECT * FROM vpeople", _PEOPLE)
 def video_people(c: Catalog) -> DataFrame:
-    return TL.video_people(votes(c), THR)
+    return TL.video_people(Seen(c).votes(), THR)
 
 
 @query(
@@ -183,27 +198,75 @@ def moments(c: Catalog) -> DataFrame:
     )
 
 
-@query(
-    "m8_assemble_videos", "vsum vpeople tagged things videos",
-    """SELECT v.id, array_to_string(list_concat(v.people, list_filter(coalesce(s.names,[]), lambda x: NOT list_contains(v.people,x))),'|') AS people,
+_MERGED_MOMENTS = {
+    **_MERGED,
+    "two_moments": (
+        "merged",
+        """SELECT video_id, person_name, m.t AS timestamp_seconds, m.s AS score, m.seq AS seq FROM (SELECT video_id, person_name, unnest(chosen) AS m FROM (SELECT video_id, person_name, list_reduce(
+ list([struct_pack(t:=timestamp_seconds, s:=score, seq:=seq)] ORDER BY score DESC, seq),
+ lambda acc, e: CASE WHEN len(acc)<5 AND len(list_filter(acc, lambda a: abs(a.t-e[1].t)<2))=0 THEN list_concat(acc,e) ELSE acc END) AS chosen FROM merged GROUP BY video_id, person_name))""",
+    ),
+}
+
+
+@query("m7_select_moments_of_two_passes", "two_moments", "SELECT * FROM two_moments", _MERGED_MOMENTS)
+def moments_of_two_passes(c: Catalog) -> DataFrame:
+    rows = TL.select_moments(Seen(c).merged_votes().drop("person_id"))
+    return rows.select("video_id", "person_name", F.explode("moments").alias("m")).select(
+        "video_id", "person_name", "m.timestamp_seconds", "m.score", "m.seq"
+    )
+
+
+def _records_sql(summary: str) -> str:
+    return f"""SELECT v.id, array_to_string(list_concat(v.people, list_filter(coalesce(s.names,[]), lambda x: NOT list_contains(v.people,x))),'|') AS people,
  array_to_string(list_concat(coalesce(t.tags,[]), v.scene_tags),'|') AS scene_tags,
  array_to_string(list_concat(coalesce(o.tags,[]), list_filter(v.object_tags, lambda x: NOT list_contains(coalesce(o.tags,[]),x))),'|') AS object_tags, array_to_string(coalesce(s.labels,[]),'|') AS face_clusters,
- coalesce(s.face_count,0) AS face_count, v.sampled_frame_count+v.id%3 AS sampled_frame_count FROM videos v LEFT JOIN vsum s ON s.video_id=v.id LEFT JOIN tagged t ON t.video_id=v.id LEFT JOIN things o ON o.video_id=v.id""",
-    {**_PEOPLE, **TAG_VIEWS},
-)
-def assemble(c: Catalog) -> DataFrame:
-    found = votes(c)
+ coalesce(s.face_count,0) AS face_count, v.sampled_frame_count+v.id%3 AS sampled_frame_count
+ FROM videos v LEFT JOIN {summary} s ON s.video_id=v.id LEFT JOIN tagged t ON t.video_id=v.id LEFT JOIN things o ON o.video_id=v.id"""
+
+
+def _records(c: Catalog, summary: DataFrame, found: DataFrame) -> DataFrame:
     analysed = c.videos.select(
         "id", "people", "scene_tags", "object_tags", F.col("sampled_frame_count").alias("sampled"), (F.col("id") % 3).alias("dense")
     )
     rows = TL.assemble_videos(
-        analysed, _summary(c, c.faces), TL.video_people(found, THR), FE.zero_shot_tags(c.faces, prompts(c), dim=DIM),
+        analysed, summary, TL.video_people(found, THR), FE.zero_shot_tags(c.faces, prompts(c), dim=DIM),
         TL.select_moments(found.drop("person_id")), FE.zero_shot_tags(c.faces, prompts(c, FE.OBJECT_PROMPTS), dim=DIM),
     )
-    return rows.select(
-        "id", piped(F.col("people")).alias("people"), piped(F.col("scene_tags")).alias("scene_tags"),
-        piped(F.col("object_tags")).alias("object_tags"), piped(F.col("face_clusters")).alias("face_clusters"), "face_count", "sampled_frame_count",
-    )
+    spelt = F.transform("person_moments", lambda m: F.concat_ws(":", m["person_name"], F.format_string("%.1f", m["timestamp_seconds"])))
+    lists = [piped(F.col(x)).alias(x) for x in ("people", "scene_tags", "object_tags", "face_clusters")]
+    return rows.select("id", *lists, "face_count", "sampled_frame_count", piped(F.coalesce(spelt, empty_strings())).alias("moments"))
+
+
+@query("m8_assemble_videos", "vsum vpeople tagged things videos", _records_sql("vsum"), {**_PEOPLE, **TAG_VIEWS})
+def assemble(c: Catalog) -> DataFrame:
+    seen = Seen(c)
+    return _records(c, seen.summary(), seen.votes()).drop("moments")
+
+
+_TWO_PASSES = {
+    **_MERGED_MOMENTS, **_PEOPLE, **TAG_VIEWS,
+    "vsum2": (
+        "vnames vlabels vrow",
+        f"""SELECT n.video_id, l.labels, n.names, c.n AS face_count FROM {_joined('names')} n JOIN {_joined('labels')} l ON l.video_id=n.video_id
+ JOIN (SELECT video_id, count(*) AS n FROM vrow GROUP BY 1) c ON c.video_id=n.video_id""",
+    ),
+    # persons by their first vote, each one's moments in time order
+    "spelt": (
+        "two_moments",
+        """SELECT video_id, string_agg(person_name||':'||printf('%.1f',timestamp_seconds), '|' ORDER BY turn, person_name, timestamp_seconds) AS moments
+ FROM (SELECT *, min(seq) OVER (PARTITION BY video_id, person_name) AS turn FROM two_moments) GROUP BY video_id""",
+    ),
+}
+
+
+@query(
+    "m8_assemble_videos_of_two_passes", "vsum2 spelt tagged things videos",
+    f"SELECT r.*, coalesce(p.moments,'') AS moments FROM ({_records_sql('vsum2')}) r LEFT JOIN spelt p ON p.video_id=r.id", _TWO_PASSES,
+)
+def assemble_two_passes(c: Catalog) -> DataFrame:
+    seen = Seen(c)
+    return _records(c, seen.merged_summary(), cut_lineage(seen.merged_votes()))
 
 
 @query(

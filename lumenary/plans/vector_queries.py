@@ -269,7 +269,13 @@ def detections(c: Catalog) -> DataFrame:
     return FE.filter_detections(c.faces, 0.65).select("face_id", F.round("det_score", 6).alias("det_score"))
 
 
-@query("v19_nms")
+@query(
+    "v19_nms", "faces",
+    """SELECT media_id, unnest(kept).id AS face_id FROM (SELECT image AS media_id, list_reduce(list([struct_pack(l:=x1, t:=y1, r:=x2, b:=y2, id:=face_id)] ORDER BY det_score DESC, face_id DESC),
+ lambda acc, e: CASE WHEN len(list_filter(acc, lambda k: greatest(0, least(k.r,e[1].r)-greatest(k.l,e[1].l)+1)*greatest(0, least(k.b,e[1].b)-greatest(k.t,e[1].t)+1)
+ > 0.1::DOUBLE*((k.r-k.l+1)*(k.b-k.t+1)+(e[1].r-e[1].l+1)*(e[1].b-e[1].t+1)-greatest(0, least(k.r,e[1].r)-greatest(k.l,e[1].l)+1)*greatest(0, least(k.b,e[1].b)-greatest(k.t,e[1].t)+1))))=0
+ THEN list_concat(acc,e) ELSE acc END) AS kept FROM (SELECT *, face_id//40 AS image FROM faces) GROUP BY image)""",
+)
 def suppressed(c: Catalog) -> DataFrame:
     crowded = c.faces.withColumn("media_id", F.floor(F.col("face_id") / 40))
     return nms(crowded.drop("embedding"), 0.1).select("media_id", "face_id")

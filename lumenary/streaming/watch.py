@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,72 +60,98 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 class _Bursts(StatefulProcessor):
-    """Open bursts of a source: their spans as a list, their paths as map entries, a timer for each end.
+    """Open bursts of a source: their spans as a list, their paths in map entries of bounded length.
 
-    Times are microseconds. Spans that may still meet lie within the lateness, so the list is short; paths are
-    read only when their burst ends, or when a late event joins two bursts.
+    Times are microseconds. Spans that may still meet lie within the lateness, so the list is short. A burst's paths
+    are dealt by hash to entries, twice as many whenever one grows beyond FULL, so an entry is all that is in memory.
+    One timer stands at the earliest end.
     """
 
+    FULL = 4_096
+
     def __init__(self, gap: int) -> None:
         self.gap = gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.spans = handle.getListState("spans", "lo long, hi long")
-        self.paths = handle.getMapState("paths", "lo long, path string", "seen boolean")
+        self.spans = handle.getListState("spans", "lo long, hi long, entries int")
+        self.paths = handle.getMapState("paths", "lo long, entry int", "paths array<string>")
 
     def _due(self, hi: int) -> int:
         """The first whole millisecond at which nothing can join a burst any more."""
         return -(-(hi + self.gap) // 1000)
 
+    def _open(self) -> list[tuple[int, int, int]]:
+        return [tuple(map(int, s)) for s in self.spans.get()] if self.spans.exists() else []
+
+    def _put(self, spans: list[tuple[int, int, int]], before: int | None) -> None:
+        first = min((self._due(hi) for _, hi, _ in spans), default=None)
+        if spans:
+            self.spans.put(spans)
+        else:
+            self.spans.clear()
+        if first != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if first is not None:
+                self.handle.registerTimer(first)
+
+    def _read(self, lo: int, entry: int) -> list[str]:
+        return list(self.paths.getValue((lo, entry))[0]) if self.paths.containsKey((lo, entry)) else []
+
+    def _add(self, lo: int, entries: int, fresh: bool, paths: Iterable[str]) -> int:
+        """Add paths to a burst; the number of its entries after it."""
+        dealt: dict[int, set[str]] = {}
+        for path in paths:
+            dealt.setdefault(zlib.crc32(path.encode()) % entries, set()).add(path)
+        for entry, new in dealt.items():
+            held = new if fresh else new.union(self._read(lo, entry))
+            self.paths.updateValue((lo, entry), (sorted(held),))
+            if len(held) > self.FULL:
+                moved = [self._read(lo, e) for e in range(entries)]
+                rest = [p for e, new in dealt.items() for p in new]
+                for e, some in enumerate(moved):
+                    for half in (e, e + entries):
+                        self.paths.updateValue((lo, half), (sorted(p for p in some if zlib.crc32(p.encode()) % (2 * entries) == half),))
+                return self._add(lo, 2 * entries, False, rest)
+        return entries
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        spans = sorted(map(tuple, self.spans.get())) if self.spans.exists() else []
-        before = [self._due(hi) for _, hi in spans]
+        old = self._open()
+        before = min((self._due(hi) for _, hi, _ in old), default=None)
+        known = {lo: entries for lo, _, entries in old}
         for batch in rows:
-            for us, paths in batch.groupby("us")["path"]:
-                spans, home = self._joined(spans, int(us))
-                for path in paths.unique():
-                    self.paths.updateValue((home, path), (True,))
-        self.spans.put(spans)
-        after = [self._due(hi) for _, hi in spans]
-        for due in set(before) - set(after):
-            self.handle.deleteTimer(due)
-        for due in set(after) - set(before):
-            self.handle.registerTimer(due)
-        yield pd.DataFrame({"source_id": [], "opened_at": [], "flushed_at": [], "path": []})
-
-    def _joined(self, spans: list, us: int) -> tuple[list, int]:
-        """The spans with an event at `us`, and the start of the span that takes it."""
-        near = [s for s in spans if s[0] - self.gap < us < s[1] + self.gap]
-        lo, hi = min([us, *(s[0] for s in near)]), max([us, *(s[1] for s in near)])
-        moved = {s[0] for s in near} - {lo}
-        if moved:
-            for old, path in [k for k in self.paths.keys() if k[0] in moved]:
-                self.paths.removeKey((old, path))
-                self.paths.updateValue((lo, path), (True,))
-        return sorted([*(s for s in spans if s not in near), (lo, hi)]), lo
+            # bursts of the batch by itself, then together with the open ones
+            batch = batch.sort_values("us")
+            us = batch["us"].to_numpy()
+            burst = np.cumsum(np.diff(us, prepend=us[0]) >= self.gap)
+            parts = [(int(p["us"].iloc[0]), int(p["us"].iloc[-1]), p["path"].unique()) for _, p in batch.groupby(burst)]
+            for lo, hi, paths in parts:
+                near = [s for s in old if s[0] - self.gap < hi and lo < s[1] + self.gap]
+                start, end = min([lo, *(s[0] for s in near)]), max([hi, *(s[1] for s in near)])
+                entries = self._add(start, known.get(start, 1), start not in known, paths)
+                for gone, _, held in near:
+                    if gone != start:
+                        for entry in range(held):
+                            entries = self._add(start, entries, False, self._read(gone, entry))
+                            self.paths.removeKey((gone, entry))
+                        del known[gone]
+                known[start] = entries
+                old = [s for s in old if s not in near] + [(start, end, entries)]
+        self._put(sorted(old), before)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        spans = [tuple(s) for s in self.spans.get()] if self.spans.exists() else []
-        ended = {lo: hi for lo, hi in spans if self._due(hi) <= now}
-        left = [s for s in spans if s[0] not in ended]
-        if left:
-            self.spans.put(left)
-        else:
-            self.spans.clear()
-        part: list[tuple] = []
-        gone: list[tuple] = []
-        for lo, path in self.paths.keys():
-            if lo in ended:
-                gone.append((lo, path))
-                part.append((key[0], pd.Timestamp(lo, unit="us"), pd.Timestamp(ended[lo] + self.gap, unit="us"), path))
-                if len(part) == 10_000:
-                    yield pd.DataFrame(part, columns=["source_id", "opened_at", "flushed_at", "path"])
-                    part = []
-        for one in gone:
-            self.paths.removeKey(one)
-        yield pd.DataFrame(part, columns=["source_id", "opened_at", "flushed_at", "path"])
+        now = timerValues.getCurrentWatermarkInMs()
+        spans = self._open()
+        for lo, hi, entries in spans:
+            if self._due(hi) <= now:
+                for entry in range(entries):
+                    if some := self._read(lo, entry):
+                        ends = {"source_id": key[0], "opened_at": pd.Timestamp(lo, unit="us"), "flushed_at": pd.Timestamp(hi + self.gap, unit="us")}
+                        yield pd.DataFrame({"path": some}).assign(**ends)[["source_id", "opened_at", "flushed_at", "path"]]
+                        self.paths.removeKey((lo, entry))
+        self._put([s for s in spans if self._due(s[1]) > now], None)
 
     def close(self) -> None:
         pass

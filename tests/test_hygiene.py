@@ -85,7 +85,7 @@ def test_duplicates_match_brute_force(catalog, kind, chunk):
             {"duration_seconds": 10 + F.col("id") % 5 / 20, "original_path": F.lit("/v/trip.mp4"), "vector": F.col("vector")}
         )
     rows = [r.asDict() for r in H.prepare(media, kind).collect()]
-    got = H.duplicate_candidates(media, kind, None, chunk_rows=chunk)
+    got = H.duplicate_candidates(media, kind, None, piece_rows=chunk)
     assert {r["id"]: round(r["score"], 6) for r in got.collect()} == brute(rows, kind)
 
 
@@ -107,7 +107,7 @@ def test_hot_block_of_copies(spark):
         rows, "id long, original_path string, sha256 string, phash string, caption string, vector array<double>, width int, height int, face_count int"
     ).withColumns({"storage_path": F.col("original_path"), "ocr_text": F.lit(None).cast("string"), "taken_at": F.lit(None).cast("timestamp"), "created_at": F.timestamp_seconds("id")})
     prepared = [r.asDict() for r in H.prepare(df, "photo").collect()]
-    got = H.duplicate_candidates(df, "photo", None, chunk_rows=16)
+    got = H.duplicate_candidates(df, "photo", None, piece_rows=16)
     assert {r["id"]: round(r["score"], 6) for r in got.collect()} == brute(prepared, "photo")
     # copies collapse to one representative before any comparison
     stored = materialize(H.prepare(df, "photo"), "p")
