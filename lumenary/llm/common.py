@@ -30,6 +30,26 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bits of the set that `maybe_among` tests: two megabytes, whatever the number of keys.
+MAYBE_BITS = 1 << 24
+
+
+def maybe_among(keys: DataFrame, *columns: str) -> Column:
+    """Whether a row's columns may be one of `keys`: true for all keys, and for a few others by chance.
+
+    The keys' hashes set bits of one value of fixed size, which travels to the tasks in place of the keys. It lets a
+    scan leave out work on wide columns that would otherwise have to be shuffled to meet the keys; what must be exact
+    is joined afterwards on narrow rows. The more keys there are, the more rows pass by chance.
+    """
+    spark = keys.sparkSession
+    place = F.pmod(F.xxhash64(*columns), F.lit(MAYBE_BITS))
+    word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    words = keys.select(word.alias("id"), bit.alias("bit")).groupBy("id").agg(F.bit_or("bit").alias("bits"))
+    every = spark.range(MAYBE_BITS >> 6).join(words, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    table = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda w: w["bits"]).alias("bits")).scalar()
+    return F.get(table, word.cast("int")).bitwiseAND(bit) != 0
+
+
 class Scratch:
     """Tables written to the shared folder for the length of a `with` block.
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenary.llm.common import WHITE_SPACE, keep_rows, whole
+from lumenary.llm.common import WHITE_SPACE, keep_rows, maybe_among, whole
 from lumenary.session import cut_lineage
 
 PREFIX_CHARS = 64
@@ -28,10 +28,12 @@ def exact_duplicates(
     counts them. A null text is an empty text, and all empty texts are one group. Other columns of `docs`
     are not read, whatever their names.
 
-    Lengths that occur once end at the first level and (length, prefix hash) keys that occur once at the
-    second; only rows of keys left are hashed in full, so `text_sha256` is null for the others unless
-    `digest_all` asks for it. Counts are combined before every shuffle. The row-keeping joins carry no group
-    as a unit, so a key with a third of the rows is split by the adaptive skew join.
+    The first scan measures lengths and hashes prefixes: lengths that occur once end at the first level, (length,
+    prefix hash) keys that occur once at the second. The second scan reads the content of the rows whose key
+    is left and hashes it in full; a small set of bits tells them from the others, so no text is shuffled. For the
+    others `text_sha256` is null (or known by chance), unless `digest_all` asks the second scan for theirs too.
+    Counts are combined before every shuffle. The row-keeping joins carry no group as a unit, so a key with a third of
+    the rows is split by the adaptive skew join.
     """
     body = normalized(F.col("text"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select(
@@ -42,21 +44,11 @@ def exact_duplicates(
         F.xxhash64(F.substring(body, 1, prefix_chars)).alias("prefix"),
         body.alias("body"),
     )
+    keys = cut_lineage(shared_keys(rows))
     digest = F.sha2("body", 256)
-    if digest_all:
-        hashed = cut_lineage(
-            rows.select("id", "tag", "n_points", "len", "prefix", digest.alias("sha")).withColumn("row", F.monotonically_increasing_id())
-        )
-        survivors = hashed.join(shared_keys(hashed), ["len", "prefix"], "left_semi")
-    else:
-        # the left join hands each text to its key; a text whose key has no partner is never hashed
-        keys = shared_keys(rows).withColumn("shared", F.lit(True))
-        hashed = cut_lineage(
-            rows.join(keys, ["len", "prefix"], "left")
-            .select("id", "tag", "n_points", "len", F.when(F.col("shared"), digest).alias("sha"))
-            .withColumn("row", F.monotonically_increasing_id())
-        )
-        survivors = hashed.filter(F.col("sha").isNotNull())
+    wanted = digest if digest_all else F.when(maybe_among(keys, "len", "prefix"), digest)
+    hashed = cut_lineage(rows.select("id", "tag", "n_points", "len", "prefix", wanted.alias("sha")).withColumn("row", F.monotonically_increasing_id()))
+    survivors = hashed.join(keys, ["len", "prefix"], "left_semi")
     groups = (
         survivors.groupBy("len", "sha", "n_points", "id", "tag")
         .agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"))
@@ -91,6 +83,6 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Rows that repeat id and text give one row.
     """
-    found = exact_duplicates(docs, id_col, text_col, digest_all=True).filter("kept")
+    found = exact_duplicates(docs, id_col, text_col).filter("kept")
     kept = cut_lineage(found.select(F.struct("id", "tag").alias("doc"), "n_tied"))
     return keep_rows(docs, kept, id_col, text_col)

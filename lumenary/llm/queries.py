@@ -14,6 +14,7 @@ from lumenary.llm import (
     top_k, url_lists, warc_bundles,
 )
 from lumenary.llm.common import table
+from lumenary.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -111,7 +112,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_secret_scans")
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secret_ledger.scan_documents(table(spark, sf_dir, "documents"))
+    """Two runs over a ledger: the base rules first, then all rules, for which only the added ones are unseen pairs."""
+    docs = table(spark, sf_dir, "documents")
+    ledger = secret_ledger.new_entries(docs, None, secret_ledger.BASE_RULES)
+    found, _ = secret_ledger.scan_documents(docs, cut_lineage(ledger))
     base = [r.kind for r in secret_ledger.BASE_RULES]
 
     def listed(spans):

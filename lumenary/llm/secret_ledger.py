@@ -11,12 +11,13 @@ import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenary.llm.common import whole
+from lumenary.llm.common import maybe_among, whole
 from lumenary.llm.tokens import slices
 from lumenary.session import cut_lineage
 
@@ -65,37 +66,47 @@ def spans_of(text: str, rule: Rule) -> list[tuple[int, int]]:
 
 
 def new_entries(docs: DataFrame, ledger: DataFrame | None, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Ledger rows (blob, pairs, spans) for the pairs that `ledger` lacks; empty where there are none."""
-    rows = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col).cast("string")).alias("text"))
-    rows = rows.select("id", F.sha2("text", 256).alias("blob"), "text")
-    # one row of a blob is read; its smallest path stands for the rest
-    blobs = rows.groupBy("blob").agg(F.min("id").alias("id"))
+    """Ledger rows (blob, pairs, spans) for the pairs that `ledger` lacks; empty where there are none.
+
+    Texts are scanned where they lie: a small set of bits says which blobs may be due, and a task scans a blob once
+    however many of its rows have it. Only spans are shuffled; they meet the due pairs exactly.
+    """
+    rows = docs.select(whole(F.col(text_col).cast("string")).alias("text")).select(F.sha2("text", 256).alias("blob"), "text")
+    blobs = rows.select("blob").distinct()
     every = F.array(*[F.lit(r.pair) for r in rules])
     if ledger is None:
-        blobs = blobs.withColumn("pairs", every)
+        due = blobs.withColumn("pairs", every)
     else:
         seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("seen"))
-        blobs = blobs.join(seen, "blob", "left")
-        blobs = blobs.select("blob", "id", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>"))).alias("pairs"))
-    wanted = cut_lineage(blobs.filter(F.size("pairs") > 0).select(F.struct("blob", "id").alias("key"), "pairs"))
-    due = rows.withColumn("key", F.struct("blob", "id")).join(wanted, "key").select("blob", "pairs", "text")
-    by_pair = {r.pair: r for r in rules}
+        due = blobs.join(seen, "blob", "left")
+        due = due.select("blob", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>"))).alias("pairs"))
+    due = cut_lineage(due.filter(F.size("pairs") > 0))
+    # the rules that some blob is due for: as many values as there are rules at most
+    wanted = {p for (p,) in due.select(F.explode("pairs")).distinct().collect()}
+    asked = [r for r in rules if r.pair in wanted]
+    kind = pa.list_(pa.struct([("pair", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hint = "|".join(f"(?:{r.hint})" for r in rules)
+        hint = "|".join(f"(?:{r.hint})" for r in asked)
+        done: set[bytes] = set()
         for batch in batches:
             for part in slices(batch, "text"):
-                maybe = pc.match_substring_regex(part.column("text"), hint).to_pylist()
-                pairs = part.column("pairs").to_pylist()
-                found = [
-                    [{"pair": p, "start": a, "end": b} for p in pairs[i] for a, b in spans_of(part.column("text")[i].as_py(), by_pair[p])] if m else []
-                    for i, m in enumerate(maybe)
-                ]
-                kind = pa.list_(pa.struct([("pair", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([part.column("blob"), part.column("pairs"), pa.array(found, kind)], names=["blob", "pairs", "spans"])
-
-    # rows that repeat a path and its text are scanned alike
-    return due.mapInArrow(scan, LEDGER).dropDuplicates(["blob"])
+                at = np.flatnonzero(pc.match_substring_regex(part.column("text"), hint).to_numpy(zero_copy_only=False)) if asked else []
+                blobs, found = [], []
+                for i in map(int, at):
+                    blob = part.column("blob")[i].as_py()
+                    if (mark := bytes.fromhex(blob)) not in done:
+                        done.add(mark)
+                        text = part.column("text")[i].as_py()
+                        blobs.append(blob)
+                        found.append([{"pair": r.pair, "start": a, "end": b} for r in asked for a, b in spans_of(text, r)])
+                yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.string()), pa.array(found, kind)], names=["blob", "spans"])
+
+    maybe = rows if ledger is None else rows.filter(maybe_among(due, "blob"))
+    spans = maybe.mapInArrow(scan, f"blob string, spans {SPANS}").filter(F.size("spans") > 0).dropDuplicates(["blob"])
+    found = due.join(spans, "blob", "left")
+    mine = F.filter(F.coalesce("spans", F.array().cast(SPANS)), lambda s: F.array_contains("pairs", s["pair"]))
+    return found.select("blob", "pairs", mine.alias("spans"))
 
 
 def scan_documents(
