@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenary.operators import hygiene as H
 from lumenary.plans.catalog import Catalog
+from lumenary.plans.check_sql import ratio_sql
 from lumenary.plans.registry import query
 from lumenary.plans.text_queries import CAPTION_KEY_SQL, NAME_KEY_SQL
 
@@ -109,17 +110,6 @@ def _letters(text: str) -> str:
     return f"(SELECT list_append(l, len({text})-list_sum(l)) FROM (SELECT [{counts}] AS l))"
 
 
-def _ratio_sql(pairs: str) -> str:
-    """(x, y, ratio) of different texts: twice the letters of matching blocks over all letters.
-
-    The longest common stretch that starts first in x, then in y, is matched; then the texts before and behind it are.
-    """
-    return f"""SELECT x, y, 2.0::DOUBLE*coalesce(sum(got),0)/(len(x)+len(y)) AS ratio FROM (WITH RECURSIVE m AS (SELECT x, y, x AS s, y AS t, 0 AS got, 0 AS step FROM {pairs}
- UNION ALL SELECT x, y, unnest([substr(s,1,i-1), substr(s,i+l)]), unnest([substr(t,1,j-1), substr(t,j+l)]), unnest([l, 0]), step+1 FROM (
- SELECT x, y, s, t, step, b.l, -b.i AS i, strpos(t, b.p) AS j FROM (SELECT x, y, s, t, step, list_max(list_filter(flatten(list_transform(range(1,len(s)+1), lambda i: list_transform(range(1,len(s)-i+2),
- lambda l: struct_pack(l:=l, i:=-i, p:=substr(s,i,l))))), lambda e: contains(t, e.p))) AS b FROM m WHERE len(s)>0 AND len(t)>0) WHERE b IS NOT NULL)) SELECT x, y, got FROM m) GROUP BY x, y"""
-
-
 _OTHER = {
     "photo": ("CASE WHEN a.h IS NULL OR b.h IS NULL THEN 0::DOUBLE ELSE 1-bit_count(xor(a.h,b.h))/64.0::DOUBLE END", "('0x'||phash)::UBIGINT AS h"),
     "video": ("CASE WHEN a.h>0 AND b.h>0 THEN greatest(0::DOUBLE, 1-abs(a.h-b.h)/greatest(a.h,b.h)) ELSE 0::DOUBLE END", "duration_seconds AS h"),
@@ -167,7 +157,7 @@ def _near_views(kind: str, media: str) -> dict:
  AND lx>0 AND ly>0 AND 2*least(lx,ly)>={floor}*(lx+ly) AND 2*list_sum(list_transform(list_zip(ax,bx), lambda z: least(z[1],z[2])))>={floor}*(lx+ly)""",
         ),
         f"{kind}_two": (f"{kind}_may", f"SELECT DISTINCT x, y FROM {kind}_may WHERE x<>y"),
-        f"{kind}_rat": (f"{kind}_two", _ratio_sql(f"{kind}_two")),
+        f"{kind}_rat": (f"{kind}_two", ratio_sql(f"{kind}_two")),
         f"{kind}_acc": (
             f"{kind}_pr {kind}_may {kind}_rat",
             f"""SELECT kind, block, a_id, b_id, bq FROM {kind}_pr WHERE CASE kind WHEN 'name' THEN ({name_open}) AND {same}+{total}>0 ELSE {caption_open} END
@@ -181,7 +171,7 @@ def _near_views(kind: str, media: str) -> dict:
  FROM {kind}_first f JOIN {kind}_it a ON a.id=f.a_id JOIN {kind}_it b ON b.id=f.b_id""",
         ),
         f"{kind}_both": (f"{kind}_fin", f"SELECT DISTINCT x, y FROM (SELECT an AS x, bn AS y FROM {kind}_fin UNION ALL SELECT ac, bc FROM {kind}_fin) WHERE x<>y AND x<>'' AND y<>''"),
-        f"{kind}_rat2": (f"{kind}_both", _ratio_sql(f"{kind}_both")),
+        f"{kind}_rat2": (f"{kind}_both", ratio_sql(f"{kind}_both")),
         f"{kind}_scored": (
             f"{kind}_fin {kind}_rat2",
             f"""SELECT kind, a_id, b_id, round(least(greatest(CASE WHEN same THEN {same} WHEN name>=0.94::DOUBLE THEN 0.12::DOUBLE ELSE 0::DOUBLE END, CASE WHEN cap>=0.9::DOUBLE THEN 0.08::DOUBLE ELSE 0::DOUBLE END)+{total}, 0.985::DOUBLE),6) AS score,

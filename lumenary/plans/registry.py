@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumenary.plans.catalog import Catalog
 from lumenary.plans.check_sql import with_views
+from lumenary.session import shipped
 
 Query = Callable[[Catalog], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,7 +29,7 @@ def query(name: str, views: str = "", sql: str | None = None, extra: dict | None
 
 
 def runner(fn: Query) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: fn(Catalog(spark, sf_dir))
+    return shipped(lambda spark, sf_dir: fn(Catalog(spark, sf_dir)))
 
 
 TOPICS = ("text", "vector", "listing", "search", "identity", "tuning", "hygiene", "timeline", "ingest", "stream")

@@ -13,8 +13,9 @@ from lumenary.operators import features as FE
 from lumenary.operators import identity as I
 from lumenary.operators.detections import nms
 from lumenary.plans.catalog import DIM, Catalog, flat_vector, piped
-from lumenary.plans.check_sql import flat, text_vectors
+from lumenary.plans.check_sql import flat, ratio_sql, text_vectors
 from lumenary.plans.registry import query
+from lumenary.plans.text_queries import CAPTION_KEY_SQL
 
 
 def _unit(v: str) -> str:
@@ -236,7 +237,18 @@ def phash_pairs(c: Catalog) -> DataFrame:
     return rows.select("id", F.round(V.phash_similarity(F.col("phash"), F.col("o_phash")), 6).alias("score"))
 
 
-@query("v15_text_similarity")
+_RATIOS = {
+    "ck": ("photos", CAPTION_KEY_SQL.format("photos")),
+    "kp": ("ck photos", "SELECT a.id, a.caption_key AS x, b.caption_key AS y FROM ck a JOIN ck b ON b.id=(a.id*7+1)%(SELECT count(*) FROM photos)"),
+    "two": ("kp", "SELECT DISTINCT x, y FROM kp WHERE x<>y AND x<>'' AND y<>''"),
+    "rat": ("two", ratio_sql("two")),
+}
+
+
+@query(
+    "v15_text_similarity", "kp rat",
+    "SELECT k.id, round(CASE WHEN k.x='' OR k.y='' THEN 0 WHEN k.x=k.y THEN 1 ELSE r.ratio END,6) AS score FROM kp k LEFT JOIN rat r ON r.x=k.x AND r.y=k.y", _RATIOS,
+)
 def text_pairs(c: Catalog) -> DataFrame:
     keyed = c.photos.select("id", X.caption_key(F.col("caption")).alias("key"))
     rows = _pairs(keyed, ["key"])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +45,22 @@ def ship_package(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(archive)
 
 
+_shipped: set[str] = set()
+
+
+def shipped(fn: Callable) -> Callable:
+    """The query, with the package sent to the workers of its session first, once for each application."""
+
+    @functools.wraps(fn)
+    def run(spark: SparkSession, *args):
+        if spark.sparkContext.applicationId not in _shipped:
+            ship_package(spark)
+            _shipped.add(spark.sparkContext.applicationId)
+        return fn(spark, *args)
+
+    return run
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: `spark.checkpoint.dir`.
 

@@ -321,3 +321,124 @@ def test_a_shared_folder_is_needed_on_a_cluster():
 
     assert is_single_process("local[8]") and is_single_process("local")
     assert not is_single_process("local-cluster[3,2,1024]") and not is_single_process("yarn")
+
+
+@pytest.mark.parametrize(
+    "commands, names, refused",
+    [
+        ([(1, 1, "Cara"), (2, 1, "Dora")], {1: "Dora", 2: "Ann Lee"}, []),  # two commands for one person
+        ([(1, 1, "Cara"), (2, 2, "Ann")], {1: "Cara", 2: "Ann"}, []),  # a name given up is free
+        ([(1, 2, "Ann"), (2, 1, "Cara")], {1: "Cara", 2: "Ann Lee"}, [1]),  # but not before
+        ([(1, 1, "Cara"), (2, 2, " CARA "), (3, 1, "Eve"), (4, 2, "cara")], {1: "Eve", 2: "cara"}, [2]),
+        ([(1, 1, "ann LEE"), (2, 2, "Ann  Lee"), (3, 9, "Zed")], {1: "Ann", 2: "Ann  Lee"}, [1]),
+        ([(1, 1, "b"), (2, 2, "ann"), (3, 1, "ann"), (4, 2, "c"), (5, 1, "Ann")], {1: "Ann", 2: "c"}, [3]),
+    ],
+)
+def test_renames_in_order(spark, commands, names, refused):
+    persons, clusters = _people(spark)
+    df = spark.createDataFrame(commands, "seq long, person_id long, new_name string")
+    renamed, rejected, change = C.rename_persons(persons, clusters, df)
+    assert {r["id"]: r["name"] for r in renamed.collect()} == names and renamed.count() == 2
+    assert sorted(r["seq"] for r in rejected.collect()) == refused
+    assert change.clusters.count() == 3
+
+
+def test_names_of_clusters_follow_a_chain_of_renames(spark):
+    persons, _ = _people(spark)
+    clusters = spark.createDataFrame(
+        [("a", None, 1), ("b", "Ann", 1), ("c", "Cara", 1), ("d", "Other", 1), ("e", "Ann", 2), ("f", "Dora", 1)], "label string, display_name string, person_profile_id long"
+    )
+    df = spark.createDataFrame([(1, 1, "Cara"), (2, 1, "Dora")], "seq long, person_id long, new_name string")
+    change = C.rename_persons(persons, clusters, df)[2]
+    assert {r["label"]: r["display_name"] for r in change.clusters.collect()} == {"a": "Dora", "b": "Dora", "c": "Dora", "d": "Other", "e": "Ann", "f": "Dora"}
+    assert {r["label"] for r in change.labels.collect()} == set("abcdf") and {r["name"] for r in change.strip.collect()} == {"Ann", "Cara"}
+
+
+def test_a_file_that_two_sources_list_is_imported_once(spark):
+    rows = [("/a.jpg", 1, 5), ("/a.jpg", 2, 5), ("/b.jpg", 2, 9)]
+    files = spark.createDataFrame(rows, "path string, source_id long, t long").select(
+        "path", "source_id", F.timestamp_seconds("t").alias("modificationTime"), F.lit("image").alias("media_kind"), F.sha2("path", 256).alias("sha256")
+    )
+    none = spark.createDataFrame([], "sha256 string")
+    got = sorted((r["path"], r["source_id"], r["outcome"]) for r in IN.ingest_batch(files, none, none).collect())
+    assert got == [("/a.jpg", 1, "imported"), ("/a.jpg", 2, "duplicate"), ("/b.jpg", 2, "imported")]
+
+
+def test_a_name_with_many_taken_numbers(spark):
+    old = spark.range(100_000).filter("id % 2 = 1").select(F.concat(F.lit("/d/a_"), "id", F.lit(".jpg")).alias("archive_path"))
+    old = old.unionByName(spark.createDataFrame([("/d/a.jpg",)], "archive_path string"))
+    files = spark.range(60_000).select(F.concat(F.lit("/in/"), "id", F.lit("/a.jpg")).alias("path"), F.timestamp_seconds(-F.col("id")).alias("modificationTime"))
+    rows = IN.assign_archive_paths(files, old, "/d").select(
+        F.regexp_extract("path", "/in/([0-9]+)/", 1).cast("long").alias("i"), F.regexp_extract("archive_path", "a_([0-9]+)", 1).cast("long").alias("n")
+    )
+    # even numbers are free below 100,000, all of them after it
+    want = F.when(F.col("i") < 49_999, 2 * F.col("i") + 2).otherwise(F.col("i") + 50_001)
+    assert rows.count() == 60_000 and rows.filter(F.col("n") != want).count() == 0
+
+
+def test_names_in_long_texts(spark):
+    import time
+
+    from lumenary.operators import search as S
+
+    names = [f"Person Number{i} {'xyz'[i % 3]}" for i in range(50)] + ["Al", "é"]
+    persons = spark.createDataFrame([(i, n, n.lower(), i) for i, n in enumerate(names)], "id long, name string, normalized_name string, u long").withColumn("updated_at", F.timestamp_seconds("u"))
+    rng = random.Random(2)
+    texts = [("".join(rng.choice("abcdefgh nump") for _ in range(20_000)) + " PERSON number7 y"), "", None, "al", "fé", "person number1", "nobody"]
+    df = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
+    S.detect_people(df, persons).collect()
+    began = time.time()
+    got = {r["query_id"]: r["names"] for r in S.detect_people(df, persons).collect()}
+    taken = time.time() - began
+    order = [n for n in reversed(names)]
+    assert got == {i: f for i, t in enumerate(texts) if (f := [n for n in order if n.lower() in (t or "").strip().lower()])}
+    assert taken < 10
+
+
+def test_bursts_stay_open_across_batches(spark, tmp_path):
+    import pandas as pd
+
+    from lumenary.plans.stream_queries import stored
+
+    base = 1_700_000_000
+    parts = [
+        [(1, "/a.jpg", 0), (1, "/b.jpg", 2), (2, "/z.jpg", 0)],
+        [(1, "/a.jpg", 4), (1, "/late.jpg", 12), (1, "/c.jpg", 9)],  # 4 joins the open burst, 9 and 12 don't touch yet
+        [(1, "/mid.jpg", 10), (1, "/a.jpg", 60)],  # 10 joins 9 and 12
+        [(1, "/end.jpg", 200)], [(3, "/far.jpg", 400)],
+    ]
+    folder, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
+    folder.mkdir()
+    kind = "source_id long, path string, ts timestamp"
+    with stored(type("c", (), {"spark": spark})):
+        for n, part in enumerate(parts):
+            frame = pd.DataFrame(part, columns=["source_id", "path", "t"])
+            frame["ts"] = pd.to_datetime(frame.pop("t") + base, unit="s").astype("datetime64[us]")
+            frame.to_parquet(folder / f"{n}.parquet", coerce_timestamps="us")
+            stream = WA.debounce(spark.readStream.schema(kind).parquet(str(folder)), 3.0)
+            stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+    got = sorted((r["source_id"], int(r["opened_at"].timestamp()) - base, (r["flushed_at"] - r["opened_at"]).seconds, r["path"]) for r in spark.read.parquet(out).collect())
+    every = spark.createDataFrame([(s, p, base + t) for part in parts for s, p, t in part], "source_id long, path string, t long").withColumn("ts", F.timestamp_seconds("t"))
+    want = sorted((r["source_id"], int(r["opened_at"].timestamp()) - base, (r["flushed_at"] - r["opened_at"]).seconds, r["path"]) for r in WA.debounce_batch(every).collect())
+    assert got == [w for w in want if w[1] < 380]  # the last burst is open
+
+
+def test_a_batch_reads_only_the_parts_of_its_digests(spark, tmp_path):
+    out = str(tmp_path / "out")
+    none = spark.createDataFrame([], "sha256 string")
+
+    def files(names):
+        return spark.createDataFrame([(n,) for n in names], "path string").select(
+            "path", F.lit(1).cast("long").alias("source_id"), F.timestamp_seconds(F.lit(0)).alias("modificationTime"), F.lit(b"x").alias("content"),
+            F.sha2(F.regexp_replace("path", "^/[a-z]+/", ""), 256).alias("sha256"),
+        )
+
+    WA.ingest_micro_batch(files([f"/one/{i}.jpg" for i in range(40)]), 0, none, none, out)
+    second = files(["/two/3.jpg", "/two/new.jpg"])
+    known = WA.taken_digests(spark, out, 1, second.select("sha256"))
+    wanted = {r[0][:2] for r in second.select("sha256").collect()}
+    assert {f.split("prefix=")[1][:2] for f in known.inputFiles()} <= wanted
+    for _ in range(2):  # a repeated batch overwrites itself and isn't its own duplicate
+        WA.ingest_micro_batch(second, 1, none, none, out)
+        rows = {r["path"]: r["outcome"] for r in spark.read.parquet(f"{out}/files/batch=1").collect()}
+        assert rows == {"/two/3.jpg": "duplicate", "/two/new.jpg": "imported"}

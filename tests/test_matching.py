@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenary.functions import blockmatch as bm
+from lumenary.functions import gates as G
+from lumenary.functions import pivots as P
 from lumenary.functions import vector as V
 from lumenary.functions.blockmatch import Side
 from lumenary.operators import identity as I
@@ -183,3 +185,87 @@ def test_suppression_matches_a_restatement(spark):
                 kept.append(r)
         want |= {r[1] for r in kept}
     assert {r["face_id"] for r in nms(df, 0.3).collect()} == want
+
+
+def test_pivots_skip_blocks_of_clustered_vectors(spark):
+    rng = np.random.default_rng(4)
+    heads = rng.normal(size=(12, DIM))
+    rows = [(i, (heads[i % 12] + rng.normal(size=DIM) * 0.05).tolist(), 0) for i in range(600)]
+    df = spark.createDataFrame(rows, "lkey long, lvec array<double>, t long")
+    pivots = P.choose(df, "lkey", "lvec", DIM, 50)
+    placed, reach = P.homes(df.select("lkey", "lvec"), dim=DIM, floor=0.95, rows=50)
+    blocks = int(pivots.pieces.sum())
+    assert pivots.count.sum() == 600 and blocks >= 12
+    met = reach(placed).count()
+    assert met < 0.3 * 600 * (blocks - 1)  # the others can't hold a neighbour, and are skipped
+    # and nothing is lost
+    got = I.form_clusters(df.select(F.col("lkey").alias("face_id"), F.col("lvec").alias("embedding")), 0.95, DIM, block_rows=50)
+    assert {r["face_id"]: r["root"] for r in got.collect()} == components(rows, 0.95)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot"])
+def test_pivot_blocks_give_the_best_of_all(spark, metric):
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=DIM) * rng.choice([0.2, 1, 5])).tolist(), i % 3) for i in range(300)] + [(400, [0.0] * DIM, 1)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, t long")
+    side = Side(df, "id", "vec", "t")
+    got = bm.nearest(side, side, dim=DIM, k=2, floor=float("-inf"), metric=metric, skip_self=True, broadcast_rows=0, block_rows=20)
+    near = bm.nearest(side, side, dim=DIM, k=2, floor=float("-inf"), metric=metric, skip_self=True)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, near.collect()))
+
+
+@pytest.mark.parametrize("window", [1, 4, 128])
+def test_bounded_history_gives_the_full_fold(spark, window):
+    rng = np.random.default_rng(9)
+    unit_ = lambda v: v / np.linalg.norm(v)
+    heads = {"a": unit_(rng.normal(size=DIM)), "b": unit_(rng.normal(size=DIM)), "c": unit_(rng.normal(size=DIM))}
+    faces = [(label, i, i, i, unit_(heads[label] + rng.normal(size=DIM) * 0.2).tolist()) for label, n in (("a", 700), ("b", 3)) for i in range(n)]
+    clusters = spark.createDataFrame([(k, v.tolist(), None) for k, v in heads.items()], "label string, centroid array<double>, example_photo_id long")
+    df = spark.createDataFrame(faces + [("a", 9_000, 9_000, 9_000, [1.0]), ("zz", 1, 1, 1, [1.0] * DIM)], "label string, seq long, face_id long, media_id long, embedding array<double>")
+    got = {r["label"]: r for r in I.update_centroids(clusters, df, window=window).collect()}
+    for label, head in heads.items():
+        c = head
+        for _, _, _, _, e in [f for f in faces if f[0] == label]:
+            c = np.round(unit_(0.7 * c + 0.3 * np.array(e)), 6)
+        assert got[label]["centroid"] == c.tolist()
+    assert {k: r["folded"] for k, r in got.items()} == {"a": 700, "b": 3, "c": 0} and got["a"]["example_photo_id"] == 0
+
+
+def test_labels_of_different_roots_differ(spark):
+    far = [(35097, [1.0, 0.0]), (40686, [0.0, 1.0])]  # the first 32 bits of their digests are equal
+    got = I.form_clusters(spark.createDataFrame(far, "face_id long, embedding array<double>"), 0.5, 2).collect()
+    assert len({r["label"] for r in got}) == 2
+
+
+def test_text_gate_equals_all_pairs(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(12)
+    texts = set()
+    for _ in range(60):
+        base = " ".join(rng.choice(["harbour", "sunset", "ab", "boats", "é日", "x"]) for _ in range(rng.randint(1, 6)))
+        for _ in range(3):
+            cut = list(base)
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randrange(len(cut) + 1)
+                cut[at : at + rng.randint(0, 1)] = rng.choice(["", "q", "zz"])
+            texts.add("".join(cut))
+    texts = sorted(texts - {""})
+    rows = [("name", rng.choice("ab"), t, i) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "kind string, block string, text string, q long").withColumn("profile", F.col("q").cast("string"))
+    for floor in (0.88, 0.94, 0.6):
+        got = {r["text"]: r["lead"]["q"] for r in G.text_gate(df, "text", {"name": floor}).collect()}
+        want = {t: max(q for _, b2, u, q in rows if b2 == b and (u == t or SequenceMatcher(a=t, b=u).ratio() >= floor)) for _, b, t, _ in rows}
+        assert got == want
+
+
+def test_hash_gate_equals_all_pairs(spark):
+    rng = random.Random(13)
+    hashes = []
+    for _ in range(20):
+        base = rng.getrandbits(64)
+        hashes += [base ^ sum(1 << b for b in rng.sample(range(64), n)) for n in (0, 3, 6, 7, 12)]
+    rows = [("name", "a", f"{h:016x}", i) for i, h in enumerate(hashes)]
+    df = spark.createDataFrame(rows, "kind string, block string, phash string, q long").withColumn("profile", F.col("q").cast("string"))
+    got = {r["phash"]: r["lead"]["q"] for r in G.hash_gate(df, 0.9).collect()}
+    assert got == {p: max(j for j, o in enumerate(hashes) if (o ^ hashes[i]).bit_count() <= 6) for _, _, p, i in rows}

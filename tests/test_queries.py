@@ -1,4 +1,4 @@
-"""Every registered query: against its check SQL where there is one, else that it has rows, and the same twice."""
+"""Every registered query: against its check SQL; the few without one are tested by restatements elsewhere."""
 
 import pytest
 
@@ -15,14 +15,18 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", list(registry.QUERIES))
+# test_jobs: images, arrival order of streamed clusters
+ELSEWHERE = {"v4_phash_images", "v5_image_features", "w9_stream_clusters"}
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - ELSEWHERE))
 def test_query(spark, con, name):
-    fn = entry.queries()[name]
-    if name in CHECKS:
-        assert compare(spark, con, SF, fn, CHECKS[name]) is None
-    else:
-        first, again = (sorted(map(str, fn(spark, SF).collect())) for _ in range(2))
-        assert first and first == again
+    assert compare(spark, con, SF, entry.queries()[name], CHECKS[name]) is None
+
+
+@pytest.mark.parametrize("name", sorted(ELSEWHERE))
+def test_query_has_rows(spark, name):
+    assert entry.queries()[name](spark, SF).count() > 0
 
 
 def test_every_check_belongs_to_a_query():
