@@ -2,7 +2,8 @@
 
 A conversation is cut into windows of whole turns by the prefix sums of its turns' tokens. Every window after
 the first repeats the leading system turn and a limited history; what is repeated is never a target again.
-Built-in functions only. A conversation's turns meet in one row, as its template text does.
+Built-in functions only. The turns' numbers of a conversation meet in one row; their texts meet by window, so a
+text is only ever together with those of its window.
 """
 
 from __future__ import annotations
@@ -60,19 +61,19 @@ def format_windows(
         {
             "i": F.row_number().over(order) - 1,
             "before": F.coalesce(F.sum("tokens").over(past), F.lit(0)),
-            "chars_before": F.coalesce(F.sum(F.length("piece")).over(past), F.lit(0)),
         }
     )
     rows = rows.withColumn("lead", (F.col("i") == 0) & (F.col("role") == SYSTEM))
     # turns that start within `history` tokens before this one, the system turn apart
     near = Window.partitionBy("id").orderBy("before").rangeBetween(-history, -1)
     rows = rows.withColumns({"n_past": F.count_if(~F.col("lead")).over(near), "past": F.coalesce(F.sum(F.when(~F.col("lead"), F.col("tokens"))).over(near), F.lit(0))})
-    turn = F.struct("i", "before", "tokens", "past", "n_past", "chars_before", "n_head", "n_body", "role", "piece", "lead")
-    talks = rows.groupBy("id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    rows = rows.withColumn("talk", F.struct("id"))  # a null id is a conversation too
+    numbers = F.struct(*[F.col(c).cast("long").alias(c) for c in ("i", "before", "tokens", "past", "n_past")], "lead")
+    talks = rows.groupBy("talk").agg(F.sort_array(F.collect_list(numbers)).alias("turns"))
     first = F.col("turns")[0]
-    talks = talks.withColumns({"n_lead": first["lead"].cast("int"), "lead_tokens": F.when(first["lead"], first["tokens"]).otherwise(0), "lead_piece": F.when(first["lead"], first["piece"]).otherwise("")})
+    talks = talks.withColumns({"n_lead": first["lead"].cast("int"), "lead_tokens": F.when(first["lead"], first["tokens"]).otherwise(0)})
 
-    start = F.struct(F.array(F.lit(0)).alias("starts"), F.lit(0).cast("long").alias("base"))
+    start = F.struct(F.array(F.lit(0).cast("long")).alias("starts"), F.lit(0).cast("long").alias("base"))
 
     def advance(state: Column, t: Column) -> Column:
         # base: prefix sum at which the window's tokens begin, less what it repeats
@@ -81,23 +82,31 @@ def format_windows(
         return F.when(over, fresh).otherwise(state)
 
     talks = talks.withColumn("starts", F.aggregate("turns", start, advance)["starts"])
-    windows = talks.select("id", "turns", "n_lead", "lead_piece", "starts", F.posexplode("starts").alias("window", "from"))
-    windows = windows.withColumn("to", F.coalesce(F.get("starts", F.col("window") + 1), F.size("turns")))
-    opening = F.get("turns", F.col("from"))
-    again = F.when(F.col("window") > 0, F.least(opening["n_past"].cast("int"), F.col("from") - F.col("n_lead"))).otherwise(0)
-    windows = windows.withColumns({"again": again, "prefix": F.when(F.col("window") > 0, F.col("lead_piece")).otherwise("")})
-    shown = F.slice("turns", F.col("from") - F.col("again") + 1, F.col("to") - F.col("from") + F.col("again"))
-    fresh = F.slice("turns", F.col("from") + 1, F.col("to") - F.col("from"))
-    windows = windows.withColumns({"shown": shown, "fresh": fresh})
-    offset = F.length("prefix") - F.col("shown")[0]["chars_before"]
-    mask = F.transform(
-        F.filter("fresh", lambda t: t["role"] == TARGET),
-        lambda t: F.struct((offset + t["chars_before"] + t["n_head"]).cast("int").alias("start"), t["n_body"].alias("length")),
+    windows = talks.select(
+        "talk", "n_lead", F.size("turns").cast("long").alias("n"), "starts", F.transform("starts", lambda s: F.get("turns", s.cast("int"))["n_past"]).alias("pasts")
+    )
+    windows = windows.select("talk", "n_lead", "n", "starts", "pasts", F.posexplode("starts").alias("window", "from"))
+    again = F.when(F.col("window") > 0, F.least(F.get("pasts", F.col("window")), F.col("from") - F.col("n_lead"))).otherwise(0)
+    windows = windows.select(
+        "talk", "window", "from", F.coalesce(F.get("starts", F.col("window") + 1), F.col("n")).alias("to"), again.alias("again"),
+        F.when(F.col("window") > 0, F.col("n_lead")).otherwise(0).alias("n_lead"),
+    )
+    # the turns of each window: the system turn, the history, its own
+    own = F.sequence(F.col("from") - F.col("again"), F.col("to") - 1)
+    shown = windows.select("*", F.explode(F.when(F.col("n_lead") > 0, F.concat(F.array(F.lit(0).cast("long")), own)).otherwise(own)).alias("i"))
+    texts = rows.select("talk", F.col("i").cast("long").alias("i"), "role", "piece", "n_head", "n_body", F.length("piece").alias("n_piece"))
+    said = shown.join(texts, ["talk", "i"])
+    turn = F.struct("i", "piece", F.col("n_piece").alias("n"), "n_head", "n_body", ((F.col("role") == TARGET) & (F.col("i") >= F.col("from"))).alias("target"))
+    whole = said.groupBy("talk", "window").agg(F.sort_array(F.collect_list(turn)).alias("turns"), F.first(F.col("n_lead") + F.col("again")).cast("int").alias("repeated"))
+    # where each target's text begins, from the lengths of the pieces before it
+    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("mask"))
+    masked = F.aggregate("turns", state, lambda s, t: F.struct(
+        (s["at"] + t["n"]).alias("at"),
+        F.when(t["target"], F.concat(s["mask"], F.array(F.struct((s["at"] + t["n_head"]).alias("start"), t["n_body"].alias("length"))))).otherwise(s["mask"]).alias("mask"),
+    ))["mask"]
+    return whole.select(
+        "talk.id", "window", F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("text"), "repeated", masked.alias("mask")
     )
-    return windows.select(
-        "id", "window", F.concat("prefix", F.array_join(F.transform("shown", lambda t: t["piece"]), "")).alias("text"),
-        (F.when(F.col("window") > 0, F.col("n_lead")).otherwise(0) + F.col("again")).alias("repeated"), mask.alias("mask"),
-    )
 
 
 def read_windows(windows: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from lumenary.llm import (
     top_k, url_lists, warc_bundles,
 )
 from lumenary.llm.common import table
-from lumenary.session import cut_lineage
+from lumenary.session import cut_lineage, shipped
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -22,7 +22,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def register(fn):
-        QUERIES[name] = fn
+        QUERIES[name] = shipped(fn)
         if sql is not None:
             ORACLE_SQL[name] = sql
         return fn
