@@ -35,11 +35,11 @@ class Network:
     languages: list[str]
     weights: dict[str, np.ndarray]
 
-    def probabilities(self, codes: np.ndarray) -> np.ndarray:
-        """(T, L, B) probabilities of bytes (T, B)."""
+    def probabilities(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """(T, L, B) probabilities of bytes (T, B), of which a column has its first `lengths`; others stand behind them."""
         w = self.weights
         ahead = states(w["ahead_x"], w["ahead_h"], codes)[0]
-        back = states(w["back_x"], w["back_h"], codes[::-1])[0][::-1]
+        back = turned(states(w["back_x"], w["back_h"], turned(codes, lengths))[0], lengths)
         logits = w["out_ahead"] @ ahead + w["out_back"] @ back + w["out"][:, None]
         logits -= logits.max(axis=1, keepdims=True)
         np.exp(logits, out=logits)
@@ -47,6 +47,19 @@ class Network:
         return logits
 
 
+def turned(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Each column's own steps in reverse order, what stands behind them left in place; (T, B) or (T, H, B).
+
+    The backward direction so starts at a text's own end, whatever the other columns' lengths are.
+    """
+    steps = len(values)
+    if not len(lengths) or lengths.min() == steps:
+        return values[::-1]
+    place = np.arange(steps)[:, None]
+    place = np.where(place < lengths, lengths - 1 - place, place)
+    return np.take_along_axis(values, place if values.ndim == 2 else place[:, None, :], axis=0)
+
+
 def states(table: np.ndarray, recurrent: np.ndarray, codes: np.ndarray, trace: bool = False):
     """Hidden states (T, H, B); with `trace` also what the backward pass needs.
 
@@ -107,6 +120,7 @@ def train(texts: list[bytes], labels: list[str], units: int = UNITS, steps: int
     rng = np.random.default_rng(seed)
     width = max([1, *(len(x) for x in texts)])
     codes, real = padded([texts[i] for i in order], width)
+    lengths = real.sum(axis=0)
     target = np.array([languages.index(labels[i]) for i in order])
     n, many = len(order), len(languages)
     shapes = {"ahead_x": (3 * units, 256), "ahead_h": (3 * units, units), "back_x": (3 * units, 256), "back_h": (3 * units, units),
@@ -120,10 +134,11 @@ def train(texts: list[bytes], labels: list[str], units: int = UNITS, steps: int
         shuffled = rng.permutation(n)
         for at in range(0, n, BATCH):
             rows = shuffled[at : at + BATCH]
-            c, mask = codes[:, rows], real[:, rows].astype(np.float32)
+            c, mask, own = codes[:, rows], real[:, rows].astype(np.float32), lengths[rows]
             ahead, kept_a = states(w["ahead_x"], w["ahead_h"], c, True)
-            back_r, kept_b = states(w["back_x"], w["back_h"], c[::-1], True)
-            back = back_r[::-1]
+            c_r = turned(c, own)
+            back_r, kept_b = states(w["back_x"], w["back_h"], c_r, True)
+            back = turned(back_r, own)
             logits = w["out_ahead"] @ ahead + w["out_back"] @ back + w["out"][:, None]
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -131,7 +146,7 @@ def train(texts: list[bytes], labels: list[str], units: int = UNITS, steps: int
             p *= (mask / max(1.0, mask.sum()))[:, None, :]
             grads = {"out_ahead": np.einsum("tlb,thb->lh", p, ahead), "out_back": np.einsum("tlb,thb->lh", p, back), "out": p.sum(axis=(0, 2))}
             grads["ahead_x"], grads["ahead_h"] = gradients(w["ahead_x"], w["ahead_h"], c, ahead, kept_a, w["out_ahead"].T @ p)
-            grads["back_x"], grads["back_h"] = gradients(w["back_x"], w["back_h"], c[::-1], back_r, kept_b, (w["out_back"].T @ p)[::-1])
+            grads["back_x"], grads["back_h"] = gradients(w["back_x"], w["back_h"], c_r, back_r, kept_b, turned(w["out_back"].T @ p, own))
             step += 1
             rate = RATE * (1 - 0.9 * step / total)
             size = np.sqrt(sum(float((g**2).sum()) for g in grads.values()))
@@ -206,7 +221,7 @@ def predict_texts(texts: pa.Array, network: Network) -> tuple[list[str], np.ndar
         where = begin[rows] + np.arange(size.max())[:, None]
         real = np.arange(size.max())[:, None] < size
         codes = np.where(real, data[np.minimum(where, len(data) - 1)], 0)
-        p = network.probabilities(codes)
+        p = network.probabilities(codes, size)
         pooled = np.einsum("tlb,tb->bl", p, real.astype(np.float32))
         for k in range(many):
             sums[:, k] += np.bincount(owner[rows], pooled[:, k], n)
