@@ -21,8 +21,12 @@ GAP = 1800
 
 
 def table_stream(c: Catalog, name: str) -> DataFrame:
-    reader = c.spark.readStream.schema(c.table(name).schema).option("pathGlobFilter", f"{name}.parquet")
-    return reader.parquet(c.dir)
+    """A table as a stream of its files, be it one file of that name or a folder of parts."""
+    table, at = c.table(name), f"{name}.parquet"
+    reader = c.spark.readStream.schema(table.schema)
+    if any(f"/{at}/" in path for path in table.inputFiles()):
+        return reader.parquet(f"{c.dir}/{at}")
+    return reader.option("pathGlobFilter", at).parquet(c.dir)
 
 
 @contextmanager

@@ -15,7 +15,8 @@ from lumenary.operators import features as FE
 from lumenary.operators import ingest as IN
 from lumenary.operators import timelines as TL
 from lumenary.operators import tuning as TU
-from lumenary.plans.catalog import DIM
+from lumenary.plans import stream_queries as SQ
+from lumenary.plans.catalog import DIM, Catalog
 from lumenary.session import work_path
 from lumenary.sources import files as FS
 from lumenary.streaming import watch as WA
@@ -238,6 +239,13 @@ def test_moves_folders_and_other_files(spark):
     assert sorted(r["path"] for r in WA.normalise_events(df).collect()) == ["/a.jpg", "/d.png"]
 
 
+def test_stream_of_a_table_in_parts(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i % 30}") for i in range(50)], "doc_id long, text string")
+    docs.repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    got = SQ.dedupe_stream(Catalog(spark, str(tmp_path))).collect()
+    assert len(got) == len(set(got)) == 30
+
+
 def test_stream_ingest_resumes(spark, tmp_path):
     root, out, checkpoint = tmp_path / "in", work_path(spark, "ingest"), work_path(spark, "checkpoint")
     root.mkdir()
