@@ -119,6 +119,23 @@ def test_person_ranking_with_a_person_split_over_blocks(spark, limit, block):
     assert {tuple(r) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("block, tile, piece", [(8, 16_384, 65_536), (7, 6, 40), (5, 9, 11)])
+def test_person_ranking_in_tiles_by_text_keys(spark, block, tile, piece):
+    rng = np.random.default_rng(12)
+    faces = [(f"face-{i}", rng.normal(size=DIM).tolist(), i % 3 + 1) for i in range(30)] + [("short", [1.0], 1)]
+    samples = [(i, 1 + (0 if i < 40 else 1 + i % 12), rng.normal(size=DIM).tolist()) for i in range(120)]
+    persons = [(p, f"P{p}", None if p % 5 == 0 else rng.normal(size=DIM).tolist(), p % 2) for p in range(1, 15)]
+    fdf = spark.createDataFrame(faces, "label string, embedding array<double>, owner long").repartition(3)
+    sdf = spark.createDataFrame(samples, "id long, person_id long, embedding array<double>").repartition(5)
+    pdf = spark.createDataFrame(persons, "id long, name string, centroid array<double>, u long").withColumn(
+        "updated_at", F.timestamp_seconds("u")
+    )
+    side = Side(fdf, "label", "embedding")
+    got = I.rank_persons(side, pdf, sdf, 3, DIM, "owner", 1, block, tile, piece)
+    want = I.rank_persons(side, pdf, sdf, 3, DIM, "owner")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 30 * 4
+
+
 def test_margin_rule(spark):
     ranked = [(1, 1, 0.6, 1), (2, 1, 0.6, 1), (2, 2, 0.56, 2), (3, 1, 0.6, 1), (3, 2, 0.5601, 2), (4, 1, 0.51, 1)]
     df = spark.createDataFrame(ranked, "face_id long, person_id long, score double, rank int")
