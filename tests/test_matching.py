@@ -248,6 +248,21 @@ def test_bounded_history_gives_the_full_fold(spark, window):
     assert {k: r["folded"] for k, r in got.items()} == {"a": 700, "b": 3, "c": 0} and got["a"]["example_photo_id"] == 0
 
 
+def test_old_faces_may_decide_a_digit(spark):
+    rng = np.random.default_rng(3)
+    unit_ = lambda v: v / np.linalg.norm(v)
+    heads = {f"l{i}": unit_(rng.normal(size=64)) for i in range(12)}
+    faces = [(label, i, i, i, unit_(head + rng.normal(size=64) * 0.3).tolist()) for label, head in heads.items() for i in range(400)]
+    clusters = spark.createDataFrame([(k, v.tolist(), None) for k, v in heads.items()], "label string, centroid array<double>, example_photo_id long")
+    df = spark.createDataFrame(faces, "label string, seq long, face_id long, media_id long, embedding array<double>").repartition(7)
+    got = {r["label"]: r["centroid"] for r in I.update_centroids(clusters, df).collect()}
+    for label, head in heads.items():
+        c = head
+        for _, _, _, _, e in [f for f in faces if f[0] == label]:
+            c = np.round(unit_(0.7 * c + 0.3 * np.array(e)), 6)
+        assert got[label] == c.tolist()
+
+
 def test_labels_of_different_roots_differ(spark):
     far = [(35097, [1.0, 0.0]), (40686, [0.0, 1.0])]  # the first 32 bits of their digests are equal
     got = I.form_clusters(spark.createDataFrame(far, "face_id long, embedding array<double>"), 0.5, 2).collect()
