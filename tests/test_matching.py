@@ -46,6 +46,21 @@ def test_nearest_is_the_same_on_all_three_ways(spark, limit, rows):
     assert {tuple(r) for r in got.collect()} == brute(lrows, rrows, 3, 0.1)
 
 
+@pytest.mark.parametrize("tile, piece, block", [(32_768, 65_536, 1_024), (7, 9, 4)])
+@pytest.mark.parametrize("metric, floor", [("cosine", 1e-6), ("dot", float("-inf"))])
+def test_copies_are_matched_once_in_tiles(spark, monkeypatch, tile, piece, block, metric, floor):
+    rng = np.random.default_rng(21)
+    kinds = [rng.normal(size=DIM).round(1) for _ in range(25)]
+    rows = [(f"k{i:03}", kinds[i % 25 if i % 4 else 3].tolist(), i % 3) for i in range(200)] + [("other", [1.0], 1)]
+    df = spark.createDataFrame(rows, "id string, vec array<double>, t long").repartition(6)
+    side, sent = Side(df, "id", "vec", "t"), []
+    whole = bm._pass_tiles
+    monkeypatch.setattr(bm, "_pass_tiles", lambda *a, **kw: sent.append(1) or whole(*a, **kw, tile_rows=tile, slice_rows=piece))
+    got = bm.nearest(side, side, dim=DIM, k=4, floor=floor, metric=metric, skip_self=True, broadcast_rows=0, block_rows=block)
+    near = bm.nearest(side, side, dim=DIM, k=4, floor=floor, metric=metric, skip_self=True)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, near.collect())) and sent
+
+
 def test_rows_of_other_length_take_no_part(spark):
     df = spark.createDataFrame([(1, [1.0] * DIM), (2, [1.0]), (3, None)], "id long, vec array<double>")
     got = bm.nearest(Side(df, "id", "vec"), Side(df, "id", "vec"), dim=DIM)
