@@ -316,3 +316,50 @@ def test_hash_gate_equals_all_pairs(spark):
     df = spark.createDataFrame(rows, "kind string, block string, phash string, q long").withColumn("profile", F.col("q").cast("string"))
     got = {r["phash"]: r["lead"]["q"] for r in G.hash_gate(df, 0.9).collect()}
     assert got == {p: max(j for j, o in enumerate(hashes) if (o ^ hashes[i]).bit_count() <= 6) for _, _, p, i in rows}
+
+
+def _spoiled_texts(seed, n):
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(n):
+        base = " ".join(rng.choice(["harbour", "sunset", "ab", "boats", "é日", "x" * 70]) for _ in range(rng.randint(1, 6)))
+        for _ in range(3):
+            cut = list(base)
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randrange(len(cut) + 1)
+                cut[at : at + rng.randint(0, 1)] = rng.choice(["", "q", "zz"])
+            texts.append("".join(cut))
+    texts = [t for t in dict.fromkeys(texts) if t]
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("floor", [0.6, 0.88, 0.94])
+@pytest.mark.parametrize("kept", [3, 1 << 20])
+def test_first_alike_equals_trying_all(monkeypatch, floor, kept):
+    from difflib import SequenceMatcher
+
+    from lumenary.functions import similarity
+
+    monkeypatch.setattr(similarity, "KEPT", kept)
+    monkeypatch.setattr(similarity, "STEP", 500)
+    texts = _spoiled_texts(21, 40)
+    for sides in (None, np.arange(len(texts)) % 3 == 0):
+        want = {}
+        for i, t in enumerate(texts):
+            other = (j for j in range(i) if sides is None or sides[i] != sides[j])
+            first = next((j for j in other if SequenceMatcher(a=t, b=texts[j]).ratio() >= floor), None)
+            want |= {} if first is None else {i: first}
+        assert dict(zip(*(x.tolist() for x in similarity.first_alike(texts, floor, sides)))) == want
+
+
+def test_text_gate_compares_a_large_block_tile_by_tile(spark):
+    """A piece of letters that all texts share made every two of them a shuffled pair."""
+    from difflib import SequenceMatcher
+
+    texts = ["the same start " + t for t in _spoiled_texts(22, 20)]
+    rows = [("name", "a", t, i) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "kind string, block string, text string, q long").withColumn("profile", F.col("q").cast("string"))
+    found = G.text_gate(df, "text", {"name": 0.88}, piece_rows=9)
+    got = {r["text"]: r["lead"]["q"] for r in found.collect()}
+    assert got == {t: max(q for _, _, u, q in rows if u == t or SequenceMatcher(a=t, b=u).ratio() >= 0.88) for t in texts}
