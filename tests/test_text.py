@@ -110,3 +110,17 @@ def test_frame_texts(spark):
     lines = [(1, 0, 1, "b"), (1, 0, 0, " a "), (1, 1, 0, "A"), (1, 1, 1, "b"), (1, 2, 0, " "), (1, 6, 0, "late")]
     df = spark.createDataFrame(lines, "media_id long, frame_idx int, line_no int, text string")
     assert A.assemble_frame_ocr(df).first()["ocr_text"] == "a\nb"
+
+
+def test_words_are_deduplicated_once_and_sorted_without_a_lambda(spark):
+    from lumenary.plans import text_queries as T
+    from lumenary.plans.catalog import Catalog
+
+    class Held(Catalog):
+        def texts(self, name):
+            return spark.createDataFrame([(1, "Sea  sea SUN "), (2, "  "), (3, None), (4, ""), (5, "B a b A a")], "doc_id long, text string")
+
+    found = T.dedupe(Held(spark, ""))
+    assert {r["doc_id"]: r["items"] for r in found.collect()} == {1: "Sea|SUN", 5: "B|a"}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("zip_with") == 1 and "array_sort" not in plan
