@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenary.functions import codecs as C
 from lumenary.functions import text as X
+from lumenary.functions import vector as V
 from lumenary.operators import annotations as A
 
 
@@ -62,6 +63,26 @@ def test_hash_vector_matches_a_restatement(spark):
         assert np.allclose(vector, want / size if size else want)
 
 
+HALVES = " ".join(w for w, n in zip("abcde", (31, 7, 3, 2, 1)) for _ in range(n))  # 1024 = 961 + 49 + 9 + 4 + 1
+
+
+def test_entries_halfway_between_two_decimals_are_exact(spark):
+    got = run(spark, [HALVES, " ".join(reversed(HALVES.split()))], X.text_hash_vector)
+    assert sorted(abs(x) * 32 for x in got[0] if x) == [1, 2, 3, 7, 31]
+    assert got[0] == got[1]
+
+
+def test_text_beside_another_half_is_rounded_once(spark):
+    both = lambda t: V.unit_beside(X.text_hash_counts(t), V.l2_normalize(F.array(*[F.lit(float(i)) for i in range(1, 8)])), rest_is_unit=True)
+    # 2 * 16 * 16 = 512 = 441 + 49 + 9 + 9 + 4
+    text = " ".join(w for w, n in zip("abcde", (21, 7, 3, 3, 2)) for _ in range(n))
+    got, none = run(spark, [text, ""], both)
+    assert sorted(abs(x) * 32 for x in got[: X.TEXT_DIM] if x) == [2, 3, 3, 7, 21]
+    assert not any(none[: X.TEXT_DIM]) and sum(x * x for x in none) == pytest.approx(1)
+    alone = run(spark, [HALVES, ""], lambda t: V.unit_beside(X.text_hash_counts(t), V.zeros(3)))
+    assert sorted(abs(x) * 32 for x in alone[0] if x) == [1, 2, 3, 7, 31] and not any(alone[1])
+
+
 def test_media_name_keys(spark):
     cases = {
         "/x/IMG_001 (1).jpg": "img", "图片 副本2.png": "图片 图片", "photo-copy.jpg": "photo", "123.jpg": "123",
