@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -72,6 +74,18 @@ def test_entries_halfway_between_two_decimals_are_exact(spark):
     assert got[0] == got[1]
 
 
+def test_tokens_are_held_for_a_part_of_a_batch_at_a_time():
+    texts = pa.array([f"word{i} beach {i % 7} " * 2_000 for i in range(200)] + ["", None])  # 7 MB of text, 1.2 million tokens
+    tracemalloc.start()
+    try:
+        got = X._by_parts(texts, X.hash_texts)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 60 << 20  # all at once takes 111 MB, in parts 44
+    assert np.array_equal(np.asarray(got.flatten()).reshape(len(texts), -1), X.hash_texts(texts.to_pylist()))
+
+
 def test_text_beside_another_half_is_rounded_once(spark):
     both = lambda t: V.unit_beside(X.text_hash_counts(t), V.l2_normalize(F.array(*[F.lit(float(i)) for i in range(1, 8)])), rest_is_unit=True)
     # 2 * 16 * 16 = 512 = 441 + 49 + 9 + 9 + 4
