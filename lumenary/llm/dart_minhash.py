@@ -31,7 +31,9 @@ PAIRED, BLOCK_MEMBERS = 8, 1000
 #: Bits of a rank below the unit.
 RANK_BITS = 44
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-CELLS_AT_ONCE = 1 << 19
+CELLS_AT_ONCE = 1 << 17
+#: Text whose shingles a task holds at once; they take some thirty times its size.
+SKETCHED_BYTES = 2 << 20
 #: Chance of at most 0, 1, 2, ... darts in a unit cell, as a 32-bit threshold.
 POISSON = np.array([min(2**32 - 1, round(2**32 * sum(math.exp(-1) / math.factorial(j) for j in range(i + 1)))) for i in range(12)], dtype=np.uint64)
 
@@ -141,6 +143,30 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def sketch_batch(batch: pa.RecordBatch, size: int, bands: int, rows: int, weigh: Weigh) -> Iterator[pa.RecordBatch]:
+    """The sketches of a batch of (id, tag, text), a part of its text at a time."""
+    for part in slices(batch, "text", SKETCHED_BYTES):
+        elements, counts, offsets = shingle_sets(part.column("text"), size)
+        signatures = dart_signatures(elements, weigh(elements, counts), offsets, bands * rows)
+        keys = band_keys(signatures, bands, rows)
+        n = np.diff(offsets)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(elements.astype(np.uint64) + STEP))])
+        node = mix(sums[offsets[1:]] - sums[offsets[:-1]] + n.astype(np.uint64) * MIX_A).view(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [
+                part.column("id"),
+                part.column("tag"),
+                pa.array(node, mask=n == 0),
+                pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(elements.view(np.int32))),
+                pa.ListArray.from_arrays(
+                    pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32)), pa.array(keys[n > 0].reshape(-1))
+                ),
+            ],
+            names=["id", "tag", "node", "shingles", "bands"],
+        )
+        release()
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int, weigh: Weigh) -> DataFrame:
     """(id, tag, node, shingles, bands) of every row; equal shingle sets have one node, none has null."""
     chosen = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).cast("string").alias("text"))
@@ -148,26 +174,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int,
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                elements, counts, offsets = shingle_sets(part.column("text"), size)
-                signatures = dart_signatures(elements, weigh(elements, counts), offsets, bands * rows)
-                keys = band_keys(signatures, bands, rows)
-                n = np.diff(offsets)
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(elements.astype(np.uint64) + STEP))])
-                node = mix(sums[offsets[1:]] - sums[offsets[:-1]] + n.astype(np.uint64) * MIX_A).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("id"),
-                        part.column("tag"),
-                        pa.array(node, mask=n == 0),
-                        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(elements.view(np.int32))),
-                        pa.ListArray.from_arrays(
-                            pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32)), pa.array(keys[n > 0].reshape(-1))
-                        ),
-                    ],
-                    names=["id", "tag", "node", "shingles", "bands"],
-                )
-                release()
+            yield from sketch_batch(batch, size, bands, rows, weigh)
 
     return chosen.mapInArrow(sketch, f"id {kind}, tag long, node long, shingles array<int>, bands array<long>")
 

@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +127,17 @@ def test_the_number_of_places_can_be_the_weight(spark):
     elements, counts, offsets = D.shingle_sets(__import__("pyarrow").array([t for _, t in texts]), 5)
     sig = D.dart_signatures(elements, D.repeated(elements, counts), offsets, 2000)
     assert 0.1 < (sig[0] == sig[1]).mean() < 0.25
+
+
+def test_a_batch_is_sketched_in_parts():
+    texts = [" ".join(f"w{(i * 31 + j * j) % 5000}" for j in range(2_000)) for i in range(800)]  # 9 MB of text
+    batch = pa.RecordBatch.from_arrays([pa.array(range(800)), pa.array(range(800)), pa.array(texts)], names=["id", "tag", "text"])
+    tracemalloc.start()
+    try:
+        parts = list(D.sketch_batch(batch, 5, 30, 7, D.present))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    got = pa.Table.from_batches(parts)
+    assert got.num_rows == 800 and len(parts) > 3
+    assert most < 80 << 20  # 130 MB at 8 MB of text and 2^19 cells at once, 43 as it is
