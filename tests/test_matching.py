@@ -101,6 +101,22 @@ def test_forest_of_one_dense_component(spark, blocks):
     assert {r["root"] for r in bm.components(edges, "long", cut_lineage).collect()} == {df.agg(F.min("face_id")).first()[0]}
 
 
+def test_small_blocks_dont_multiply_what_clusters_send(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.normal(size=DIM).tolist()) for i in range(600)] + [(700 + i, [0.0] * DIM) for i in range(3)]
+    df = spark.createDataFrame(rows, "face_id long, embedding array<double>")
+    for sizes in ({"block_rows": 16}, {"block_rows": 16, "tile_rows": 40}):
+        got = I.form_clusters(df, 0.85, DIM, **sizes)
+        assert {r["face_id"]: r["root"] for r in got.collect()} == components(rows, 0.85)
+    sizes = []
+    reached, bm.pivots.homes = bm.pivots.homes, lambda *a, **k: sizes.append(k["rows"]) or reached(*a, **k)
+    try:
+        bm.forest_edges(Side(df, "face_id", "embedding"), dim=DIM, floor=0.85, block_rows=16)
+    finally:
+        bm.pivots.homes = reached
+    assert sizes == [bm.TILE_ROWS]
+
+
 def test_long_chain_components(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = bm.components(edges, "long", cut_lineage).collect()
