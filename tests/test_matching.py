@@ -379,3 +379,31 @@ def test_text_gate_compares_a_large_block_tile_by_tile(spark):
     found = G.text_gate(df, "text", {"name": 0.88}, piece_rows=9)
     got = {r["text"]: r["lead"]["q"] for r in found.collect()}
     assert got == {t: max(q for _, _, u, q in rows if u == t or SequenceMatcher(a=t, b=u).ratio() >= 0.88) for t in texts}
+
+
+def test_matches_of_many_queries_are_dealt_by_what_they_give(spark, monkeypatch):
+    from lumenary.operators import search as S
+
+    axis = lambda i, n=4: [1.0 if j == i else 0.1 for j in range(n)]
+    clusters = spark.createDataFrame([(f"c{i}", axis(i), i % 2 + 1, i) for i in range(4)], "label string, centroid array<double>, person_profile_id long, u long").withColumn("updated_at", F.timestamp_seconds("u"))
+    persons = spark.createDataFrame([(p, None, p) for p in (1, 2)], "id long, centroid array<double>, u long").withColumn("updated_at", F.timestamp_seconds("u"))
+    samples = spark.createDataFrame([(1, 1, axis(0)), (2, 2, axis(1))], "id long, person_id long, embedding array<double>")
+    media = [(i, [f"c{i % 4}", f"c{i % 4}", f"c{i // 4 % 4}"]) for i in range(40)]
+    mdf = spark.createDataFrame(media, "id long, face_clusters array<string>").withColumn("created_at", F.timestamp_seconds(F.col("id") % 7))
+    queries = spark.createDataFrame([(q, axis(q % 4)) for q in range(30)], "query_id long, embedding array<double>")
+    kept = [S.search_by_person(queries, mdf, persons, samples, clusters, 9, 0.2, 4), S.retrieved_counts(queries, mdf, persons, samples, clusters, 0.2, 4)]
+    whole = [sorted(map(tuple, x.collect())) for x in kept]
+    labels = {(r["query_id"], r["label"]): r["score"] for r in S.cluster_scores(queries, persons, samples, clusters, 0.2, 4).collect()}
+    want, counts = [], []
+    for q in range(30):
+        found = [(max(labels[q, c] for c in cs if (q, c) in labels), i % 7, i) for i, cs in media if any((q, c) in labels for c in cs)]
+        want += [(q, i, s, r + 1) for r, (s, _, i) in enumerate(sorted(found, reverse=True)[:9])]
+        counts.append((q, len(found)))
+    assert whole == [sorted(want), counts]
+    # few shuffle partitions hold what they give, and no side is sent
+    monkeypatch.setattr(S, "FAN_ROWS", 100)
+    for sent in (50_000, 0):
+        monkeypatch.setattr(S, "SENT_ROWS", sent)
+        dealt = [S.search_by_person(queries, mdf, persons, samples, clusters, 9, 0.2, 4), S.retrieved_counts(queries, mdf, persons, samples, clusters, 0.2, 4)]
+        assert all(x.rdd.getNumPartitions() >= 3 for x in dealt)
+        assert [sorted(map(tuple, x.collect())) for x in dealt] == whole
