@@ -403,6 +403,26 @@ def test_names_in_long_texts(spark):
     assert taken < 10
 
 
+def test_stretches_without_a_name_are_not_shuffled(spark, monkeypatch):
+    from lumenary.operators import search as S
+
+    persons = spark.createDataFrame([(1, "Ann 😀 Lee", 1), (2, "Bo", 2), (3, "Cy\nD", 3)], "id long, name string, u long").withColumns(
+        {"normalized_name": F.lower("name"), "updated_at": F.timestamp_seconds("u")}
+    )
+    letters = random.Random(5)
+    rows = [(i, "".join(letters.choice("efghijkm 😀") for _ in range(400)) + ("x ann 😀 lee" if i % 50 == 0 else "cy\nd bo" if i % 50 == 1 else "")) for i in range(500)]
+    texts = spark.createDataFrame(rows, "query_id long, text string")
+    want = {i: ["Ann 😀 Lee"] for i in range(0, 500, 50)} | {i: ["Cy\nD", "Bo"] for i in range(1, 500, 50)}
+    found = S.detect_people(texts, persons)
+    assert {r["query_id"]: r["names"] for r in found.collect()} == want
+    # the stretches meet the anchors before any exchange
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    at = plan.index("Generate explode")
+    assert "BroadcastHashJoin" in plan[:at] and "HashAggregate" not in plan[at:].split("Generate explode")[1].split("LocalTableScan")[0]
+    monkeypatch.setattr(S, "SENT_NAMES", 0)
+    assert {r["query_id"]: r["names"] for r in S.detect_people(texts, persons).collect()} == want
+
+
 def test_bursts_stay_open_across_batches(spark, tmp_path):
     import pandas as pd
 
