@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ FRAMES, INTERVAL = 24, 1.0
 VOTE_FLOOR, VOTE_SLACK, VOTE_MARGIN = 0.36, 0.08, 0.02
 VIDEO_FLOOR, VIDEO_SLACK, TOP_VOTES, MIN_HITS = 0.4, 0.06, 4, 2
 MOMENT_GAP, MOMENTS_PER_PERSON = 2.0, 5
+#: Moments of a person in a video that are gathered in a row at most.
+GATHERED = 4_096
 
 
 def sample_plan(videos: DataFrame, interval: float = INTERVAL, n: int = FRAMES) -> DataFrame:
@@ -116,33 +120,52 @@ def video_people(votes: DataFrame, thr: float = I.PERSON_THRESHOLD, min_hits: in
     return hits.join(means, key).filter(sure | often).select(*key, "person_name", "first_seq")
 
 
+def _in_rounds(rows: DataFrame, key: list[str], far: Callable[[Column, Column], Column], n: int, salts: int) -> DataFrame:
+    """(key, chosen), in n rounds. A round is one combinable maximum over the moments far from those
+    already chosen, first within salted parts and then over them; only the few chosen ones travel."""
+    # of the moments at one instant only the best can ever be chosen
+    base = rows.groupBy(*key, F.col("m.timestamp_seconds").alias("t")).agg(F.max("m").alias("m")).select(
+        *key, "m", F.pmod(F.xxhash64("t"), F.lit(salts)).alias("salt")
+    )
+    base = cut_lineage(base)  # every round reads it
+    chosen = base.groupBy(*key, "salt").agg(F.max("m").alias("m")).groupBy(*key).agg(F.array(F.max("m")).alias("chosen"))
+    salted = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
+    for _ in range(n - 1):
+        rows = base.join(chosen.withColumn("salt", salted), [*key, "salt"])
+        part = rows.groupBy(*key, "salt").agg(
+            F.any_value("chosen").alias("chosen"), F.max(F.when(far(F.col("chosen"), F.col("m")), F.col("m"))).alias("m")
+        )
+        step = part.groupBy(*key).agg(F.any_value("chosen").alias("chosen"), F.max("m").alias("m"))
+        chosen = step.select(*key, F.array_compact(F.concat("chosen", F.array("m"))).alias("chosen"))
+    return chosen
+
+
 def select_moments(
     moments: DataFrame, gap: float = MOMENT_GAP, n: int = MOMENTS_PER_PERSON, salts: int = 16
 ) -> DataFrame:
     """(video_id, person_name, moments in time order): the best moments at least `gap` apart, up to n.
 
-    Greedy by score in n rounds. A round is one combinable maximum over the moments far from those
-    already chosen, first within salted parts and then over them, so a video with very many moments
-    is never gathered in one place; only the few chosen ones travel.
+    Greedy by score. A key's moments are gathered and gone through in order; keys with more than GATHERED of
+    them take n rounds instead, so that they are never gathered in one place.
     """
     gap, n = max(0.5, float(gap)), max(1, int(n))
     key = ["video_id", "person_name"]
     rest = [c for c in moments.columns if c not in key]
     # of equal scores the earlier detection goes first
     value = F.struct("score", (-F.col("seq")).alias("_early"), *[c for c in rest if c != "score"])
-    # of the moments at one instant only the best can ever be chosen
-    base = moments.groupBy(*key, "timestamp_seconds").agg(F.max(value).alias("m")).select(
-        *key, "m", F.pmod(F.xxhash64("timestamp_seconds"), F.lit(salts)).alias("salt")
+    rows = cut_lineage(moments.select(*key, value.alias("m")))
+    # at most one in GATHERED rows
+    long = cut_lineage(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GATHERED).select(*key))
+    alike = lambda k: F.col("a." + k).eqNullSafe(F.col("b." + k))
+    side = lambda how: rows.alias("a").join(F.broadcast(long.alias("b")), alike(key[0]) & alike(key[1]), how)
+    far = lambda chosen, m: F.forall(
+        chosen, lambda c: F.abs(c["timestamp_seconds"] - m["timestamp_seconds"]) >= gap
     )
-    base = cut_lineage(base)  # every round reads it
-    chosen = base.groupBy(*key, "salt").agg(F.max("m").alias("m")).groupBy(*key).agg(F.array(F.max("m")).alias("chosen"))
-    salted = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-    for _ in range(n - 1):
-        rows = base.join(chosen.withColumn("salt", salted), [*key, "salt"])
-        far = F.forall("chosen", lambda c: F.abs(c["timestamp_seconds"] - F.col("m.timestamp_seconds")) >= gap)
-        part = rows.groupBy(*key, "salt").agg(F.any_value("chosen").alias("chosen"), F.max(F.when(far, F.col("m"))).alias("m"))
-        step = part.groupBy(*key).agg(F.any_value("chosen").alias("chosen"), F.max("m").alias("m"))
-        chosen = step.select(*key, F.array_compact(F.concat("chosen", F.array("m"))).alias("chosen"))
+    keep = lambda acc, m: F.when((F.size(acc) < n) & F.coalesce(far(acc, m), F.lit(False)), F.concat(acc, F.array(m))).otherwise(acc)
+    held = side("left_anti").groupBy(*key).agg(F.sort_array(F.collect_list("m"), asc=False).alias("ms"))
+    chosen = held.select(*key, F.aggregate("ms", F.slice("ms", 1, 1), keep).alias("chosen"))
+    if not long.isEmpty():
+        chosen = chosen.unionByName(_in_rounds(side("left_semi"), key, far, n, salts))
     ordered = F.array_sort(
         F.transform("chosen", lambda c: F.struct(c["timestamp_seconds"].alias("timestamp_seconds"), c.alias("m")))
     )

@@ -67,6 +67,29 @@ def test_moments_match_a_greedy_pass(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("gathered", [4_096, 60, 0])
+def test_short_lists_of_moments_take_no_rounds(spark, monkeypatch, gathered):
+    rng = random.Random(6)
+    rows = [(v, p, round(rng.random() * 60, 1), rng.randint(0, 9) / 10, i) for i, (v, p) in enumerate((min(rng.randint(1, 6), 3), rng.choice("ab")) for _ in range(400))]
+    rows += [(9, "a", None, 0.5, 900), (9, "a", 2.0, 0.4, 901)]
+    df = spark.createDataFrame(rows, "video_id long, person_name string, timestamp_seconds double, score double, seq long")
+    want = {}
+    for key in {(r[0], r[1]) for r in rows}:
+        chosen = []
+        for r in sorted([r for r in rows if r[:2] == key], key=lambda r: (-r[3], r[4])):
+            if len(chosen) < 5 and all(r[2] is not None and c[2] is not None and abs(r[2] - c[2]) >= 4.0 for c in chosen):
+                chosen.append(r)
+        want[key] = sorted((r[2], r[3], r[4]) for r in chosen)
+    asked, rounds = [], TL._in_rounds
+    monkeypatch.setattr(TL, "_in_rounds", lambda found, *more: asked.append(found.count()) or rounds(found, *more))
+    monkeypatch.setattr(TL, "GATHERED", gathered)
+    got = {(r["video_id"], r["person_name"]): [(m["timestamp_seconds"], m["score"], m["seq"]) for m in r["moments"]] for r in TL.select_moments(df, 4.0, salts=3).collect()}
+    assert got == want
+    sizes = [sum(r[:2] == key for r in rows) for key in want]
+    # only the moments of long lists travel in rounds
+    assert sum(asked) == sum(x for x in sizes if x > gathered)
+
+
 def test_dense_scan_rule(spark):
     cases = [(2.0, 0, []), (2.1, 0, []), (5.9, 3, []), (6.0, 3, []), (11.9, 2, ["a"]), (12.0, 2, ["a"]), (50.0, 3, ["a"])]
     df = spark.createDataFrame(cases, "duration_seconds double, face_count int, names array<string>")
