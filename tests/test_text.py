@@ -159,3 +159,31 @@ def test_words_are_deduplicated_once_and_sorted_without_a_lambda(spark):
     assert {r["doc_id"]: r["items"] for r in found.collect()} == {1: "Sea|SUN", 5: "B|a"}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("zip_with") == 1 and "array_sort" not in plan
+
+
+def halves(words, counts):
+    """A text whose sums, in units of one weight, have a whole norm of 32, so that entries lie halfway between two decimals."""
+    return " ".join(w for w, n in zip(words, counts) for _ in range(n))
+
+
+@pytest.mark.parametrize("name", ["t2_text_hash_vector"])
+def test_halves_are_shown_as_sql_shows_them(spark, name):
+    import duckdb
+
+    from lumenary.plans import registry, text_queries
+    from lumenary.plans.catalog import Catalog
+
+    counts = [(30, 11, 1, 1, 1), (27, 17, 2, 1, 1), (31, 6, 5, 1, 1), (25, 19, 6, 1, 1)]
+    # no CJK is added to every third text
+    texts = [(3 * i + 2, halves("abcde", c)) for i, c in enumerate(counts)]
+
+    class Held(Catalog):
+        def texts(self, name):
+            return spark.createDataFrame(texts, "doc_id long, text string")
+
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", texts)
+    got = registry.QUERIES[name](Held(spark, ""))
+    assert {r["doc_id"]: r["vector"] for r in got.collect()} == dict(con.execute(registry.CHECKS[name]).fetchall())
