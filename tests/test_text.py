@@ -166,7 +166,7 @@ def halves(words, counts):
     return " ".join(w for w, n in zip(words, counts) for _ in range(n))
 
 
-@pytest.mark.parametrize("name", ["t2_text_hash_vector"])
+@pytest.mark.parametrize("name", ["t2_text_hash_vector", "t2_text_hash_vector_cjk"])
 def test_halves_are_shown_as_sql_shows_them(spark, name):
     import duckdb
 
