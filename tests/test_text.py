@@ -187,3 +187,37 @@ def test_halves_are_shown_as_sql_shows_them(spark, name):
     con.executemany("INSERT INTO documents VALUES (?, ?)", texts)
     got = registry.QUERIES[name](Held(spark, ""))
     assert {r["doc_id"]: r["vector"] for r in got.collect()} == dict(con.execute(registry.CHECKS[name]).fetchall())
+
+
+def beside_unit_half(texts, half):
+    """Rows of SQL that put a unit half beside each text's vector: sums over the square root of 2."""
+    import duckdb
+
+    from lumenary.plans.check_sql import flat, text_vectors
+
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute("CREATE TABLE texts (id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO texts VALUES (?, ?)", texts)
+    shown = flat(f"list_transform(list_concat(v, {half}::DOUBLE[]), lambda x: x/sqrt(2))")
+    return dict(con.execute(f"SELECT id, {shown} FROM ({text_vectors('texts', 'id', 'text')})").fetchall())
+
+
+# 2 * 16 * 16 = 512
+HALF_TEXTS = [(i, halves("abcde", c)) for i, c in enumerate([(22, 5, 1, 1, 1), (19, 10, 7, 1, 1), (21, 6, 5, 3, 1), (21, 7, 3, 3, 2)])]
+
+
+def media(spark):
+    rows = spark.createDataFrame(HALF_TEXTS, "id long, caption string")
+    none = F.array().cast("array<string>")
+    return rows.withColumns({"ocr_text": F.lit(""), "people": none, "scene_tags": none, "object_tags": none, "storage_path": F.lit("")})
+
+
+def test_halves_of_video_vectors_are_shown_as_sql_shows_them(spark):
+    from lumenary.operators import features as FE
+    from lumenary.plans.catalog import flat_vector
+
+    unit = [1.0] + [0.0] * 7
+    beside = spark.range(len(HALF_TEXTS)).withColumns({c: F.array(*map(F.lit, unit)) for c in ("pooled", "encoded")})
+    got = FE.video_vectors(media(spark), beside, beside, 8).select("id", flat_vector(F.col("vector")).alias("v"))
+    assert {r["id"]: r["v"] for r in got.collect()} == beside_unit_half(HALF_TEXTS, unit)
