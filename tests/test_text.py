@@ -221,3 +221,17 @@ def test_halves_of_video_vectors_are_shown_as_sql_shows_them(spark):
     beside = spark.range(len(HALF_TEXTS)).withColumns({c: F.array(*map(F.lit, unit)) for c in ("pooled", "encoded")})
     got = FE.video_vectors(media(spark), beside, beside, 8).select("id", flat_vector(F.col("vector")).alias("v"))
     assert {r["id"]: r["v"] for r in got.collect()} == beside_unit_half(HALF_TEXTS, unit)
+
+
+def test_halves_of_photo_vectors_are_shown_as_sql_shows_them(spark):
+    from lumenary.operators import features as FE
+    from lumenary.plans.catalog import flat_vector
+
+    unit = [0.0] * 48 + [0.125, -0.125] * 32
+    features = spark.range(len(HALF_TEXTS)).withColumn("features", F.array(*map(F.lit, unit)))
+    got = FE.photo_vectors(media(spark), features).select("id", flat_vector(F.col("vector")).alias("v"))
+    assert {r["id"]: r["v"] for r in got.collect()} == beside_unit_half(HALF_TEXTS, unit)
+    # without a text the image half is the whole vector, without an image the text is
+    alone = spark.createDataFrame([("", [3.0, 4.0]), ("a", [0.0, 0.0])], "t string, r array<double>")
+    both = alone.select(V.units_beside(X.text_added_vector(F.col("t")), F.col("r")).alias("v"))
+    assert [sorted(x for x in r["v"] if x) for r in both.collect()] in ([[0.6, 0.8], [1.0]], [[0.6, 0.8], [-1.0]])
