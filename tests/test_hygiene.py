@@ -133,3 +133,29 @@ def test_best_copy_is_never_a_candidate(catalog):
     worse = H.exact_duplicates(prepared)
     best = prepared.groupBy("sha256").agg(F.max(H.quality_order())["id"].alias("id"))
     assert worse.join(best, "id").count() == 0
+
+
+def test_rows_of_a_large_block_are_sent_in_proportion(spark):
+    from lumenary.functions import gates as G
+
+    def sent(n, piece_rows):
+        rows = spark.range(n).select(F.lit("name|b").alias("part"), F.col("id").cast("string").alias("profile"))
+        sizes = spark.createDataFrame([("name|b", n)], "part string, n long")
+        pieces = G._pieces(rows, sizes, "profile", piece_rows)
+        most = pieces.groupBy("piece").count().agg(F.max("count")).first()[0]
+        return pieces.count() / n, most
+
+    assert sent(90, 100) == (1, 90)
+    assert sent(1_200, 100)[0] == 12
+    # tiles grow by then; of 100 rows each there would be 40
+    times, most = sent(4_000, 100)
+    assert times == 12 and most < 2 * 4 * 100 * 1.3
+    assert sent(9_600, 100)[0] == 24
+
+
+def test_photos_are_joined_without_their_texts(catalog):
+    assert not {"caption", "ocr_text"} & set(catalog.photos_to_clean.columns)
+    long, short = (H.prepare(m, "photo") for m in (catalog.photos_with_vector, catalog.photos_to_clean))
+    assert short.count() > 0 and short.exceptAll(long).isEmpty() and long.exceptAll(short).isEmpty()
+    junk = [H.junk_images(m).select("id", "score", "reason") for m in (catalog.photos_with_vector, catalog.photos_to_clean)]
+    assert junk[0].exceptAll(junk[1]).isEmpty() and junk[1].exceptAll(junk[0]).isEmpty()
