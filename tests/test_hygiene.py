@@ -159,3 +159,24 @@ def test_photos_are_joined_without_their_texts(catalog):
     assert short.count() > 0 and short.exceptAll(long).isEmpty() and long.exceptAll(short).isEmpty()
     junk = [H.junk_images(m).select("id", "score", "reason") for m in (catalog.photos_with_vector, catalog.photos_to_clean)]
     assert junk[0].exceptAll(junk[1]).isEmpty() and junk[1].exceptAll(junk[0]).isEmpty()
+
+
+@pytest.mark.parametrize("length", [None, 0.94])
+def test_vector_gate_equals_all_pairs_of_its_tiles(spark, length):
+    from lumenary.functions import gates as G
+
+    rng = np.random.default_rng(8)
+    rows = [
+        ("name", "big" if i < 40 else "small", f"p{i}", (float(rng.integers(5)), 0.0, 0.0, 0.0, i), rng.normal(size=3).round(2).tolist(), 10 + i % 7 / 4)
+        for i in range(46)
+    ]
+    df = spark.createDataFrame(
+        rows, "kind string, block string, profile string, q struct<q1:double,q2:double,q3:double,q4:double,id:long>, vector array<double>, duration double"
+    )
+    got = {(r["block"], tuple(r["vector"]), r["duration"] if length else 0): r["lead"]["profile"] for r in G.vector_gate(df, {"name": 0.86}, length, piece_rows=3).collect()}
+    want = {}
+    for _, block, _, _, v, d in rows:
+        near = [r for r in rows if r[1] == block and cos(v, r[4]) >= 0.86 and (length is None or lengths(d, r[5]) >= length)]
+        want[block, tuple(v), d if length else 0] = max(near, key=lambda r: r[3])[2]
+    assert got == want
+    assert any(len({w for k, w in want.items() if k[0] == b}) < n for b, n in (("big", 40), ("small", 6)))
